@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert_sharding, ipf_mixing, minhash_dedup, quality_llr
+from . import hilbert_sharding, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger
 
 from .oracles import ORACLES  # noqa: F401
 
@@ -35,7 +35,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ipf_mixing.mixed(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_weak.digest_columns(pii_weak.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.secret_findings(table(spark, sf_dir, "documents"), secret_ledger.BlobLedger(spark))
+    return secret_ledger.digest_columns(found)
+
+
 QUERIES = {
+    "op2_personal_data": op2_personal_data,
+    "op8_secret_ledger": op8_secret_ledger,
     "op1_hilbert_shards": op1_hilbert_shards,
     "op5_quality_rules": op5_quality_rules,
     "op10_mixing": op10_mixing,

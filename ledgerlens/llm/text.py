@@ -8,7 +8,10 @@ from pyspark.sql import Column, functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: Type of the arrays that :func:`spans` gives.
-SPANS = "array<struct<s:bigint,e:bigint,m:string>>"
+SPANS = "array<struct<s:bigint,e:bigint,m:string,c:string>>"
+
+#: Characters before a match that come with it.
+CONTEXT = 32
 
 
 def whole(text: str | Column) -> Column:
@@ -26,26 +29,29 @@ def no_spans() -> Column:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: array of ``(s, e, m)``, offsets in code points, end exclusive.
+    """Leftmost non-overlapping matches: array of ``(s, e, m, c)``, offsets in code points, end exclusive.
+
+    ``c`` is the end of what lies between the match and the one before.
 
     What lies between the matches gives the offsets: a match begins after all pieces and matches before it.
     """
     pieces = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("g"), F.length(m).cast("bigint").alias("n"), m.alias("m")),
+        lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("g"), F.length(m).cast("bigint").alias("n"), m.alias("m"), F.right(gap, F.lit(CONTEXT)).alias("c")),
     )
-    return F.aggregate(
+    found = F.aggregate(
         pieces,
         F.struct(F.lit(0).cast("bigint").alias("p"), no_spans().alias("a")),
         lambda acc, x: F.when(x.m.isNull(), acc).otherwise(
             F.struct(
                 (acc.p + x.g + x.n).alias("p"),
-                F.concat(acc.a, F.array(F.struct((acc.p + x.g).alias("s"), (acc.p + x.g + x.n).alias("e"), x.m.alias("m")))).alias("a"),
+                F.concat(acc.a, F.array(F.struct((acc.p + x.g).alias("s"), (acc.p + x.g + x.n).alias("e"), x.m.alias("m"), x.c.alias("c")))).alias("a"),
             )
         ),
         lambda acc: acc.a,
     )
+    return F.when(text.rlike(pattern), found).otherwise(no_spans())
 
 
 def labelled(found: Column, kind: str) -> Column:
