@@ -92,7 +92,7 @@ class BlobLedger:
             F.when(F.array_contains("todo", r.version), r.found(F.col("text"))).otherwise(F.expr(f"cast(array() AS {_FOUND})")).alias(r.name) for r in rules
         ])
         rows = hits.select("digest", F.col("todo").alias("versions"), F.concat(*[r.name for r in rules]).alias("found"))
-        rows.write.mode("append").parquet(self.path)
+        rows.dropDuplicates(["digest"]).write.mode("append").parquet(self.path)  # rows repeated in full come twice
 
     def findings(self, rules: list[Rule] = RULES) -> DataFrame:
         """``(digest, found)`` of the current rule versions, a row for each blob with any; repeats are dropped."""
