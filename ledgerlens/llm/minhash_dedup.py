@@ -7,8 +7,9 @@ Plan for large inputs:
 * rows with equal sets are one class from then on, so thousands of copies cost one row each;
 * a bucket (equal band key) is searched in two steps. First all its members are compared with one hub, the member
   that shares most buckets: a number of pairs linear in the rows. Only where a bucket still spans several
-  components, its members meet block by block, and a block pair emits just the pairs of different components whose
-  signatures agree well enough. No bucket is capped and none is held whole by one task;
+  components, its members meet block by block, by signature; those that may be linked across components form
+  neighbourhoods, whose members meet once more with their texts. What leaves a group is a forest, never all its
+  pairs. No bucket is capped and none is held whole by one task;
 * every link is confirmed on the full shingle sets, built again from the whole texts.
 """
 
@@ -30,6 +31,8 @@ BANDS, ROWS = 40, 5
 SLACK = 0.15
 #: Members of a bucket that meet in one group are at most twice this many.
 BLOCK = 2048
+#: The same where texts come along.
+TEXT_BLOCK = 512
 
 _rng = np.random.default_rng(20240131)
 _A = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -91,6 +94,14 @@ def _agree(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["u", "v"])
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, in whole numbers."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) whose full shingle sets reach the similarity; texts in columns 2 and 3."""
     for batch in batches:
@@ -100,79 +111,168 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
             for c in (2, 3):
                 _, _, raw, at = next(wordhash.blocks(batch.column(c).slice(i, 1)))
                 sets.append(wordhash.shingle_sets(*wordhash.word_hashes(raw, at), k)[0])
-            a, b = sets
-            if len(a) and len(b) and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good[i] = 100 * both >= percent * (len(a) + len(b) - both)
+            good[i] = _similar(*sets, percent)
         good = pa.array(good)
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["u", "v"])
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in rows that come sorted by them; a run may straddle batches."""
+    held: list[pa.RecordBatch] = []
+    tail = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in key]
+        cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols], axis=0)) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(int(x[a]) for x in cols)
+            if held and now != tail:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            tail = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _agreeing(t: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(x, ys, shares)``: rows of different components, from the two blocks, whose signatures agree enough."""
+    block, i, j = (t.column(c).to_numpy() for c in ("block", "i", "j"))
+    comp = t.column("comp").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(comp), -1)
+    left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+    for x in left:
+        y = right[right > x] if i[0] == j[0] else right
+        y = y[comp[y] != comp[x]]
+        if len(y):
+            share = (sig[y] == sig[x]).mean(axis=1)
+            good = share >= least
+            if good.any():
+                yield int(x), y[good], share[good]
+
+
 def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group (bucket, block pair): pairs of different components with agreeing signatures.
+    """Which members of a group (bucket, block pair) may be linked: each with the least one it leads to.
 
-    Columns: bkey, i, j, block, node, comp, sig. Groups may straddle batches and are at most two blocks long.
+    Every pair of rows of different components is compared by signature; what leaves is one row a member at most.
     """
-    held: list[pa.RecordBatch] = []
-
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own, i, j = (t.column(c).to_numpy() for c in ("block", "i", "j"))
+    for t in _groups(batches, ["bkey", "i", "j"]):
+        node = t.column("node").to_numpy()
+        us, vs = [], []
+        for x, ys, _ in _agreeing(t, least):
+            us.append(np.full(len(ys), x))
+            vs.append(ys)
+        if us:
+            u, v, root = np.concatenate(us), np.concatenate(vs), np.arange(len(node))
+            while True:
+                low = np.minimum(root[u], root[v])
+                after = root.copy()
+                np.minimum.at(after, u, low)
+                np.minimum.at(after, v, low)
+                after = after[after]
+                if (after == root).all():
+                    break
+                root = after
+            met = np.unique(np.concatenate([u, v]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[root[met]]), pa.array(node[met])], names=["u", "v"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that join components among the members of a group (neighbourhood, block pair), confirmed on full sets.
+
+    Pairs are taken by falling agreement, and left out once their components are joined, so what leaves is a forest.
+    """
+    for t in _groups(batches, ["sup", "i", "j"]):
         node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
-        a, b = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        found = [(x, ys, s) for x, ys, s in _agreeing(t, percent / 100 - SLACK)]
+        if not found:
+            continue
+        u = np.concatenate([np.full(len(ys), x) for x, ys, _ in found])
+        v = np.concatenate([ys for _, ys, _ in found])
+        order = np.argsort(-np.concatenate([s for *_, s in found]), kind="stable")
+        texts = t.column("text").combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+        parent = {int(c): int(c) for c in comp}
+
+        def root(c: int, parent: dict[int, int] = parent) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        def members(x: int, texts: pa.Array = texts, sets: dict = sets) -> np.ndarray:
+            if x not in sets:
+                _, _, raw, at = next(wordhash.blocks(texts.slice(x, 1)))
+                sets[x] = wordhash.shingle_sets(*wordhash.word_hashes(raw, at), k)[0]
+            return sets[x]
+
         us, vs = [], []
-        for x in a:
-            y = b[b > x] if i[0] == j[0] else b
-            y = y[comp[y] != comp[x]]
-            if len(y):
-                y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-                us.append(np.full(len(y), node[x]))
+        for x, y in zip(u[order].tolist(), v[order].tolist(), strict=True):
+            a, b = root(int(comp[x])), root(int(comp[y]))
+            if a != b and _similar(members(x), members(y), percent):
+                parent[max(a, b)] = min(a, b)
+                us.append(node[x])
                 vs.append(node[y])
-        z = np.zeros(0, np.int64)
-        return np.concatenate([z, *us]), np.concatenate([z, *vs])
-
-    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = [t.column(c).to_numpy() for c in ("bkey", "i", "j")]
-        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in key], axis=0)) + 1
-        out = [pairs(t.slice(a, b - a)) for a, b in zip([0, *cut], [*cut, t.num_rows], strict=True)]
-        u, v = (np.concatenate([x[n] for x in out]) for n in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bkey", "i", "j")]
-        last = int(np.flatnonzero(np.any([x != x[-1] for x in key], axis=0))[-1]) + 1 if any((x != x[-1]).any() for x in key) else 0
-        if held:
-            tail = [held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() for c in ("bkey", "i", "j")]
-            if last == 0 and tail == [int(x[-1]) for x in key]:
-                held.append(batch)
-                continue
-            held.append(batch.slice(0, last))
-            yield from flush(pa.Table.from_batches([x for x in held if x.num_rows]))
-        elif last:
-            yield from flush(pa.Table.from_batches([batch.slice(0, last)]))
-        held = [batch.slice(last)]
-    if held:
-        yield from flush(pa.Table.from_batches(held))
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(us, np.int64)), pa.array(np.array(vs, np.int64))], names=["u", "v"])
 
 
-def _links(pairs: DataFrame, sigs: DataFrame | None, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirmed links among candidate pairs (u, v).
+def _star_links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links among pairs (u, v) of a hub and a member.
 
     The text of ``v`` is fetched first and travels on to ``u``; a hub, in ``u`` of very many pairs, so never has its
     text copied through a shuffle, and Spark may split its side of the last join.
     """
-    if sigs is not None:
-        left, right = sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), sigs.select(F.col("node").alias("u"), F.col("sig").alias("su"))
-        pairs = pairs.join(left, "v").join(right, "u").select("u", "v", "su", "sv")
-        pairs = pairs.mapInArrow(partial(_agree, least=percent / 100 - SLACK), "u long, v long")
-        pairs = materialise(pairs, "pairs")
+    left, right = sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), sigs.select(F.col("node").alias("u"), F.col("sig").alias("su"))
+    pairs = pairs.join(left, "v").join(right, "u").select("u", "v", "su", "sv")
+    pairs = materialise(pairs.mapInArrow(partial(_agree, least=percent / 100 - SLACK), "u long, v long"), "pairs")
     u, v = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
     full = pairs.join(v, "v").join(u, "u").select("u", "v", "tu", "tv")
     return full.mapInArrow(partial(_confirm, k=k, percent=percent), "u long, v long")
 
 
+def _neighbourhoods(buckets: DataFrame, found: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """``(node, sup, comp)``: members of buckets that span several components and agree with one of another.
+
+    Any two such members that agree with each other are in the same ``sup``.
+    """
+    placed = buckets.join(found, "node", "left").select("bkey", "node", "n", F.coalesce("component", "node").alias("comp"))
+    several = placed.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bkey")
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = placed.join(several, "bkey").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.select("bkey", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp").join(sigs, "node")
+    dealt = dealt.repartition(F.col("bkey"), F.col("i"), F.col("j")).sortWithinPartitions("bkey", "i", "j").select("bkey", "i", "j", "block", "node", "comp", "sig")
+    near = materialise(dealt.mapInArrow(partial(_meet, least=percent / 100 - SLACK), "u long, v long"), "near")
+    sups = components(near).withColumnRenamed("component", "sup")
+    return sups.join(found, "node", "left").select("node", "sup", F.coalesce("component", "node").alias("comp"))
+
+
+def _open_links(open_: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components within a neighbourhood, found block pair by block pair.
+
+    A component of a block's size or more has blocks of its own, which needn't meet each other; smaller ones share
+    blocks and are never cut.
+    """
+    sizes = open_.groupBy("sup", "comp").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") < TEXT_BLOCK).groupBy("sup").agg(F.sum("n").alias("shared"))
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TEXT_BLOCK))
+    mixed = F.pmod(F.xxhash64("comp"), F.ceil(F.col("shared") / (TEXT_BLOCK // 2)))
+    block = F.when(F.col("n") >= TEXT_BLOCK, F.xxhash64("comp", own)).otherwise(mixed)
+    dealt = open_.join(sizes, ["sup", "comp"]).join(small, "sup", "left").withColumn("block", block)
+    dealt = materialise(dealt.withColumn("pure", F.when(F.col("n") >= TEXT_BLOCK, F.col("comp"))).select("sup", "comp", "node", "block", "pure"), "dealt")
+    blocks = dealt.select("sup", "block", "pure").distinct()
+    others = blocks.select("sup", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
+    meets = dealt.join(others, "sup").where("pure IS NULL OR other_pure IS NULL OR pure <> other_pure")
+    rows = (
+        meets.select("sup", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
+        .join(sigs, "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    )
+    rows = rows.repartition(F.col("sup"), F.col("i"), F.col("j")).sortWithinPartitions("sup", "i", "j")
+    rows = rows.select("sup", "i", "j", "block", "node", "comp", "sig", "text")
+    return rows.mapInArrow(partial(_settle, k=k, percent=percent), "u long, v long")
+
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
@@ -204,18 +304,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .where("u <> node").select("u", F.col("node").alias("v")).distinct()
     )
     texts = rows.where("doc_id IS NOT NULL")
-    links = materialise(_links(stars, sigs, texts, k, percent), "links")
+    links = materialise(_star_links(stars, sigs, texts, k, percent), "links")
     found = materialise(components(links), "components")
-
-    placed = buckets.join(found, "node", "left").select("bkey", "node", "n", F.coalesce("component", "node").alias("comp"))
-    open_ = placed.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bkey")
-    open_ = materialise(placed.join(open_, "bkey"), "open")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.select("bkey", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp").join(sigs, "node")
-    dealt = dealt.repartition(F.col("bkey"), F.col("i"), F.col("j")).sortWithinPartitions("bkey", "i", "j").select("bkey", "i", "j", "block", "node", "comp", "sig")
-    rest = materialise(dealt.mapInArrow(partial(_meet, least=percent / 100 - SLACK), "u long, v long").distinct(), "rest")
-    more = _links(rest, None, texts, k, percent)
+    open_ = materialise(_neighbourhoods(buckets, found, sigs, percent), "open")
+    more = _open_links(open_, sigs, texts, k, percent)
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
     final = components(edges).withColumnRenamed("node", "root")
 
