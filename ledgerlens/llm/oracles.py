@@ -78,4 +78,30 @@ def op10() -> str:
     )
 
 
-ORACLES = {"op1_hilbert_shards": op1(), "op6_near_duplicates": OP6, "op10_mixing": op10()}
+OP7 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM o
+"""
+
+
+def op8() -> str:
+    from .secret_ledger import RULES, VALUE
+
+    quote = lambda x: x.replace("'", "''")
+    parts = []
+    for k, r in enumerate(RULES):
+        keep = f"length(regexp_extract(m, '{VALUE}$', 0)) >= {r.least}" if r.least else "true"
+        parts.append(f"""SELECT doc_id, {k} AS k, '{r.name}' AS rule, s, s + length(m) AS e FROM (
+            SELECT doc_id, m, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+            SELECT doc_id, unnest(regexp_extract_all(text, '{quote(r.pattern)}')) AS m, unnest(string_split_regex(text, '{quote(r.pattern)}')[:-2]) AS g,
+            generate_subscripts(regexp_extract_all(text, '{quote(r.pattern)}'), 1) AS i FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {keep}""")
+    return f"""WITH x AS ({' UNION ALL '.join(parts)}), a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+        count(*) FILTER (k = 2) AS n_hex, string_agg(rule || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS b,
+        string_agg(rule || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM x GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a USING (doc_id)"""
+
+
+ORACLES = {"op7_warc": OP7, "op8_secret_ledger": op8(), "op1_hilbert_shards": op1(), "op6_near_duplicates": OP6, "op10_mixing": op10()}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert_sharding, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger
+from . import decontam, hilbert_sharding, host_words, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger, token_rollup, warc_store
 
 from .oracles import ORACLES  # noqa: F401
+from .storage import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,38 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest_columns(found)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, then exact copies of an earlier text are deleted; either batch is tried twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
+    counts = materialise(token_rollup.with_token_counts(docs), "counts")
+    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = counts.join(first, "digest").where("doc_id > first")
+    rollup, name = token_rollup.TokenRollup(spark), "byte_bpe_50k"
+    for _ in range(2):
+        rollup.commit("load", token_rollup.inserts(counts, name))
+        rollup.commit("drop-copies", token_rollup.deletes(copies, name))
+    return rollup.totals()
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc_store.write_archive(table(spark, sf_dir, "pages"))
+    records = warc_store.read_archive(spark, archive).where("verified")
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_words.judged(table(spark, sf_dir, "pages")).withColumn("host_words", F.concat_ws(" ", "host_words"))
+
+
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op4_token_rollup": op4_token_rollup,
+    "op7_warc": op7_warc,
+    "op9_url_filter": op9_url_filter,
     "op2_personal_data": op2_personal_data,
     "op8_secret_ledger": op8_secret_ledger,
     "op1_hilbert_shards": op1_hilbert_shards,
