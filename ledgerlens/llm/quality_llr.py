@@ -86,8 +86,11 @@ def scored(docs: DataFrame, weights: list[int], threshold: int = THRESHOLD) -> D
     table = F.from_json(F.lit("[" + ",".join(map(str, weights)) + "]"), "array<int>")
     total = F.aggregate(grams(F.col("_w")), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
     out = out.withColumns({"llr_sum": total, "n_grams": F.greatest(2 * F.col("n_words") - 1, F.lit(0))}).drop("_w")
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr_sum") >= threshold * F.col("n_grams")))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr_sum") >= threshold * F.col("n_grams")))
+    # as one generated row: a filter on the verdict then stays above it, instead of being pushed down with all of
+    # the expressions it stands on written out inside each other
+    return out.select(F.inline(F.array(F.struct(*out.columns))))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
