@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .storage import fresh_path
+from .storage import empty, fresh_path
 from .text import spans, whole
 
 
@@ -73,7 +73,7 @@ class BlobLedger:
     def read(self) -> DataFrame:
         if self.exists():
             return self.spark.read.schema(_LEDGER).parquet(self.path)
-        return self.spark.createDataFrame([], _LEDGER)
+        return empty(self.spark, _LEDGER)
 
     def unseen(self, docs: DataFrame, rules: list[Rule], path: Column) -> DataFrame:
         """``(digest, path, todo)``: one path for each blob that some rule version hasn't scanned, and those versions."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +36,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema, as a plan that the optimizer knows to be empty."""
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through Hadoop's file system, whatever store holds it."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

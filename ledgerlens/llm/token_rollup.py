@@ -16,7 +16,7 @@ from functools import cache, partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .storage import fresh_path
+from .storage import empty, fresh_path
 
 #: A public tokenizer's ranks, on every machine under the same path.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -119,6 +119,6 @@ class TokenRollup:
         """
         schema = "source string, lang string, tokenizer string, docs long, tokens long"
         paths = [f"{self.path}/batch={b}" for b in self.committed()]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else empty(self.spark, schema)
         sums = rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 OR tokens <> 0")
