@@ -43,7 +43,7 @@ def seed_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, c: Config
     )
     by = rows.groupBy("wallet", "source").agg(F.sum(v).cast("double").alias("x"))
     share = F.col("x") / F.sum("x").over(W.partitionBy("wallet"))
-    h = by.withColumn("p", share).groupBy("wallet").agg((-F.sum(F.col("p") * F.log2("p")) / math.log2(len(SOURCES))).alias("fp_entropy_norm"))
+    h = by.withColumn("p", share).groupBy("wallet").agg(((F.lit(0.0) - F.sum(F.col("p") * F.log2("p"))) / math.log2(len(SOURCES))).alias("fp_entropy_norm"))
     units = F.col("_top.value").cast("double") / F.col("_top.gas_price")
     return agg.join(h, "wallet").select("wallet", "fp_fraction_fresh", "fp_entropy_norm", "fp_median_seed_eth", "fp_seed_count", units.alias("fp_seed_gas_units"))
 

@@ -151,8 +151,7 @@ def cashout_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, c: Con
     took = sent & (ts >= F.col("d0")) & sel.isin(*REMOVE_LIQUIDITY, TOKEN_TRANSFER)
     unknown = out & F.col("dst_type").isNull()
     young = unknown & ((F.col("d0") - F.col("dst_first")) / 86400.0 < 7)
-    when_first = F.first(F.when(took, ts), ignorenulls=True).over(IN_ORDER.rowsBetween(-(2**31), 0))
-    rows = rows.withColumn("_drawn_at", when_first)
+    rows = rows.withColumn("_drawn_at", F.min(F.when(took, ts)).over(IN_ORDER))
     swap = sent & (F.col("dst_type") == "DEX") & F.col("_drawn_at").isNotNull() & (ts - F.col("_drawn_at")).between(0, 86399)
     total = lambda cond: F.coalesce(F.sum(F.when(cond, v)), F.lit(0)).cast("decimal(38,0)")
     agg = rows.groupBy("wallet").agg(
@@ -251,7 +250,7 @@ def exit_dormancy(tx: DataFrame, mixers: DataFrame, c: Config = DEFAULT) -> Data
 
 def exit_migration(tx: DataFrame, inflow: DataFrame, ages: DataFrame) -> DataFrame:
     """EXIT-4: transfers of over 30 % of the victims' inflow, by age of the destination. ``inflow(wallet, cp_victim_inflow_wei)``."""
-    limit = F.floor(F.col("cp_victim_inflow_wei").cast("double") * 0.30).cast("decimal(38,0)")
+    limit = F.floor((F.col("cp_victim_inflow_wei").cast("double") * 0.30).cast("decimal(38,6)")).cast("decimal(38,0)")
     bulk = outgoing(tx).join(inflow.where("cp_victim_inflow_wei > 0"), "wallet").where((F.col("value") > limit) & (F.col("dst") != ""))
     bulk = bulk.join(ages.select(F.col("address").alias("dst"), "first_ts"), "dst", "left").withColumn("age", F.round((F.col("ts") - F.col("first_ts")) / 86400.0, 2))
     known = F.when(F.col("ts") >= F.col("first_ts"), F.col("age"))

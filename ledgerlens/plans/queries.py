@@ -53,7 +53,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tx_classified(spark: SparkSession, sf: str) -> DataFrame:
     rows = aml.normalised(E(spark, sf), demo.entities(spark))
-    return rounded(rows.select("wallet", "ord", "direction", "tx_type", "amount", F.round("gas_eth", 9).alias("gas_eth"), "src_type", "dst_type"), 9)
+    return rounded(rows.select("wallet", "ord", "direction", "tx_type", "amount", (F.col("gas_used") * F.col("gas_price")).alias("gas_wei"), "src_type", "dst_type"), 9)
 
 
 def _rule(name: str, spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +164,7 @@ QUERIES = {
     "aml_risk_orders": flagship,
     "tx_classified": _tx_classified,
     "wallet_stats": lambda s, d: rounded(aml.wallet_stats(E(s, d), 6)),
-    "wallet_stats_orders": lambda s, d: rounded(aml.wallet_stats(O(s, d), 6)),
+    "wallet_stats_orders": lambda s, d: aml.wallet_stats(O(s, d), 6).drop("average"),
     "rule_large_transfer": partial(_rule, "large"), "rule_rapid_burst": partial(_rule, "burst"), "rule_high_fanout": partial(_rule, "fanout"), "rule_dormant_activation": partial(_rule, "dormant"),
     "rule_activity_burst": partial(_rule, "activity"), "rule_round_numbers": partial(_rule, "round"), "rule_new_wallet": partial(_rule, "new"),
     "entity_flags": lambda s, d: aml.entity_flags(E(s, d), demo.entities(s)),
@@ -173,7 +173,7 @@ QUERIES = {
     "ownership_transfers": lambda s, d: lifecycle.ownership_transfers(E(s, d)),
     "fp1_first_source": partial(_funding, "first"), "fp_seed_features": partial(_funding, "seed"), "fp2_min_hops": partial(_funding, "hops"), "upstream_funders": partial(_funding, "upstream"),
     "fp4_shared_funders": partial(_funding, "shared"), "fp4_shared_sequential": partial(_funding, "sequential"), "funder_jaccard": partial(_funding, "jaccard"),
-    "cashout_features": lambda s, d: rounded(lifecycle.cashout_features(E(s, d), *context(s))),
+    "cashout_features": lambda s, d: rounded(lifecycle.cashout_features(E(s, d), *context(s)).withColumn("cp_victim_inflow_wei", F.col("cp_victim_inflow_wei").cast("double"))),
     "value_features": lambda s, d: rounded(lifecycle.value_features(E(s, d))),
     "exit1_silence": partial(_exit, "silence"), "exit2_dormancy": partial(_exit, "dormancy"), "exit4_migration": partial(_exit, "migration"), "retirement": _retirement,
     "rule_matrix": results, "verdict": _verdict,
