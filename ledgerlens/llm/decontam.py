@@ -25,8 +25,8 @@ from .storage import materialise
 
 #: Positions of a window that count (1) or don't (0). Every 3rd, 4th or 5th token may differ.
 MASKS = ["1111111", "11011011", "1110111", "111101111", "11010011001"]
-#: An aligned run must have this many equal tokens, or all of a shorter item's, and more than this share of its places.
-LEAST_EQUAL, LEAST_SHARE = 10, 0.7
+#: An aligned run must have this many equal tokens, or all of a shorter item's, and they must be this percentage of its places.
+LEAST_EQUAL, LEAST_SHARE = 10, 70
 BITS = 26
 #: Characters that don't count in a token: punctuation changes more easily than words.
 DROP = b".,;:!?\"'()[]{}|*#_-"
@@ -91,15 +91,16 @@ def _mixed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int]:
-    """Equal places and length of the stretch with the best score.
+    """Equal places and length of the stretch with most equal places among those that reach ``LEAST_SHARE`` percent.
 
-    An equal place scores 1, another one loses as much as makes a stretch with the share ``LEAST_SHARE`` worth nothing.
+    For each end the longest such stretch begins at the first place where the running sum was no higher.
     """
-    total = np.concatenate(([0.0], np.cumsum(np.where(equal, 1.0, -LEAST_SHARE / (1 - LEAST_SHARE)))))
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    begin = int(total[: end + 1].argmin())
-    return int(equal[begin:end].sum()), end - begin
+    total = np.concatenate(([0], np.cumsum(np.where(equal, 100 - LEAST_SHARE, -LEAST_SHARE))))
+    count = np.concatenate(([0], np.cumsum(equal)))
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int((count - count[begin]).argmax())
+    hits = np.flatnonzero(equal[begin[end] : end])
+    return len(hits), int(hits[-1] - hits[0] + 1) if len(hits) else 0
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = max(0, -off), min(len(word), len(doc) - off)
             if b > a:
                 equal, length = best_run(doc[off + a : off + b] == word[a:b])
-                if equal >= min(LEAST_EQUAL, len(word)) and equal > LEAST_SHARE * length:
+                if equal and equal >= min(LEAST_EQUAL, len(word)):
                     out.append((d, i, equal, length))
         cols = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_equal", "n_aligned"])
