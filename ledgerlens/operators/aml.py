@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..schema import BY_WALLET, DEFAULT, IN_ORDER, POINTS, Config, eth
+from ..schema import DEFAULT, POINTS, Config, by_wallet, eth, in_order
 
 DAY = 86400.0
 
@@ -51,7 +51,7 @@ def large_transfer(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 def rapid_burst(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """RULE-002: most outgoing transfers within a closed forward window."""
-    n = F.count("*").over(BY_WALLET.orderBy("ts").rangeBetween(0, c.burst_seconds))
+    n = F.count("*").over(by_wallet().orderBy("ts").rangeBetween(0, c.burst_seconds))
     best = _outgoing(tx).select("wallet", "ts", n.alias("n")).groupBy("wallet").agg(F.max(F.struct("n", -F.col("ts"))).alias("t"))
     metric = F.col("t.n")
     return best.select("wallet", metric.cast("double").alias("metric"), (-F.col("t.col2")).cast("string").alias("evidence"), F.when(metric >= 3 * c.burst_count, "CRITICAL").when(metric >= c.burst_count, "HIGH").alias("severity"))
@@ -66,8 +66,8 @@ def high_fanout(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 def dormant_activation(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """RULE-004: the largest gap between transactions, the first of equal ones; evidence counts what follows within 48 h."""
-    gap = F.col("ts") - F.lag("ts").over(IN_ORDER)
-    after = F.count("*").over(BY_WALLET.orderBy("ts").rangeBetween(0, 48 * 3600))
+    gap = F.col("ts") - F.lag("ts").over(in_order())
+    after = F.count("*").over(by_wallet().orderBy("ts").rangeBetween(0, 48 * 3600))
     best = tx.select("wallet", "ts", "ord", gap.alias("gap"), after.alias("after")).where("gap IS NOT NULL").groupBy("wallet").agg(F.max(F.struct("gap", -F.col("ts"), "after")).alias("t"))
     days = F.col("t.gap") / DAY
     return best.select("wallet", days.alias("metric"), F.col("t.after").cast("string").alias("evidence"), F.when(days >= 2 * c.dormant_days, "CRITICAL").when(days >= c.dormant_days, "HIGH").alias("severity"))
@@ -75,7 +75,7 @@ def dormant_activation(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 def activity_burst(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """RULE-005: the last tumbling bucket since the first transaction against the mean of earlier ones that aren't empty."""
-    bucket = F.floor((F.col("ts") - F.min("ts").over(BY_WALLET)) / int(c.bucket_days * DAY))
+    bucket = F.floor((F.col("ts") - F.min("ts").over(by_wallet())) / int(c.bucket_days * DAY))
     counts = tx.select("wallet", bucket.alias("b")).groupBy("wallet", "b").agg(F.count("*").alias("n"))
     folded = counts.groupBy("wallet").agg(F.max_by("n", "b").alias("last"), F.sum("n").alias("all"), F.count("*").alias("k"))
     ratio = F.col("last") / ((F.col("all") - F.col("last")) / (F.col("k") - 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..schema import ADD_LIQUIDITY, BY_WALLET, DEFAULT, IN_ORDER, OWNERSHIP, REMOVE_LIQUIDITY, SIGNIFICANT, TOKEN_TRANSFER, WEI, Config, eth
+from ..schema import ADD_LIQUIDITY, DEFAULT, OWNERSHIP, REMOVE_LIQUIDITY, SIGNIFICANT, TOKEN_TRANSFER, WEI, Config, by_wallet, eth, in_order
 
 HOUR = 3600
 
@@ -96,14 +96,14 @@ def deploy_features(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 def burstiness(rows: DataFrame, at: str = "ts") -> DataFrame:
     """``wallet, burst``: (s - m) / (s + m) of the gaps, for three events or more."""
-    gaps = rows.select("wallet", (F.col(at) - F.lag(at).over(BY_WALLET.orderBy(at))).alias("g"))
+    gaps = rows.select("wallet", (F.col(at) - F.lag(at).over(by_wallet().orderBy(at))).alias("g"))
     folded = gaps.groupBy("wallet").agg(F.count("g").alias("n"), F.avg("g").alias("m"), F.stddev_samp("g").alias("s"))
     return folded.select("wallet", F.when((F.col("n") >= 2) & (F.col("m") != 0), (F.col("s") - F.col("m")) / (F.col("s") + F.col("m"))).alias("burst"))
 
 
 def gap_entropy(tx: DataFrame) -> DataFrame:
     """entropy in bits of the gaps between outgoing transactions, to the nearest minute, for three or more."""
-    gaps = outgoing(tx).select("wallet", (F.col("ts") - F.lag("ts").over(BY_WALLET.orderBy("ts"))).alias("g")).where("g > 0")
+    gaps = outgoing(tx).select("wallet", (F.col("ts") - F.lag("ts").over(by_wallet().orderBy("ts"))).alias("g")).where("g > 0")
     return entropy(gaps.select("wallet", F.bround(F.col("g") / 60.0).alias("k")), least=3)
 
 
@@ -151,7 +151,7 @@ def cashout_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, c: Con
     took = sent & (ts >= F.col("d0")) & sel.isin(*REMOVE_LIQUIDITY, TOKEN_TRANSFER)
     unknown = out & F.col("dst_type").isNull()
     young = unknown & ((F.col("d0") - F.col("dst_first")) / 86400.0 < 7)
-    rows = rows.withColumn("_drawn_at", F.min(F.when(took, ts)).over(IN_ORDER))
+    rows = rows.withColumn("_drawn_at", F.min(F.when(took, ts)).over(in_order()))
     swap = sent & (F.col("dst_type") == "DEX") & F.col("_drawn_at").isNotNull() & (ts - F.col("_drawn_at")).between(0, 86399)
     total = lambda cond: F.coalesce(F.sum(F.when(cond, v)), F.lit(0)).cast("decimal(38,0)")
     agg = rows.groupBy("wallet").agg(
@@ -181,7 +181,7 @@ def seed_jaccard(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     deploys = deployments(tx).select("wallet", "d_ord", "d_ts")
     near = before_each(deploys, inbound(tx, own=False).select("wallet", "ts", F.round(eth("value"), 2).alias("a")), c.funding_hours)
     sets = deploys.join(near.groupBy("wallet", "d_ord").agg(F.collect_set("a").alias("s")), ["wallet", "d_ord"], "left").withColumn("s", F.coalesce("s", F.expr("cast(array() AS array<double>)")))
-    pairs = sets.withColumn("p", F.lag("s").over(BY_WALLET.orderBy("d_ts", "d_ord"))).where("p IS NOT NULL AND size(array_union(s, p)) > 0")
+    pairs = sets.withColumn("p", F.lag("s").over(by_wallet().orderBy("d_ts", "d_ord"))).where("p IS NOT NULL AND size(array_union(s, p)) > 0")
     return pairs.groupBy("wallet").agg(F.avg(S.jaccard(F.col("s"), F.col("p"))).alias("vs5"))
 
 
@@ -195,7 +195,7 @@ def value_features(tx: DataFrame, tokens: DataFrame | None = None, c: Config = D
     gwei = F.col("gas_price") / 1e9
     dust = (v > 0) & (v < 10**14)
     drawn = F.coalesce((F.col("src") == F.col("k0")) & got & (v > 0), F.lit(False))
-    rows = rows.withColumn("_cash", F.min(F.when(drawn, ts)).over(BY_WALLET))
+    rows = rows.withColumn("_cash", F.min(F.when(drawn, ts)).over(by_wallet()))
     sel = S.stripped_selector(F.col("input"), c.selector_mode)
     added, removed = sent & sel.isin(ADD_LIQUIDITY) & (v > 0), got & sel.isin(REMOVE_LIQUIDITY) & (v > 0)
     deploy = (F.col("stream") == 0) & sent & (F.col("dst") == "") & (F.col("contract") != "")
@@ -243,7 +243,7 @@ def exit_dormancy(tx: DataFrame, mixers: DataFrame, c: Config = DEFAULT) -> Data
     """EXIT-2: gaps over 30 days between outgoing transactions, and what the next three transactions did."""
     rows = outgoing(tx).join(mixers.where("type = 'MIXER'").select(F.col("address").alias("dst"), F.lit(2).alias("_mix")), "dst", "left")
     points = F.when(F.col("dst") == "", 2).otherwise(0) + F.coalesce("_mix", F.lit(0))
-    rows = rows.withColumns({"gap": (F.col("ts") - F.lag("ts").over(IN_ORDER)) / 86400.0, "rcs": F.sum(points).over(IN_ORDER.rowsBetween(0, 2))})
+    rows = rows.withColumns({"gap": (F.col("ts") - F.lag("ts").over(in_order())) / 86400.0, "rcs": F.sum(points).over(in_order().rowsBetween(0, 2))})
     event = F.col("gap") > c.dormancy_days
     return rows.groupBy("wallet").agg(F.count_if(event).alias("exit2_dormancy_event_count"), F.max(F.when(event, F.round("gap", 1))).alias("exit2_max_gap_days"), F.max(F.when(event, F.col("rcs"))).alias("exit2_reactivation_context_score"))
 

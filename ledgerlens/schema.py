@@ -12,8 +12,16 @@ from dataclasses import dataclass
 from pyspark.sql import Window as W, functions as F
 
 ORDER = ["ts", "stream", "ord"]
-BY_WALLET = W.partitionBy("wallet")
-IN_ORDER = BY_WALLET.orderBy(*ORDER)
+
+
+def by_wallet():
+    """Window over a wallet's rows. Windows can only be made once there is a session, so these are functions."""
+    return W.partitionBy("wallet")
+
+
+def in_order():
+    """Window over a wallet's rows in their total order."""
+    return by_wallet().orderBy(*ORDER)
 
 WEI = 10**18
 
