@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import wordhash
-from .storage import materialise
+from .storage import materialise, ship
 
 #: Positions of a window that count (1) or don't (0). Every 3rd, 4th or 5th token may differ.
 MASKS = ["1111111", "11011011", "1110111", "111101111", "11010011001"]
@@ -138,6 +138,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one document or item, and rows without an id are left out. Other columns are not looked at.
     """
     spark = docs.sparkSession
+    ship(spark)
     schema = "id long, h long, place long"
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")

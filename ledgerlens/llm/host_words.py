@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import materialise
+from .storage import materialise, ship
 
 #: Fixed values: (verdict, rule); a rule is a host and the beginning of a path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -81,6 +81,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """``run, words`` for distinct ``runs(run)``, by the unigram ``counts(word, n)``."""
+    ship(runs.sparkSession)
     n = F.length("run")
     starts = F.sequence(F.lit(0), n - 1)
     pieces = F.flatten(F.transform(starts, lambda s: F.transform(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import wordhash
 from .components import components
-from .storage import materialise
+from .storage import materialise, ship
 
 BANDS, ROWS = 40, 5
 #: Signature agreement below ``threshold - SLACK`` ends a candidate. Over five standard deviations at 200 minima.
@@ -284,6 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with an equal text set, or stays alone with a null ``component_id`` and is kept. Other columns are not looked
     at. The banding misses a pair at the threshold with a probability under 1.3e-7 (80 %) or 1e-10 (85 %).
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = materialise(rows.mapInArrow(partial(_sketch, k=k), _SKETCH), "sketch")
     some = sketch.where("n_shingles > 0")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,6 +38,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once for each context; they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerlens_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    into = Path(tempfile.mkdtemp(prefix="spark-")) / "ledgerlens_code.zip"
+    with zipfile.ZipFile(into, "w") as z:
+        for f in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(into))
+    context._ledgerlens_shipped = True
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     """No rows of a schema, as a plan that the optimizer knows to be empty."""
     fields = [f.split(" ", 1) for f in schema.split(", ")]

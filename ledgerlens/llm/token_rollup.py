@@ -16,7 +16,7 @@ from functools import cache, partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .storage import empty, fresh_path
+from .storage import empty, fresh_path, ship
 
 #: A public tokenizer's ranks, on every machine under the same path.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -61,6 +61,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 def with_token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``docs`` with ``n_tokens`` in place of ``text``. A null text has none."""
+    ship(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c not in ("text", "n_tokens")], F.col("text").cast("string"))
     return kept.mapInArrow(partial(_count, path=path), kept.drop("text").withColumn("n_tokens", F.lit(0).cast("long")).schema)
 
