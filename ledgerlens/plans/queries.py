@@ -27,7 +27,8 @@ def context(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The whole feature row of every wallet of the dense chain."""
-    tx, (ent, ages) = E(spark, sf), context(spark)
+    # some fifteen relations read the transactions; kept once, dealt by wallet, most of them need no exchange of their own
+    tx, (ent, ages) = E(spark, sf).persist(), context(spark)
     cash = lifecycle.cashout_features(tx, ent, ages)
     out = lifecycle.pre_features(tx).join(graph.funding_features(tx, ent, ages, demo.NOISE), "wallet", "left").join(cash, "wallet", "left")
     out = out.join(lifecycle.value_features(tx), "wallet", "left").join(lifecycle.exit_silence(tx, DENSE.as_of), "wallet", "left").join(lifecycle.exit_dormancy(tx, ent), "wallet", "left")
