@@ -24,31 +24,34 @@ def either_case(word: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` finds candidates; one stays if its part matched by ``part`` has at least ``least`` characters."""
+    """``pattern`` finds candidates; one stays if ``group`` of ``part`` has at least ``least`` characters in it."""
 
     name: str
     pattern: str
     part: str = "^.*$"
     least: int = 0
+    group: int = 0
 
     @property
     def version(self) -> str:
-        return f"{self.name}@{hashlib.sha256(repr((self.pattern, self.part, self.least)).encode()).hexdigest()[:12]}"
+        what = (self.pattern, self.part, self.least, *([self.group] if self.group else []))
+        return f"{self.name}@{hashlib.sha256(repr(what).encode()).hexdigest()[:12]}"
 
     def found(self, text: Column) -> Column:
         hits = spans(text, self.pattern)
         if self.least:
-            hits = F.filter(hits, lambda x: F.length(F.regexp_extract(x.m, self.part, 0)) >= self.least)
+            hits = F.filter(hits, lambda x: F.length(F.regexp_extract(x.m, self.part, self.group)) >= self.least)
         return F.transform(hits, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.lit(self.name).alias("rule")))
 
 
 KEYWORDS = "|".join(either_case(x) for x in ("password", "passwd", "secret", "token")) + "|" + either_case("api") + "_?" + either_case("key")
 VALUE = "[A-Za-z0-9+/_.=-]+"
-ASSIGN = rf"""(?:{KEYWORDS})["']?\x20*[:=]\x20*["']?{VALUE}"""
+BEFORE = rf"""(?:{KEYWORDS})["']?\x20*[:=]\x20*["']?"""
+ASSIGN = BEFORE + VALUE
 
 #: The base kinds in their order, then those that this operator adds.
 RULES = [
-    Rule("assign", ASSIGN, VALUE + "$", 6),
+    Rule("assign", ASSIGN, f"^{BEFORE}({VALUE})$", 6, 1),
     Rule("access", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),

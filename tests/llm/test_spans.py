@@ -105,3 +105,12 @@ def test_secrets_base_and_ledger(spark, tiny):
     secret_ledger.secret_findings(docs, ledger, more).collect()
     new = ledger.read().where("size(versions) = 1")
     assert new.count() == scanned and new.where("size(found) = 1").count() == 1
+
+
+def test_short_values_are_no_secrets(spark):
+    texts = ["token=abc", "passwd=12 api_key=x1", "secret=on secret==a", "token=abcde token=abcdef token==abcde", "token='abc' Password: =abc token=token=a", "api_key=abc/=d", "secret=\u00e9 token:é token=aé"]
+    rows = list(enumerate(texts))
+    out = secret_ledger.digest_columns(secret_ledger.secret_findings(spark.createDataFrame(rows, "doc_id long, text string"), secret_ledger.BlobLedger(spark))).collect()
+    want = {i: ",".join(x[2] for x in secrets(t)) for i, t in rows}
+    assert {r.doc_id: r.spans for r in out} == want
+    assert [want[i] for i in range(4)] == ["", "", "", "assign:12:24,assign:25:37"]
