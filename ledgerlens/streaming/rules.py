@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,10 +25,37 @@ def activity(rows: DataFrame, width: str = "30 days") -> DataFrame:
     return rows.groupBy(F.window("at", width), "wallet").agg(F.count("*").alias("n"))
 
 
-def bursts(rows: DataFrame, width: str = "300 seconds", slide: str = "60 seconds", least: int = 5) -> DataFrame:
-    """Outgoing transfers within sliding windows; a window's edges lie on the slide, so counts are lower bounds."""
-    sent = rows.where("src = wallet AND dst <> wallet")
-    return sent.groupBy(F.window("at", width, slide), "wallet").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def _bursts(key: tuple, batches: Iterator[pd.DataFrame], state, seconds: int, least: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    new = np.sort(np.concatenate([b["ts"].to_numpy(np.int64) for b in batches] or [np.empty(0, np.int64)]))
+    held = np.sort(np.concatenate([np.array(state.get[0] if state.exists else [], np.int64), new]))
+    within = lambda xs, s: np.searchsorted(xs, s + seconds, "right") - np.searchsorted(xs, s, "left")
+    begin = np.unique(held)
+    n = within(held, begin)
+    found = (n >= least) & (within(new, begin) > 0)
+    # what comes later lies after the watermark, so it can only join windows that end there or later
+    kept = held[(held + seconds) * 1000 >= state.getCurrentWatermarkMs()]
+    if len(kept):
+        state.update((kept.tolist(),))
+        state.setTimeoutTimestamp(int(kept[-1] + seconds + 1) * 1000)
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame({"wallet": key[0], "from_ts": begin[found], "n": n[found]})
+
+
+def bursts(rows: DataFrame, seconds: int = 300, least: int = 5) -> DataFrame:
+    """``wallet, from_ts, n``: outgoing transfers within the closed forward window of each one, as RULE-002 counts them.
+
+    A window comes again, with its new count, whenever a transfer joins it (output mode update). Counts are exact over
+    all rows that aren't late; the state of a wallet is the times of its transfers that the watermark hasn't left behind
+    by a window's length.
+    """
+    sent = rows.where("src = wallet AND dst <> wallet AND stream = 0").select("wallet", "ts", "at")
+    return sent.groupBy("wallet").applyInPandasWithState(
+        partial(_bursts, seconds=seconds, least=least), "wallet string, from_ts long, n long", "times array<long>", "update", "EventTimeTimeout"
+    )
 
 
 def sessions(rows: DataFrame, gap: str = "30 days") -> DataFrame:

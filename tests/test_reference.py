@@ -255,3 +255,24 @@ def test_streaming(spark, tmp_path):
     assert len({(r.wallet, r.first_ts) for r in run(stream.sessions(read()), "sess", "append")}) == 2  # the last session stays open
     links = read().select(F.col("dst").alias("wallet"), F.col("src").alias("funder"))
     assert len(run(stream.shared_funders(links), "shared", "append")) == 5
+
+
+def test_streaming_bursts_begin_anywhere(spark, tmp_path):
+    t0 = 1_700_000_000 - 1_700_000_000 % 60
+    edge = [("a", t0 + t, "a", f"d{t}", 1.0) for t in (59, 130, 200, 280, 358)]
+    closed = [("b", t0 + t, "b", f"d{t}", 1.0) for t in (0, 75, 150, 225, 300)]
+    wide = [("c", t0 + t, "c", f"d{t}", 1.0) for t in (0, 75, 150, 225, 301)]
+    tied = [("d", t0 + 7, "d", "x", 1.0)] * 6 + [("d", t0 + 8, "d", "d", 1.0), ("d", t0 + 8, "x", "d", 1.0), ("d", t0 + 8, "d", "x", 1.0, {"stream": 1})]
+    # parts out of order, then one long after: the watermark passes, and the wallet begins anew
+    parts = [[*edge[1::2], *closed[:3], *wide], [*edge[::2], *closed[3:], *tied], [("b", t0 + 5 * DAY, "b", "y", 1.0)], [("a", t0 + 5 * DAY + t, "a", "z", 1.0) for t in (0, 299, 300, 300, 300)], [("a", t0 + 5 * DAY + 301, "a", "z", 1.0)]]
+    src, got = f"file://{tmp_path}/in", []
+    for rows in parts:
+        tx(spark, *rows).coalesce(1).write.mode("append").parquet(src)
+        q = stream.bursts(stream.timed(spark.readStream.schema(TX).parquet(src), "1 day")).writeStream.foreachBatch(lambda b, _: got.extend(map(tuple, b.collect())))
+        q.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
+    u = t0 + 5 * DAY
+    assert sorted(got) == [("a", t0 + 59, 5), ("a", u, 5), ("a", u + 299, 5), ("b", t0, 5), ("d", t0 + 7, 6)]
+    latest = {(w, s): n for w, s, n in got}
+    every = tx(spark, *[r for rows in parts for r in rows])
+    batch = {r.wallet: r.metric for r in aml.rapid_burst(every).collect() if r.severity}
+    assert batch == {w: max(n for (x, _), n in latest.items() if x == w) for w, _ in latest}
