@@ -321,6 +321,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all columns."""
-    keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept_id"]), "left_semi")
+    """One row, with all its columns, of each group of ``docs`` rows that links join: that with the least doc_id.
+
+    Every row counts by itself, under a key of its own in a written table, whatever its doc_id. A row without doc_id is
+    linked like any other and stays only if no row of its group has one; of rows with equal ids, or of several without,
+    one stays. Rows whose text has no shingles are alone, so all of them stay.
+    """
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("id"))
+    least = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first"))
+    return keyed.join(least.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)

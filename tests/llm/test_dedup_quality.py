@@ -57,6 +57,25 @@ def test_near_duplicates_edges(spark):
     assert got == sorted([(None, 7, False), (None, None, True), (7, 7, True), (7, 7, True), (9, 7, False)], key=str)
 
 
+def test_deduplicated_leaves_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    text = prose(rng, 200)
+    near = " ".join([*text.split(" ")[:-1], "changed"])
+    alone = [prose(rng, 60) for _ in range(3)]
+    rows = [
+        (None, "x y z"), (7, "x y z"), (9, "x y z"), (None, "unlike any other"), (None, "unlike any other"),  # null ids beside others and alone
+        (5, text), (5, text), (4, near), (None, near), (None, text),  # repeated in full, near copies
+        (20, alone[0]), (20, "p q r"), (19, "p q r"),  # one id, two texts
+        (None, alone[1]), (None, alone[1] + " more"), (None, alone[2]), (None, None), (None, ""), (30, ""),
+    ]
+    rows = [(d, t, n) for n, (d, t) in enumerate(rows)]
+    got = minhash_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()
+    want = [(7, "x y z"), (None, "unlike any other"), (4, near), (20, alone[0]), (19, "p q r"), (None, alone[2]), (None, None), (None, ""), (30, "")]
+    left = [(r.doc_id, r.text) for r in got if r.text not in (alone[1], alone[1] + " more")]
+    assert sorted(left, key=str) == sorted(want, key=str) and len(got) == len(want) + 1
+    assert all(rows[r.n] == (r.doc_id, r.text, r.n) for r in got)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 4)]
