@@ -87,16 +87,21 @@ CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM o
 
 
 def op8() -> str:
-    from .secret_ledger import RULES, VALUE
-
+    """From the kinds' definitions: a pattern and what a match must have to count."""
     quote = lambda x: x.replace("'", "''")
+    word = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    keys = "|".join(map(word, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = rf"""({keys})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [
+        ("assign", assign, f"length(regexp_extract(m, '^{quote(assign)}$', 2)) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"), ("hex", "[0-9a-f]+", "length(m) >= 24"),
+        ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"), ("github", "gh[opsur]_[A-Za-z0-9]{36,}", "true"),
+    ]
     parts = []
-    for k, r in enumerate(RULES):
-        keep = f"length(regexp_extract(m, '{VALUE}$', 0)) >= {r.least}" if r.least else "true"
-        parts.append(f"""SELECT doc_id, {k} AS k, '{r.name}' AS rule, s, s + length(m) AS e FROM (
+    for k, (name, pattern, keep) in enumerate(kinds):
+        parts.append(f"""SELECT doc_id, {k} AS k, '{name}' AS rule, s, s + length(m) AS e FROM (
             SELECT doc_id, m, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
-            SELECT doc_id, unnest(regexp_extract_all(text, '{quote(r.pattern)}')) AS m, unnest(string_split_regex(text, '{quote(r.pattern)}')[:-2]) AS g,
-            generate_subscripts(regexp_extract_all(text, '{quote(r.pattern)}'), 1) AS i FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {keep}""")
+            SELECT doc_id, unnest(regexp_extract_all(text, '{quote(pattern)}')) AS m, unnest(string_split_regex(text, '{quote(pattern)}')[:-2]) AS g,
+            generate_subscripts(regexp_extract_all(text, '{quote(pattern)}'), 1) AS i FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {keep}""")
     return f"""WITH x AS ({' UNION ALL '.join(parts)}), a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
         count(*) FILTER (k = 2) AS n_hex, string_agg(rule || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS b,
         string_agg(rule || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM x GROUP BY doc_id)
