@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontam, hilbert_sharding as hs, host_words, ipf_mixing, token_rollup, warc_store
@@ -68,27 +70,75 @@ def test_decontamination(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(3000)]
     text = lambda n: [rng.choice(vocab) for _ in range(n)]
-    items = [(i, " ".join(text(14 + i))) for i in range(30)] + [(90, None), (91, "too short"), (None, " ".join(text(20)))]
+    items = [(i, " ".join(text(14 + i))) for i in range(30)] + [(90, None), (91, "too short"), (92, ""), (None, " ".join(text(20))), (80, "six tokens, make (one) short item"), (81, "Just four tokens here."), (82, "only three tokens"), (83, " ".join(["again"] * 40))]
     docs, want = [], set()
     for i, t in items[:30]:
         w = t.split()
         for step in (0, 4, 5):
             m = [x if not step or j % step != 2 else "other" for j, x in enumerate(w)]
-            if step != 4 or len(w) >= 24:
-                docs.append((1000 + 10 * i + step, " ".join(text(40) + [m[0].upper() + ",", *m[1:]] + text(40))))
-                want.add((docs[-1][0], i))
-    clean = [(i, " ".join(text(200))) for i in range(60)] + [(61, " ".join(items[20][1].split()[:6] + text(50))), (62, None), (63, "")]
+            docs.append((1000 + 10 * i + step, " ".join(text(40) + [m[0].upper() + ",", *m[1:]] + text(40))))
+            want.add((docs[-1][0], i))
+    docs += [(2000, "x six tokens make one SHORT, item. y"), (2001, "and just four tokens here"), (2002, "ONLY three tokens"), (2003, "again " * 3000), (2004, " ".join(items[3][1].split()[2:14]))]
+    want |= {(2000, 80), (2001, 81), (2002, 82), (2003, 83), (2004, 3)}
+    clean = [(i, " ".join(text(200))) for i in range(60)] + [(61, " ".join(items[20][1].split()[:6] + text(50))), (62, None), (63, ""), (64, "too short"), (65, "six tokens make one long item"), (66, "four tokens here"), (67, "again again again")]
     rows = docs + clean + [docs[0], (None, items[5][1])]
-    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string").repartition(3)
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, item_id string, h string").repartition(3)
+    bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, h int")
     got = {(r.doc_id, r.item_id): r for r in decontam.overlaps(frame, bench).collect()}
     assert set(got) == want
     assert all(r.n_equal <= r.n_aligned for r in got.values())
-    assert decontam.decontaminated(frame, bench).count() == len(clean) + 1
+    kept = decontam.decontaminated(frame, bench)
+    assert kept.count() == len(clean) + 1 and kept.columns == frame.columns
     none = spark.createDataFrame([], "doc_id long, text string")
     assert decontam.overlaps(none, bench).count() == 0 and decontam.overlaps(frame.select("doc_id", "text"), bench.limit(0)).count() == 0
 
 
+def longest_overlap(doc, item):
+    """The best run over every offset, tried one by one."""
+    best = (0, 0)
+    for off in range(-len(item) + 1, len(doc)):
+        same = [0 <= off + j < len(doc) and doc[off + j] == x for j, x in enumerate(item)]
+        inside = [0 <= off + j < len(doc) for j in range(len(item))]
+        for a in range(len(item)):
+            for b in range(a + 1, len(item) + 1):
+                n = sum(same[a:b])
+                if all(inside[a:b]) and same[a] and same[b - 1] and 100 * n >= decontam.LEAST_SHARE * (b - a) and n >= min(decontam.LEAST_EQUAL, len(item)):
+                    best = max(best, (n, a - b))
+    return best[0], -best[1]
+
+
+def test_overlaps_against_all_offsets(spark):
+    rng = random.Random(16)
+    items = [[rng.choice("abcdefgh") for _ in range(n)] for n in (4, 8, 12, 14, 16, 20, 26)]
+    docs = []
+    for _ in range(40):
+        w = list(rng.choice(items))
+        for j in rng.sample(range(len(w)), rng.randrange(0, 1 + len(w) * 3 // 10)):
+            w[j] = rng.choice("abcdefgh")
+        docs.append([rng.choice("abcdefgh") for _ in range(rng.randrange(25))] + w + [rng.choice("abcdefgh") for _ in range(rng.randrange(25))])
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_aligned) for r in decontam.overlaps(*tables).collect()}
+    want = {(d, i): best for d, a in enumerate(docs) for i, b in enumerate(items) if (best := longest_overlap(a, b))[0]}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) > 30
+    assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
+
+
+def test_seeds_survive_random_substitutions():
+    rng = np.random.default_rng(7)
+    for n, changed in ((12, 2), (14, 4), (15, 4), (20, 6), (30, 9)):
+        missed = 0
+        for _ in range(1500):
+            equal = np.ones(n, bool)
+            equal[rng.choice(n, changed, replace=False)] = False
+            missed += not any(all(equal[at + j] for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for at in range(n - len(m) + 1))
+        assert missed <= 3, (n, changed, missed)
+
+
+def test_a_text_of_one_word_is_fast():
+    began, doc = time.perf_counter(), np.full(40_000, 7, np.uint64)
+    assert decontam.best_overlap(doc, doc[:300]) == (300, 300) and time.perf_counter() - began < 20
+
+
 def test_rollup(spark):
     texts = ["hello world " * 3, None, "", "don't  stop\n\nme 123 now é😀", "word " * 30_000, "hello world " * 3, "x" * 50_000]
     rows = [(i, t, "en" if i % 2 else None, "s") for i, t in enumerate(texts)]
