@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder takes its place, and the setting is made so that later calls agree.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and everything runs on one machine, a
+    temporary folder takes its place; it becomes the context's checkpoint folder, so that later calls agree.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        where = context.getCheckpointDir()
     return where.rstrip("/")
 
 
@@ -35,7 +38,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._ledgerlens_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` made, once all that was read from them is stored itself."""
+    for t in tables:
+        remove(t.sparkSession, t._ledgerlens_path)
+
+
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of ``df`` begins with: names of one's own columns beside it can't clash."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def ship(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontam, hilbert_sharding as hs, host_words, ipf_mixing, token_rollup, warc_store
@@ -162,24 +163,58 @@ def test_rollup(spark):
     assert len(total()) == 2 and rollup.commit("c", token_rollup.deletes(counts.where("doc_id % 2 = 0"), "t1")) and len(total()) == 1
 
 
+def plain_records(data):
+    """Records of WARC bytes, read the plain way: headers as a dict, block."""
+    out = []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        n = int(fields["Content-Length"])
+        assert version == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n"
+        out.append((fields, rest[:n]))
+        data = rest[n + 4 :]
+    return out
+
+
 def test_warc_round_trip(spark):
-    long = "<p>é😀\r\n\r\nWARC/1.1\r\nWARC-Type: fake</p>" * 9
-    rows = [(5, "http://a/", long), (3, "http://b/\n x", long), (9, None, long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (3, "http://b/", long), (None, "n", long)]
-    path = warc_store.write_archive(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int"))
-    back = warc_store.read_archive(spark, path).withColumn("bytes", warc_store.record_bytes()).collect()
+    long = "<p>é😀\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\nContent-Length: 1\r\n</p>" * 9
+    rows = [(5, "http://a/", long), (3, "http://b/\n x", long), (9, None, long), (1, "u", "short"), (2, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "", ""), (3, "http://b/", long), (3, "http://b/", long), (None, "n", long), (None, "n", long)]
+    rows += [(20, "http://é/", "x" * 99), (21, "v", "x" * 99), (22, "v", "x" * 100), (23, "w", "x" * 100), (None, None, "y" * 200), (None, None, "y" * 200), (24, "urn:x-page:24", "z"), (25, "long", "ü" * 400_000)]
+    pages = spark.createDataFrame([(*r, 1, "?") for r in rows], "page_id long, url string, html string, digest int, record string")
+    path = warc_store.write_archive(pages.repartition(4))
+    back = warc_store.read_archive(spark, path).collect()
     assert len(back) == len(rows) and all(r.verified for r in back)
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
-    got = sorted((r.page_id or -1, r.payload_bytes, r.digest, r.record_type, r.refers_to) for r in back)
-    want = sorted((i or -1, len((t or "").encode()), sha(t), "response" if t != long or i == 3 else "revisit", None if t != long or i == 3 else 3) for i, _, t in rows)
-    assert got == want
-    for r in back:
-        assert bytes(r.bytes) == bytes(r.headers) + b"\r\n" + (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n"
-        assert bytes(r.payload) in {(t or "").encode() for *_, t in rows}
-    assert spark.read.parquet(f"{path}/payloads").count() == 3
-    bad = warc_store.write_archive(spark.createDataFrame([(1, "u", "fine")], "page_id long, url string, html string"))
-    spark.createDataFrame([(sha("fine"), b"forged")], "digest string, payload binary").write.mode("overwrite").parquet(f"{bad}/payloads")
-    assert not warc_store.read_archive(spark, bad).first().verified
-    empty = warc_store.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert sorted(((r.page_id, r.url, bytes(r.payload)) for r in back), key=repr) == sorted(((i, u, (t or "").encode()) for i, u, t in rows), key=repr)
+    assert all(r.payload_bytes == len(r.payload) and r.payload_digest == hashlib.sha256(r.payload).hexdigest() for r in back)
+    by = lambda t: [(r.page_id, r.refers_to) for r in back if r.payload_digest == sha(t) and r.record_type == "revisit"]
+    assert sorted(by(long), key=repr) == sorted([(5, 3), (9, 3), (3, 3), (3, 3), (None, 3), (None, 3)], key=repr)
+    assert by("x" * 100) == [(23, 22)] and by("y" * 200) == [(None, None)] and not by("short") and not by("x" * 99) and not by("")
+    assert len({r.record_id for r in back}) == len(rows) and spark.read.parquet(f"{path}/payloads").count() == 4
+    # the bytes, one record after the other, by a plain reader
+    read = plain_records(b"".join(bytes(r.record) for r in back))
+    for r, (fields, block) in zip(back, read, strict=True):
+        assert (fields["WARC-Type"], fields["WARC-Record-ID"], fields["WARC-Payload-Digest"]) == (r.record_type, r.record_id, "sha256:" + r.payload_digest)
+        assert {"WARC-Date", "WARC-Target-URI", "Content-Type"} <= set(fields) and not any(c in fields["WARC-Target-URI"] for c in " \n")
+        http, _, body = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK") and body == (bytes(r.payload) if r.record_type == "response" else b"")
+        assert (r.record_type == "revisit") == ("WARC-Profile" in fields) == ("WARC-Refers-To" in fields)
+    assert sorted(map(tuple, warc_store.parsed(spark.createDataFrame([(bytearray(r.record),) for r in back], "record binary")).select("record_id", "sound").collect())) == sorted((r.record_id, True) for r in back)
+
+
+def test_warc_alterations_show(spark):
+    page = lambda *r: spark.createDataFrame(list(r), "page_id long, url string, html string")
+    bad = warc_store.write_archive(page((1, "u", "fine" * 50), (2, "u", "fine" * 50), (3, "u", "other" * 50)))
+    stored = spark.read.parquet(f"{bad}/payloads").collect()
+    forged = [r.asDict() | ({"payload": bytearray(b"FINE" * 50)} if r.page_id == 1 else {}) for r in stored]
+    spark.createDataFrame(forged, warc_store._PAYLOADS).write.mode("overwrite").parquet(f"{bad}/payloads")
+    assert {r.page_id: r.verified for r in warc_store.read_archive(spark, bad).collect()} == {1: False, 2: False, 3: True}
+    with pytest.raises(Exception, match="altered WARC record"):
+        warc_store.read_archive(spark, bad).select(warc_store.demanded("payload_digest")).collect()
+    spark.createDataFrame(forged[:0], warc_store._PAYLOADS).write.mode("overwrite").parquet(f"{bad}/payloads")
+    assert {r.page_id: r.verified for r in warc_store.read_archive(spark, bad).collect()} == {2: False}
+    empty = warc_store.write_archive(page())
     assert warc_store.read_archive(spark, empty).count() == 0
 
 
