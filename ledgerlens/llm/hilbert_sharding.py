@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve: rows near in several metadata dimensions land in the same shard.
 
 Every row gets a cell, its quantised metadata; cells are put in the order in which a Hilbert curve passes them, and
-the ordered rows are cut into runs of equal counts. Files cut like this prune on each of the dimensions.
+the ordered rows are cut into runs of equal counts. Strings are quantised in their own order, at quantiles of the
+table, so a shard's least and greatest raw values are close and files cut like this prune on each of the dimensions.
 
 The place of a row in the global order is found without a global sort. Cells are split by a salt of the row's key,
 rows are counted by (cell, salt), and the counts before each such group come from sums over at most
@@ -13,14 +14,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .storage import free_prefix
+
 SALTS = 256
 BITS = 4
+#: Leading bytes of a string that its class goes by.
+LEADING = 7
+#: Accuracy of the quantiles: ranks are off by less than one in so many rows.
+ACCURACY = 10_000
+
+
+def order_key(value: Column) -> Column:
+    """The first ``LEADING`` bytes of a string as a number in the strings' own order; -1 for null."""
+    head = F.rpad(F.hex(F.substring(value.cast("string").cast("binary"), 1, LEADING)), 2 * LEADING, "0")
+    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+
 
+def cut_points(df: DataFrame, columns: list[str], bits: int = BITS) -> dict[str, list[int]]:
+    """Quantiles of the columns' :func:`order_key`: at most ``2 ** bits - 1`` numbers each, from one aggregate."""
+    at = F.array(*[F.lit(i / 2**bits) for i in range(1, 2**bits)])
+    row = df.select(*[order_key(F.col(c)).alias(f"k{i}") for i, c in enumerate(columns)]).agg(*[F.percentile_approx(f"k{i}", at, ACCURACY).alias(f"q{i}") for i in range(len(columns))]).first()
+    return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
 
-def hash_dimension(value: Column, bits: int = BITS) -> Column:
-    """A categorical value in ``2 ** bits`` classes (bits <= 4), by the first hex digit of its MD5; null is a value of its own."""
-    digit = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, 1)) - 1
-    return F.pmod(digit, F.lit(2**bits)).cast("int")
+
+def order_dimension(value: Column, cuts: list[int], bits: int = BITS) -> Column:
+    """A string in at most ``2 ** bits`` classes that follow its order: how many cut points are no greater than it."""
+    key = order_key(value)
+    return sum(((key >= c).cast("int") for c in cuts[: 2**bits - 1]), F.lit(0)).cast("int")
 
 
 def log_dimension(value: Column, bits: int = BITS) -> Column:
@@ -31,7 +51,8 @@ def log_dimension(value: Column, bits: int = BITS) -> Column:
 def curve_steps(dims: list[str], bits: int) -> list[dict[str, str]]:
     """Skilling's transform from coordinates to the transposed index, as successive column assignments.
 
-    ``{xor}`` marks stand for the dialect's exclusive or; the steps run in Spark and in the SQL twin alike.
+    ``{xor}`` marks stand for the dialect's exclusive or; the steps run in Spark and in the SQL twin alike. The last
+    step has one column, the index.
     """
     steps = []
     for b in range(bits - 1, 0, -1):
@@ -71,53 +92,63 @@ def spark_dialect(expression: str) -> str:
     return expression
 
 
-def with_hilbert_index(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """``df`` with ``h``, the Hilbert index of integer columns ``dims`` (each under ``2 ** bits``)."""
-    names = [f"_x{i}" for i in range(len(dims))]
+def with_hilbert_index(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "h") -> DataFrame:
+    """``df`` with ``name``, the Hilbert index of integer columns ``dims`` (each under ``2 ** bits``)."""
+    p = free_prefix(df)
+    names = [f"{p}x{i}" for i in range(len(dims))]
     out = df.withColumns({n: F.col(d).cast("int") for n, d in zip(names, dims, strict=True)})
-    for step in curve_steps(names, bits):
+    *steps, index = curve_steps(names, bits)
+    for step in steps:
         out = out.withColumns({k: F.expr(spark_dialect(v)) for k, v in step.items()})
-    return out.drop(*names)
+    return out.withColumn(name, F.expr(spark_dialect(index["h"]))).drop(*names)
 
 
-def hilbert_shards(docs: DataFrame, n_shards: int, dimensions: dict[str, Column], key: Column, order: list[Column]) -> DataFrame:
+def hilbert_shards(docs: DataFrame, n_shards: int, dimensions: list[Column], key: Column, order: list[str]) -> DataFrame:
     """``docs`` with ``hilbert_index, shard, slot``; shard counts are at most one apart, slots gapless from 0.
 
-    ``dimensions`` maps names to quantised integer columns under ``2 ** BITS``; ``key`` is a long that spreads rows
-    within a cell (null counts as 0); ``order`` settles the order within a (cell, salt) group and should be total.
-    Rows equal in all of ``order`` are interchangeable: they get successive places. All columns of ``docs`` stay;
-    an empty input gives an empty result. Columns of ``docs`` named like those added here are replaced.
+    ``dimensions`` are quantised integer columns under ``2 ** BITS``; ``key`` is a long that spreads rows within a cell
+    (where it is null, a hash of ``order`` takes its place); ``order`` names the columns that settle the order within a
+    (cell, salt) group, nulls first, and should be total. Rows equal in all of ``order`` are interchangeable: they get successive places. All columns of
+    ``docs`` stay, whatever their names; only those named like the three added ones are replaced. An empty input gives
+    an empty result.
     """
     docs = docs.drop("hilbert_index", "shard", "slot")
-    dims = {f"_q{i}": c for i, c in enumerate(dimensions.values())}
-    cell = list(dims)
-    keyed = docs.withColumns(dims | {"_salt": F.pmod(F.pmod(F.coalesce(key, F.lit(0)), F.lit(1_000_003)) * 7919, F.lit(SALTS)).cast("int")})
-    groups = keyed.groupBy(*cell, "_salt").agg(F.count("*").alias("_n"))
-    cells = with_hilbert_index(groups.groupBy(*cell).agg(F.sum("_n").alias("_cell_n")), cell)
-    before = cells.select(*cell, "h", (F.sum("_cell_n").over(W.orderBy("h")) - F.col("_cell_n")).alias("_before"), F.sum("_cell_n").over(W.partitionBy()).alias("_all"))
-    in_cell = groups.withColumn("_within", F.sum("_n").over(W.partitionBy(*cell).orderBy("_salt")) - F.col("_n"))
-    base = in_cell.join(before, cell).select(*cell, "_salt", "h", "_all", (F.col("_before") + F.col("_within")).alias("_base"))
-    numbered = keyed.withColumn("_row", F.row_number().over(W.partitionBy(*cell, "_salt").orderBy(*order)) - 1)
-    placed = numbered.join(base, [*cell, "_salt"]).withColumn("_rank", F.col("_base") + F.col("_row"))
-    shard = F.expr(f"(_rank * {n_shards}) div _all")
-    return (
-        placed.withColumn("shard", shard.cast("int"))
-        .withColumn("slot", F.col("_rank") - F.expr(f"(shard * _all + {n_shards - 1}) div {n_shards}"))
-        .withColumn("hilbert_index", F.col("h"))
-        .select(*docs.columns, "hilbert_index", "shard", "slot")
-    )
+    p = free_prefix(docs)
+    cell, salt = [f"{p}q{i}" for i in range(len(dimensions))], f"{p}salt"
+    spread = F.coalesce(F.pmod(F.pmod(key, F.lit(1_000_003)) * 7919, F.lit(SALTS)), F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    keyed = docs.withColumns(dict(zip(cell, dimensions, strict=True)) | {salt: spread.cast("int")})
+    groups = keyed.groupBy(*cell, salt).agg(F.count("*").alias(f"{p}n"))
+    cells = with_hilbert_index(groups.groupBy(*cell).agg(F.sum(f"{p}n").alias(f"{p}cell_n")), cell, name=f"{p}h")
+    n, cell_n = F.col(f"{p}n"), F.col(f"{p}cell_n")
+    before = cells.select(*cell, f"{p}h", (F.sum(cell_n).over(W.orderBy(f"{p}h")) - cell_n).alias(f"{p}before"), F.sum(cell_n).over(W.partitionBy()).alias(f"{p}all"))
+    in_cell = groups.withColumn(f"{p}within", F.sum(n).over(W.partitionBy(*cell).orderBy(salt)) - n)
+    base = in_cell.join(before, cell).select(*cell, salt, f"{p}h", f"{p}all", (F.col(f"{p}before") + F.col(f"{p}within")).alias(f"{p}base"))
+    numbered = keyed.withColumn(f"{p}row", F.row_number().over(W.partitionBy(*cell, salt).orderBy(*[F.col(c).asc_nulls_first() for c in order])) - 1)
+    placed = numbered.join(base, [*cell, salt]).withColumn(f"{p}rank", F.col(f"{p}base") + F.col(f"{p}row"))
+    shard = F.expr(f"({p}rank * {n_shards}) div {p}all").cast("int")
+    return placed.withColumns({"hilbert_index": F.col(f"{p}h"), "shard": shard}).select(
+        *[placed[f"`{c}`"] for c in docs.columns], "hilbert_index", "shard", (F.col(f"{p}rank") - F.expr(f"(shard * {p}all + {n_shards - 1}) div {n_shards}")).alias("slot")
+    )
 
 
 def document_shards(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """Documents sharded on source, language and size; ``size`` (UTF-8 bytes + 1) and ``text_crc32`` come along.
 
-    A null text has size 1 and the checksum of no bytes, 0. Rows without doc_id come first within their group.
+    A null text has size 1 and the checksum of no bytes, 0. Null sources and languages are below all others. Rows
+    without doc_id come first within their group. Equal texts have equal sizes and checksums, but rows go by their
+    metadata, and copies from different sources may lie in different shards.
     """
+    cuts = cut_points(docs, ["source", "lang"])
     octets = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     sized = docs.withColumns({"size": F.octet_length(octets).cast("long") + 1, "text_crc32": F.crc32(octets)})
     return hilbert_shards(
         sized, n_shards,
-        {"source": hash_dimension(F.col("source")), "lang": hash_dimension(F.col("lang")), "size": log_dimension(F.col("size"))},
+        [order_dimension(F.col("source"), cuts["source"]), order_dimension(F.col("lang"), cuts["lang"]), log_dimension(F.col("size"))],
         F.col("doc_id").cast("long"),
-        [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size"), F.col("source").asc_nulls_first(), F.col("lang").asc_nulls_first()],
+        ["doc_id", "text_crc32", "size", "source", "lang"],
     )
+
+
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """One folder ``shard=n`` for each shard, its rows in slot order, so that files and row groups cover short ranges."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
