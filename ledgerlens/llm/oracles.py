@@ -37,12 +37,16 @@ def _chain(first: str, steps: list[str]) -> str:
 
 
 def op1() -> str:
-    digit = lambda c: f"instr('0123456789abcdef', left(md5(coalesce({c}, '')), 1)) - 1"
+    key = lambda c: f"coalesce(('0x' || rpad(left(hex(encode({c})), {2 * hs.LEADING}), {2 * hs.LEADING}, '0'))::BIGINT, -1)"
+    at = [i / 2**hs.BITS for i in range(1, 2**hs.BITS)]
     crc = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
         lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1])))"""
     size = "+".join(f"(size >= {4**j})::INT" for j in range(1, 16))
     steps = [
-        f"SELECT *, {digit('source')} AS x0, {digit('lang')} AS x1, {size} AS x2, ((coalesce(doc_id, 0) % 1000003 + 1000003) % 1000003 * 7919) % {hs.SALTS} AS salt FROM $",
+        f"SELECT *, {key('source')} AS k0, {key('lang')} AS k1 FROM $",
+        f"SELECT *, quantile_disc(k0, {at}) OVER () AS q0, quantile_disc(k1, {at}) OVER () AS q1 FROM $",
+        f"""SELECT * EXCLUDE (q0, q1), len(list_filter(list_distinct(q0), lambda c: c <= k0)) AS x0, len(list_filter(list_distinct(q1), lambda c: c <= k1)) AS x1, {size} AS x2,
+            ((doc_id % 1000003 + 1000003) % 1000003 * 7919) % {hs.SALTS} AS salt FROM $""",
         *(f"SELECT * REPLACE ({', '.join(f'({v}) AS {k}' for k, v in step.items())}) FROM $" for step in hs.curve_steps(["x0", "x1", "x2"], hs.BITS)[:-1]),
         f"SELECT *, {hs.curve_steps(['x0', 'x1', 'x2'], hs.BITS)[-1]['h']} AS h FROM $",
         """SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY h, salt, doc_id NULLS FIRST, text_crc32, size,
@@ -58,9 +62,9 @@ def op1() -> str:
 def op10() -> str:
     dims = ["source", "lang", "topic"]
     steps = [
-        f"SELECT *, len({WORDS.format('text')}) AS n_tokens FROM $",
-        """SELECT *, CASE WHEN n_tokens = 0 THEN 'empty' WHEN (length(text) - length(replace(text, '|', ''))) * 8 > n_tokens THEN 'table'
-           WHEN (length(text) - length(replace(text, chr(10), ''))) * 15 > n_tokens THEN 'list' WHEN n_tokens < 100 THEN 'brief'
+        f"SELECT *, len({WORDS.format('t')}) AS n_tokens FROM $",
+        """SELECT *, CASE WHEN n_tokens = 0 THEN 'empty' WHEN (length(t) - length(replace(t, '|', ''))) * 8 > n_tokens THEN 'table'
+           WHEN (length(t) - length(replace(t, chr(10), ''))) * 15 > n_tokens THEN 'list' WHEN n_tokens < 100 THEN 'brief'
            WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM $""",
     ]
     docs = len(steps)
@@ -68,11 +72,11 @@ def op10() -> str:
     for d in dims:
         steps.append(f"SELECT *, pow(sum(tokens) OVER (PARTITION BY {d}) / total, {mix.TEMPER[d]}) AS g_{d}, count(*) OVER (PARTITION BY {d}) AS c_{d} FROM $")
         steps.append(f"SELECT * REPLACE (total * g_{d} / sum(g_{d} / c_{d}) OVER () AS g_{d}) FROM $")
-    steps += [f"SELECT * REPLACE (w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM $" for _ in range(mix.SWEEPS) for d in dims]
+    steps += [f"SELECT * REPLACE (least(tokens / {mix.BUDGET}::DOUBLE, w * g_{d} / sum(w) OVER (PARTITION BY {d})) AS w) FROM $" for _ in range(mix.SWEEPS) for d in dims]
     return (
-        _chain("SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents", steps)
-        + f""",\np AS (SELECT d.*, CASE WHEN n_tokens = 0 THEN 1.0 ELSE least(1.0, {mix.BUDGET} * w / tokens) END AS p
-        FROM s{docs} d LEFT JOIN s{len(steps)} c USING (source, lang, topic))
+        _chain("SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents", steps)
+        + f""",\np AS (SELECT d.*, CASE WHEN n_tokens = 0 THEN 1.0 ELSE least(1.0, {mix.BUDGET} * w / tokens) END AS p FROM s{docs} d LEFT JOIN s{len(steps)} c
+        ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic IS NOT DISTINCT FROM c.topic)
         SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(p, 9) AS probability,
         ('0x' || left(md5(doc_id::VARCHAR || ':{mix.SEED}'), 8))::BIGINT / 4294967296.0 < p AS sampled FROM p"""
     )

@@ -101,13 +101,14 @@ def test_quality(spark):
     docs += [(100 + i, " ".join(x.upper() + "!!" for x in prose(rng, 80).split())) for i in range(10)]
     docs += [(200, None), (201, ""), (202, "a b c d e " * 40), (203, "x\nx\ny\n \n x\n#*$%&|<>"), (204, "é😀 ü\x0bz\x0cq\r\n" * 8), (205, prose(rng, 20000)), (206, "a a a a a a"), (207, "1 2 3 4 5 6 1 2 3 4 5 7 8 9")]
     labels = [(i, 1, 0) for i in range(0, 40, 2)] + [(41, 1, None), (100, 0, 0), (2, 1, 0), (None, 1, 0)]
-    frame = spark.createDataFrame([(d, t, True, 5) for d, t in docs], "doc_id long, text string, kept boolean, n_words int").drop("kept", "n_words")
+    clash = ["kept", "n_words", "_trusted", "_w", "__w", "t", "id", "b", "good", "n.n"]
+    frame = spark.createDataFrame([(d, t, *["x"] * len(clash)) for d, t in docs], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in clash))
     got = {r.doc_id: r for r in quality_llr.quality_rules(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     want = brute.quality(docs, {d for d, q, _ in labels if q == 1})
     for d, t in docs:
         r = got[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.base(t), d
-        assert (r.llr_sum, r.kept) == want[d], d
+        assert (r.llr_sum, r.kept, r._trusted, r._w, r["__w"], r.t, r.good) == (*want[d], *"xxxxx"), d
     none = quality_llr.quality_rules(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert none.count() == 0
 

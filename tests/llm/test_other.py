@@ -27,8 +27,10 @@ def test_shards(spark):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randrange(3000), rng.choice(["en", "de", None]), "hot" if i % 3 else f"s{i % 11}", "?") for i in range(500)]
     rows += [(None, None, None, None, None)] * 3 + [rows[0], rows[0], (501, "é" * 10, "en", "hot", "")]
-    got = hs.document_shards(spark.createDataFrame(rows, DOC).repartition(7), 16).collect()
-    assert len(got) == len(rows)
+    clash = ["h", "_all", "_row", "_salt", "_q0", "__n", "___x0", "slot", "size"]
+    frame = spark.createDataFrame([(*r, *["x"] * len(clash)) for r in rows], DOC + "".join(f", {c} string" for c in clash))
+    got = hs.document_shards(frame.repartition(7), 16).collect()
+    assert len(got) == len(rows) and all(r[c] == "x" for r in got for c in clash[:-2])
     n = [sorted(r.slot for r in got if r.shard == s) for s in range(16)]
     assert all(x == list(range(len(x))) for x in n) and max(map(len, n)) - min(map(len, n)) <= 1
     assert all(r["size"] == len((r.text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in got)
@@ -37,36 +39,92 @@ def test_shards(spark):
     assert hs.document_shards(spark.createDataFrame([], DOC)).count() == 0
 
 
-def test_mixing(spark):
-    rng = random.Random(4)
-    rows = [(i, "w " * rng.randrange(1, 300), rng.choice(["en", "de"]), "hot" if i % 2 else f"s{i % 5}", None) for i in range(2000)] + [(None, None, None, None, None), (3000, "", "en", None, "")]
-    docs = spark.createDataFrame(rows, DOC)
-    got = ipf_mixing.mixed(docs).collect()
-    assert len(got) == len(rows) and all(r.sampled for r in got if not r.n_tokens)
+def test_order_keys(spark):
+    values = [None, "", "a", "aa", "b", "z" * 20, "é", "日本"]
+    got = [r.k for r in spark.createDataFrame([(v,) for v in values], "v string").select(hs.order_key(F.col("v")).alias("k")).collect()]
+    assert got == sorted(got) and len(set(got)) == len(values)
+
+
+def test_shards_prune_on_each_dimension(spark, tmp_path):
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    rows = [(i, "x" * int(4 ** rng.uniform(1, 6)), rng.choice(["de", "en", "es", "fr", "it", "pl"]), "hot" if i % 3 == 0 else rng.choice(names), None) for i in range(6000)]
+    hs.write_shards(hs.document_shards(spark.createDataFrame(rows, DOC), 64), f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards").withColumn("file", F.input_file_name())
+    assert back.count() == len(rows)
+    ranges = back.groupBy("file").agg(*[f(c).alias(f"{n}_{c}") for c in ("source", "lang", "size") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    touched = lambda c, v: sum(r[f"lo_{c}"] <= v <= r[f"hi_{c}"] for r in ranges) / len(ranges)
+    assert sum(touched("source", n) for n in names) / len(names) < 0.35
+    assert sum(touched("lang", n) for n in ("de", "en", "es", "fr", "it", "pl")) / 6 < 0.6
+    assert sum(touched("size", n) for n in (10, 100, 1000, 3000)) / 4 < 0.5
+
+
+def cells_by_hand(got):
     cells = {}
     for r in got:
-        k = (r.source or "", r.lang or "", r.topic)
+        k = (r.source, r.lang, r.topic)
         cells[k] = cells.get(k, 0) + r.n_tokens
-    raked = {(r.source, r.lang, r.topic): r.w for r in ipf_mixing.rake(spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long"), ["source", "lang", "topic"], ipf_mixing.TEMPER).collect()}
-    total = sum(cells.values())
-    for d, name in enumerate(("source", "lang", "topic")):
-        share, goal = {}, {}
+    return {k: v for k, v in cells.items() if v}
+
+
+def raked_by_hand(cells, goals, budget, sweeps=ipf_mixing.SWEEPS):
+    """Raking under the bound, cell by cell; ``goals`` has a dict of shares for each dimension."""
+    total, w = sum(cells.values()), {k: float(v) for k, v in cells.items()}
+    for _ in range(sweeps):
+        for d, goal in enumerate(goals):
+            sums = {}
+            for k, x in w.items():
+                sums[k[d]] = sums.get(k[d], 0) + x
+            w = {k: min(cells[k] / budget, x * total * goal[k[d]] / sums[k[d]]) for k, x in w.items()}
+    return w
+
+
+def tempered(cells):
+    total, goals = sum(cells.values()), []
+    for d, name in enumerate(ipf_mixing.DIMS):
+        share = {}
         for k, v in cells.items():
-            if v:
-                share[k[d]] = share.get(k[d], 0) + v
+            share[k[d]] = share.get(k[d], 0) + v
         powered = {k: (v / total) ** ipf_mixing.TEMPER[name] for k, v in share.items()}
-        goal = {k: total * v / sum(powered.values()) for k, v in powered.items()}
-        for k, g in goal.items():
-            assert abs(sum(w for c, w in raked.items() if c[d] == k) - g) < 0.01 * total
+        goals.append({k: v / sum(powered.values()) for k, v in powered.items()})
+    return goals
+
+
+def test_mixing(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 300), rng.choice(["en", "de", None, ""]), "hot" if i % 2 else f"s{i % 5}", None) for i in range(2000)] + [(None, None, None, None, None), (3000, "", "en", None, ""), (3001, "w " * 40, "en", None, ""), (3002, "w " * 40, "en", "", "")]
+    clash = ["_p", "_s", "_t", "__n", "w", "tokens", "total", "sampled", "topic"]
+    docs = spark.createDataFrame([(*r, *["x"] * len(clash)) for r in rows], DOC + "".join(f", {c} string" for c in clash))
+    got = ipf_mixing.mixed(docs).collect()
+    assert len(got) == len(rows) and all(r.sampled for r in got if not r.n_tokens) and all(r[c] == "x" for r in got for c in clash[:-2])
+    cells = cells_by_hand(got)
+    w = raked_by_hand(cells, tempered(cells), ipf_mixing.BUDGET)
     for r in got:
         if r.n_tokens:
-            k = (r.source or "", r.lang or "", r.topic)
-            assert abs(r.probability - min(1.0, ipf_mixing.BUDGET * raked[k] / cells[k])) < 1e-9
+            k = (r.source, r.lang, r.topic)
+            assert abs(r.probability - min(1.0, ipf_mixing.BUDGET * w[k] / cells[k])) < 1e-9
         u = int(hashlib.md5(f"{'' if r.doc_id is None else r.doc_id}:{ipf_mixing.SEED}".encode()).hexdigest()[:8], 16) / 2**32
         assert r.sampled == (u < r.probability)
     assert ipf_mixing.mixed(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_mixing_meets_targets(spark):
+    """Explicit targets, some of which fill whole cells: the weights and the sample both come close."""
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randrange(20, 90), rng.choices(["en", "de", None], [8, 3, 1])[0], rng.choices(["hot", "a", "b", "c"], [9, 3, 2, 1])[0], rng.choice(["x", "y"])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, DOC)
+    want = {("source", "hot"): 0.40, ("source", "a"): 0.25, ("source", "b"): 0.2, ("source", "c"): 0.15, ("lang", "en"): 0.6, ("lang", "de"): 0.28, ("lang", None): 0.12}
+    targets = spark.createDataFrame([(*k, v) for k, v in want.items()], "dimension string, class string, share double")
+    got = ipf_mixing.mixed(docs, F.col("shard"), budget=0.4, targets=targets).collect()
+    total = sum(r.n_tokens for r in got if r.sampled)
+    for (d, c), goal in want.items():
+        assert abs(sum(r.n_tokens for r in got if r.sampled and r[d] == c) / total - goal) < 0.02, (d, c)
+    raked = ipf_mixing.rake(ipf_mixing.cells_of(docs, F.col("shard")), ipf_mixing.DIMS, ipf_mixing.TEMPER, budget=0.4, targets=targets)
+    shares = {(r.dimension, r["class"]): (r.target, r.share) for r in ipf_mixing.achieved(raked).collect()}
+    assert all(abs(shares[k][0] - v) < 1e-9 and abs(shares[k][1] - v) < 0.004 for k, v in want.items())
+    assert raked.where("w > tokens / 0.4 + 1e-9").count() == 0 and raked.where("w > tokens / 0.4 - 1e-9").count() > 0
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(3000)]
