@@ -50,15 +50,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted, then exact copies of an earlier text are deleted; either batch is tried twice."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
-    counts = materialise(token_rollup.with_token_counts(docs), "counts")
-    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = counts.join(first, "digest").where("doc_id > first")
-    rollup, name = token_rollup.TokenRollup(spark), "byte_bpe_50k"
-    for _ in range(2):
-        rollup.commit("load", token_rollup.inserts(counts, name))
-        rollup.commit("drop-copies", token_rollup.deletes(copies, name))
+    """All documents under two tokenizer versions, then counts anew without runs of blanks, then exact copies taken out.
+
+    Every batch is tried twice. Of equal texts the row with the least doc_id stays (rows without one come last): all
+    rows are taken out again and one for each digest is put back, so nothing is joined by a key that copies share.
+    """
+    plain = F.trim(F.regexp_replace("text", r"[\x20\x09]+", " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    docs = docs.withColumn("plain", F.when(plain != F.col("text"), plain)).withColumn("changed", F.col("plain").isNotNull())
+    versions = {"byte_bpe_50k": token_rollup.TOKENIZER, "byte_bpe_multi_50k": token_rollup.TOKENIZER_MULTI}
+    counts = token_rollup.with_token_counts(docs, versions).withColumnRenamed("plain", "text")
+    counts = materialise(token_rollup.with_token_counts(counts, {f"new_{v}": path for v, path in versions.items()}), "counts")
+    rollup = token_rollup.TokenRollup(spark)
+    for v in versions:
+        now = counts.withColumn("now", F.when(F.col("changed"), F.col(f"new_{v}")).otherwise(F.col(v)))
+        first = now.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "source", "lang", "now")).alias("f")).select("f.*")
+        batches = {
+            "load": token_rollup.inserts(counts, v, v), "recount": token_rollup.revisions(now.where("changed"), v, v, "now"),
+            "drop-copies": token_rollup.deletes(now, v, "now").unionByName(token_rollup.inserts(first, v, "now")),
+        }
+        for name, events in [*batches.items()] * 2:
+            rollup.commit(f"{name}-{v}", events)
     return rollup.totals()
 
 

@@ -200,25 +200,47 @@ def test_a_text_of_one_word_is_fast():
 
 def test_rollup(spark):
     texts = ["hello world " * 3, None, "", "don't  stop\n\nme 123 now é😀", "word " * 30_000, "hello world " * 3, "x" * 50_000]
-    rows = [(i, t, "en" if i % 2 else None, "s") for i, t in enumerate(texts)]
-    counts = token_rollup.with_token_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    rows = [(i, t, "en" if i % 2 else None, "s", "y", "z") for i, t in enumerate(texts)]
+    counts = token_rollup.with_token_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens string, `a.b` string"))
     encoding = token_rollup._encoding(token_rollup.TOKENIZER)
     got = {r.doc_id: r.n_tokens for r in counts.collect()}
-    assert got == {i: len(encoding.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert got == {i: len(encoding.encode_ordinary(t or "")) for i, t in enumerate(texts)} and counts.columns == ["doc_id", "lang", "source", "a.b", "n_tokens"]
+    assert token_rollup.with_token_counts(spark.createDataFrame([], DOC)).count() == 0
     rollup = token_rollup.TokenRollup(spark)
     assert rollup.totals().count() == 0
     assert rollup.commit("a", token_rollup.inserts(counts, "t1")) and not rollup.commit("a", token_rollup.inserts(counts, "t1"))
     total = lambda: {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in rollup.totals().collect()}
     even, odd = [sum(got[i] for i in got if i % 2 == p) for p in (0, 1)]
     assert total() == {("s", None, "t1"): (4, even), ("s", "en", "t1"): (3, odd)}
+    with pytest.raises(ValueError, match="other events"):
+        rollup.commit("a", token_rollup.deletes(counts, "t1"))
     changed = counts.where("doc_id = 3").withColumn("old_tokens", F.col("n_tokens")).withColumn("n_tokens", F.lit(1).cast("long"))
     rollup.commit("b", token_rollup.revisions(changed, "t1"))
     rollup.commit("c", token_rollup.deletes(counts.where("doc_id % 2 = 0"), "t1"))
     assert total() == {("s", "en", "t1"): (3, odd - got[3] + 1)}
-    # an attempt that broke off leaves no marker: it doesn't count, and the next one takes its place
-    fs, at = rollup._fs(f"{rollup.path}/batch=c/_SUCCESS")
-    fs.delete(at, False)
-    assert len(total()) == 2 and rollup.commit("c", token_rollup.deletes(counts.where("doc_id % 2 = 0"), "t1")) and len(total()) == 1
+    assert rollup.commit("none", token_rollup.inserts(counts.where("false"), "t1")) and not rollup.commit("none", token_rollup.inserts(counts.where("false"), "t1"))
+    # an attempt that broke off is no batch
+    token_rollup.inserts(counts, "t1").write.parquet(f"{rollup.path}/attempt-x")
+    assert rollup.committed() == ["a", "b", "c", "none"] and len(total()) == 1
+
+
+def test_rollup_query(spark, tiny):
+    """The registered query against totals made by hand."""
+    import re
+
+    from ledgerlens.llm import queries
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").collect()
+    want = {}
+    for name, path in (("byte_bpe_50k", token_rollup.TOKENIZER), ("byte_bpe_multi_50k", token_rollup.TOKENIZER_MULTI)):
+        encoding, seen = token_rollup._encoding(path), set()
+        for r in sorted(docs, key=lambda r: r.doc_id):
+            if (r.text or "") not in seen:
+                seen.add(r.text or "")
+                plain = re.sub("[ \t]+", " ", r.text or "").strip(" ")
+                n, t = want.get((r.source, r.lang, name), (0, 0))
+                want[r.source, r.lang, name] = (n + 1, t + len(encoding.encode_ordinary(plain)))
+    assert {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in queries.op4_token_rollup(spark, tiny).collect()} == want
 
 
 def plain_records(data):
