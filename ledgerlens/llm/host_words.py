@@ -1,7 +1,7 @@
 """URL filter: rules first, then naive Bayes over the words of hosts and paths.
 
 Names in hosts are words run together. A unigram model, counted over the pages' own text, splits them: the best
-segmentation of each distinct run of letters is found by Viterbi. Segmented host words and path tokens are the
+segmentation of each distinct run of letters (of any script) is found by Viterbi. Segmented host words and path tokens are the
 features of a multinomial naive Bayes classifier, trained on the URLs that the rules decide and applied to the rest.
 
 Unigram counts stay a distributed table: the substrings of distinct runs are joined with it, so nothing that grows
@@ -21,7 +21,10 @@ from .storage import materialise, ship
 #: Fixed values: (verdict, rule); a rule is a host and the beginning of a path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
-LONGEST = 20
+#: Letters of a word at most: a label of a host name has no more.
+LONGEST = 63
+#: Longer runs, which no host name has, are cut after so many letters before they are split into words.
+RUN = 256
 BUCKETS = 16384
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,9 +50,9 @@ def rule_of(rules: list[tuple[str, str]] = RULES) -> tuple[Column, Column]:
 
 
 def unigrams(pages: DataFrame) -> DataFrame:
-    """``word, n``: words of 2 to ``LONGEST`` letters in the pages' own text, tags included."""
-    letters = F.split(F.translate(F.coalesce("html", F.lit("")), _UPPER, _LOWER), "[^a-z]+", -1)
-    return pages.select(F.explode(letters).alias("word")).where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+    """``word, n``: words of up to ``LONGEST`` letters in the pages' own text, tags included, in lower case."""
+    letters = F.split(F.lower(F.coalesce("html", F.lit(""))), r"[^\p{L}]+", -1)
+    return pages.select(F.explode(letters).alias("word")).where(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
@@ -98,10 +101,10 @@ def _bucket(x: Column) -> Column:
 
 
 def fit(rows: DataFrame) -> list[int]:
-    """Log-odds of block against allow by class of token, in millionths, the last for the prior; counted over all rule-decided URLs."""
+    """Log-odds of block against allow by class of token, in millionths, the last for the prior; counted over all rows with ``decided``."""
     decided = rows.where("decided IS NOT NULL")
     each = decided.select((F.col("decided") == "block").alias("b"), F.explode("features").alias("f"))
-    counts = each.groupBy("f").agg(F.count_if("b").alias("block"), F.count_if(~F.col("b")).alias("allow")).collect()
+    counts = each.groupBy("f").agg(F.count_if("b").alias("block"), F.count_if(~F.col("b")).alias("allow")).collect()  # BUCKETS rows at most
     n_block, n_all = decided.agg(F.count_if(F.col("decided") == "block"), F.count("*")).first()
     block, allow = sum(r.block for r in counts) + BUCKETS, sum(r.allow for r in counts) + BUCKETS
     weights = [round(1e6 * math.log(allow / block))] * BUCKETS + [round(1e6 * math.log((n_block + 1) / (n_all - n_block + 1)))]
@@ -110,27 +113,51 @@ def fit(rows: DataFrame) -> list[int]:
     return weights
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, host_words, score`` for every row of ``pages(page_id, url, html)``.
+def with_score(rows: DataFrame, weights: list[int]) -> DataFrame:
+    """``rows`` with ``score``, the log-odds of block in millionths."""
+    table = F.from_json(F.lit("[" + ",".join(map(str, weights)) + "]"), "array<int>")
+    return rows.withColumn("score", F.aggregate("features", F.lit(weights[-1]).cast("long"), lambda acc, f: acc + F.get(table, f)))
 
-    The verdict is the rule's; else block where the classifier's log-odds ``score`` (millionths) is above 0. Null
-    URLs have an empty host and path and are judged by the prior alone, as are all URLs where no rule decides any.
-    Repeated rows and rows without page_id are judged like all others; other columns aren't looked at.
-    """
+
+def described(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """``page_id, host, path, rule, decided, host_words, features``: all that the classifier goes by."""
     rule, verdict = rule_of(rules)
     parts = with_parts(pages.select("page_id", "url")).drop("url").withColumns({"rule": rule, "decided": verdict})
-    hosts = parts.select("host").distinct().withColumn("runs", F.array_remove(F.split("host", "[^a-z]+", -1), ""))
+    hosts = parts.select("host").distinct().withColumn("runs", F.regexp_extract_all(F.lower("host"), F.lit(rf"\p{{L}}{{1,{RUN}}}"), F.lit(0)))
     runs = hosts.select(F.explode("runs").alias("run")).distinct()
-    split = materialise(segmented(runs, unigrams(pages)), "segments")
+    split = materialise(segmented(runs, materialise(unigrams(pages), "unigrams")), "segments")
     placed = hosts.select("host", F.posexplode("runs").alias("at", "run")).join(split, "run")
     words = placed.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x.words)).alias("host_words"))
+    # stored, so that the join with all pages is one of two plain tables, and Spark may split a host that very many share
+    words = materialise(words, "hosts")
     rows = parts.join(words, "host", "left").withColumn("host_words", F.coalesce("host_words", F.expr("cast(array() AS array<string>)")))
-    tokens = F.array_remove(F.split(F.regexp_replace(F.lower("path"), "[0-9]+", "0"), "[^a-z0-9]+", -1), "")
-    features = F.concat(F.transform("host_words", lambda w: _bucket(F.concat(F.lit("h:"), w))), F.transform(tokens, lambda t: _bucket(F.concat(F.lit("p:"), t))))
-    rows = rows.withColumn("features", features)
-    weights = fit(rows)
-    table = F.from_json(F.lit("[" + ",".join(map(str, weights)) + "]"), "array<int>")
-    score = F.aggregate("features", F.lit(weights[-1]).cast("long"), lambda acc, f: acc + F.get(table, f))
-    out = rows.withColumn("score", score)
+    tokens = F.array_remove(F.split(F.regexp_replace(F.lower("path"), "[0-9]+", "0"), r"[^\p{L}0-9]+", -1), "")
+    numbers = F.regexp_extract_all("host", F.lit("[0-9]+"), F.lit(0))
+    features = F.concat(
+        F.transform("host_words", lambda w: _bucket(F.concat(F.lit("h:"), w))), F.transform(numbers, lambda w: _bucket(F.lit("n:"))), F.transform(tokens, lambda t: _bucket(F.concat(F.lit("p:"), t)))
+    )
+    return rows.withColumn("features", features)
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """``page_id, host, path, rule, verdict, host_words, score`` for every row of ``pages(page_id, url, html)``.
+
+    The verdict is the rule's; else block where the classifier's log-odds ``score`` (millionths) is above 0. Null
+    URLs have an empty host and path and are judged by the prior alone, as are all URLs where no rule decides any.
+    Repeated rows and rows without page_id are judged like all others; other columns aren't looked at; an empty table
+    gives an empty result.
+    """
+    rows = described(pages, rules)
     final = F.coalesce("decided", F.when(F.col("score") > 0, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", final.alias("verdict"), "host_words", "score")
+    return with_score(rows, fit(rows)).select("page_id", "host", "path", "rule", final.alias("verdict"), "host_words", "score")
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str]] = RULES, folds: int = 5) -> dict[str, float]:
+    """How the classifier does on rule-decided hosts that it wasn't trained on: one host in ``folds``, by hash.
+
+    Shares of right verdicts among all, among blocked and among allowed URLs; the rules themselves take no part.
+    """
+    rows = described(pages, rules).where("decided IS NOT NULL").withColumn("test", F.pmod(F.xxhash64("host"), F.lit(folds)) == 0)
+    right = (F.col("score") > 0) == (F.col("decided") == "block")
+    tested = with_score(rows.where("test"), fit(rows.where("NOT test")))
+    return tested.agg(F.avg(right.cast("int")).alias("all"), *[F.avg(F.when(F.col("decided") == v, right.cast("int"))).alias(v) for v in ("block", "allow")]).first().asDict()

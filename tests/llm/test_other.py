@@ -328,14 +328,62 @@ def test_segmentation(spark):
         best, cost = splits(r, known, sum(known.values()))
         assert "".join(got[r]) == r and abs(sum(map(cost, got[r])) - best) < 1e-9
     assert got["therain"] == ["the", "rain"]
+    long = host_words.segmented(spark.createDataFrame([("donaudampfschifffahrtsgesellschaft",)], "run string"), spark.createDataFrame([("donaudampfschifffahrtsgesellschaft", 1), ("donau", 9)], "word string, n long"))
+    assert long.first().words == ["donaudampfschifffahrtsgesellschaft"]
+
+
+def test_naive_bayes_by_hand(spark, tiny):
+    """Weights, scores and verdicts of all pages against counts made in plain Python."""
+    import math
+    import re
+
+    import xxhash
+
+    pages = spark.read.parquet(f"{tiny}/pages.parquet")
+    rows = host_words.judged(pages).collect()
+    bucket = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    features = {}
+    for r in rows:
+        path = re.findall("[^\\W_]+", re.sub("[0-9]+", "0", r.path.lower()))
+        tokens = ["h:" + w for w in r.host_words] + ["n:"] * len(re.findall("[0-9]+", r.host)) + ["p:" + t for t in path]
+        features[r.page_id] = [bucket(t) % host_words.BUCKETS for t in tokens]
+    counts, n = {"block": {}, "allow": {}}, {"block": 0, "allow": 0}
+    for r in rows:
+        if r.rule:
+            n[r.verdict] += 1
+            for f in features[r.page_id]:
+                counts[r.verdict][f] = counts[r.verdict].get(f, 0) + 1
+    total = {v: sum(c.values()) + host_words.BUCKETS for v, c in counts.items()}
+    assert n["block"] and n["allow"]
+    for r in rows:
+        score = round(1e6 * math.log((n["block"] + 1) / (n["allow"] + 1)))
+        score += sum(round(1e6 * (math.log((counts["block"].get(f, 0) + 1) / total["block"]) - math.log((counts["allow"].get(f, 0) + 1) / total["allow"]))) for f in features[r.page_id])
+        assert r.score == score and (r.rule or r.verdict == ("block" if score > 0 else "allow")), r
+
+
+def test_naive_bayes_held_out(spark):
+    """Hosts made of words that speak for one side; the classifier is asked about hosts it hasn't seen."""
+    rng = random.Random(3)
+    good, bad = ["garden", "school", "river", "museum", "letters", "kitchen"], ["casino", "bets", "pills", "jackpot", "loans", "xxx"]
+    rows = []
+    for i in range(1500):
+        side = i % 3 == 0
+        host = "".join(rng.sample(bad if side else good, 2)) + rng.choice(["", "24", "-online"])
+        rows.append((i, f"http://{host}.{'net/es/' if side else 'com/en/'}{rng.choice(['win', 'a'] if side else ['read', 'a'])}/{i}", " ".join(good + bad)))
+    got = host_words.held_out(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got["all"] > 0.95 and got["block"] > 0.9 and got["allow"] > 0.9
 
 
 def test_urls(spark):
     urls = [
         "http://a.com/x", "https://WWW.Example.com/en/1?q#f", "https://x.example.com/en/2", "http://b.net/es/", "http://b.net/esx", "http://net/fr/a", "ftp://q.org", "no scheme", None, "", "x://", "http://example.com", "http://h?p://k/en/", "http://xexample.com/en/",
     ]
-    rows = [(i, u, "<p>spam farm casino example news</p>") for i, u in enumerate(urls)] + [(None, "http://b.net/es/", None)]
-    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in host_words.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    rows = [(i, u, "<p>spam farm casino example news</p>", "x") for i, u in enumerate(urls)] + [(None, "http://b.net/es/", None, "x")]
+    rows += [(90, "http://" + "ab" * 30_000 + ".com/" + "p/" * 30_000, "", "x"), (91, "http://münchen9.net/es/ß", "münchen", "x"), (0, urls[0], "", "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumns({c: F.lit("x") for c in ("features", "run", "word", "decided")})
+    out = host_words.judged(frame).collect()
+    assert {r.page_id: r.host_words for r in out}[91] == ["münchen", "net"] and {r.page_id: "".join(r.host_words) for r in out}[90] == "ab" * 30_000 + "com"
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in out]
     by = {g[0]: g[1:] for g in got}
     assert len(got) == len(rows)
     assert by[0] == ("a.com", "/x", "com/", "allow") and by[1] == ("www.example.com", "/en/1", "www.example.com/en/", "allow") and by[2][2:] == ("example.com/en/", "block")
