@@ -3,11 +3,12 @@
 Base rules find emails, addresses, cards and phone numbers. A wider pattern gives candidates that base rules miss
 (spelled-out emails, numbers without a plus sign, numbers of unusual length). Five labelers vote on each: two regular
 expressions, a gazetteer and two on context. Expectation-maximisation over the counts of vote patterns estimates how
-far each labeler can be trusted; the posteriors then train a naive Bayes span classifier on the spans' own features,
-and candidates that it holds for personal data with probability ``ACCEPT`` are added to the base spans.
+far each labeler can be trusted; base spans are sure examples of what the two context labelers say before personal
+data. The posteriors then train a naive Bayes span classifier on the spans' own features, and candidates that it holds
+for personal data with probability ``ACCEPT`` are added to the base spans.
 
-Texts are read once. What the models are fitted on is counted by Spark over all candidates and comes back as tables
-of fixed size: at most ``4 * 3 ** 5`` vote patterns, and the fixed feature classes.
+Texts are read once. What the models are fitted on is counted by Spark over all candidates and base spans and comes
+back as tables of fixed size: at most ``4 * 3 ** 5`` vote patterns, and the fixed feature classes.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ SHAPE = {
     "phone": r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$",
 }
 LABELERS = 5
+#: The labelers that look at the words before a span.
+CONTEXT = (3, 4)
 ACCEPT = 0.9
 
 #: Feature classes: digits 0-19, lengths 20-35, first characters 36-39, separators 40-55, word before 56-119.
@@ -92,42 +95,66 @@ def _votes(kind: str, x: Column) -> list[Column]:
     ]
 
 
+def _word_before(x: Column) -> Column:
+    return 56 + F.pmod(F.xxhash64(F.regexp_extract(F.lower(x.c), r"([^\s]+)\s*$", 1)), F.lit(64)).cast("int")
+
+
 def _features(x: Column) -> Column:
     digits = F.least(F.lit(19), F.length(F.regexp_replace(x.m, "[^0-9]", "")))
     size = F.least(F.lit(15), F.floor(F.length(x.m) / 2).cast("int"))
     first = F.left(x.m, F.lit(1))
     kind = F.when(first.rlike("[0-9]"), 0).when(first == "(", 1).when(first.rlike("[A-Za-z]"), 2).otherwise(3)
     marks = sum((F.when(F.contains(x.m, F.lit(c)), 1 << i).otherwise(0) for i, c in enumerate(" .-(")), F.lit(0))
-    word = F.pmod(F.xxhash64(F.regexp_extract(F.lower(x.c), r"([^\s]+)\s*$", 1)), F.lit(64)).cast("int")
-    return F.array(digits, 20 + size, 36 + kind, 40 + marks, 56 + word)
+    return F.array(digits, 20 + size, 36 + kind, 40 + marks, _word_before(x))
+
+
+def _code(votes: dict[int, Column]) -> Column:
+    return sum((v * 3**i for i, v in votes.items()), F.lit(0)).cast("int")
 
 
 def candidates(text: Column, base: dict[str, Column]) -> Column:
-    """Spans of the wide patterns that touch no base span: array of ``(k, s, e, votes, features)``."""
+    """Spans of the wide patterns that touch no base span: array of ``(k, s, e, votes, features)``. Cards must pass Luhn."""
     taken = F.concat(*base.values())
 
     def described(k: int, kind: str):
-        def one(x: Column) -> Column:
-            code = sum((v * 3**i for i, v in enumerate(_votes(kind, x))), F.lit(0)).cast("int")
-            return F.struct(F.lit(k).alias("k"), x.s.alias("s"), x.e.alias("e"), code.alias("votes"), _features(x).alias("f"))
+        return lambda x: F.struct(F.lit(k).alias("k"), x.s.alias("s"), x.e.alias("e"), _code(dict(enumerate(_votes(kind, x)))).alias("votes"), _features(x).alias("f"))
+
+    def free(kind: str):
+        apart = lambda x: ~F.exists(taken, lambda b: (b.s < x.e) & (x.s < b.e))
+        return apart if kind != "card" else lambda x: apart(x) & F.call_function("luhn_check", F.regexp_replace(x.m, "[^0-9]", ""))
 
-        return one
+    return F.concat(*[F.transform(F.filter(spans(text, WIDE[kind]), free(kind)), described(k, kind)) for k, kind in enumerate(KINDS)])
+
+
+def sure_examples(base: dict[str, Column]) -> Column:
+    """What comes before each base span: array of ``(k, votes, f)``, votes of the context labelers alone."""
+
+    def described(k: int, kind: str):
+        return lambda x: F.struct(F.lit(k).alias("k"), _code({i: _votes(kind, x)[i] for i in CONTEXT}).alias("votes"), _word_before(x).alias("f"))
 
-    free = lambda x: ~F.exists(taken, lambda b: (b.s < x.e) & (x.s < b.e))
-    return F.concat(*[F.transform(F.filter(spans(text, WIDE[kind]), free), described(k, kind)) for k, kind in enumerate(KINDS)])
+    return F.concat(*[F.transform(base[kind], described(k, kind)) for k, kind in enumerate(KINDS)])
 
 
-def estimate(patterns: list[Row], rounds: int = 50) -> dict[tuple[int, int], float]:
+def estimate(patterns: list[Row], sure: list[Row] = [], rounds: int = 50) -> dict[tuple[int, int], float]:  # noqa: B006
     """Posterior of each (kind, vote pattern), by expectation-maximisation over the patterns' counts.
 
     One latent bit for each candidate; each labeler has its own chance of each vote under either value of the bit,
-    begun in its favour, with a prior of a few pseudo-votes so that none becomes certain on little data.
+    begun in its favour, with a prior of a few pseudo-votes so that none becomes certain on little data. ``sure`` counts
+    what context labelers vote on base spans, whose bit is known; they weigh as much as the candidates of their kind at
+    most, since other notations of personal data come in other contexts too.
     """
     out: dict[tuple[int, int], float] = {}
     for k in range(len(KINDS)):
         rows = [(r.votes, [(r.votes // 3**i) % 3 for i in range(LABELERS)], r.n) for r in patterns if r.k == k]
         if not rows:
             continue
+        total = sum(n for *_, n in rows)
+        known: dict[int, list[int]] = {i: [0, 0, 0] for i in CONTEXT}
+        for r in sure:
+            for i in CONTEXT:
+                if r.k == k:
+                    known[i][r.votes // 3**i % 3] += r.n
+        weight = min(1.0, total / max(1, *[sum(x) for x in known.values()]))
         prior = 0.3
         chance = {1: [[0.4, 0.55, 0.05]] * LABELERS, 0: [[0.5, 0.1, 0.4]] * LABELERS}
         start = {z: [list(x) for x in chance[z]] for z in (0, 1)}
@@ -136,14 +163,15 @@ def estimate(patterns: list[Row], rounds: int = 50) -> dict[tuple[int, int], flo
             for code, votes, _n in rows:
                 odds = math.log(prior / (1 - prior)) + sum(math.log(chance[1][i][v] / chance[0][i][v]) for i, v in enumerate(votes))
                 post[code] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-            total = sum(n for *_, n in rows)
             prior = (sum(post[c] * n for c, _, n in rows) + 3) / (total + 10)
             for z in (0, 1):
                 for i in range(LABELERS):
                     got = [10 * x for x in start[z][i]]
+                    if z and i in known:
+                        got = [x + weight * n for x, n in zip(got, known[i], strict=True)]
                     for code, votes, n in rows:
                         got[votes[i]] += n * (post[code] if z else 1 - post[code])
-                    chance[z][i] = [x / sum(got) for x in got] if z else [x / sum(got) for x in got]
+                    chance[z][i] = [x / sum(got) for x in got]
         out |= {(k, code): p for code, p in post.items()}
     return out
 
@@ -172,15 +200,16 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``found_<kind>``, ``added`` (arrays of spans) for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty. Rows without doc_id and repeated rows are handled like all others; other columns are
-    not looked at. Without candidates nothing is added.
+    not looked at. Without candidates nothing is added; an empty table gives an empty result.
     """
     text = whole("text")
     found = docs.select("doc_id", text.alias("text")).withColumns({f"found_{k}": v for k, v in base_spans(F.col("text")).items()})
-    found = found.withColumn("cand", candidates(F.col("text"), {k: F.col(f"found_{k}") for k in KINDS})).drop("text")
-    found = materialise(found, "pii")
+    base = {k: F.col(f"found_{k}") for k in KINDS}
+    found = materialise(found.withColumns({"cand": candidates(F.col("text"), base), "sure": sure_examples(base)}).drop("text"), "pii")
     each = found.select(F.explode("cand").alias("x")).select("x.k", "x.votes", "x.f")
     patterns = each.groupBy("k", "votes").agg(F.count("*").alias("n")).collect()
-    posterior = estimate(patterns)
+    sure = found.select(F.explode("sure").alias("x")).groupBy("x.k", "x.votes").agg(F.count("*").alias("n")).collect()
+    posterior = estimate(patterns, sure)
     counts = each.select("k", "votes", F.explode("f").alias("f")).groupBy("k", "votes", "f").agg(F.count("*").alias("n")).collect()
     weights = train(counts, posterior)
     table = F.from_json(F.lit("[" + ",".join(f"{w:.6f}" for w in weights) + "]"), "array<double>")
@@ -188,7 +217,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     odds = lambda x: F.aggregate(x.f, F.get(table, at(x) + FEATURES), lambda acc, f: acc + F.get(table, at(x) + f))
     sure = math.log(ACCEPT / (1 - ACCEPT))
     added = F.transform(F.filter("cand", lambda x: odds(x) >= sure), lambda x: F.struct(x.k.alias("k"), x.s.alias("s"), x.e.alias("e")))
-    return found.withColumn("added", added).drop("cand")
+    return found.withColumn("added", added).drop("cand", "sure")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
