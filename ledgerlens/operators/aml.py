@@ -38,78 +38,126 @@ def wallet_stats(tx: DataFrame, digits: int = 8) -> DataFrame:
     )
 
 
-def _outgoing(tx: DataFrame) -> DataFrame:
-    return tx.where((F.col("src") == F.col("wallet")) & (F.col("dst") != F.col("wallet")) & (F.col("stream") == 0))
+#: Rules in their order, with what :func:`aml_facts` calls their metric and evidence.
+FACTS = {
+    "RULE-001": "large", "RULE-002": "burst", "RULE-003": "fanout", "RULE-004": "dormant", "RULE-005": "activity", "RULE-006": "round", "RULE-007": "new",
+}
+
+
+def aml_facts(tx: DataFrame, entities: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """One row a wallet with ``<fact>`` (null where undefined) and ``<fact>_evidence`` for each of the seven rules.
+
+    All windows are by wallet and all facts are one aggregate, so the transactions are dealt once; a query for a single
+    rule reads and computes only what that rule needs.
+    """
+    out = (F.col("src") == F.col("wallet")) & (F.col("dst") != F.col("wallet")) & (F.col("stream") == 0)
+    known = entities.select(F.col("address").alias("dst"), F.lit(True).alias("known"))
+    seconds = lambda n: by_wallet().orderBy("ts").rangeBetween(0, n)
+    bucket = lambda at: F.floor((at - F.min("ts").over(by_wallet())) / int(c.bucket_days * DAY))
+    rows = tx.select("wallet", "stream", "ord", "ts", "dst", "value", "tx_hash", out.alias("out"), F.when(out, S.round_amount(eth("value"))).alias("amount")).join(known, "dst", "left").withColumns({
+        "gap": F.col("ts") - F.lag("ts").over(in_order()), "after": F.count("*").over(seconds(48 * 3600)), "n": F.count(F.when(F.col("out"), 1)).over(seconds(c.burst_seconds)),
+        "b": bucket(F.col("ts")), "last_b": bucket(F.max("ts").over(by_wallet())),
+    })
+    # a recipient's first row, and the rows and first row of a round amount: windows within the wallet's own rows
+    to, same = W.partitionBy("wallet", "out", "dst").orderBy("ts", "ord"), W.partitionBy("wallet", "amount")
+    rows = rows.withColumns({
+        "opens": ~F.col("b").eqNullSafe(F.lag("b").over(in_order())), "first_to": F.col("out") & (F.col("dst") != "") & (F.row_number().over(to) == 1),
+        "alike": F.when(F.col("amount").isNotNull(), F.struct(F.count("*").over(same).alias("n"), F.min(F.struct("ts", "ord")).over(same).alias("f"))),
+    })
+    sent = F.col("out")
+    recent = sent & (F.lit(c.as_of) - F.col("ts") <= c.new_hours * 3600) & (eth("value") >= c.new_eth) & F.col("known").isNull()
+    agg = rows.groupBy("wallet").agg(
+        F.max(F.when(sent, F.struct("value", -F.col("ts"), -F.col("ord"), "tx_hash"))).alias("l"),
+        F.max(F.when(sent, F.struct("n", -F.col("ts")))).alias("m"),
+        F.count_if("first_to").alias("n_to"),
+        F.max(F.when(F.col("gap").isNotNull(), F.struct("gap", -F.col("ts"), "after"))).alias("g"),
+        F.count("*").alias("n_tx"), F.count_if("opens").alias("k"), F.count_if(F.col("b") == F.col("last_b")).alias("last"),
+        F.count("amount").alias("n_round"), F.max(F.when(F.col("amount").isNotNull(), F.struct("alike.n", -F.col("alike.f.ts"), -F.col("alike.f.ord"), F.col("amount").alias("a")))).alias("top"),
+        F.count_if(recent).alias("n_new"),
+    )
+    positive = lambda n: F.when(n > 0, n.cast("double"))
+    ratio = F.col("last") / ((F.col("n_tx") - F.col("last")) / (F.col("k") - 1))
+    return agg.select(
+        "wallet", eth(F.col("l.value")).alias("large"), F.col("l.tx_hash").alias("large_evidence"),
+        F.col("m.n").cast("double").alias("burst"), (-F.col("m.col2")).cast("string").alias("burst_evidence"),
+        positive(F.col("n_to")).alias("fanout"), F.lit("").alias("fanout_evidence"),
+        (F.col("g.gap") / DAY).alias("dormant"), F.col("g.after").cast("string").alias("dormant_evidence"),
+        F.when((F.col("k") >= 2) & (F.col("n_tx") >= 4), ratio).alias("activity"), F.col("k").cast("string").alias("activity_evidence"),
+        positive(F.col("n_round")).alias("round"), F.col("top.a").cast("string").alias("round_evidence"),
+        positive(F.col("n_new")).alias("new"), F.lit("").alias("new_evidence"),
+    )
+
+
+def severity_of(fact: str, c: Config = DEFAULT) -> Column:
+    """Severity of a fact; null where the rule doesn't fire."""
+    m = F.col(fact)
+    steps = lambda high, crit, names=("CRITICAL", "HIGH"): F.when(m >= crit, names[0]).when(m >= high, names[1])
+    return {
+        "large": lambda: steps(c.large_eth, 10 * c.large_eth), "burst": lambda: steps(c.burst_count, 3 * c.burst_count), "fanout": lambda: steps(c.fanout, 3 * c.fanout),
+        "dormant": lambda: steps(c.dormant_days, 2 * c.dormant_days), "activity": lambda: steps(c.bucket_factor, 3 * c.bucket_factor),
+        "round": lambda: steps(c.round_count, 3 * c.round_count, ("HIGH", "MEDIUM")), "new": lambda: F.when(m >= 2, "HIGH").when(m >= 1, "MEDIUM"),
+    }[fact]()
+
+
+def reasoning(fact: str) -> Column:
+    """One sentence on what a rule found, for fired rules."""
+    m, e = F.col(fact), F.col(f"{fact}_evidence")
+    return {
+        "large": F.format_string("one transfer moved %.6f ETH (%s)", m, e), "burst": F.format_string("%.0f transfers went out within one window from %s on", m, e),
+        "fanout": F.format_string("funds went to %.0f different addresses", m), "dormant": F.format_string("after %.3f silent days, %s transactions followed within two days", F.round(m, 3), e),
+        "activity": F.format_string("the last period has %.3f times the usual number of transactions, over %s active periods", F.round(m, 3), e),
+        "round": F.format_string("%.0f transfers of round amounts, most often %s ETH", m, e), "new": F.format_string("%.0f recent transfers to addresses that nobody knows", m),
+    }[fact]
+
+
+def _one(fact: str, tx: DataFrame, c: Config, entities: DataFrame | None = None) -> DataFrame:
+    entities = tx.select(F.col("src").alias("address"), F.lit("").alias("type")).where("false") if entities is None else entities
+    rows = aml_facts(tx, entities, c).where(F.col(fact).isNotNull())
+    return rows.select("wallet", F.col(fact).alias("metric"), F.col(f"{fact}_evidence").alias("evidence"), severity_of(fact, c).alias("severity"))
 
 
 def large_transfer(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """RULE-001: the largest outgoing transfer; the first of equal ones."""
-    top = _outgoing(tx).groupBy("wallet").agg(F.max(F.struct("value", -F.col("ts"), -F.col("ord"))).alias("t"))
-    amount = eth(F.col("t.value"))
-    return top.select("wallet", amount.alias("metric"), F.concat(F.lit("h"), -F.col("t.col3")).alias("evidence"), F.when(amount >= 10 * c.large_eth, "CRITICAL").when(amount >= c.large_eth, "HIGH").alias("severity"))
+    """RULE-001: the largest outgoing transfer, the first of equal ones; evidence is its hash."""
+    return _one("large", tx, c)
 
 
 def rapid_burst(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """RULE-002: most outgoing transfers within a closed forward window."""
-    n = F.count("*").over(by_wallet().orderBy("ts").rangeBetween(0, c.burst_seconds))
-    best = _outgoing(tx).select("wallet", "ts", n.alias("n")).groupBy("wallet").agg(F.max(F.struct("n", -F.col("ts"))).alias("t"))
-    metric = F.col("t.n")
-    return best.select("wallet", metric.cast("double").alias("metric"), (-F.col("t.col2")).cast("string").alias("evidence"), F.when(metric >= 3 * c.burst_count, "CRITICAL").when(metric >= c.burst_count, "HIGH").alias("severity"))
+    """RULE-002: most outgoing transfers within a closed forward window; evidence is when it begins."""
+    return _one("burst", tx, c)
 
 
 def high_fanout(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """RULE-003: distinct recipients."""
-    n = F.col("n")
-    rows = _outgoing(tx).where("dst <> ''").groupBy("wallet").agg(F.countDistinct("dst").alias("n"))
-    return rows.select("wallet", n.cast("double").alias("metric"), F.lit("").alias("evidence"), F.when(n >= 3 * c.fanout, "CRITICAL").when(n >= c.fanout, "HIGH").alias("severity"))
+    return _one("fanout", tx, c)
 
 
 def dormant_activation(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """RULE-004: the largest gap between transactions, the first of equal ones; evidence counts what follows within 48 h."""
-    gap = F.col("ts") - F.lag("ts").over(in_order())
-    after = F.count("*").over(by_wallet().orderBy("ts").rangeBetween(0, 48 * 3600))
-    best = tx.select("wallet", "ts", "ord", gap.alias("gap"), after.alias("after")).where("gap IS NOT NULL").groupBy("wallet").agg(F.max(F.struct("gap", -F.col("ts"), "after")).alias("t"))
-    days = F.col("t.gap") / DAY
-    return best.select("wallet", days.alias("metric"), F.col("t.after").cast("string").alias("evidence"), F.when(days >= 2 * c.dormant_days, "CRITICAL").when(days >= c.dormant_days, "HIGH").alias("severity"))
+    return _one("dormant", tx, c)
 
 
 def activity_burst(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """RULE-005: the last tumbling bucket since the first transaction against the mean of earlier ones that aren't empty."""
-    bucket = F.floor((F.col("ts") - F.min("ts").over(by_wallet())) / int(c.bucket_days * DAY))
-    counts = tx.select("wallet", bucket.alias("b")).groupBy("wallet", "b").agg(F.count("*").alias("n"))
-    folded = counts.groupBy("wallet").agg(F.max_by("n", "b").alias("last"), F.sum("n").alias("all"), F.count("*").alias("k"))
-    ratio = F.col("last") / ((F.col("all") - F.col("last")) / (F.col("k") - 1))
-    rows = folded.where("k >= 2 AND all >= 4").withColumn("r", ratio)
-    return rows.select("wallet", F.col("r").alias("metric"), F.col("k").cast("string").alias("evidence"), F.when(F.col("r") >= 3 * c.bucket_factor, "CRITICAL").when(F.col("r") >= c.bucket_factor, "HIGH").alias("severity"))
+    return _one("activity", tx, c)
 
 
 def round_numbers(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """RULE-006: outgoing transfers of round amounts; evidence is the most usual amount, the first seen of equal ones."""
-    rows = _outgoing(tx).select("wallet", "ts", "ord", S.round_amount(eth("value")).alias("a")).where("a IS NOT NULL")
-    counts = rows.groupBy("wallet", "a").agg(F.count("*").alias("n"), F.min(F.struct("ts", "ord")).alias("f"))
-    folded = counts.groupBy("wallet").agg(F.sum("n").alias("n"), F.max(F.struct("n", -F.col("f.ts"), -F.col("f.ord"), "a")).alias("t"))
-    return folded.select("wallet", F.col("n").cast("double").alias("metric"), F.col("t.a").cast("string").alias("evidence"), F.when(F.col("n") >= 3 * c.round_count, "HIGH").when(F.col("n") >= c.round_count, "MEDIUM").alias("severity"))
+    return _one("round", tx, c)
 
 
 def new_wallet(tx: DataFrame, entities: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """RULE-007: recent outgoing transfers to addresses that no entity owns. The age is the transaction's."""
-    known = entities.select(F.col("address").alias("dst"))
-    recent = _outgoing(tx).where((F.lit(c.as_of) - F.col("ts") <= c.new_hours * 3600) & (eth("value") >= c.new_eth)).join(known, "dst", "left_anti")
-    n = F.col("n")
-    return recent.groupBy("wallet").agg(F.count("*").alias("n")).select("wallet", n.cast("double").alias("metric"), F.lit("").alias("evidence"), F.when(n >= 2, "HIGH").otherwise("MEDIUM").alias("severity"))
+    return _one("new", tx, c, entities)
 
 
 def aml_rules(tx: DataFrame, entities: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """``wallet, rule_id, severity, metric, evidence`` for every wallet and rule; severity is null where it didn't fire."""
-    found = {
-        "RULE-001": large_transfer(tx, c), "RULE-002": rapid_burst(tx, c), "RULE-003": high_fanout(tx, c), "RULE-004": dormant_activation(tx, c),
-        "RULE-005": activity_burst(tx, c), "RULE-006": round_numbers(tx, c), "RULE-007": new_wallet(tx, entities, c),
-    }
-    out = None
-    for rule, rows in found.items():
-        part = rows.select("wallet", F.lit(rule).alias("rule_id"), "severity", F.round("metric", 6).alias("metric"), "evidence")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``wallet, rule_id, severity, metric, evidence, reasoning`` for every wallet and rule with a metric; severity is null where it didn't fire."""
+    each = F.array(*[
+        F.struct(F.lit(r).alias("rule_id"), severity_of(f, c).alias("severity"), F.round(f, 6).alias("metric"), F.col(f"{f}_evidence").alias("evidence"), F.when(severity_of(f, c).isNotNull(), reasoning(f)).alias("reasoning"))
+        for r, f in FACTS.items()
+    ])
+    return aml_facts(tx, entities, c).select("wallet", F.explode(each).alias("x")).select("wallet", "x.*").where("metric IS NOT NULL")
 
 
 def entity_flags(tx: DataFrame, entities: DataFrame) -> DataFrame:
@@ -123,6 +171,10 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 80, "CRITICAL").when(score >= 50, "HIGH").when(score >= 25, "MEDIUM").otherwise("LOW")
 
 
+def level_rank(level: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in ("LOW", "MEDIUM", "HIGH", "CRITICAL")]), level)
+
+
 def aml_risk(rules: DataFrame, flags: DataFrame) -> DataFrame:
     """Risk score, 0 to 100, its level, and the findings by severity."""
     counts = rules.groupBy("wallet").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in POINTS])
@@ -131,5 +183,23 @@ def aml_risk(rules: DataFrame, flags: DataFrame) -> DataFrame:
     return joined.withColumn("risk_score", F.least(F.lit(100), points).cast("long")).withColumn("risk_level", risk_level(F.col("risk_score")))
 
 
+def investigation(risks: DataFrame, cases: DataFrame) -> DataFrame:
+    """Risk of whole investigations ``cases(case_id, wallet)``: the greatest score and its level (the gravest of equal scores), findings and flags of all wallets."""
+    rows = cases.join(risks, "wallet").withColumn("grade", level_rank(F.col("risk_level")))
+    return rows.groupBy("case_id").agg(
+        F.max("risk_score").alias("risk_score"), F.max_by("risk_level", F.struct("risk_score", "grade")).alias("risk_level"), F.count("*").alias("n_wallets"),
+        *[F.sum(f"n_{s.lower()}").alias(f"n_{s.lower()}") for s in POINTS], *[F.bool_or(f).alias(f) for f in ("mixer", "cex", "bridge")],
+    )
+
+
+def escalated(risks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``risks`` of wallets with those of their life-cycle verdict: the greater score, and the level at least what the verdict calls for."""
+    least = F.when(F.col("verdict") == "HIGH_CONFIDENCE_RUGPULL", "CRITICAL").when(F.col("verdict") == "STRONG_PATTERN", "HIGH").when(F.col("verdict") == "MODERATE_PATTERN", "MEDIUM").otherwise("LOW")
+    rows = risks.join(verdicts.select("wallet", "verdict", F.col("score").alias("lifecycle_score")), "wallet", "left").withColumn("least", least)
+    score = F.greatest("risk_score", F.coalesce("lifecycle_score", F.lit(0)))
+    level = F.when(level_rank(F.col("least")) > level_rank(F.col("risk_level")), F.col("least")).otherwise(F.col("risk_level"))
+    return rows.withColumns({"risk_score": score, "risk_level": level}).drop("least")
+
+
 def top_by(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)

@@ -63,3 +63,39 @@ def dedup_internal(rows: DataFrame) -> DataFrame:
     trace = F.coalesce("trace_id", "log_index", "type", F.lit(""))
     first = F.row_number().over(W.partitionBy("wallet", "tx_hash", trace).orderBy("fetch", "ord"))
     return rows.withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def newest_first(rows: DataFrame, at: str, key: str, number: int = 1, size: int = 20) -> DataFrame:
+    """A page of cases or reports, the newest first."""
+    return page(rows, [F.desc(at), F.col(key)], number, size)
+
+
+def counts(rows: DataFrame, by: list[str], where: Column | str | None = None) -> DataFrame:
+    """Rows that meet a predicate, counted by some columns."""
+    return (rows if where is None else rows.where(where)).groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def parsed_json(c: Column, schema: str) -> Column:
+    """A JSON blob as a struct; null where it can't be read."""
+    return F.from_json(c, schema, {"mode": "PERMISSIVE"})
+
+
+#: Bounds of a request: field, least, most.
+BOUNDS = [("depth", 1, 3), ("lookback_days", 1, 3650), ("max_transactions", 10, 1000)]
+
+
+def request_faults(requests: DataFrame) -> DataFrame:
+    """``requests`` with ``faults``: the fields out of bounds, an address of another form among them; an empty array if all is well."""
+    from ..functions.scalars import is_address
+
+    out = lambda c, low, high: F.when(~F.coalesce(F.col(c).between(low, high), F.lit(False)), c)
+    found = F.array(F.when(~is_address(F.col("wallet_address")), "wallet_address"), *[out(*b) for b in BOUNDS])
+    return requests.withColumn("faults", F.filter(found, lambda x: x.isNotNull()))
+
+
+def assertions(evidence: DataFrame, cases: DataFrame) -> DataFrame:
+    """``problem, n``: evidence without a case, of no known severity, or under an id that occurs again; no row if all is well."""
+    lost = evidence.join(cases.select("case_id"), "case_id", "left_anti").select(F.lit("no case").alias("problem"))
+    odd = evidence.where(~F.coalesce(F.col("severity").isin(SEVERITY), F.lit(False))).select(F.lit("severity").alias("problem"))
+    twice = evidence.groupBy("evidence_id").count().where("count > 1").select(F.lit("repeated id").alias("problem"))
+    return lost.unionByName(odd).unionByName(twice).groupBy("problem").agg(F.count("*").alias("n"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import DEFAULT, SOURCES, Config, eth
+from ..scratch import materialise
 from .lifecycle import first_deployment, inbound
 
 
@@ -56,24 +58,30 @@ def edges(tx: DataFrame, least_wei: int = 1) -> DataFrame:
 def min_hops(tx: DataFrame, entities: DataFrame, depth: int = 5) -> DataFrame:
     """FP2: fewest hops from any known entity to the wallet, in its own graph; null beyond ``depth``.
 
-    Level by level backwards from the wallet, the frontier made distinct each time. A node that comes again at a later
-    level can't lower the minimum, so no level looks at those before it and the plan stays linear in the depth.
+    Level by level backwards from the wallet. Each level's distinct new nodes are stored before the next reads them, so
+    a lost executor costs a re-read and the plan doesn't grow with the depth; nodes met before don't go on again.
     """
-    graph = edges(tx)
+    graph = materialise(edges(tx), "edges")
     wallets = tx.select("wallet").distinct()
-    frontier = wallets.select("wallet", F.col("wallet").alias("node"))
-    seen = frontier.withColumn("hops", F.lit(0))
+    frontier = materialise(wallets.select("wallet", F.col("wallet").alias("node"), F.lit(0).alias("hops")), "level")
+    levels = [frontier]
     for level in range(1, depth + 1):
-        frontier = frontier.select("wallet", F.col("node").alias("dst")).join(graph, ["wallet", "dst"]).select("wallet", F.col("src").alias("node")).distinct()
-        seen = seen.unionByName(frontier.withColumn("hops", F.lit(level)))
-    reached = seen.join(entities.select(F.col("address").alias("node")), "node", "left_semi").groupBy("wallet").agg(F.min("hops").alias("fp_min_hops"))
+        step = frontier.select("wallet", F.col("node").alias("dst")).join(graph, ["wallet", "dst"]).select("wallet", F.col("src").alias("node")).distinct()
+        frontier = materialise(step.join(union(levels).select("wallet", "node"), ["wallet", "node"], "left_anti").withColumn("hops", F.lit(level)), "level")
+        levels.append(frontier)
+    reached = union(levels).join(entities.select(F.col("address").alias("node")), "node", "left_semi").groupBy("wallet").agg(F.min("hops").alias("fp_min_hops"))
     return wallets.join(reached, "wallet", "left")
 
 
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def upstream_funders(tx: DataFrame, entities: DataFrame, noise: list[str], depth: int = 3, c: Config = DEFAULT, scope: str = "ego") -> DataFrame:
     """``wallet, funder, depth``: senders up to three hops upstream that are neither noise nor infrastructure.
 
-    ``scope='ego'`` follows the wallet's own transactions, ``'global'`` those of all wallets.
+    ``scope='ego'`` follows the wallet's own transactions, ``'global'`` those of all wallets. Levels are stored as in
+    :func:`min_hops`.
     """
     graph = edges(tx, c.min_edge_wei)
     public = entities.where(F.col("type").isin("CEX", "BRIDGE", "MIXER", "DEX")).select(F.col("address").alias("src"))
@@ -81,51 +89,69 @@ def upstream_funders(tx: DataFrame, entities: DataFrame, noise: list[str], depth
     key = ["wallet", "dst"]
     if scope == "global":
         graph, key = graph.select("src", "dst").distinct(), ["dst"]
-    frontier = tx.select("wallet").distinct().select("wallet", F.col("wallet").alias("node"))
-    seen = None
+    graph = materialise(graph, "upstream")
+    frontier = tx.select("wallet").distinct().select("wallet", F.col("wallet").alias("node"), F.lit(0).alias("depth"))
+    levels = [frontier]
     for level in range(1, depth + 1):
-        frontier = frontier.select("wallet", F.col("node").alias("dst")).join(graph, key).select("wallet", F.col("src").alias("node")).distinct()
-        rows = frontier.withColumn("depth", F.lit(level))
-        seen = rows if seen is None else seen.unionByName(rows)
-    found = seen.where("node <> wallet").groupBy("wallet", "node").agg(F.min("depth").alias("depth"))
-    return found.withColumnRenamed("node", "funder")
+        step = frontier.select("wallet", F.col("node").alias("dst")).join(graph, key).select("wallet", F.col("src").alias("node")).distinct()
+        frontier = materialise(step.join(union(levels).select("wallet", "node"), ["wallet", "node"], "left_anti").withColumn("depth", F.lit(level)), "level")
+        levels.append(frontier)
+    return union(levels[1:]).where("node <> wallet").withColumnRenamed("node", "funder").select("wallet", "funder", "depth")
+
+
+def shared_funder_flags(links: DataFrame) -> DataFrame:
+    """``wallet, fp_shared_funder``: whether any of its funders funds another wallet too; a count by funder, no pairs."""
+    a = links.select("wallet", "funder").distinct()
+    shared = a.groupBy("funder").agg((F.count("*") > 1).alias("s"))
+    return a.join(shared, "funder").groupBy("wallet").agg(F.bool_or("s").alias("fp_shared_funder"))
 
 
 def shared_funders(links: DataFrame, mode: str = "closed_world", order: DataFrame | None = None) -> DataFrame:
     """FP4: ``wallet, n_shared``, the wallets that share an upstream funder with it.
 
-    ``closed_world`` is symmetric; ``sequential`` counts earlier wallets only, by ``order(wallet, seq)``.
+    ``closed_world`` is symmetric; ``sequential`` counts earlier wallets only, by ``order(wallet, seq)``. In the closed
+    world no pairs are made: the wallets of each funder are bitmaps, and a wallet's neighbours the union of its funders'
+    bitmaps, exact in an eighth of a byte a wallet. ``sequential`` pairs wallets and is for cohorts.
     """
     a = links.select("wallet", "funder").distinct()
     if mode == "sequential":
         a = a.join(order, "wallet")
-    else:
-        a = a.withColumn("seq", F.lit(0))
-    b = a.select(F.col("wallet").alias("other"), "funder", F.col("seq").alias("other_seq"))
-    pairs = a.join(b, "funder").where("wallet <> other")
-    if mode == "sequential":
-        pairs = pairs.where("other_seq < seq")
-    n = pairs.groupBy("wallet").agg(F.countDistinct("other").alias("n_shared"))
-    return a.select("wallet").distinct().join(n, "wallet", "left").na.fill(0)
+        b = a.select(F.col("wallet").alias("other"), "funder", F.col("seq").alias("other_seq"))
+        n = a.join(b, "funder").where("other_seq < seq").groupBy("wallet").agg(F.countDistinct("other").alias("n_shared"))
+        return a.select("wallet").distinct().join(n, "wallet", "left").na.fill(0)
+    # numbers are given once, in a stored table, so that they hold whatever is computed again
+    numbers = materialise(a.select("wallet").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    placed = a.join(numbers, "wallet").withColumns({"bucket": F.call_function("bitmap_bucket_number", "number"), "bit": F.call_function("bitmap_bit_position", "number")})
+    held = placed.groupBy("funder", "bucket").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
+    met = a.join(held, "funder").groupBy("wallet", "bucket").agg(F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
+    return met.groupBy("wallet").agg((F.sum(F.call_function("bitmap_count", F.col("bits"))) - 1).alias("n_shared"))
 
 
 def funder_jaccard(links: DataFrame) -> DataFrame:
-    """``wallet, fp_max_funder_jaccard``: the greatest overlap of its funders with another wallet's; inverted index, no cross join."""
+    """``wallet, fp_max_funder_jaccard``: the greatest overlap of its funders with another wallet's.
+
+    Wallets with equal funder sets (by two hashes over the set) are one: they reach 1.0, and only unlike sets are compared,
+    by an inverted index over their funders.
+    """
     a = links.select("wallet", "funder").distinct()
-    size = a.groupBy("wallet").agg(F.count("*").alias("n"))
-    b = a.select(F.col("wallet").alias("other"), "funder")
-    both = a.join(b, "funder").where("wallet <> other").groupBy("wallet", "other").agg(F.count("*").alias("i"))
-    sized = both.join(size, "wallet").join(size.select(F.col("wallet").alias("other"), F.col("n").alias("m")), "other")
-    best = sized.groupBy("wallet").agg(F.max(F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).alias("fp_max_funder_jaccard"))
-    return size.select("wallet").join(best, "wallet", "left").na.fill(0.0)
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("funder")).cast("decimal(38,0)"))
+    marks = a.groupBy("wallet").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y"))
+    sets = materialise(marks.groupBy("n", "x", "y").agg(F.min("wallet").alias("set"), F.count("*").alias("m")), "sets")
+    held = a.join(sets.select(F.col("set").alias("wallet")), "wallet", "left_semi").withColumnRenamed("wallet", "set")
+    both = held.join(held.withColumnRenamed("set", "other"), "funder").where("set <> other").groupBy("set", "other").agg(F.count("*").alias("i"))
+    size = sets.select("set", "n")
+    sized = both.join(size, "set").join(size.select(F.col("set").alias("other"), F.col("n").alias("n2")), "other")
+    best = sized.groupBy("set").agg(F.max(F.col("i") / (F.col("n") + F.col("n2") - F.col("i"))).alias("best"))
+    of = sets.join(best, "set", "left").select("n", "x", "y", F.when(F.col("m") > 1, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("fp_max_funder_jaccard"))
+    return marks.join(of, ["n", "x", "y"]).select("wallet", "fp_max_funder_jaccard")
 
 
 def funding_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, noise: list[str], c: Config = DEFAULT) -> DataFrame:
     """All funding features for every wallet."""
     links = upstream_funders(tx, entities, noise, c=c)
     out = first_source(tx, entities, ages, c).join(seed_features(tx, entities, ages, c), "wallet", "left").join(min_hops(tx, entities), "wallet", "left")
-    out = out.join(shared_funders(links), "wallet", "left").join(funder_jaccard(links), "wallet", "left")
-    return out.withColumn("fp_shared_funder", F.coalesce(F.col("n_shared") > 0, F.lit(False))).drop("n_shared").na.fill(0, ["fp_seed_count"])
+    out = out.join(shared_funder_flags(links), "wallet", "left").join(funder_jaccard(links), "wallet", "left")
+    return out.na.fill(False, ["fp_shared_funder"]).na.fill(0, ["fp_seed_count"])
 
 
 # --- tracing ---
@@ -155,26 +181,35 @@ def accept(candidates: DataFrame, key: str, order: list[Column], budget: int) ->
     return kept.where(F.col("n_nodes") + F.col("rank") <= budget)
 
 
-def trace(tx: DataFrame, roots: DataFrame, entities: DataFrame, depth: int = 3, min_eth: float = 0.05, fanout: int = 50) -> DataFrame:
-    """Bounded breadth-first trace: ``root, node, depth, decision`` of every node reached.
+def trace(tx: DataFrame, roots: DataFrame, entities: DataFrame, depth: int = 3, min_eth: float = 0.05, fanout: int = 50, max_nodes: int = 500) -> DataFrame:
+    """Bounded breadth-first trace: ``root, node, depth, decision, reason`` of every node reached.
 
-    Only EXPAND nodes go on, SAMPLE nodes with their largest edges; a node is visited once for each root.
+    Only EXPAND nodes go on, SAMPLE nodes with their largest edges; a node is visited once for each root. A root has room
+    for ``max_nodes`` nodes that may go on (itself among them): of a level's the largest come first, those beyond are
+    skipped for the budget, and so are all nodes of later levels. Every level is stored before the next reads it.
     """
     links = counterparties(tx).groupBy("wallet", "other").agg(F.max("value").alias("value"))
-    wide = links.groupBy("wallet").agg(F.count("*").alias("n_counterparties"))
+    placed = materialise(links.withColumn("place", F.row_number().over(W.partitionBy("wallet").orderBy(F.desc("value"), "other"))), "links")
+    wide = placed.groupBy(F.col("wallet").alias("other")).agg(F.count("*").alias("n_counterparties"))
     kinds = entities.select(F.col("address").alias("other"), "type")
-    sampled = links.withColumn("place", F.row_number().over(W.partitionBy("wallet").orderBy(F.desc("value"), "other")))
-    seen = roots.select(F.col("wallet").alias("root"), F.col("wallet").alias("node"), F.lit(0).alias("depth"), F.lit("EXPAND").alias("decision"))
-    frontier = seen
+    kept = ["root", "node", "depth", "decision", "reason"]
+    levels = [materialise(roots.select(F.col("wallet").alias("root"), F.col("wallet").alias("node"), F.lit(0).alias("depth"), F.lit("EXPAND").alias("decision"), F.lit("ok").alias("reason")), "trace")]
     for level in range(1, depth + 1):
-        going = frontier.where("decision IN ('EXPAND', 'SAMPLE')").select("root", F.col("node").alias("wallet"), "decision")
-        step = going.join(sampled, "wallet").where(f"decision = 'EXPAND' OR place <= {max(5, fanout // 5)}")
+        seen = union(levels)
+        going = levels[-1].where("decision IN ('EXPAND', 'SAMPLE')").select("root", F.col("node").alias("wallet"), "decision")
+        step = going.join(placed, "wallet").where(f"decision = 'EXPAND' OR place <= {max(5, fanout // 5)}")
         step = step.groupBy("root", "other").agg(F.max("value").alias("value")).join(seen.select("root", F.col("node").alias("other")), ["root", "other"], "left_anti")
-        step = step.join(kinds, "other", "left").join(wide.withColumnRenamed("wallet", "other"), "other", "left")
-        rows = step.withColumns({"traced": F.lit(False), "n_nodes": F.lit(0), "halt": F.coalesce(F.col("type").isin("CEX", "MIXER", "BRIDGE"), F.lit(False)), "dex": F.coalesce(F.col("type") == "DEX", F.lit(False))})
-        frontier = prune(rows, min_eth, fanout=fanout).select("root", F.col("other").alias("node"), F.lit(level).alias("depth"), "decision")
-        seen = seen.unionByName(frontier)
-    return seen
+        used = seen.groupBy("root").agg(F.count_if(F.col("decision").isin("EXPAND", "SAMPLE")).alias("n_nodes"))
+        rows = step.join(kinds, "other", "left").join(wide, "other", "left").join(used, "root").withColumns({
+            "traced": F.lit(False), "halt": F.coalesce(F.col("type").isin("CEX", "MIXER", "BRIDGE"), F.lit(False)), "dex": F.coalesce(F.col("type") == "DEX", F.lit(False)), "n_counterparties": F.coalesce("n_counterparties", F.lit(0)),
+        })
+        decided = prune(rows, min_eth, max_nodes, fanout)
+        goes = F.col("decision").isin("EXPAND", "SAMPLE")
+        rank = F.row_number().over(W.partitionBy("root", goes).orderBy(F.desc("value"), "other"))
+        over = goes & (F.col("n_nodes") + rank > max_nodes)
+        out = decided.withColumn("over", over).select("root", F.col("other").alias("node"), F.lit(level).alias("depth"), F.when(F.col("over"), "SKIP").otherwise(F.col("decision")).alias("decision"), F.when(F.col("over"), "budget").otherwise(F.col("reason")).alias("reason"))
+        levels.append(materialise(out.select(*kept), "trace"))
+    return union(levels)
 
 
 def trace_scores(tx: DataFrame, traced: DataFrame, flagged: DataFrame, as_of: int, weights: tuple[float, float, float, float] = (0.30, 0.20, 0.30, 0.20)) -> DataFrame:
@@ -205,3 +240,23 @@ def graph(tx: DataFrame, flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node", F.coalesce("_f", F.lit(False)).alias("is_flagged")), edge_rows
 
 
+def renderer(n_nodes: Column, canvas: int = 500, webgl: int = 5000) -> Column:
+    """How a graph of so many nodes is best drawn."""
+    return F.when(n_nodes >= webgl, "webgl").when(n_nodes >= canvas, "canvas").otherwise("svg")
+
+
+def graph_summary(tx: DataFrame) -> DataFrame:
+    """``wallet, n_nodes, n_edges, renderer`` of every wallet's own graph."""
+    links = tx.where("src <> '' AND dst <> ''").select("wallet", "src", "dst", "tx_hash").distinct()
+    nodes = links.select("wallet", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("wallet").agg(F.count("*").alias("n_nodes"))
+    return nodes.join(links.groupBy("wallet").agg(F.count("*").alias("n_edges")), "wallet").withColumn("renderer", renderer(F.col("n_nodes")))
+
+
+#: Candidates that are taken up at each depth of a trace; beyond, the default.
+TOP_BY_DEPTH, TOP_DEFAULT = {1: 3, 2: 3, 3: 7}, 3
+
+
+def top_of_depth(rows: DataFrame, key: str, order: list[Column], depth: Column) -> DataFrame:
+    """The best rows of each ``key``, as many as their depth calls for, with their ``rank``."""
+    most = reduce(lambda acc, x: F.when(depth == x[0], x[1]).otherwise(acc), TOP_BY_DEPTH.items(), F.lit(TOP_DEFAULT))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= most)

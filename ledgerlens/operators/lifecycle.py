@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
+from ..scratch import materialise
 from ..schema import ADD_LIQUIDITY, DEFAULT, OWNERSHIP, REMOVE_LIQUIDITY, SIGNIFICANT, TOKEN_TRANSFER, WEI, Config, by_wallet, eth, in_order
 
 HOUR = 3600
@@ -31,10 +32,22 @@ def inbound(tx: DataFrame, own: bool = True) -> DataFrame:
     return rows if own else rows.where("src <> wallet")
 
 
+def within(deploys: DataFrame, rows: DataFrame, low: int, high: int) -> DataFrame:
+    """Interval join: rows of a deployment's wallet with ``low <= ts - d_ts < high`` seconds.
+
+    Rows go by (wallet, bucket of the interval's width), and a deployment looks at the two buckets its interval may
+    touch, so a busy wallet costs the rows near its deployments, not all of its rows for each of them.
+    """
+    width = high - low
+    first = F.expr(f"(d_ts + {low}) div {width}")
+    buckets = deploys.withColumn("bucket", F.explode(F.array(first, first + 1)))
+    placed = rows.withColumn("bucket", F.expr(f"ts div {width}"))
+    return buckets.join(placed, ["wallet", "bucket"]).where((F.col("ts") >= F.col("d_ts") + low) & (F.col("ts") < F.col("d_ts") + high)).drop("bucket")
+
+
 def before_each(deploys: DataFrame, rows: DataFrame, hours: int) -> DataFrame:
-    """Interval join: rows within ``hours`` before a deployment of the same wallet, its own time left out."""
-    near = (F.col("ts") >= F.col("d_ts") - hours * HOUR) & (F.col("ts") < F.col("d_ts"))
-    return deploys.join(rows, "wallet").where(near)
+    """Rows within ``hours`` before a deployment of the same wallet, its own time left out."""
+    return within(deploys, rows, -hours * HOUR, 0)
 
 
 def funding_lags(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -61,37 +74,47 @@ def setup_sequences(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return near.groupBy("wallet", "d_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ord", "sel"))), lambda x: x.sel).alias("seq"))
 
 
-def sequence_similarity(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """mean pairwise similarity of a wallet's setup sequences.
+def sequence_similarity(tx: DataFrame, c: Config = DEFAULT, seqs: DataFrame | None = None) -> DataFrame:
+    """mean pairwise similarity of a wallet's setup sequences; ``seqs`` may come from :func:`setup_sequences`.
 
     Selectors of a wallet are numbered and written as one character each, so that the built-in Levenshtein distance
-    applies to token sequences.
+    applies to token sequences; surrogates are stepped over, and a wallet with more selectors than there are characters
+    ends the query. Equal sequences are compared once, with their multiplicities.
     """
-    seqs = setup_sequences(tx, c)
-    known = seqs.groupBy("wallet").agg(F.array_distinct(F.flatten(F.collect_list("seq"))).alias("known"))
-    # characters from the CJK block on: all of one UTF-16 unit, 20,000 of them
-    coded = seqs.join(known, "wallet").withColumn("code", F.concat_ws("", F.transform("seq", lambda s: F.decode(F.unhex(F.hex(F.lit(0x4E00) + F.array_position("known", s))), "UTF-16BE"))))
-    a, b = coded.select("wallet", F.col("d_ord").alias("i"), F.col("code").alias("a")), coded.select("wallet", F.col("d_ord").alias("j"), F.col("code").alias("b"))
+    seqs = setup_sequences(tx, c) if seqs is None else seqs
+    known = seqs.select("wallet", F.explode("seq").alias("x")).distinct().groupBy("wallet").agg(F.array_sort(F.collect_list("x")).alias("known"))
+    place = lambda s: F.lit(0xFF) + F.array_position("known", s)
+    point = lambda s: F.when(place(s) < 0xD800, place(s)).when(place(s) < 0x10F800, place(s) + 0x800).otherwise(F.raise_error(F.lit("too many selectors in one wallet")))
+    one = lambda s: F.decode(F.unhex(F.lpad(F.hex(point(s)), 8, "0")), "UTF-32")
+    coded = seqs.join(known, "wallet").select("wallet", F.concat_ws("", F.transform("seq", one)).alias("code")).groupBy("wallet", "code").agg(F.count("*").alias("m"))
+    a, b = coded.select("wallet", F.col("code").alias("a"), F.col("m").alias("ma")), coded.select("wallet", F.col("code").alias("b"), F.col("m").alias("mb"))
     like = 1.0 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    return a.join(b, "wallet").where("i < j").groupBy("wallet").agg(F.avg(like).alias("f7"))
+    unlike = a.join(b, "wallet").where("a < b").groupBy("wallet").agg(F.sum(F.col("ma") * F.col("mb") * like).alias("x"))
+    sizes = coded.groupBy("wallet").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same")).where("n > 1")
+    return sizes.join(unlike, "wallet", "left").select("wallet", ((F.coalesce("x", F.lit(0.0)) + F.col("same")) / (F.col("n") * (F.col("n") - 1) / 2)).alias("f7"))
 
 
 def ownership_transfers(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """``wallet, d_ord, new_owner``: the first transfer of ownership within hours after each deployment."""
     calls = outgoing(tx).select("wallet", "ts", "nonce", F.concat(F.lit("0x"), S.selector(F.col("input"))).alias("sel"), S.abi_address(F.col("input")).alias("owner"))
     calls = calls.where(F.col("sel").isin(OWNERSHIP)).where("owner IS NOT NULL AND owner <> wallet")
-    near = (F.col("ts") > F.col("d_ts")) & (F.col("ts") <= F.col("d_ts") + c.owner_hours * HOUR)
-    return deployments(tx).select("wallet", "d_ord", "d_ts").join(calls, "wallet").where(near).groupBy("wallet", "d_ord").agg(F.min_by("owner", "nonce").alias("new_owner"))
+    near = within(deployments(tx).select("wallet", "d_ord", "d_ts"), calls, 1, c.owner_hours * HOUR + 1)
+    return near.groupBy("wallet", "d_ord").agg(F.min_by("owner", "nonce").alias("new_owner"))
 
 
 def deploy_features(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """One row a deployment: warm-up, funder and lag, dry runs, length of the setup, new owner."""
+    """One row a deployment: warm-up, funder and lag, dry runs, the selectors of its setup (``seq``, null if none), new owner."""
     first = tx.groupBy("wallet").agg(F.min("ts").alias("first_ts"))
     key = ["wallet", "d_ord"]
     out = deployments(tx).select("wallet", "d_ord", "d_ts", "d_contract").join(first, "wallet")
     out = out.withColumn("warmup_hours", F.greatest(F.lit(0.0), (F.col("d_ts") - F.col("first_ts")) / 3600.0)).drop("first_ts")
     out = out.join(funding_lags(tx, c), key, "left").join(dry_runs(tx, c), key, "left").join(setup_sequences(tx, c), key, "left").join(ownership_transfers(tx, c), key, "left")
-    return out.withColumns({"n_dry": F.coalesce("n_dry", F.lit(0)), "n_setup": F.coalesce(F.size("seq"), F.lit(0))}).withColumn("n_setup", F.greatest("n_setup", F.lit(0))).drop("seq")
+    return out.withColumns({"n_dry": F.coalesce("n_dry", F.lit(0)), "n_setup": F.coalesce(F.array_size("seq"), F.lit(0))})
+
+
+def funding_sources(tx: DataFrame) -> DataFrame:
+    """``wallet, funder``: distinct senders of value to a wallet, itself and the empty address left out."""
+    return inbound(tx, own=False).where("src <> ''").select("wallet", F.col("src").alias("funder")).distinct()
 
 
 def burstiness(rows: DataFrame, at: str = "ts") -> DataFrame:
@@ -116,18 +139,20 @@ def entropy(rows: DataFrame, least: int = 1) -> DataFrame:
 
 
 def pre_features(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Features F1 to F7 for every wallet; null where undefined."""
+    """Features F1 to F7 for every wallet, and how many distinct sources funded it; null where undefined."""
     wallets = tx.select("wallet").distinct()
     lag = F.col("lag_hours")
-    deploys = deploy_features(tx, c).groupBy("wallet").agg(
+    each = materialise(deploy_features(tx, c), "deployments")
+    deploys = each.groupBy("wallet").agg(
         F.min("warmup_hours").alias("f1_warmup_hours"),
         F.when((F.count(lag) >= 2) & (F.avg(lag) > 0), F.stddev_samp(lag) / F.avg(lag)).alias("f2_funding_cv"),
         F.sum("n_dry").alias("f3_dry_run_count"), F.count("*").alias("f4_deployment_count"), F.count("new_owner").alias("ownership_transfer_count"),
     )
-    out = wallets.join(deploys, "wallet", "left").na.fill(0, ["f3_dry_run_count", "f4_deployment_count", "ownership_transfer_count"])
-    out = out.join(burstiness(deployments(tx), "d_ts").withColumnRenamed("burst", "f4_burstiness"), "wallet", "left")
+    zero = ["f3_dry_run_count", "f4_deployment_count", "ownership_transfer_count", "funding_source_count"]
+    out = wallets.join(deploys, "wallet", "left").join(funding_sources(tx).groupBy("wallet").agg(F.count("*").alias("funding_source_count")), "wallet", "left").na.fill(0, zero)
+    out = out.join(burstiness(each, "d_ts").withColumnRenamed("burst", "f4_burstiness"), "wallet", "left")
     out = out.join(gap_entropy(tx).withColumnRenamed("h", "f5_nonce_entropy"), "wallet", "left")
-    out = out.join(sequence_similarity(tx, c).withColumnRenamed("f7", "f7_within_wallet_sim"), "wallet", "left")
+    out = out.join(sequence_similarity(tx, c, each.where("seq IS NOT NULL")).withColumnRenamed("f7", "f7_within_wallet_sim"), "wallet", "left")
     return out.withColumn("new_a_single_deploy", F.col("f4_deployment_count") == 1)
 
 
@@ -151,14 +176,16 @@ def cashout_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, c: Con
     took = sent & (ts >= F.col("d0")) & sel.isin(*REMOVE_LIQUIDITY, TOKEN_TRANSFER)
     unknown = out & F.col("dst_type").isNull()
     young = unknown & ((F.col("d0") - F.col("dst_first")) / 86400.0 < 7)
-    rows = rows.withColumn("_drawn_at", F.min(F.when(took, ts)).over(in_order()))
+    # whether a row is the first to its destination among those that go out: what kind of destination it is depends on that alone
+    once = F.row_number().over(W.partitionBy("wallet", F.coalesce(out, F.lit(False)), "dst").orderBy("ts", "stream", "ord")) == 1
+    rows = rows.withColumns({"_drawn_at": F.min(F.when(took, ts)).over(in_order()), "_once": once})
     swap = sent & (F.col("dst_type") == "DEX") & F.col("_drawn_at").isNotNull() & (ts - F.col("_drawn_at")).between(0, 86399)
     total = lambda cond: F.coalesce(F.sum(F.when(cond, v)), F.lit(0)).cast("decimal(38,0)")
     agg = rows.groupBy("wallet").agg(
         F.min(F.when(victim, ts)).alias("_v1"), F.min(F.when(drawn, ts)).alias("_w1"), F.max(F.when(drawn, ts)).alias("_w2"), F.count_if(drawn).alias("cp2_withdrawal_count"),
         total(victim).alias("_victim"), total(drawn).alias("_drawn"), F.count(amount).alias("cp3_outflow_count"), F.avg(amount).alias("_m"), F.stddev_samp(amount).alias("_s"),
         F.avg(F.when(out, S.is_round_half(eth("value")).cast("int"))).alias("_round"),
-        F.countDistinct(F.when(out, F.col("dst"))).alias("_dests"), F.countDistinct(F.when(unknown, F.col("dst"))).alias("cp4_suspicious_destination_count"), F.countDistinct(F.when(young, F.col("dst"))).alias("_young"),
+        F.count_if(F.col("_once") & out).alias("_dests"), F.count_if(F.col("_once") & unknown).alias("cp4_suspicious_destination_count"), F.count_if(F.col("_once") & young).alias("_young"),
         total(out).alias("_out"), total(out & F.col("dst_type").isin("CEX", "MIXER")).alias("_cex"), F.coalesce(F.bool_or(out & (F.col("dst_type") == "MIXER")), F.lit(False)).alias("cp5_mixer_contact"),
         F.min(F.when(swap, F.struct("ts", "stream", "ord", (ts - F.col("_drawn_at")).alias("late")))).alias("_swap"), F.sum(moved).alias("_left"),
     )
@@ -239,13 +266,23 @@ def exit_silence(tx: DataFrame, as_of: int) -> DataFrame:
     return agg.select("wallet", F.round(silent, 1).alias("exit1_silence_days"), F.round(F.when(life > 0, silent / life).otherwise(0.0), 3).alias("exit1_silence_ratio"))
 
 
-def exit_dormancy(tx: DataFrame, mixers: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """EXIT-2: gaps over 30 days between outgoing transactions, and what the next three transactions did."""
+def dormancy_events(tx: DataFrame, mixers: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """EXIT-2: ``wallet, ts, ord, gap, rcs`` of outgoing transactions; ``gap`` in days, ``rcs`` scores this and the next two."""
     rows = outgoing(tx).join(mixers.where("type = 'MIXER'").select(F.col("address").alias("dst"), F.lit(2).alias("_mix")), "dst", "left")
     points = F.when(F.col("dst") == "", 2).otherwise(0) + F.coalesce("_mix", F.lit(0))
-    rows = rows.withColumns({"gap": (F.col("ts") - F.lag("ts").over(in_order())) / 86400.0, "rcs": F.sum(points).over(in_order().rowsBetween(0, 2))})
+    return rows.select("wallet", "ts", "ord", ((F.col("ts") - F.lag("ts").over(in_order())) / 86400.0).alias("gap"), F.sum(points).over(in_order().rowsBetween(0, 2)).alias("rcs"))
+
+
+def exit_dormancy(tx: DataFrame, mixers: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """EXIT-2: gaps over 30 days between outgoing transactions, what the next three transactions did, and when each gap ended.
+
+    A wallet's list of events can't be longer than its life in months.
+    """
     event = F.col("gap") > c.dormancy_days
-    return rows.groupBy("wallet").agg(F.count_if(event).alias("exit2_dormancy_event_count"), F.max(F.when(event, F.round("gap", 1))).alias("exit2_max_gap_days"), F.max(F.when(event, F.col("rcs"))).alias("exit2_reactivation_context_score"))
+    return dormancy_events(tx, mixers, c).groupBy("wallet").agg(
+        F.count_if(event).alias("exit2_dormancy_event_count"), F.max(F.when(event, F.round("gap", 1))).alias("exit2_max_gap_days"), F.max(F.when(event, F.col("rcs"))).alias("exit2_reactivation_context_score"),
+        F.array_sort(F.collect_list(F.when(event, F.struct("ts", F.round("gap", 1).alias("gap_days"), "rcs")))).alias("exit2_events"),
+    )
 
 
 def exit_migration(tx: DataFrame, inflow: DataFrame, ages: DataFrame) -> DataFrame:

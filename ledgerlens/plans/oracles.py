@@ -107,9 +107,10 @@ dry AS (SELECT d.wallet, d_ord, least(10, count(*) FILTER (is_error OR (len(a) >
 seqs AS (SELECT d.wallet, d_ord, list(sel ORDER BY ts, ord) AS seq FROM dep d JOIN ca c ON c.wallet = d.wallet AND ts >= d_ts - 86400 AND ts < d_ts WHERE sel IS NOT NULL GROUP BY ALL),
 own AS (SELECT d.wallet, d_ord, arg_min('0x' || substr(replace(lower(input), '0x', ''), 33, 40), nonce) AS new_owner FROM dep d JOIN og c ON c.wallet = d.wallet AND ts > d_ts AND ts <= d_ts + 172800
   WHERE {SEL} IN ('f2fde38b', '13af4035', 'a6f9dae1') AND length(replace(lower(input), '0x', '')) >= 72 GROUP BY ALL),
-dfe AS (SELECT d.wallet, d_ord, d_ts, d_contract, greatest(0, (d_ts - f.t) / 3600.0) AS warmup_hours, funder, lag_hours, coalesce(n_dry, 0) AS n_dry, coalesce(len(seq), 0) AS n_setup, new_owner FROM dep d
+dfe AS (SELECT d.wallet, d_ord, d_ts, d_contract, greatest(0, (d_ts - f.t) / 3600.0) AS warmup_hours, funder, lag_hours, coalesce(n_dry, 0) AS n_dry, coalesce(len(seq), 0) AS n_setup, coalesce(array_to_string(seq, ' '), '') AS seq, new_owner FROM dep d
   JOIN (SELECT wallet, min(ts) AS t FROM tx GROUP BY wallet) f USING (wallet) LEFT JOIN lags USING (wallet, d_ord) LEFT JOIN dry USING (wallet, d_ord) LEFT JOIN seqs USING (wallet, d_ord) LEFT JOIN own USING (wallet, d_ord)),
 f17 AS (SELECT wallet, min(warmup_hours) AS f1_warmup_hours, CASE WHEN count(lag_hours) >= 2 AND avg(lag_hours) > 0 THEN stddev_samp(lag_hours) / avg(lag_hours) END AS f2_funding_cv, sum(n_dry)::BIGINT AS f3_dry_run_count, count(*) AS f4_deployment_count, count(new_owner) AS ownership_transfer_count FROM dfe GROUP BY wallet),
+fsr AS (SELECT DISTINCT wallet, src AS funder FROM tx WHERE dst = wallet AND value > 0 AND src <> wallet AND src <> ''), fsc AS (SELECT wallet, count(*) AS n_src FROM fsr GROUP BY wallet),
 bg AS (SELECT wallet, d_ts - lag(d_ts) OVER (PARTITION BY wallet ORDER BY d_ts) AS g FROM dep),
 bu AS (SELECT wallet, CASE WHEN count(g) >= 2 AND avg(g) <> 0 THEN (stddev_samp(g) - avg(g)) / (stddev_samp(g) + avg(g)) END AS f4_burstiness FROM bg GROUP BY wallet),
 eg AS (SELECT wallet, ts - lag(ts) OVER (PARTITION BY wallet ORDER BY ts) AS g FROM og),
@@ -118,7 +119,7 @@ kn AS (SELECT wallet, list_distinct(flatten(list(seq))) AS known FROM seqs GROUP
 cd AS (SELECT s.wallet, d_ord, list_aggregate([chr((64 + list_position(known, x))::INT) for x in seq], 'string_agg', '') AS code FROM seqs s JOIN kn USING (wallet)),
 f7 AS (SELECT a.wallet, avg(1.0 - levenshtein(a.code, b.code) / greatest(length(a.code), length(b.code))) AS f7_within_wallet_sim FROM cd a JOIN cd b ON a.wallet = b.wallet AND a.d_ord < b.d_ord GROUP BY a.wallet),
 pre AS (SELECT w.wallet, f1_warmup_hours, f2_funding_cv, coalesce(f3_dry_run_count, 0) AS f3_dry_run_count, coalesce(f4_deployment_count, 0) AS f4_deployment_count, coalesce(ownership_transfer_count, 0) AS ownership_transfer_count,
-  f4_burstiness, f5_nonce_entropy, f7_within_wallet_sim, coalesce(f4_deployment_count, 0) = 1 AS new_a_single_deploy FROM w LEFT JOIN f17 USING (wallet) LEFT JOIN bu USING (wallet) LEFT JOIN en USING (wallet) LEFT JOIN f7 USING (wallet))"""
+  f4_burstiness, f5_nonce_entropy, f7_within_wallet_sim, coalesce(n_src, 0) AS funding_source_count, coalesce(f4_deployment_count, 0) = 1 AS new_a_single_deploy FROM w LEFT JOIN fsc USING (wallet) LEFT JOIN f17 USING (wallet) LEFT JOIN bu USING (wallet) LEFT JOIN en USING (wallet) LEFT JOIN f7 USING (wallet))"""
 
 _CAT = "CASE WHEN type IS NOT NULL THEN type WHEN ({0} - first_ts) / 3600.0 <= 48 THEN 'FRESH_WALLET' ELSE 'UNKNOWN_EOA' END"
 FUND = f"""fs1 AS (SELECT wallet, arg_min(src, (ts, stream, ord)) AS src FROM tx WHERE dst = wallet AND value > 0 GROUP BY wallet),
@@ -183,7 +184,8 @@ x1 AS (SELECT wallet, round(({as_of} - b) / 86400.0, 1) AS exit1_silence_days, r
 
 DORM = """x2a AS (SELECT t.*, CASE WHEN dst = '' THEN 2 ELSE 0 END + CASE WHEN type = 'MIXER' THEN 2 ELSE 0 END AS p FROM tx t LEFT JOIN ent ON address = dst WHERE stream = 0 AND src = wallet),
 x2b AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY wallet ORDER BY ts, stream, ord)) / 86400.0 AS gap, sum(p) OVER (PARTITION BY wallet ORDER BY ts, stream, ord ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS rcs FROM x2a),
-x2 AS (SELECT wallet, count(*) FILTER (gap > 30) AS exit2_dormancy_event_count, max(round(gap, 1)) FILTER (gap > 30) AS exit2_max_gap_days, max(rcs) FILTER (gap > 30)::BIGINT AS exit2_reactivation_context_score FROM x2b GROUP BY wallet)"""
+x2 AS (SELECT wallet, count(*) FILTER (gap > 30) AS exit2_dormancy_event_count, max(round(gap, 1)) FILTER (gap > 30) AS exit2_max_gap_days, max(rcs) FILTER (gap > 30)::BIGINT AS exit2_reactivation_context_score,
+  coalesce(string_agg(ts || ':' || round(gap, 1) || ':' || rcs, ';' ORDER BY ts) FILTER (gap > 30), '') AS exit2_events FROM x2b GROUP BY wallet)"""
 
 MIGR = """x4a AS (SELECT t.wallet, round((ts - first_ts) / 86400.0, 2) AS age, ts >= first_ts AS ok, round(value::DOUBLE / 1e18, 4) AS v FROM tx t JOIN cash USING (wallet) LEFT JOIN ages ON address = dst
   WHERE cp_victim_inflow_wei > 0 AND stream = 0 AND src = wallet AND dst <> '' AND value > floor(cp_victim_inflow_wei::DOUBLE * 0.30)::HUGEINT),
@@ -197,10 +199,11 @@ FEATURES = [*BASE, PRE, FUND, CASH, VALUE, silence(1_706_572_800), DORM, MIGR, "
     "res AS (" + " UNION ALL ".join(f"SELECT wallet, '{n}' AS rule_id, {severity_sql(c)} AS severity FROM feat" for n, c in RULES) + ")",
     "lab AS (SELECT wallet, CASE WHEN substr(wallet, 2)::BIGINT % 3 = 0 THEN 'bad' ELSE 'good' END AS label FROM w)"]
 VERDICT = """vd1 AS (SELECT wallet, least(100, sum(CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 WHEN 'LOW' THEN 5 ELSE 0 END))::BIGINT AS raw, count(severity) AS n_fired, count(*) FILTER (severity IN ('HIGH', 'CRITICAL') AND rule_id <> 'RUG-NEW-A') AS n_high,
-  bool_or(rule_id = 'RUG-FP4' AND severity IS NOT NULL) AS fp4, bool_or(rule_id = 'RUG-NEW-A' AND severity IS NOT NULL) AS na, bool_or(rule_id = 'RUG-NEW-B' AND severity IS NOT NULL) AS nb, string_agg(rule_id, ',' ORDER BY rule_id) FILTER (severity IS NOT NULL) AS fired FROM res GROUP BY wallet),
+  bool_or(rule_id = 'RUG-FP4' AND severity IS NOT NULL) AS fp4, bool_or(rule_id = 'RUG-NEW-A' AND severity IS NOT NULL) AS na, bool_or(rule_id = 'RUG-NEW-B' AND severity IS NOT NULL) AS nb, string_agg(rule_id, ',' ORDER BY rule_id) FILTER (severity IS NOT NULL) AS fired,
+  string_agg(rule_id || ':' || CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 ELSE 5 END, ',' ORDER BY rule_id) FILTER (severity IS NOT NULL) AS breakdown FROM res GROUP BY wallet),
 vd AS (SELECT wallet, CASE WHEN fp4 THEN greatest(raw, 80) WHEN nb AND raw < 36 THEN 36 ELSE raw END AS score, CASE WHEN fp4 THEN 'HIGH_CONFIDENCE_RUGPULL' WHEN nb AND raw < 36 THEN 'MODERATE_PATTERN' WHEN na AND n_high = 0 AND NOT nb THEN 'INSUFFICIENT_DEPLOYMENT_HISTORY'
   WHEN raw < 20 THEN 'CLEAN' WHEN raw < 36 THEN 'WEAK_PATTERN' WHEN raw < 50 THEN 'MODERATE_PATTERN' WHEN raw < 100 THEN 'STRONG_PATTERN' ELSE 'HIGH_CONFIDENCE_RUGPULL' END AS verdict,
-  CASE WHEN fp4 THEN 'shared_funder' WHEN nb AND raw < 36 THEN 'ownership' WHEN na AND n_high = 0 AND NOT nb THEN 'single_deployment' END AS override, n_fired, n_high, coalesce(fired, '') AS fired FROM vd1)"""
+  CASE WHEN fp4 THEN 'shared_funder' WHEN nb AND raw < 36 THEN 'ownership' WHEN na AND n_high = 0 AND NOT nb THEN 'single_deployment' END AS override, n_fired, n_high, coalesce(fired, '') AS fired, coalesce(breakdown, '') AS breakdown FROM vd1)"""
 
 CAND = """cp AS (SELECT wallet, dst AS other, value::DOUBLE / 1e18 AS value, ts, ord FROM tx WHERE src = wallet AND dst <> '' AND dst <> wallet),
 cq AS (SELECT *, CASE WHEN max(value) OVER (PARTITION BY wallet) > 0 THEN max(value) OVER (PARTITION BY wallet) ELSE 1.0 END AS top FROM cp),
@@ -208,11 +211,30 @@ cs AS (SELECT cq.*, e.type, CASE WHEN value <= 1e-9 THEN 0.0 ELSE least(1.0, ln(
   CASE WHEN e.type = 'CEX' THEN 0.0 ELSE 1.0 END AS novelty_score, CASE WHEN e.type = 'MIXER' THEN 1.0 ELSE 0.0 END AS rule_score FROM cq LEFT JOIN ent e ON e.address = other),
 ct AS (SELECT *, 0.3 * value_score + 0.2 * recency_score + 0.3 * novelty_score + 0.2 * rule_score AS score FROM cs), cu AS (SELECT * FROM ct QUALIFY row_number() OVER (PARTITION BY wallet, other ORDER BY score DESC, ts, ord) = 1)"""
 
-LINKS = """lk AS (SELECT wallet, other, max(v) AS v FROM (SELECT wallet, CASE WHEN src = wallet THEN dst WHEN dst = wallet THEN src END AS other, value::DOUBLE / 1e18 AS v FROM tx) WHERE other <> '' AND other <> wallet GROUP BY ALL),
-wd AS (SELECT wallet, count(*) AS n FROM lk GROUP BY wallet)"""
-# the demo chain's counterparties are no subject wallets, so a trace ends one step from its root
-TRACE = q(EVENTS, ENT, LINKS, final="""SELECT DISTINCT wallet AS root, wallet AS node, 0 AS depth, 'EXPAND' AS decision FROM tx
-UNION ALL SELECT wallet, other, 1, CASE WHEN v < 0.05 THEN 'SKIP' WHEN type IN ('CEX', 'MIXER', 'BRIDGE') THEN 'HALT' WHEN type = 'DEX' THEN 'SAMPLE' ELSE 'EXPAND' END FROM lk LEFT JOIN ent ON address = other""")
+MIRROR = "mx AS (SELECT * FROM tx UNION ALL SELECT * REPLACE (CASE WHEN src = wallet THEN dst WHEN dst = wallet THEN src END AS wallet) FROM tx WHERE CASE WHEN src = wallet THEN dst WHEN dst = wallet THEN src END <> '')"
+
+
+def links(table: str) -> str:
+    return f"""lk AS (SELECT wallet, other, max(v) AS v FROM (SELECT wallet, CASE WHEN src = wallet THEN dst WHEN dst = wallet THEN src END AS other, value::DOUBLE / 1e18 AS v FROM {table}) WHERE other <> '' AND other <> wallet GROUP BY ALL),
+lp AS (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY v DESC, other) AS place FROM lk), wd AS (SELECT wallet, count(*) AS n FROM lk GROUP BY wallet)"""
+
+
+def trace_levels(depth: int, most: int) -> list[str]:
+    """A trace level by level: ``tsN`` is all that was reached up to level N."""
+    out = ["ts0 AS (SELECT DISTINCT wallet AS root, wallet AS node, 0 AS depth, 'EXPAND' AS decision, 'ok' AS reason FROM tx)"]
+    for n in range(1, depth + 1):
+        p = f"ts{n - 1}"
+        out.append(f"""ta{n} AS (SELECT root, other, max(v) AS v FROM {p} JOIN lp ON lp.wallet = {p}.node WHERE depth = {n - 1} AND (decision = 'EXPAND' OR (decision = 'SAMPLE' AND place <= 10)) GROUP BY ALL),
+tb{n} AS (SELECT t.*, type, coalesce(wd.n, 0) AS wide, used FROM ta{n} t LEFT JOIN ent ON address = other LEFT JOIN wd ON wd.wallet = other JOIN (SELECT root, count(*) FILTER (decision IN ('EXPAND', 'SAMPLE')) AS used FROM {p} GROUP BY root) USING (root)
+  WHERE NOT EXISTS (SELECT 1 FROM {p} x WHERE x.root = t.root AND x.node = t.other)),
+tc{n} AS (SELECT *, CASE WHEN v < 0.05 THEN 'dust' WHEN used >= {most} THEN 'budget' WHEN type IN ('CEX', 'MIXER', 'BRIDGE') THEN 'entity' WHEN type = 'DEX' THEN 'dex' WHEN wide > 50 THEN 'fanout' ELSE 'ok' END AS reason FROM tb{n}),
+td{n} AS (SELECT *, CASE WHEN reason IN ('dust', 'budget') THEN 'SKIP' WHEN reason = 'entity' THEN 'HALT' WHEN reason = 'ok' THEN 'EXPAND' ELSE 'SAMPLE' END AS decision FROM tc{n}),
+te{n} AS (SELECT *, decision IN ('EXPAND', 'SAMPLE') AND used + row_number() OVER (PARTITION BY root, decision IN ('EXPAND', 'SAMPLE') ORDER BY v DESC, other) > {most} AS over_ FROM td{n}),
+ts{n} AS (SELECT * FROM {p} UNION ALL SELECT root, other, {n}, CASE WHEN over_ THEN 'SKIP' ELSE decision END, CASE WHEN over_ THEN 'budget' ELSE reason END FROM te{n})""")
+    return out
+
+
+TRACE = q(EVENTS, ENT, MIRROR, links("mx"), *trace_levels(3, 60), final="SELECT * FROM ts3")
 
 _ST = ["vs1_mode_freq_ratio", "vs2_round_funding_ratio", "vs3_cv_gas", "vs6_extraction_multiplier"]
 LONG = "lg AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, label, {n}::DOUBLE AS x FROM val JOIN lab USING (wallet) WHERE {n} IS NOT NULL" for n in _ST) + "), st AS (SELECT feature, label, count(*) AS n, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, min(x) AS min, max(x) AS max, avg(x) AS mean FROM lg GROUP BY ALL)"
@@ -232,6 +254,28 @@ def _rule_q(name: str, *ctes: str, evidence: str = "h::VARCHAR", severity: str =
     return q(extra, ENT, OUT, *ctes, final=f"SELECT wallet, round(m::DOUBLE, 6) AS metric, {evidence} AS evidence, {severity} FROM {name}")
 
 
+TOKENS = """tk AS (SELECT 'u' || user_id AS wallet, event_id AS ord, epoch_us(ts) // 1000000 AS ts, CASE WHEN event_id % 3 = 0 THEN '0x' || repeat('0', 40) ELSE 'u' || user_id END AS src, CASE WHEN event_id % 2 = 0 THEN 'u' || user_id ELSE 'd' || (event_id % 37) END AS dst,
+  round(value * 100)::BIGINT AS amount FROM events WHERE event_type = 'click'),
+tm AS (SELECT wallet, sum(amount) AS all_, coalesce(sum(amount) FILTER (dst = wallet), 0) AS own_, arg_min(ts, ord) AS mint FROM tk WHERE src = '0x' || repeat('0', 40) AND amount > 0 GROUP BY wallet),
+lp_ AS (SELECT wallet, min(ts) AS lp FROM vg WHERE added GROUP BY wallet)"""
+_FIRED = f"""fi AS (SELECT wallet, 'RULE-001' AS rule_id, {LARGE_G}, h AS evidence, printf('one transfer moved %.6f ETH (%s)', m, h) AS reasoning FROM r1
+  UNION ALL SELECT wallet, 'RULE-002', severity, h::VARCHAR, printf('%d transfers went out within one window from %d on', m, h) FROM r2
+  UNION ALL SELECT wallet, 'RULE-003', severity, '', printf('funds went to %d different addresses', m) FROM r3
+  UNION ALL SELECT wallet, 'RULE-004', severity, h::VARCHAR, printf('after %.3f silent days, %d transactions followed within two days', round(m, 3), h) FROM r4
+  UNION ALL SELECT wallet, 'RULE-005', severity, h::VARCHAR, printf('the last period has %.3f times the usual number of transactions, over %d active periods', round(m, 3), h) FROM r5
+  UNION ALL SELECT wallet, 'RULE-006', severity, h::VARCHAR, printf('%d transfers of round amounts, most often %s ETH', m::BIGINT, h::VARCHAR) FROM r6
+  UNION ALL SELECT wallet, 'RULE-007', severity, '', printf('%d recent transfers to addresses that nobody knows', m) FROM r7),
+fo AS (SELECT * FROM fi WHERE severity IS NOT NULL)"""
+_SCORE = """n_ AS (SELECT wallet, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS m FROM fo GROUP BY wallet),
+rk AS (SELECT wallet, least(100, coalesce(c, 0) * 40 + coalesce(h, 0) * 25 + coalesce(m, 0) * 10 + CASE WHEN mixer THEN 30 ELSE 0 END) AS risk_score FROM fl LEFT JOIN n_ USING (wallet)),
+rl AS (SELECT *, CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 50 THEN 'HIGH' WHEN risk_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM rk)"""
+_RISKS = RISK.removeprefix("WITH RECURSIVE ")
+_INVEST = f"""WITH RECURSIVE risks AS (SELECT * FROM (WITH {_RISKS})), v_ AS (SELECT *, substr(wallet, 2)::BIGINT AS k FROM risks),
+o_ AS (SELECT *, CASE WHEN k % 3 = 0 THEN k % 101 ELSE 0 END AS own, CASE WHEN k % 3 = 0 THEN [1, 1, 2, 3, 4][k % 5 + 1] ELSE 1 END AS lift, list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], risk_level) AS lv FROM v_),
+p_ AS (SELECT *, greatest(risk_score, own) AS score, greatest(lv, lift) AS level FROM o_)
+SELECT 'case' || (k % 40) AS case_id, max(score) AS risk_score, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][arg_max(level, (score, level))] AS risk_level, count(*) AS n_wallets, sum(n_critical)::BIGINT AS n_critical, sum(n_high)::BIGINT AS n_high, sum(n_medium)::BIGINT AS n_medium,
+sum(n_low)::BIGINT AS n_low, bool_or(mixer) AS mixer, bool_or(cex) AS cex, bool_or(bridge) AS bridge FROM p_ GROUP BY k % 40"""
+
 ORACLES = {
     "aml_risk_orders": RISK,
     "tx_classified": q(EVENTS, ENT, final=f"SELECT wallet, ord, {SIDE} AS direction, {KIND} AS tx_type, round(value::DOUBLE / 1e18, 9) AS amount, gas_used * gas_price AS gas_wei, a.type AS src_type, b.type AS dst_type FROM tx LEFT JOIN ent a ON a.address = src LEFT JOIN ent b ON b.address = dst"),
@@ -250,7 +294,7 @@ ORACLES = {
       + CASE WHEN exit1_silence_days > 180 THEN 0.10 WHEN exit1_silence_days > 60 THEN 0.07 WHEN exit1_silence_days > 30 THEN 0.04 ELSE 0.0 END)::DOUBLE, 2) END AS likelihood FROM x1 JOIN x2 USING (wallet))""",
       final="SELECT wallet, likelihood, CASE WHEN likelihood >= 0.90 THEN 'VERY_LIKELY_RETIRED' WHEN likelihood >= 0.70 THEN 'PROBABLY_RETIRED' WHEN likelihood IS NOT NULL THEN 'UNCERTAIN_MONITOR_ACTIVE' END AS label FROM y"),
     "rule_matrix": q(*FEATURES, final="SELECT * FROM res"),
-    "verdict": q(*FEATURES, VERDICT, final="SELECT *, NOT (verdict = 'CLEAN' OR starts_with(verdict, 'INSUFFICIENT')) AS suspicious FROM vd"),
+    "verdict": q(*FEATURES, VERDICT, final="SELECT *, NOT (verdict = 'CLEAN' OR starts_with(verdict, 'INSUFFICIENT')) AS suspicious, printf('%s: %d of 100, %d rules fired, %d of them grave', verdict, score, n_fired, n_high) AS summary FROM vd"),
     "trace_rank": q(EVENTS, ENT, CAND, final="SELECT wallet, other, round(value, 6) AS value, round(value_score, 6) AS value_score, round(recency_score, 6) AS recency_score, novelty_score, rule_score, round(score, 6) AS score, row_number() OVER (PARTITION BY wallet ORDER BY round(score, 9) DESC, ts, ord) AS rank FROM cu QUALIFY rank <= 3"),
     "prune_decision": q(EVENTS, ENT, CAND, """cv AS (SELECT *, substr(other, 2)::INT AS k FROM cu), cw AS (SELECT *, CASE WHEN type = 'CEX' THEN 'already_traced' WHEN value < 0.05 THEN 'dust' WHEN 480 + k >= 500 THEN 'budget' WHEN type IN ('MIXER', 'BRIDGE') THEN 'entity' WHEN type = 'DEX' THEN 'dex' WHEN k * 3 > 50 THEN 'fanout' ELSE 'ok' END AS reason FROM cv),
       cx AS (SELECT *, CASE WHEN reason IN ('already_traced', 'dust', 'budget') THEN 'SKIP' WHEN reason = 'entity' THEN 'HALT' WHEN reason IN ('dex', 'fanout') THEN 'SAMPLE' ELSE 'EXPAND' END AS decision FROM cw), cy AS (SELECT wallet, other, k, row_number() OVER (PARTITION BY wallet ORDER BY value DESC, other) AS rank FROM cx WHERE decision = 'EXPAND')""",
@@ -269,4 +313,33 @@ ORACLES = {
     "latest_status": """WITH s AS (SELECT user_id AS case_id, epoch_us(ts) // 1000000 AS t_, event_id AS seq, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'DONE' ELSE 'RUNNING' END AS st FROM events)
       SELECT case_id, arg_max(st, (t_, seq)) AS status, min(t_) FILTER (st = 'RUNNING') AS started_at, max(t_) FILTER (st IN ('DONE', 'FAILED')) AS ended_at, count(*) AS n_events FROM s GROUP BY case_id""",
     "internal_dedup": q(EVENTS, final="SELECT wallet, count(*) AS n, 0::BIGINT AS n_second FROM tx GROUP BY wallet"),
+    "funding_sources": q(*BASE, PRE, final="SELECT * FROM fsr"),
+    "narrative": q(*BASE, PRE, final="""SELECT wallet, CASE WHEN f4_burstiness IS NOT NULL THEN printf('%.4f', round(f4_burstiness, 4)) || CASE WHEN f4_burstiness > 0.1 THEN ' high: deployments come in clusters' ELSE ' low: deployments are spread out' END END AS burstiness,
+      CASE WHEN f5_nonce_entropy IS NOT NULL THEN printf('%.4f', round(f5_nonce_entropy, 4)) || CASE WHEN f5_nonce_entropy < 3 THEN ' bits: gaps look scripted' ELSE ' bits: gaps vary' END END AS entropy,
+      CASE WHEN f7_within_wallet_sim IS NOT NULL THEN printf('%.4f', round(f7_within_wallet_sim, 4)) || ' mean likeness of setups' END AS similarity, printf('%d sources of funds', funding_source_count) AS sources FROM pre"""),
+    "value_features_tokens": q(*BASE, VALUE, TOKENS, final="""SELECT w.wallet, round(CASE WHEN k0 IS NOT NULL AND all_ > 0 THEN own_::DOUBLE / all_::DOUBLE END, 6) AS vs6_creator_token_fraction, CASE WHEN k0 IS NOT NULL AND lp >= mint THEN lp - mint END AS vs6_mint_to_lp_latency_sec
+      FROM w LEFT JOIN fd USING (wallet) LEFT JOIN tm USING (wallet) LEFT JOIN lp_ USING (wallet)"""),
+    "cashout_without_gas": q(*BASE, CASH.replace(" - gas_used::HUGEINT * gas_price", ""), final="SELECT wallet, round(cp7_retained_ratio, 6) AS cp7_retained_ratio FROM cash"),
+    "trace_rank_by_depth": q(EVENTS, ENT, CAND, final="""SELECT wallet, 1 + substr(wallet, 2)::INT % 4 AS depth, other, row_number() OVER (PARTITION BY wallet ORDER BY round(score, 9) DESC, ts, ord) AS rank FROM cu
+      QUALIFY rank <= CASE 1 + substr(wallet, 2)::INT % 4 WHEN 3 THEN 7 ELSE 3 END"""),
+    "graph_summary": q(EVENTS, """gl AS (SELECT DISTINCT wallet, src, dst, tx_hash FROM tx WHERE src <> '' AND dst <> ''), gn AS (SELECT wallet, count(DISTINCT node) AS n_nodes FROM (SELECT wallet, unnest([src, dst]) AS node FROM gl) GROUP BY wallet), ge AS (SELECT wallet, count(*) AS n_edges FROM gl GROUP BY wallet)""",
+      final="SELECT wallet, n_nodes, n_edges, CASE WHEN n_nodes >= 5000 THEN 'webgl' WHEN n_nodes >= 500 THEN 'canvas' ELSE 'svg' END AS renderer FROM gn JOIN ge USING (wallet)"),
+    "investigation_risk": _INVEST,
+    "aml_findings": q(ORDERS, ENT, OUT, LARGE, burst(5), FAN, DORMANT, activity(30), ROUND, new(1735689600), _FIRED, final="SELECT * FROM fo"),
+    "template_reports": f"""WITH RECURSIVE risks AS (SELECT * FROM (WITH {_RISKS})), c_ AS (SELECT wallet, count(*) AS n_tx FROM (WITH {ORDERS} SELECT wallet FROM tx) GROUP BY wallet)
+      SELECT wallet, 'Wallet ' || left(wallet, 10) AS title, printf('%s scores %d of 100 (%s): %d findings in %d transactions.', wallet, risk_score, risk_level, n_critical + n_high + n_medium + n_low, n_tx) AS summary,
+      CASE risk_level WHEN 'CRITICAL' THEN 'Freeze what can be frozen and report the case.' WHEN 'HIGH' THEN 'Review all large and recent transfers by hand.' WHEN 'MEDIUM' THEN 'Watch the wallet and its counterparties.' ELSE 'No action is needed.' END AS advice FROM risks JOIN c_ USING (wallet)""",
+    "report_context": q(EVENTS, ENT, OUT, LARGE, burst(2), FAN, DORMANT, activity(7), ROUND, new(1_706_572_800), FLAGS, _FIRED, _SCORE, STATS, f"st_ AS ({STATS_Q})", links("tx"), *trace_levels(1, 500), """
+ff AS (SELECT wallet, count(*) AS n_findings, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM fo GROUP BY wallet),
+tr AS (SELECT root AS wallet, count(*) AS n_traced, max(depth) AS max_depth, count(*) FILTER (type = 'MIXER') AS mixer_contacts, count(*) FILTER (type = 'CEX') AS cex_contacts, count(*) FILTER (type = 'BRIDGE') AS bridge_contacts, count(*) FILTER (reason = 'fanout') AS high_fanout_nodes FROM ts1 LEFT JOIN ent ON address = node GROUP BY root),
+nb AS (SELECT root AS wallet, type || ' ' || node AS x, row_number() OVER (PARTITION BY root ORDER BY depth, type || ' ' || node) AS k FROM ts1 JOIN ent ON address = node), na_ AS (SELECT wallet, string_agg(x, '; ' ORDER BY k) AS notable FROM nb WHERE k <= 10 GROUP BY wallet),
+lg_ AS (SELECT wallet, ord || ' ' || CASE WHEN is_error THEN 'failed' ELSE 'read' END AS x, row_number() OVER (PARTITION BY wallet ORDER BY ord DESC) AS k FROM tx), lh AS (SELECT wallet, string_agg(x, '; ' ORDER BY k) AS recent_steps FROM lg_ WHERE k <= 5 GROUP BY wallet)""",
+      final="""SELECT rl.*, n_tx, n_counterparties, coalesce(n_findings, 0) AS n_findings, coalesce(rules, '') AS rules, n_traced, max_depth, mixer_contacts, cex_contacts, bridge_contacts, high_fanout_nodes, coalesce(notable, '') AS notable, coalesce(recent_steps, '') AS recent_steps
+      FROM rl LEFT JOIN st_ USING (wallet) LEFT JOIN ff USING (wallet) LEFT JOIN tr USING (wallet) LEFT JOIN na_ USING (wallet) LEFT JOIN lh USING (wallet)"""),
+    "request_faults": """SELECT event_id AS request_id, array_to_string(list_filter([CASE WHEN event_id % 5 = 0 THEN 'wallet_address' END, CASE WHEN event_id % 5 NOT BETWEEN 1 AND 3 THEN 'depth' END, CASE WHEN event_id % 4000 NOT BETWEEN 1 AND 3650 THEN 'lookback_days' END,
+      CASE WHEN event_id % 1200 NOT BETWEEN 10 AND 1000 THEN 'max_transactions' END], lambda x: x IS NOT NULL), ',') AS faults FROM events""",
+    "evidence_counts": """SELECT user_id AS case_id, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO', 'ODD'][event_id % 6 + 1] AS severity, count(*) AS n FROM events WHERE event_id % 6 <> 4 GROUP BY ALL""",
+    "evidence_assertions": """WITH r AS (SELECT event_id - event_id % 97 % 2 AS k, user_id, event_id % 6 = 5 AS odd FROM events), p AS (SELECT 'no case' AS problem, count(*) AS n FROM r WHERE user_id % 10 = 0 UNION ALL SELECT 'severity', count(*) FROM r WHERE odd
+      UNION ALL SELECT 'repeated id', count(*) FROM (SELECT k FROM r GROUP BY k HAVING count(*) > 1)) SELECT * FROM p WHERE n > 0""",
+    "rules_primary": q(*FEATURES, final="SELECT wallet, least(100, sum(CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 WHEN 'LOW' THEN 5 ELSE 0 END))::BIGINT AS rule_score FROM res WHERE rule_id <> 'RUG-FP4' GROUP BY wallet HAVING rule_score >= 25"),
 }

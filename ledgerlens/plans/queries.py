@@ -6,8 +6,9 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import aml, casestore, cohort, graph, lifecycle, rules
+from ..operators import aml, casestore, cohort, graph, lifecycle, report, rules
 from ..schema import Config
+from ..scratch import materialise
 from ..sources import demo_chain as demo
 
 #: The dense demo chain has short bursts and weeks rather than months.
@@ -26,10 +27,12 @@ def context(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole feature row of every wallet of the dense chain."""
-    # some fifteen relations read the transactions; kept once, dealt by wallet, most of them need no exchange of their own
-    tx, (ent, ages) = E(spark, sf).persist(), context(spark)
-    cash = lifecycle.cashout_features(tx, ent, ages)
+    """The whole feature row of every wallet of the dense chain.
+
+    Some fifteen relations read the transactions; they are stored once, and so is each layer's own intermediate table.
+    """
+    tx, (ent, ages) = materialise(E(spark, sf), "tx"), context(spark)
+    cash = materialise(lifecycle.cashout_features(tx, ent, ages), "cash")
     out = lifecycle.pre_features(tx).join(graph.funding_features(tx, ent, ages, demo.NOISE), "wallet", "left").join(cash, "wallet", "left")
     out = out.join(lifecycle.value_features(tx), "wallet", "left").join(lifecycle.exit_silence(tx, DENSE.as_of), "wallet", "left").join(lifecycle.exit_dormancy(tx, ent), "wallet", "left")
     out = out.join(lifecycle.exit_migration(tx, cash.select("wallet", "cp_victim_inflow_wei"), ages), "wallet", "left")
@@ -82,7 +85,8 @@ def _exit(name: str, spark: SparkSession, sf: str) -> DataFrame:
     if name == "silence":
         return lifecycle.exit_silence(O(spark, sf), AS_OF)
     if name == "dormancy":
-        return lifecycle.exit_dormancy(O(spark, sf), ent)
+        rows = lifecycle.exit_dormancy(O(spark, sf), ent)
+        return rows.withColumn("exit2_events", F.array_join(F.transform("exit2_events", lambda x: F.concat_ws(":", x.ts.cast("string"), x.gap_days.cast("string"), x.rcs.cast("string"))), ";"))
     cash = lifecycle.cashout_features(E(spark, sf), ent, ages)
     return lifecycle.exit_migration(E(spark, sf), cash.select("wallet", "cp_victim_inflow_wei"), ages)
 
@@ -96,7 +100,10 @@ def _retirement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.verdicts(results(spark, sf)).withColumn("fired", F.concat_ws(",", "fired")).withColumn("suspicious", rules.is_suspicious(F.col("verdict")))
+    return rules.verdicts(results(spark, sf)).withColumns({
+        "fired": F.concat_ws(",", "fired"), "suspicious": rules.is_suspicious(F.col("verdict")),
+        "breakdown": F.array_join(F.transform(F.map_entries("breakdown"), lambda x: F.concat_ws(":", x.key, x.value.cast("string"))), ","), "summary": rules.summary_line(),
+    })
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +128,58 @@ def _pruned(spark: SparkSession, sf: str) -> DataFrame:
 
 def _trace(spark: SparkSession, sf: str) -> DataFrame:
     tx = E(spark, sf)
-    return graph.trace(tx, tx.select("wallet").distinct(), demo.entities(spark), depth=3)
+    return graph.trace(demo.mirrored(tx), tx.select("wallet").distinct(), demo.entities(spark), depth=3, max_nodes=60)
+
+
+def _ranked_by_depth(spark: SparkSession, sf: str) -> DataFrame:
+    order: list[Column] = [F.round("score", 9).desc(), F.col("ts"), F.col("ord")]
+    rows = _candidates(spark, sf).withColumn("depth", 1 + F.substring("wallet", 2, 20).cast("int") % 4)
+    return graph.top_of_depth(rows, "wallet", order, F.col("depth")).select("wallet", "depth", "other", "rank")
+
+
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lifecycle.value_features(E(spark, sf), demo.tokens(spark, sf))
+    return rounded(rows.select("wallet", "vs6_creator_token_fraction", "vs6_mint_to_lp_latency_sec"))
+
+
+def _no_gas(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(lifecycle.cashout_features(E(spark, sf), *context(spark), include_gas=False).select("wallet", "cp7_retained_ratio"))
+
+
+def _case_of() -> Column:
+    return F.concat(F.lit("case"), F.substring("wallet", 2, 20).cast("long") % 40)
+
+
+def _investigations(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases of some wallets each; every third wallet has a verdict of its own, by its number."""
+    risks = materialise(flagship(spark, sf), "risks")
+    number = F.substring("wallet", 2, 20).cast("long")
+    verdict = F.get(F.array(*[F.lit(v) for v in rules.VERDICTS]), (number % 5).cast("int"))
+    own = risks.where(number % 3 == 0).select("wallet", verdict.alias("verdict"), (number % 101).alias("score"))
+    return aml.investigation(aml.escalated(risks, own), risks.select(_case_of().alias("case_id"), "wallet"))
+
+
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    tx = O(spark, sf)
+    counts = tx.groupBy("wallet").agg(F.count("*").alias("n_tx"))
+    risks = flagship(spark, sf)
+    n = sum((F.col(f"n_{s}") for s in ("critical", "high", "medium", "low")), F.lit(0))
+    return report.template_report(risks.join(counts, "wallet").withColumn("n_findings", n))
+
+
+def _report_context(spark: SparkSession, sf: str) -> DataFrame:
+    tx, ent = materialise(E(spark, sf), "tx"), demo.entities(spark)
+    risks = aml.aml_risk(aml.aml_rules(tx, ent, DENSE), aml.entity_flags(tx, ent)).select("wallet", "risk_score", "risk_level")
+    log = tx.select("wallet", F.col("ord").alias("step"), F.when(F.col("is_error"), "failed").otherwise("read").alias("note"))
+    traced = graph.trace(tx, tx.select("wallet").distinct(), ent, depth=1)
+    return report.context(risks, aml.wallet_stats(tx, 6).select("wallet", "n_tx", "n_counterparties"), report.findings(tx, ent, DENSE), traced, ent, log)
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    e, i = spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id")
+    address = F.concat(F.lit("0x"), F.md5(i.cast("string").cast("binary")), F.when(i % 5 == 0, "zz").otherwise("00112233"))
+    rows = e.select(i.alias("request_id"), address.alias("wallet_address"), (i % 5).alias("depth"), (i % 4000).alias("lookback_days"), (i % 1200).alias("max_transactions"))
+    return casestore.request_faults(rows).select("request_id", F.array_join("faults", ",").alias("faults"))
 
 
 def _graph(part: int, spark: SparkSession, sf: str) -> DataFrame:
@@ -148,6 +206,21 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     return casestore.evidence_page(rows, 3, 50)
 
 
+def _evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    grade = F.get(F.array(*[F.lit(s) for s in [*casestore.SEVERITY, "ODD"]]), (F.col("event_id") % 6).cast("int"))
+    return e.select((F.col("event_id") - F.col("event_id") % 97 % 2).alias("evidence_id"), F.col("user_id").alias("case_id"), grade.alias("severity"))
+
+
+def _evidence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return casestore.counts(_evidence_rows(spark, sf), ["case_id", "severity"], "severity <> 'INFO'")
+
+
+def _assertions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _evidence_rows(spark, sf)
+    return casestore.assertions(rows, rows.select("case_id").distinct().where("case_id % 10 <> 0"))
+
+
 def _status(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     status = F.when(F.col("event_type") == "signup", "PENDING").when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "purchase", "DONE").otherwise("RUNNING")
@@ -169,7 +242,12 @@ QUERIES = {
     "rule_large_transfer": partial(_rule, "large"), "rule_rapid_burst": partial(_rule, "burst"), "rule_high_fanout": partial(_rule, "fanout"), "rule_dormant_activation": partial(_rule, "dormant"),
     "rule_activity_burst": partial(_rule, "activity"), "rule_round_numbers": partial(_rule, "round"), "rule_new_wallet": partial(_rule, "new"),
     "entity_flags": lambda s, d: aml.entity_flags(E(s, d), demo.entities(s)),
-    "deploy_features": lambda s, d: rounded(lifecycle.deploy_features(E(s, d))),
+    "deploy_features": lambda s, d: rounded(lifecycle.deploy_features(E(s, d)).withColumn("seq", F.array_join(F.coalesce("seq", F.array().cast("array<string>")), " "))),
+    "funding_sources": lambda s, d: lifecycle.funding_sources(E(s, d)),
+    "narrative": lambda s, d: report.narrative(lifecycle.pre_features(E(s, d))),
+    "value_features_tokens": _tokens, "cashout_without_gas": _no_gas, "trace_rank_by_depth": _ranked_by_depth, "graph_summary": lambda s, d: graph.graph_summary(E(s, d)),
+    "investigation_risk": _investigations, "aml_findings": lambda s, d: report.findings(O(s, d), demo.entities(s), Config(as_of=AS_OF)), "template_reports": _reports, "report_context": _report_context,
+    "request_faults": _requests, "evidence_counts": _evidence_counts, "evidence_assertions": _assertions, "rules_primary": lambda s, d: rules.rules_primary(results(s, d)),
     "pre_features": lambda s, d: rounded(lifecycle.pre_features(E(s, d))),
     "ownership_transfers": lambda s, d: lifecycle.ownership_transfers(E(s, d)),
     "fp1_first_source": partial(_funding, "first"), "fp_seed_features": partial(_funding, "seed"), "fp2_min_hops": partial(_funding, "hops"), "upstream_funders": partial(_funding, "upstream"),

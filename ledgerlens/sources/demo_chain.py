@@ -56,8 +56,25 @@ def orders_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(paid)
 
 
+def mirrored(tx: DataFrame) -> DataFrame:
+    """Every transfer seen from both of its ends, so that a trace goes on beyond the wallets of the demo."""
+    other = F.when(F.col("src") == F.col("wallet"), F.col("dst")).when(F.col("dst") == F.col("wallet"), F.col("src"))
+    return tx.unionByName(tx.withColumn("wallet", other).where("wallet <> ''"))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token transfers: clicks, a third of them mints, half of them to the wallet itself."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'")
+    i, wallet = F.col("event_id"), F.concat(F.lit("u"), "user_id")
+    return e.select(
+        wallet.alias("wallet"), i.alias("ord"), F.expr("unix_micros(cast(ts AS timestamp)) div 1000000").alias("ts"),
+        F.when(i % 3 == 0, "0x" + "0" * 40).otherwise(wallet).alias("src"), F.when(i % 2 == 0, wallet).otherwise(F.concat(F.lit("d"), i % 37)).alias("dst"), F.round(F.col("value") * 100).cast("decimal(38,0)").alias("amount"),
+    )
+
+
 def entities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ENTITIES, "address string, type string")
+    """As an inline table, whose size the optimizer knows; a join with it is then broadcast under Spark's own limit."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in ENTITIES) + " AS t(address, type)")
 
 
 def wallet_age(spark: SparkSession) -> DataFrame:

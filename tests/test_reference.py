@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
-from ledgerlens.operators import aml, casestore, cohort, graph, lifecycle, rules
+from ledgerlens.operators import aml, casestore, cohort, graph, lifecycle, report, rules
 from ledgerlens.schema import Config
 from ledgerlens.sources import ingest
 from ledgerlens.streaming import rules as stream
@@ -78,7 +78,7 @@ def test_golden_value_rules(spark):
     rows = spark.read.option("header", True).csv(f"file://{path}")
     doubles = [c for c in rows.columns if c.startswith("vs")]
     rows = rows.select("address", *[F.col(c).cast("double").alias(c) for c in doubles])
-    fired = {r.rule_id: r.n for r in rules.evaluate(rows, key="address").where("severity IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("n")).collect()}
+    fired = {r.rule_id: r.n for r in rules.evaluate(rows, key="address", partial=True).where("severity IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("n")).collect()}
     assert [fired.get(f"RUG-VS-{i}", 0) for i in range(1, 7)] == [7, 0, 1, 6, 21, 49]
 
 
@@ -131,7 +131,7 @@ def test_single_drain_has_no_span(spark):
     f = lifecycle.cashout_features(t, entities(spark), ages(spark))
     r = one(f)
     assert (r.cp2_withdrawal_count, r.cp2_drain_ratio, r.cp2_withdrawal_span_hours, r.cp1_withdrawal_latency_sec) == (1, 0.95, None, 8980.0)
-    got = {x.rule_id: x.severity for x in rules.evaluate(f).collect()}
+    got = {x.rule_id: x.severity for x in rules.evaluate(f, partial=True).collect()}
     assert got["RUG-POST-2"] == "CRITICAL" and got["RUG-POST-1"] == "HIGH"
 
 
@@ -192,9 +192,69 @@ def test_shared_funder_modes(spark):
 def test_trace_goes_on_through_subjects(spark):
     t = tx(spark, ("a", 1, "a", "b", 1.0), ("b", 2, "b", "c", 1.0), ("c", 3, "c", "a", 1.0), ("a", 4, "a", "cex", 5.0), ("a", 5, "a", "tiny", 0.01), ("c", 6, "c", "e", 1.0))
     got = {r.node: (r.depth, r.decision) for r in graph.trace(t, spark.createDataFrame([("a",)], "wallet string"), entities(spark, ("cex", "CEX"))).collect()}
+    every = graph.trace(t, spark.createDataFrame([("a",)], "wallet string"), entities(spark, ("cex", "CEX")), max_nodes=2).collect()
+    assert {r.node: (r.decision, r.reason) for r in every} == {"a": ("EXPAND", "ok"), "b": ("EXPAND", "ok"), "cex": ("HALT", "entity"), "tiny": ("SKIP", "dust"), "c": ("SKIP", "budget")}
     assert got == {"a": (0, "EXPAND"), "b": (1, "EXPAND"), "cex": (1, "HALT"), "tiny": (1, "SKIP"), "c": (2, "EXPAND"), "e": (3, "EXPAND")}
 
 
+def test_evidence_is_the_transaction(spark):
+    t = tx(spark, ("a", 1, "a", "b", 20.0), ("a", 2, "a", "c", 20.0)).withColumn("tx_hash", F.concat(F.lit("0xreal"), "ord"))
+    r = one(aml.large_transfer(t))
+    assert (r.evidence, r.severity) == ("0xreal0", "HIGH")
+    said = {x.rule_id: x.reasoning for x in report.findings(t, entities(spark)).collect()}
+    assert said["RULE-001"] == "one transfer moved 20.000000 ETH (0xreal0)"
+
+
+def test_sequences_of_very_many_selectors(spark):
+    """More selectors than a block of characters holds; surrogates are stepped over."""
+    n = 60_000
+    seqs = spark.range(n).select(F.lit("a").alias("wallet"), F.hex("id").alias("x")).groupBy("wallet").agg(F.array_sort(F.collect_list("x")).alias("seq"))
+    few = seqs.select("wallet", F.expr("slice(seq, 55000, 40)").alias("seq"))
+    other = seqs.select("wallet", F.expr("concat(slice(seq, 55000, 30), slice(seq, 100, 10))").alias("seq"))
+    assert abs(one(lifecycle.sequence_similarity(None, seqs=few.unionByName(other).unionByName(few).unionByName(seqs.select("wallet", F.expr("slice(seq, 1, 1)").alias("seq")).limit(0)))).f7 - (1 + 0.75 + 0.75) / 3) < 1e-9
+
+
+def test_rules_without_features_are_an_error(spark):
+    with pytest.raises(ValueError, match="RUG-001"):
+        rules.evaluate(spark.createDataFrame([("a", 1.0)], "wallet string, f2_funding_cv double"))
+
+
+def test_escalation_and_investigation(spark):
+    risks = spark.createDataFrame([("a", 20, "LOW"), ("b", 60, "HIGH"), ("c", 10, "LOW")], "wallet string, risk_score long, risk_level string")
+    risks = risks.withColumns({f"n_{s}": F.lit(1) for s in ("critical", "high", "medium", "low")} | {f: F.col("wallet") == "c" for f in ("mixer", "cex", "bridge")})
+    verdicts = spark.createDataFrame([("a", "STRONG_PATTERN", 60), ("c", "HIGH_CONFIDENCE_RUGPULL", 80), ("b", "MODERATE_PATTERN", 40)], "wallet string, verdict string, score long")
+    got = aml.escalated(risks, verdicts)
+    assert {r.wallet: (r.risk_score, r.risk_level) for r in got.collect()} == {"a": (60, "HIGH"), "b": (60, "HIGH"), "c": (80, "CRITICAL")}
+    r = one(aml.investigation(got, spark.createDataFrame([("x", w) for w in "abc"], "case_id string, wallet string")))
+    assert (r.risk_score, r.risk_level, r.n_wallets, r.n_high, r.mixer) == (80, "CRITICAL", 3, 3, True)
+
+
+def test_token_mints(spark):
+    from decimal import Decimal
+
+    zero = "0x" + "0" * 40
+    t = tx(spark, deploy("a", 10), ("a", 500, "a", "pool", 2.0, {"input": "0xf305d719" + "0" * 64}))
+    mints = spark.createDataFrame([("a", 0, 100, zero, "a", Decimal(9)), ("a", 1, 50, zero, "b", Decimal(1)), ("a", 2, 40, "a", "b", Decimal(5))], "wallet string, ord long, ts long, src string, dst string, amount decimal(38,0)")
+    r = one(lifecycle.value_features(t, mints))
+    assert (r.vs6_creator_token_fraction, r.vs6_mint_to_lp_latency_sec) == (0.9, 400)
+    assert one(lifecycle.value_features(t)).vs6_creator_token_fraction is None
+
+
+def test_upstream_over_all_wallets(spark):
+    t = tx(spark, ("a", 1, "x", "a", 1.0), ("x", 2, "y", "x", 1.0), ("y", 3, "z", "y", 1.0))
+    ego, all_ = ({r.funder: r.depth for r in graph.upstream_funders(t.where("wallet = 'a'") if s == "ego" else t, entities(spark), [], scope=s).where("wallet = 'a'").collect()} for s in ("ego", "global"))
+    assert ego == {"x": 1} and all_ == {"x": 1, "y": 2, "z": 3}
+
+
+def test_requests_and_counts(spark):
+    good = "0x" + "a" * 40
+    rows = spark.createDataFrame([(good, 1, 90, 500), ("0x1", 0, 0, 9), (None, None, 3651, 1001)], "wallet_address string, depth int, lookback_days int, max_transactions int")
+    assert [r.faults for r in casestore.request_faults(rows).collect()] == [[], ["wallet_address", "depth", "lookback_days", "max_transactions"], ["wallet_address", "depth", "lookback_days", "max_transactions"]]
+    blobs = spark.createDataFrame([('{"a": 1}',), ("{oops",), (None,)], "j string")
+    assert [r.x and r.x.a for r in blobs.select(casestore.parsed_json(F.col("j"), "a int").alias("x")).collect()] == [1, None, None]
+    assert [r.renderer for r in spark.createDataFrame([(499,), (500,), (5000,)], "n int").select(graph.renderer(F.col("n")).alias("renderer")).collect()] == ["svg", "canvas", "webgl"]
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("0xABCDEF0123", "12", 0.4999999999, 2.00001)], "data string, n string, v double, r double")
     r = one(df.select(
