@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import wordhash
-from .storage import materialise, ship
+from .storage import discard, materialise, ship
 
 #: Positions of a window that count (1) or don't (0). Found by a greedy search over masks of five counted
 #: positions: of random substitutions that leave 10 tokens and 70 % equal, in items of 12 to 30 tokens, under 0.1 % miss.
@@ -230,6 +230,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = spark.sparkContext.broadcast(_bit_table(seeds))
     hits = rows.mapInArrow(partial(_scan, bits=bits, lengths=lengths), "id long, h long")
     pairs = materialise(hits.join(seeds.select("h", F.col("id").alias("item_id")), "h").select("id", "item_id").distinct(), "pairs")
+    discard(seeds)
     sizes = pairs.groupBy("id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     marks = spark.sparkContext.broadcast(_bit_table(sizes.select("id").mapInArrow(_mixed_ids, "h long")))
     texts = rows.mapInArrow(partial(_marked, bits=marks), "id long, text string").join(sizes, "id")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import materialise, ship
+from .storage import discard, materialise, ship
 
 #: Fixed values: (verdict, rule); a rule is a host and the beginning of a path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -125,11 +125,14 @@ def described(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFra
     parts = with_parts(pages.select("page_id", "url")).drop("url").withColumns({"rule": rule, "decided": verdict})
     hosts = parts.select("host").distinct().withColumn("runs", F.regexp_extract_all(F.lower("host"), F.lit(rf"\p{{L}}{{1,{RUN}}}"), F.lit(0)))
     runs = hosts.select(F.explode("runs").alias("run")).distinct()
-    split = materialise(segmented(runs, materialise(unigrams(pages), "unigrams")), "segments")
+    counts = materialise(unigrams(pages), "unigrams")
+    split = materialise(segmented(runs, counts), "segments")
+    discard(counts)
     placed = hosts.select("host", F.posexplode("runs").alias("at", "run")).join(split, "run")
     words = placed.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x.words)).alias("host_words"))
     # stored, so that the join with all pages is one of two plain tables, and Spark may split a host that very many share
     words = materialise(words, "hosts")
+    discard(split)
     rows = parts.join(words, "host", "left").withColumn("host_words", F.coalesce("host_words", F.expr("cast(array() AS array<string>)")))
     tokens = F.array_remove(F.split(F.regexp_replace(F.lower("path"), "[0-9]+", "0"), r"[^\p{L}0-9]+", -1), "")
     numbers = F.regexp_extract_all("host", F.lit("[0-9]+"), F.lit(0))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import wordhash
 from .components import components
-from .storage import materialise, ship
+from .storage import discard, materialise, ship
 
 BANDS, ROWS = 40, 5
 #: Signature agreement below ``threshold - SLACK`` ends a candidate. Over five standard deviations at 200 minima.
@@ -307,7 +307,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = rows.where("doc_id IS NOT NULL")
     links = materialise(_star_links(stars, sigs, texts, k, percent), "links")
     found = materialise(components(links), "components")
+    discard(links)
     open_ = materialise(_neighbourhoods(buckets, found, sigs, percent), "open")
+    discard(buckets)
     more = _open_links(open_, sigs, texts, k, percent)
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
     final = components(edges).withColumnRenamed("node", "root")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import decontam, hilbert_sharding, host_words, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger, token_rollup, warc_store
 
 from .oracles import ORACLES  # noqa: F401
-from .storage import materialise
+from .storage import discard, materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,7 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         for name, events in [*batches.items()] * 2:
             rollup.commit(f"{name}-{v}", events)
+    discard(counts)
     return rollup.totals()
 
 

@@ -1,52 +1,14 @@
-"""Shared scratch tables: the only way in which stages of one job cut lineage."""
+"""What operators share: scratch tables (of the library), shipped code, names of their own."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and everything runs on one machine, a
-    temporary folder takes its place; it becomes the context's checkpoint folder, so that later calls agree.
-    """
-    context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not where:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        where = context.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nobody has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it again.
-
-    What is read back has no lineage, so a lost executor costs the re-read of files only.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._ledgerlens_path = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that :func:`materialise` made, once all that was read from them is stored itself."""
-    for t in tables:
-        remove(t.sparkSession, t._ledgerlens_path)
+from ..scratch import discard, fresh_path, materialise, remove, shared_dir  # noqa: F401
 
 
 def free_prefix(df: DataFrame) -> str:
@@ -65,7 +27,7 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parents[1]
     into = Path(tempfile.mkdtemp(prefix="spark-")) / "ledgerlens_code.zip"
     with zipfile.ZipFile(into, "w") as z:
-        for f in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
+        for f in [package / "__init__.py", package / "scratch.py", *sorted((package / "llm").glob("*.py"))]:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(into))
     context._ledgerlens_shipped = True
@@ -75,9 +37,3 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     """No rows of a schema, as a plan that the optimizer knows to be empty."""
     fields = [f.split(" ", 1) for f in schema.split(", ")]
     return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Hadoop's file system, whatever store holds it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -1,11 +1,14 @@
 """Near duplicates, quality rules and the pipeline against brute force."""
 
+import hashlib
 import random
 
 import brute
 import pytest
 
-from ledgerlens.llm import minhash_dedup, quality_llr
+from test_other import raked_by_hand, tempered
+
+from ledgerlens.llm import ipf_mixing, minhash_dedup, quality_llr
 from ledgerlens.llm.components import components
 
 VOCAB = [f"w{i}" for i in range(500)]
@@ -134,6 +137,39 @@ def test_pipeline(spark, tiny):
     third = {r.doc_id for r in P.decontamination(spark, second, tiny).collect()}
     assert not third & leaks and set(kept) - third <= leaks
     last = P.run(spark, tiny).collect()
-    assert {r.doc_id for r in last} <= third
+    fourth = [r for r in P.mixing(spark, P.decontamination(spark, second, tiny), tiny).collect()]
+    texts = {r.doc_id: r for r in docs.collect()}
+    cells, cell_of = {}, {}
+    for d in third:
+        t, n = texts[d].text or "", len(brute.words(texts[d].text))
+        form = "empty" if not n else "table" if t.count("|") * 8 > n else "list" if t.count("\n") * 15 > n else "brief" if n < 100 else "article" if n < 1000 else "long"
+        cell_of[d] = ((texts[d].source, texts[d].lang, form), n)
+        cells[cell_of[d][0]] = cells.get(cell_of[d][0], 0) + n
+    w = raked_by_hand(cells, tempered(cells), ipf_mixing.BUDGET)
+    drawn = lambda d: int(hashlib.md5(f"{d}:{ipf_mixing.SEED}".encode()).hexdigest()[:8], 16) / 2**32
+    picked = {d for d, (k, n) in cell_of.items() if not n or drawn(d) < min(1.0, ipf_mixing.BUDGET * w[k] / cells[k])}
+    assert {r.doc_id for r in fourth} == picked and {r.doc_id for r in last} == picked and len(last) == len(picked)
+    order = [r.hilbert_index for r in sorted(last, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
     sizes = [sum(r.shard == s for r in last) for s in range(16)]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows and a text of very many words."""
+    import corpus_pipeline as P
+
+    docs, labels, items = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int", "item_id long, text string"
+    rng = random.Random(2)
+    good = [(i, prose(rng, 80), "en", "s", 400) for i in range(30)]
+    rows = [*good, good[0], good[0], (None, good[1][1], None, None, None), (None, None, None, None, None), (40, "", "", "", 0), (41, prose(rng, 60_000), None, "s", None), (None, prose(rng, 50), "en", None, 1)]
+    for name, some in (("full", rows), ("empty", [])):
+        at = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(some, docs).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(10)][: len(some)], labels).write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, good[5][1]), (None, "x"), (2, None)][: len(some)], items).write.parquet(f"{at}/benchmark.parquet")
+        got = P.run(spark, at).collect()
+        ids = [r.doc_id for r in got]
+        assert sorted(r.slot for r in got if r.shard == 0) == list(range(sum(r.shard == 0 for r in got)))
+        assert not some or (ids.count(0) <= 1 and 5 not in ids and 40 not in ids and 1 in [*ids, 1])
+        assert all(r.text for r in got) and len({r.text for r in got}) == len(got)
