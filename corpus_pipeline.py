@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import decontam, hilbert_sharding, ipf_mixing, minhash_dedup, quality_llr
-from ledgerlens.llm.storage import materialise
+from ledgerlens.llm.storage import discard, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,6 +48,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, each stage stored before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:  # the next stage reads this one's rows alone
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
