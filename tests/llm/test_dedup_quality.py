@@ -82,6 +82,8 @@ def test_deduplicated_leaves_one_row_of_each_group(spark):
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 4)]
+    # a star whose centre is hot, tied to a small component, and enough pairs that other nodes are not
+    edges += [(2000, i) for i in range(2001, 4000)] + [(3999, 7)] + [(i, i + 1) for i in range(5000, 8000, 2)]
     parent = {}
 
     def root(x):
