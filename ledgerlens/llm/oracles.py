@@ -113,4 +113,10 @@ def op8() -> str:
         sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a USING (doc_id)"""
 
 
-ORACLES = {"op7_warc": OP7, "op8_secret_ledger": op8(), "op1_hilbert_shards": op1(), "op6_near_duplicates": OP6, "op10_mixing": op10()}
+OP11 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+ORACLES = {"op7_warc": OP7, "op8_secret_ledger": op8(), "op1_hilbert_shards": op1(), "op6_near_duplicates": OP6, "op10_mixing": op10(), "op11_exact_dedup": OP11}

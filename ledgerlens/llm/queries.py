@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, hilbert_sharding, host_words, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger, token_rollup, warc_store
+from . import decontam, exact_dedup, hilbert_sharding, host_words, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger, token_rollup, warc_store
 
 from .oracles import ORACLES  # noqa: F401
 from .storage import discard, materialise
@@ -86,6 +86,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_words.judged(table(spark, sf_dir, "pages")).withColumn("host_words", F.concat_ws(" ", "host_words"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("key")
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_rollup": op4_token_rollup,
@@ -97,4 +101,5 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op10_mixing": op10_mixing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op11_exact_dedup": op11_exact_dedup,
 }
