@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exact_dedup, hilbert_sharding, host_words, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger, token_rollup, warc_store
+from . import decontam, exact_dedup, hilbert_sharding, host_words, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger, token_alignment, token_rollup, warc_store
 
 from .oracles import ORACLES  # noqa: F401
 from .storage import discard, materialise
@@ -90,6 +90,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_rollup": op4_token_rollup,
@@ -102,4 +106,5 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op6_near_duplicates": op6_near_duplicates,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_token_alignment": op12_token_alignment,
 }
