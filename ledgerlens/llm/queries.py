@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exact_dedup, hilbert_sharding, host_words, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger, token_alignment, token_rollup, warc_store
+from . import conversation_repair, decontam, exact_dedup, hilbert_sharding, host_words, ipf_mixing, minhash_dedup, pii_weak, quality_llr, secret_ledger, token_alignment, token_rollup, warc_store
 
 from .oracles import ORACLES  # noqa: F401
 from .storage import discard, materialise
@@ -94,6 +94,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignments(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.summaries(conversation_repair.damaged(table(spark, sf_dir, "conversations")), "copies")
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_rollup": op4_token_rollup,
@@ -107,4 +111,5 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
