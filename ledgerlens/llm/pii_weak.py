@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from .storage import materialise
-from .text import no_spans, spans, whole
+from .text import apart, no_spans, spans, whole
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -119,11 +119,11 @@ def candidates(text: Column, base: dict[str, Column]) -> Column:
     def described(k: int, kind: str):
         return lambda x: F.struct(F.lit(k).alias("k"), x.s.alias("s"), x.e.alias("e"), _code(dict(enumerate(_votes(kind, x)))).alias("votes"), _features(x).alias("f"))
 
-    def free(kind: str):
-        apart = lambda x: ~F.exists(taken, lambda b: (b.s < x.e) & (x.s < b.e))
-        return apart if kind != "card" else lambda x: apart(x) & F.call_function("luhn_check", F.regexp_replace(x.m, "[^0-9]", ""))
+    def wide(kind: str) -> Column:
+        found = spans(text, WIDE[kind])
+        return found if kind != "card" else F.filter(found, lambda x: F.call_function("luhn_check", F.regexp_replace(x.m, "[^0-9]", "")))
 
-    return F.concat(*[F.transform(F.filter(spans(text, WIDE[kind]), free(kind)), described(k, kind)) for k, kind in enumerate(KINDS)])
+    return F.concat(*[F.transform(apart(wide(kind), taken), described(k, kind)) for k, kind in enumerate(KINDS)])
 
 
 def sure_examples(base: dict[str, Column]) -> Column:
@@ -200,7 +200,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``found_<kind>``, ``added`` (arrays of spans) for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty. Rows without doc_id and repeated rows are handled like all others; other columns are
-    not looked at. Without candidates nothing is added; an empty table gives an empty result.
+    not looked at. Without candidates nothing is added; an empty table gives an empty result. A very long text, or one with
+    very many matches, takes time in proportion to its length and to n log n of its matches.
     """
     text = whole("text")
     found = docs.select("doc_id", text.alias("text")).withColumns({f"found_{k}": v for k, v in base_spans(F.col("text")).items()})

@@ -58,6 +58,8 @@ RULES = [
     Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}"),
 ]
 BASE = 3
+#: The rules as they were before: one added kind less, and another pattern for the other.
+FORMER_RULES = [*RULES[:BASE], Rule("pem", "-----BEGIN [A-Z]+ PRIVATE KEY-----")]
 
 _LEDGER = "digest string, versions array<string>, found array<struct<s:bigint,e:bigint,rule:string>>"
 _FOUND = "array<struct<s:bigint,e:bigint,rule:string>>"
@@ -113,7 +115,8 @@ def secret_findings(docs: DataFrame, ledger: BlobLedger, rules: list[Rule] = RUL
     """``doc_id, digest, found`` for every row of ``docs(doc_id, text)``; ``found`` is sorted by start, then rule.
 
     Scans through ``ledger``, so texts that it knows aren't read by any rule again. Null texts count as empty; rows
-    without doc_id and repeated rows get their findings like all others; other columns aren't looked at.
+    without doc_id and repeated rows get their findings like all others; other columns aren't looked at. A very long
+    text, or one with very many matches, takes time in proportion to its length and to n log n of its matches.
     """
     ledger.scan(docs, rules)
     paths = docs.select("doc_id", F.sha2(whole("text"), 256).alias("digest"))

@@ -3,10 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import pii_weak, secret_ledger
+from ledgerlens.llm import pii_weak, secret_ledger, text
 
 TRICKY = [
     None, "", "plain words only", "a@b.c_x@d.e and .x@y.zz, @@ q@w e@r.t.", "mail a.b+c@x-y.example.com.", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3 9.9.9.9.",
@@ -166,3 +167,57 @@ def test_short_values_are_no_secrets(spark):
     want = {i: ",".join(x[2] for x in secrets(t)) for i, t in rows}
     assert {r.doc_id: r.spans for r in out} == want
     assert [want[i] for i in range(4)] == ["", "", "", "assign:12:24,assign:25:37"]
+
+
+def test_very_many_matches_in_one_text(spark):
+    """100,000 matches in one text, equal to plain regular expressions; quadratic ways would take a quarter of an hour."""
+    n = 100_000
+    mails = "".join(f"é{i} a{i}@b.co 1.2.3.{i % 300} mail x{i % 7} [at] ex (dot) com; " for i in range(n // 3))
+    began = time.perf_counter()
+    r = pii_weak.digest_columns(pii_weak.personal_data(spark.createDataFrame([(1, mails)], "doc_id long, text string"))).first()
+    want = [f"{kind}:{m.start()}:{m.end()}" for kind in PII for m in re.finditer(PII[kind][0], mails) if PII[kind][1](m.group(0))]
+    assert r.base_sha256 == sha(",".join(want)) and len(want) > 60_000
+    assert time.perf_counter() - began < 60
+    keys = "".join(f"é token={i:06d}ab\n" for i in range(n))
+    began = time.perf_counter()
+    r = secret_ledger.digest_columns(secret_ledger.secret_findings(spark.createDataFrame([(1, keys)], "doc_id long, text string"), secret_ledger.BlobLedger(spark))).first()
+    assert r.n_assign == n and r.spans == ",".join(x[2] for x in secrets(keys))
+    assert time.perf_counter() - began < 60
+
+
+def test_spans_apart(spark):
+    """Spans that touch none of others, against all pairs."""
+    rng = random.Random(4)
+
+    def some(k):
+        return sorted((s, s + rng.randrange(1, 6)) for s in (rng.randrange(60) for _ in range(rng.randrange(k))))
+
+    rows = [(i, some(12), some(8)) for i in range(400)]
+    kind = "array<struct<s:bigint,e:bigint>>"
+    got = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}").select("i", text.apart(F.col("a"), F.col("b")).alias("x")).collect()
+    for r in got:
+        _, a, b = rows[r.i]
+        assert [tuple(x) for x in r.x] == [x for x in a if not any(y[0] < x[1] and x[0] < y[1] for y in b)]
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 7, 8, 9, 100)]
+    got = spark.createDataFrame(rows, "x array<bigint>").select("x", text.running(F.col("x"), lambda a, b: a + b, F.lit(0).cast("bigint")).alias("y")).collect()
+    assert all(r.y == [sum(r.x[: i + 1]) for i in range(len(r.x))] for r in got)
+
+
+def test_old_rule_versions_are_known_to_the_query(spark, tiny, monkeypatch):
+    """The registered query visits its table twice; the second time only new rule versions scan."""
+    from ledgerlens.llm import queries
+
+    ledgers = []
+    make = secret_ledger.BlobLedger
+    monkeypatch.setattr(secret_ledger, "BlobLedger", lambda spark: ledgers.append(make(spark)) or ledgers[-1])
+    queries.QUERIES["op8_secret_ledger"](spark, tiny).collect()
+    rows = ledgers[0].read().collect()
+    texts = {r.text or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    assert len(ledgers) == 1 and len(rows) == 2 * len(texts)
+    base = {r.version for r in secret_ledger.RULES[: secret_ledger.BASE]}
+    first, second = ([set(r.versions) for r in rows if bool(base & set(r.versions)) == b] for b in (True, False))
+    assert len(first) == len(second) == len(texts)
+    assert all(v == {r.version for r in secret_ledger.RULES[secret_ledger.BASE :]} for v in second)
