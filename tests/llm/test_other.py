@@ -319,6 +319,10 @@ def splits(run, known, total):
     return best, cost
 
 
+def rng_word(rng, n):
+    return [rng.choice("abcdefghij") for _ in range(n)]
+
+
 def test_segmentation(spark):
     known = {"the": 50, "rain": 9, "in": 40, "spa": 2, "spain": 5, "train": 4, "he": 20, "at": 30}
     counts = spark.createDataFrame(list(known.items()), "word string, n long")
@@ -330,6 +334,12 @@ def test_segmentation(spark):
     assert got["therain"] == ["the", "rain"]
     long = host_words.segmented(spark.createDataFrame([("donaudampfschifffahrtsgesellschaft",)], "run string"), spark.createDataFrame([("donaudampfschifffahrtsgesellschaft", 1), ("donau", 9)], "word string, n long"))
     assert long.first().words == ["donaudampfschifffahrtsgesellschaft"]
+    # nothing is cut: a known word of 300 letters among others, an unknown run of 2,000, and a word that only begins like a known one
+    huge = "".join(rng_word(random.Random(1), 300))
+    counts = spark.createDataFrame([(huge, 3), ("the", 9), (huge[:40] + "q", 1)], "word string, n long")
+    runs = ["the" + huge + "the", "z" * 2000, "the" + huge[:40], "the" + huge[:40] + "q"]
+    got = {r.run: r.words for r in host_words.segmented(spark.createDataFrame([(r,) for r in runs], "run string"), counts).collect()}
+    assert [got[r] for r in runs] == [["the", huge, "the"], ["z" * 2000], ["the", huge[:40]], ["the", huge[:40] + "q"]]
 
 
 def test_naive_bayes_by_hand(spark, tiny):
@@ -342,23 +352,49 @@ def test_naive_bayes_by_hand(spark, tiny):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     rows = host_words.judged(pages).collect()
     bucket = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    seeded = lambda *xs: [h := 42, *[h := xxhash.xxh64(x.encode(), seed=h % 2**64).intdigest() for x in xs]][-1]
+    named = {"com", "example", "www", "net"}
+    split = {r.host: r.host_words for r in rows}
     features = {}
     for r in rows:
-        path = re.findall("[^\\W_]+", re.sub("[0-9]+", "0", r.path.lower()))
-        tokens = ["h:" + w for w in r.host_words] + ["n:"] * len(re.findall("[0-9]+", r.host)) + ["p:" + t for t in path]
+        own, words = [], list(split[r.host])
+        labels = r.host.split(".")
+        for i, label in enumerate(labels):
+            for run in re.findall(r"[^\W\d_]+", label):
+                got = ""
+                while got != run:
+                    w = words.pop(0)
+                    got += w
+                    if i < len(labels) - 1 and label not in named:
+                        own.append(w)
+        assert not words
+        path = re.findall("[^\\W_]+", re.sub("[0-9]+", "0", re.sub("^/[^/]*", "", r.path.lower())))
+        tokens = ["h:" + w for w in own] + ["n:"] * len(re.findall("[0-9]+", r.host)) + ["p:" + t for t in path]
         features[r.page_id] = [bucket(t) % host_words.BUCKETS for t in tokens]
-    counts, n = {"block": {}, "allow": {}}, {"block": 0, "allow": 0}
-    for r in rows:
-        if r.rule:
-            n[r.verdict] += 1
+
+    def weights(rows, a):
+        counts = {"block": {}, "allow": {}}
+        for r in rows:
             for f in features[r.page_id]:
                 counts[r.verdict][f] = counts[r.verdict].get(f, 0) + 1
-    total = {v: sum(c.values()) + host_words.BUCKETS for v, c in counts.items()}
-    assert n["block"] and n["allow"]
+        known = {*counts["block"], *counts["allow"]}
+        total = {v: sum(c.values()) + a * len(known) for v, c in counts.items()}
+        return {f: round(1e6 * (math.log((counts["block"].get(f, 0) + a) / total["block"]) - math.log((counts["allow"].get(f, 0) + a) / total["allow"]))) for f in known}
+
+    score = lambda r, w: sum(w.get(f, 0) for f in features[r.page_id])
+    decided = [r for r in rows if r.rule]
+    assert {r.verdict for r in decided} == {"block", "allow"}
+    out = lambda r: ((seeded(r.host) + 2**63) % 2**64 - 2**63) % host_words.FOLDS == 0
+    balanced = {}
+    for a in host_words.SMOOTHING:
+        w = weights([r for r in decided if not out(r)], a)
+        hits = {v: [(score(r, w) > 0) == (v == "block") for r in decided if out(r) and r.verdict == v] for v in ("block", "allow")}
+        balanced[a] = sum(sum(h) / len(h) if h else 0 for h in hits.values())
+    best = max(host_words.SMOOTHING, key=lambda a: round(balanced[a], 9))
+    w = weights(decided, best)
     for r in rows:
-        score = round(1e6 * math.log((n["block"] + 1) / (n["allow"] + 1)))
-        score += sum(round(1e6 * (math.log((counts["block"].get(f, 0) + 1) / total["block"]) - math.log((counts["allow"].get(f, 0) + 1) / total["allow"]))) for f in features[r.page_id])
-        assert r.score == score and (r.rule or r.verdict == ("block" if score > 0 else "allow")), r
+        assert r.score == score(r, w) and (r.rule or r.verdict == ("block" if r.score > 0 else "allow")), r
+    assert {r.verdict for r in rows if not r.rule} == {"block", "allow"}
 
 
 def test_naive_bayes_held_out(spark):
