@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..ranks import values_at
+from ..scratch import materialise
+
 
 def unpivot(features: DataFrame, names: list[str], ids: list[str]) -> DataFrame:
     """``ids..., feature, x`` of numeric columns."""
     return features.select(*ids, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(ids, names, "feature", "x")
 
 
+#: The quartiles of a feature.
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
 def feature_stats(features: DataFrame, names: list[str], label: str = "label") -> DataFrame:
-    """Count, quartiles and range of each feature by class; percentiles are interpolated linearly."""
-    long = unpivot(features, names, [label]).where("x IS NOT NULL")
-    at = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = long.groupBy("feature", label).agg(F.count("*").alias("n"), at.alias("p"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"))
-    return stats.select("feature", label, "n", F.get("p", F.lit(0)).alias("p25"), F.get("p", F.lit(1)).alias("p50"), F.get("p", F.lit(2)).alias("p75"), "min", "max", "mean")
+    """Count, quartiles and range of each feature by class; percentiles are interpolated linearly.
+
+    Equal values are counted first, and order statistics come from stretches of the values in order: no task holds all
+    values of a class. Ranks that are wanted are six for each row of the result.
+    """
+    by = ["feature", label]
+    counted = materialise(unpivot(features, names, [label]).where("x IS NOT NULL").groupBy(*by, "x").agg(F.count("*").alias("k")), "values")
+    stats = counted.groupBy(*by).agg(F.sum("k").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("k")) / F.sum("k")).alias("mean"))
+    stats = materialise(stats, "stats")
+    at = lambda q: (F.col("n") - 1) * F.lit(q)
+    ranks = F.array_distinct(F.concat(*[F.array(F.floor(at(q)), F.ceil(at(q))) for q in QUARTILES.values()]))
+    found = values_at(counted, by, "x", "k", stats.select(*by, F.explode(ranks).alias("rank")))
+    held = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    value = lambda r: F.element_at("at", r.cast("long"))
+    out = stats.alias("s").join(held.alias("h"), [F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]).select("s.*", "h.at")
+    low = {p: value(F.floor(at(q))) for p, q in QUARTILES.items()}
+    point = {p: F.when(F.floor(at(q)) == at(q), low[p]).otherwise(low[p] + (at(q) - F.floor(at(q))) * (value(F.ceil(at(q))) - low[p])) for p, q in QUARTILES.items()}
+    return out.select(*by, "n", *[x.alias(p) for p, x in point.items()], "min", "max", "mean")
 
 
 def separation(features: DataFrame, names: list[str], label: str = "label", positive: str = "bad") -> DataFrame:

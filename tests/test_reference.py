@@ -296,6 +296,47 @@ def test_cohort(spark):
     assert {r.label: (r.n, r.n_right) for r in cohort.confusion(v, lab).collect()} == {"bad": (2, 1), "good": (1, 0)}
 
 
+def test_percentiles_of_any_shape(spark):
+    """Against numpy, with one value that a third of all rows share, few and many rows, and classes that are null or alone."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(f"w{i}", rng.choice(["bad", "good", None]), 7.0 if i % 3 == 0 else rng.gauss(0, 5), None if i % 2 else float(i)) for i in range(3000)] + [("one", "alone", 1.5, None), ("two", "pair", 1.0, 2.0), ("three", "pair", 2.0, -1.0)]
+    frame = spark.createDataFrame(rows, "wallet string, label string, a double, b double").repartition(6)
+    got = {(r.feature, r.label): r for r in cohort.feature_stats(frame, ["a", "b"]).collect()}
+    for f, at in (("a", 2), ("b", 3)):
+        for label in {r[1] for r in rows}:
+            xs = [r[at] for r in rows if r[1] == label and r[at] is not None]
+            if not xs:
+                assert (f, label) not in got
+                continue
+            r = got[f, label]
+            assert r.n == len(xs) and r.min == min(xs) and r.max == max(xs) and abs(r["mean"] - np.mean(xs)) < 1e-9
+            assert np.allclose([r.p25, r.p50, r.p75], np.percentile(xs, [25, 50, 75]), atol=1e-9)
+    assert cohort.feature_stats(frame.limit(0), ["a"]).count() == 0
+
+
+def test_values_at_ranks_come_from_few_stretches(spark):
+    from ledgerlens import ranks
+
+    rows = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") * 7 % 5000).alias("x"), (1 + F.col("id") % 3).alias("n"))
+    flat = sorted(x for r in rows.collect() for x in [r.x] * r.n)
+    wanted = [0, 1, 17, len(flat) // 2, len(flat) - 1]
+    got = ranks.values_at(rows, ["g"], "x", "n", spark.createDataFrame([("g", k) for k in wanted], "g string, rank long"))
+    assert {r.rank: r.value for r in got.collect()} == {k: flat[k] for k in wanted}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one stretch
+    try:
+        stored = ranks.in_stretches(rows.repartition(4), ["x"], "t")
+        again = ranks.values_at(rows, ["g"], "x", "n", spark.createDataFrame([("g", k) for k in wanted], "g string, rank long"))
+        assert {r.rank: r.value for r in again.collect()} == {k: flat[k] for k in wanted}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sums = {r.stretch: (r.before, r.amount) for r in ranks.before_stretches(stored, F.col("n")).collect()}
+    assert len(sums) > 1 and all(sums[s][0] == sum(sums[q][1] for q in sums if q < s) for s in sums)
+
+
 def test_streaming(spark, tmp_path):
     t0 = 1_700_000_000  # not the epoch: a stream's first watermark is there, and a row at it counts as late
     rows = [("a", t0 + t, "a", f"d{t}", 1.0) for t in (0, 60, 120, 180, 240, 40 * DAY)] + [("b", t0 + 5, "b", "x", 1.0)]
