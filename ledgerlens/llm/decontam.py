@@ -24,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import wordhash
-from .storage import discard, materialise, ship
+from .storage import discard, free_prefix, materialise, ship
 
 #: Positions of a window that count (1) or don't (0). Found by a greedy search over masks of five counted
 #: positions: of random substitutions that leave 10 tokens and 70 % equal, in items of 12 to 30 tokens, under 0.1 % miss.
 MASKS = ["111011", "1100001011", "11010011", "1001111", "11010100001"]
 #: An aligned run must have this many equal tokens, or all of a shorter item's, and they must be this percentage of its places.
 LEAST_EQUAL, LEAST_SHARE = 10, 70
-#: Items with fewer tokens than this are phrases that any text may hold; they overlap with nothing.
-SHORTEST = 3
+#: Items with fewer tokens than this overlap with nothing: by default only those without any. Who takes items of one or two
+#: tokens for phrases that any text may hold passes 3.
+SHORTEST = 1
 BITS = 26
 #: Items that meet a document in one stream.
 BLOCK = 1024
@@ -62,20 +63,20 @@ def _masks(lengths: tuple[int, ...]) -> list[tuple[str, int]]:
 def _item_seeds(words: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """Seeds of one item, with the tag of their mask."""
     n = len(words)
-    if SHORTEST <= n < _SPAN:
+    if 0 < n < _SPAN:
         yield _hashes(words, "1" * n, 100 + n), 100 + n
     elif n >= _SPAN:
         for mask, tag in _masks(()):
             yield _hashes(words, mask, tag), tag
 
 
-def _scan_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_items(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
     """``(id, h, n)``: distinct seeds of items; ``n`` is the token count of a short item, else 0."""
     for batch in batches:
         out = [(np.zeros(0, np.int64),) * 3]
         for row, item in enumerate(batch.column(0).to_pylist()):
             words = _tokens(batch.column(1).slice(row, 1))
-            found = [h for h, _ in _item_seeds(words)]
+            found = [h for h, _ in _item_seeds(words)] if len(words) >= shortest else []
             h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             out.append((np.full(len(h), item), h.view(np.int64), np.full(len(h), len(words) if len(words) < _SPAN else 0)))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(3)], names=["id", "h", "n"])
@@ -213,19 +214,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_equal", "n_aligned"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """``doc_id, item_id, n_equal, n_aligned``: the best aligned run of every document and item that overlap.
 
-    Tokens are the texts' words, A-Z read as a-z and ``DROP`` left out. Items with fewer than ``SHORTEST`` tokens, null
-    and empty ones among them, overlap with nothing; items with fewer tokens than the shortest mask are found where all
-    their tokens stand in a row. Rows that share an id count as one document or item, and rows without an id are left
-    out. Other columns are not looked at; empty tables give an empty result.
+    Tokens are the texts' words, A-Z read as a-z and ``DROP`` left out. Items with fewer than ``shortest`` tokens, and null
+    and empty ones, overlap with nothing; items with fewer tokens than the shortest mask are found where all their tokens
+    stand in a row. Rows that share an id count as one document or item. Rows without an id have no name to be reported
+    under and are left out here; :func:`decontaminated` compares them like all others. Other columns are not looked at;
+    empty tables give an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
-    seeds = materialise(items.mapInArrow(_scan_items, "id long, h long, n long"), "seeds")
+    seeds = materialise(items.mapInArrow(partial(_scan_items, shortest=shortest), "id long, h long, n long"), "seeds")
     lengths = tuple(sorted(r.n for r in seeds.where("n > 0").select("n").distinct().collect()))  # under the shortest mask's length
     bits = spark.sparkContext.broadcast(_bit_table(seeds))
     hits = rows.mapInArrow(partial(_scan, bits=bits, lengths=lengths), "id long, h long")
@@ -243,7 +245,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", F.col("b.n_equal").alias("n_equal"), (-F.col("b.short")).alias("n_aligned"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item; rows without doc_id stay."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of ``docs`` that overlap with no row of ``benchmark``, with all their columns, whether they have ids or not.
+
+    Rows that share a doc_id count as one document. Rows without one are numbered in a stored table of their own and
+    compared apart, so that no other row is copied.
+    """
+    items = materialise(benchmark.select(F.monotonically_increasing_id().alias("item_id"), "text"), "items")
+    bad = materialise(overlaps(docs, items, shortest).select(F.col("doc_id").alias("_bad")).distinct(), "bad")
+    number, id_ = free_prefix(docs) + "row", docs["doc_id"].cast("long")
+    kept = docs.where(id_.isNotNull()).join(bad, id_ == bad["_bad"], "left_anti")
+    nameless = materialise(docs.where(id_.isNull()).withColumn(number, F.monotonically_increasing_id()), "nameless")
+    if nameless.isEmpty():
+        discard(items, nameless)
+        return kept
+    found = overlaps(nameless.select(F.col(number).alias("doc_id"), "text"), items, shortest).select(F.col("doc_id").alias(number)).distinct()
+    return kept.unionByName(nameless.join(found, number, "left_anti").select(*docs.columns))

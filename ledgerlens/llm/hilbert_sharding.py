@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve: rows near in several metadata dimensions land in the same shard.
 
 Every row gets a cell, its quantised metadata; cells are put in the order in which a Hilbert curve passes them, and
-the ordered rows are cut into runs of equal counts. Strings are quantised in their own order, at quantiles of the
+the ordered rows are cut into runs of equal counts. Strings are quantised as wholes in their own order, at quantiles of the
 table, so a shard's least and greatest raw values are close and files cut like this prune on each of the dimensions.
 
 The place of a row in the global order is found without a global sort. Cells are split by a salt of the row's key,
@@ -14,33 +14,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .storage import free_prefix
+from ..ranks import values_at
+from .storage import discard, free_prefix, materialise
 
 SALTS = 256
 BITS = 4
-#: Leading bytes of a string that its class goes by.
-LEADING = 7
-#: Accuracy of the quantiles: ranks are off by less than one in so many rows.
-ACCURACY = 10_000
 
 
 def order_key(value: Column) -> Column:
-    """The first ``LEADING`` bytes of a string as a number in the strings' own order; -1 for null."""
-    head = F.rpad(F.hex(F.substring(value.cast("string").cast("binary"), 1, LEADING)), 2 * LEADING, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+    """A string as one that is never null, in the same order; null comes before all."""
+    return F.coalesce(F.concat(F.lit("x"), value.cast("string")), F.lit(""))
 
 
-def cut_points(df: DataFrame, columns: list[str], bits: int = BITS) -> dict[str, list[int]]:
-    """Quantiles of the columns' :func:`order_key`: at most ``2 ** bits - 1`` numbers each, from one aggregate."""
-    at = F.array(*[F.lit(i / 2**bits) for i in range(1, 2**bits)])
-    row = df.select(*[order_key(F.col(c)).alias(f"k{i}") for i, c in enumerate(columns)]).agg(*[F.percentile_approx(f"k{i}", at, ACCURACY).alias(f"q{i}") for i in range(len(columns))]).first()
-    return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
+def cut_points(df: DataFrame, columns: list[str], bits: int = BITS) -> dict[str, list[str]]:
+    """Quantiles of the columns' :func:`order_key`: at most ``2 ** bits - 1`` whole strings each.
 
-
-def order_dimension(value: Column, cuts: list[int], bits: int = BITS) -> Column:
+    Distinct strings are counted, and the quantiles found by rank among the counted strings in order; all columns in one
+    pass. What comes to the driver is the cut points.
+    """
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), order_key(F.col(c)).alias("key")) for i, c in enumerate(columns)]))
+    counted = materialise(df.select(keys.alias("k")).groupBy("k.c", "k.key").agg(F.count("*").alias("n")), "strings")
+    total = counted.where("c = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    steps = 2**bits
+    ranks = sorted({-(-i * total // steps) - 1 for i in range(1, steps)}) if total else []
+    wanted = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("c"), F.explode(F.array(*[F.lit(r).cast("long") for r in ranks])).alias("rank")) if ranks else None
+    found = values_at(counted, ["c"], "key", "n", wanted).select("c", "value").distinct().collect() if wanted is not None else []
+    discard(counted)
+    return {c: sorted((r.value for r in found if r.c == i), key=lambda v: v.encode()) for i, c in enumerate(columns)}
+
+
+def order_dimension(value: Column, cuts: list[str], bits: int = BITS) -> Column:
     """A string in at most ``2 ** bits`` classes that follow its order: how many cut points are no greater than it."""
     key = order_key(value)
-    return sum(((key >= c).cast("int") for c in cuts[: 2**bits - 1]), F.lit(0)).cast("int")
+    return sum(((key >= F.lit(c)).cast("int") for c in cuts[: 2**bits - 1]), F.lit(0)).cast("int")
 
 
 def log_dimension(value: Column, bits: int = BITS) -> Column:

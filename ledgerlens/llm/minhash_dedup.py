@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import wordhash
 from .components import components
-from .storage import discard, materialise, ship
+from .storage import discard, free_prefix, materialise, ship
 
 BANDS, ROWS = 40, 5
 #: Signature agreement below ``threshold - SLACK`` ends a candidate. Over five standard deviations at 200 minima.
@@ -329,8 +329,9 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     linked like any other and stays only if no row of its group has one; of rows with equal ids, or of several without,
     one stays. Rows whose text has no shingles are alone, so all of them stay.
     """
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("id"))
-    least = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first"))
-    return keyed.join(least.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = free_prefix(docs) + "row"
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row"), "component_id")
+    ids = keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    least = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return keyed.join(least.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -37,7 +37,7 @@ def _chain(first: str, steps: list[str]) -> str:
 
 
 def op1() -> str:
-    key = lambda c: f"coalesce(('0x' || rpad(left(hex(encode({c})), {2 * hs.LEADING}), {2 * hs.LEADING}, '0'))::BIGINT, -1)"
+    key = lambda c: f"coalesce('x' || {c}, '')"
     at = [i / 2**hs.BITS for i in range(1, 2**hs.BITS)]
     crc = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
         lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1])))"""

@@ -54,7 +54,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under two tokenizer versions, then counts anew without runs of blanks, then exact copies taken out.
 
-    Every batch is tried twice. Of equal texts the row with the least doc_id stays (rows without one come last): all
+    Of equal texts the row with the least doc_id stays (rows without one come last): all
     rows are taken out again and one for each digest is put back, so nothing is joined by a key that copies share.
     """
     plain = F.trim(F.regexp_replace("text", r"[\x20\x09]+", " "))
@@ -71,7 +71,7 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
             "load": token_rollup.inserts(counts, v, v), "recount": token_rollup.revisions(now.where("changed"), v, v, "now"),
             "drop-copies": token_rollup.deletes(now, v, "now").unionByName(token_rollup.inserts(first, v, "now")),
         }
-        for name, events in [*batches.items()] * 2:
+        for name, events in batches.items():
             rollup.commit(f"{name}-{v}", events)
     discard(counts)
     return rollup.totals()

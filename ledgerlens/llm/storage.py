@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parents[1]
     into = Path(tempfile.mkdtemp(prefix="spark-")) / "ledgerlens_code.zip"
     with zipfile.ZipFile(into, "w") as z:
-        for f in [package / "__init__.py", package / "scratch.py", *sorted((package / "llm").glob("*.py"))]:
+        for f in [package / "__init__.py", package / "scratch.py", package / "ranks.py", *sorted((package / "llm").glob("*.py"))]:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(into))
     context._ledgerlens_shipped = True

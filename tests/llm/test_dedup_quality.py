@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import brute
 import pytest
 
@@ -72,7 +74,9 @@ def test_deduplicated_leaves_one_row_of_each_group(spark):
         (None, alone[1]), (None, alone[1] + " more"), (None, alone[2]), (None, None), (None, ""), (30, ""),
     ]
     rows = [(d, t, n) for n, (d, t) in enumerate(rows)]
-    got = minhash_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)).collect()
+    own = {"_row": F.lit(7), "row": F.lit(8), "__row": F.lit(9)}  # the caller's columns come back as they were
+    got = minhash_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n int").withColumns(own).repartition(3)).collect()
+    assert {(r["_row"], r["row"], r["__row"]) for r in got} == {(7, 8, 9)}
     want = [(7, "x y z"), (None, "unlike any other"), (4, near), (20, alone[0]), (19, "p q r"), (None, alone[2]), (None, None), (None, ""), (30, "")]
     left = [(r.doc_id, r.text) for r in got if r.text not in (alone[1], alone[1] + " more")]
     assert sorted(left, key=str) == sorted(want, key=str) and len(got) == len(want) + 1

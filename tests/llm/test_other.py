@@ -45,9 +45,11 @@ def test_order_keys(spark):
     assert got == sorted(got) and len(set(got)) == len(values)
 
 
-def test_shards_prune_on_each_dimension(spark, tmp_path):
+@pytest.mark.parametrize("prefix", ["", "https://archive.example.org/crawl-"])
+def test_shards_prune_on_each_dimension(spark, tmp_path, prefix):
+    """Sources that share 30 bytes are told apart as well as others."""
     rng = random.Random(12)
-    names = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    names = [prefix + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
     rows = [(i, "x" * int(4 ** rng.uniform(1, 6)), rng.choice(["de", "en", "es", "fr", "it", "pl"]), "hot" if i % 3 == 0 else rng.choice(names), None) for i in range(6000)]
     hs.write_shards(hs.document_shards(spark.createDataFrame(rows, DOC), 64), f"file://{tmp_path}/shards")
     back = spark.read.parquet(f"file://{tmp_path}/shards").withColumn("file", F.input_file_name())
@@ -129,7 +131,7 @@ def test_decontamination(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(3000)]
     text = lambda n: [rng.choice(vocab) for _ in range(n)]
-    items = [(i, " ".join(text(14 + i))) for i in range(30)] + [(90, None), (91, "too short"), (92, ""), (None, " ".join(text(20))), (80, "six tokens, make (one) short item"), (81, "Just four tokens here."), (82, "only three tokens"), (83, " ".join(["again"] * 40))]
+    items = [(i, " ".join(text(14 + i))) for i in range(30)] + [(90, None), (91, "too short"), (92, ""), (None, " ".join(text(20))), (80, "six tokens, make (one) short item"), (81, "Just four tokens here."), (82, "only three tokens"), (83, " ".join(["again"] * 40)), (84, "zebra crossing"), (85, "Xylophone!")]
     docs, want = [], set()
     for i, t in items[:30]:
         w = t.split()
@@ -138,16 +140,22 @@ def test_decontamination(spark):
             docs.append((1000 + 10 * i + step, " ".join(text(40) + [m[0].upper() + ",", *m[1:]] + text(40))))
             want.add((docs[-1][0], i))
     docs += [(2000, "x six tokens make one SHORT, item. y"), (2001, "and just four tokens here"), (2002, "ONLY three tokens"), (2003, "again " * 3000), (2004, " ".join(items[3][1].split()[2:14]))]
-    want |= {(2000, 80), (2001, 81), (2002, 82), (2003, 83), (2004, 3)}
-    clean = [(i, " ".join(text(200))) for i in range(60)] + [(61, " ".join(items[20][1].split()[:6] + text(50))), (62, None), (63, ""), (64, "too short"), (65, "six tokens make one long item"), (66, "four tokens here"), (67, "again again again")]
+    docs += [(2005, "too short"), (2006, "Zebra crossing"), (2007, "a zebra crossing, a xylophone")]
+    want |= {(2000, 80), (2001, 81), (2002, 82), (2003, 83), (2004, 3), (2005, 91), (2006, 84), (2007, 84), (2007, 85)}
+    clean = [(i, " ".join(text(200))) for i in range(60)] + [(61, " ".join(items[20][1].split()[:6] + text(50))), (62, None), (63, ""), (64, "too very short, zebra of crossing"), (65, "six tokens make one long item"), (66, "four tokens here"), (67, "again again again")]
     rows = docs + clean + [docs[0], (None, items[5][1])]
     frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, item_id string, h string").repartition(3)
     bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, h int")
     got = {(r.doc_id, r.item_id): r for r in decontam.overlaps(frame, bench).collect()}
     assert set(got) == want
     assert all(r.n_equal <= r.n_aligned for r in got.values())
-    kept = decontam.decontaminated(frame, bench)
-    assert kept.count() == len(clean) + 1 and kept.columns == frame.columns
+    assert {p for p in want if p[1] not in (84, 85, 91)} == {(r.doc_id, r.item_id) for r in decontam.overlaps(frame, bench, shortest=3).collect()}
+    # rows without an id are compared too: one holds an item, one is clean; so is an item without an id
+    more = spark.createDataFrame([(None, "nothing of that kind here", "x", "y"), (None, items[5][1], "x", "y"), (3000, items[33][1], "x", "y")], frame.schema)
+    kept = decontam.decontaminated(frame.unionByName(more), bench)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect() if r.text) == sorted([(d or -1, t) for d, t in clean if t] + [(-1, "nothing of that kind here")])
+    assert items[33][0] is None and kept.count() == len(clean) + 1
     none = spark.createDataFrame([], "doc_id long, text string")
     assert decontam.overlaps(none, bench).count() == 0 and decontam.overlaps(frame.select("doc_id", "text"), bench.limit(0)).count() == 0
 
