@@ -81,22 +81,24 @@ class BlobLedger:
         return empty(self.spark, _LEDGER)
 
     def unseen(self, docs: DataFrame, rules: list[Rule], path: Column) -> DataFrame:
-        """``(digest, path, todo)``: one path for each blob that some rule version hasn't scanned, and those versions."""
-        now = F.array(*[F.lit(r.version) for r in rules])
-        seen = self.read().select("digest", F.explode("versions").alias("v")).groupBy("digest").agg(F.collect_set("v").alias("seen"))
+        """``(digest, path, todo)``: one path for each blob that some rule version hasn't scanned, and those versions as bits."""
+        known = sum((F.when(F.array_contains("versions", r.version), 1 << i).otherwise(0) for i, r in enumerate(rules)), F.lit(0).cast("long"))
+        seen = self.read().groupBy("digest").agg(F.bit_or(known).alias("seen"))
         blobs = docs.groupBy("digest").agg(F.min(path).alias("path"))
-        todo = F.array_except(now, F.coalesce("seen", F.expr("cast(array() AS array<string>)")))
-        return blobs.join(seen, "digest", "left").select("digest", "path", todo.alias("todo")).where(F.size("todo") > 0)
+        todo = F.lit((1 << len(rules)) - 1).cast("long").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
+        return blobs.join(seen, "digest", "left").select("digest", "path", todo.alias("todo")).where("todo <> 0")
 
     def scan(self, docs: DataFrame, rules: list[Rule] = RULES) -> None:
         """Scan what is new among ``docs(doc_id, text)`` and commit it as one append."""
-        keyed = docs.select(F.col("doc_id").alias("path"), whole("text").alias("text")).withColumn("digest", F.sha2("text", 256))
-        todo = self.unseen(keyed, rules, F.col("path")).select(F.col("digest").alias("_blob"), F.col("path").alias("_path"), "todo")
+        keyed = docs.select(F.col("doc_id").alias("path"), whole("text").alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+        todo = self.unseen(keyed.withColumn("digest", F.sha2("text", 256)), rules, F.col("path"))
+        todo = todo.select(F.unhex("digest").alias("_blob"), F.col("path").alias("_path"), "todo")
         new = keyed.join(todo, (F.col("digest") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")))
-        hits = new.select("digest", "todo", *[
-            F.when(F.array_contains("todo", r.version), r.found(F.col("text"))).otherwise(F.expr(f"cast(array() AS {_FOUND})")).alias(r.name) for r in rules
-        ])
-        rows = hits.select("digest", F.col("todo").alias("versions"), F.concat(*[r.name for r in rules]).alias("found"))
+        due = [F.col("todo").bitwiseAND(1 << i) != 0 for i in range(len(rules))]
+        none = F.expr(f"cast(array() AS {_FOUND})")
+        hits = new.select("digest", "todo", *[F.when(d, r.found(F.col("text"))).otherwise(none).alias(r.name) for d, r in zip(due, rules, strict=True)])
+        versions = F.array_compact(F.array(*[F.when(d, F.lit(r.version)) for d, r in zip(due, rules, strict=True)]))
+        rows = hits.select(F.lower(F.hex("digest")).alias("digest"), versions.alias("versions"), F.concat(*[r.name for r in rules]).alias("found"))
         rows.dropDuplicates(["digest"]).write.mode("append").parquet(self.path)  # rows repeated in full come twice
 
     def findings(self, rules: list[Rule] = RULES) -> DataFrame:
