@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.keccak import RATE, rotations, round_constants
 from ..operators.rules import RULES, severity_sql
 from ..sources import demo_chain as demo
 
@@ -276,7 +277,34 @@ p_ AS (SELECT *, greatest(risk_score, own) AS score, greatest(lv, lift) AS level
 SELECT 'case' || (k % 40) AS case_id, max(score) AS risk_score, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][arg_max(level, (score, level))] AS risk_level, count(*) AS n_wallets, sum(n_critical)::BIGINT AS n_critical, sum(n_high)::BIGINT AS n_high, sum(n_medium)::BIGINT AS n_medium,
 sum(n_low)::BIGINT AS n_low, bool_or(mixer) AS mixer, bool_or(cex) AS cex, bool_or(bridge) AS bridge FROM p_ GROUP BY k % 40"""
 
+def checksums() -> str:
+    """Keccak-256 of 40 bytes in SQL: a list of 25 lanes, reduced over the rounds."""
+    turned = lambda x, n: x if not n else f"((({x} & {(1 << (64 - n)) - 1}) << {n}) | ({x} >> {64 - n}))"
+    let = lambda value, name, use: f"list_transform([{value}], lambda {name}: {use})[1]"
+    xor = lambda *xs: xs[0] if len(xs) == 1 else f"xor({xs[0]}, {xor(*xs[1:])})"
+    columns = "[" + ", ".join(xor(*[f"s[{x + 5 * y + 1}]" for y in range(5)]) for x in range(5)) + "]"
+    mixed = "[" + ", ".join(xor(f"c[{(x + 4) % 5 + 1}]", turned(f"c[{(x + 1) % 5 + 1}]", 1)) for x in range(5)) + "]"
+    laid = "[" + ", ".join(xor(f"s[{i + 1}]", f"d[{i % 5 + 1}]") for i in range(25)) + "]"
+    moved = "[" + ", ".join(turned(f"t[{a + 1}]", n) for a, _, n in sorted(rotations(), key=lambda r: r[1])) + "]"
+    ones = (1 << 64) - 1
+    out = "[" + ", ".join(xor(f"m[{i + 1}]", f"(xor(m[{i // 5 * 5 + (i + 1) % 5 + 1}], {ones}) & m[{i // 5 * 5 + (i + 2) % 5 + 1}])", *(["r[1]"] if i == 0 else [])) for i in range(25)) + "]"
+    step = let(columns, "c", let(mixed, "d", let(laid, "t", let(moved, "m", out))))
+    byte = lambda k: f"ord(x[{k + 1}])::UBIGINT" if k < 40 else "1::UBIGINT" if k == 40 else "128::UBIGINT" if k == RATE - 1 else "0::UBIGINT"
+    lanes = ", ".join("(" + " | ".join(f"({byte(8 * i + j)} << {8 * j})" for j in range(8)) + ")" if i < RATE // 8 else "0::UBIGINT" for i in range(25))
+    rounds = ", ".join(f"[{c}::UBIGINT]" for c in round_constants())
+    nibble = lambda k: f"((h[{k // 16 + 1}] >> {8 * (k // 2 % 8) + (0 if k % 2 else 4)}) & 15)"
+    letters = " || ".join(f"CASE WHEN {nibble(k)} > 7 THEN upper(x[{k + 1}]) ELSE x[{k + 1}] END" for k in range(40))
+    return f"""WITH a AS (SELECT event_id, md5(event_id::VARCHAR) || left(md5('b' || event_id), 8) AS d FROM events),
+f AS (SELECT event_id, '0x' || CASE event_id % 7 WHEN 1 THEN upper(d) WHEN 2 THEN upper(left(d, 20)) || right(d, 20) WHEN 3 THEN left(d, 39) WHEN 4 THEN left(d, 39) || 'g' ELSE d END AS address FROM a),
+g AS MATERIALIZED (SELECT event_id, lower(address[3:]) AS x FROM f WHERE regexp_full_match(address, '0x[0-9a-fA-F]{{40}}')),
+k AS MATERIALIZED (SELECT event_id, x, list_reduce(list_prepend([{lanes}], [{rounds}]), lambda s, r: {step}) AS h FROM g),
+c AS (SELECT event_id, '0x' || {letters} AS checksum FROM k)
+SELECT f.event_id, address, checksum, CASE WHEN checksum IS NULL THEN 'invalid' WHEN checksum = address THEN 'checksummed' WHEN address = lower(address) THEN 'lower'
+WHEN address[3:] = upper(address[3:]) THEN 'upper' ELSE 'wrong' END AS form FROM f LEFT JOIN c USING (event_id)"""
+
+
 ORACLES = {
+    "checksum_addresses": checksums(),
     "aml_risk_orders": RISK,
     "tx_classified": q(EVENTS, ENT, final=f"SELECT wallet, ord, {SIDE} AS direction, {KIND} AS tx_type, round(value::DOUBLE / 1e18, 9) AS amount, gas_used * gas_price AS gas_wei, a.type AS src_type, b.type AS dst_type FROM tx LEFT JOIN ent a ON a.address = src LEFT JOIN ent b ON b.address = dst"),
     "wallet_stats": q(EVENTS, STATS, final=STATS_Q), "wallet_stats_orders": q(ORDERS, STATS, f"st AS ({STATS_Q})", final="SELECT * EXCLUDE (average) FROM st"),

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import scalars as S
+from ledgerlens.functions import keccak, scalars as S
 from ledgerlens.operators import aml, casestore, cohort, graph, lifecycle, report, rules
 from ledgerlens.schema import Config
 from ledgerlens.sources import ingest
@@ -377,3 +377,71 @@ def test_streaming_bursts_begin_anywhere(spark, tmp_path):
     every = tx(spark, *[r for rows in parts for r in rows])
     batch = {r.wallet: r.metric for r in aml.rapid_burst(every).collect() if r.severity}
     assert batch == {w: max(n for (x, _), n in latest.items() if x == w) for w, _ in latest}
+
+
+def plain_keccak(message):
+    """Keccak-256 with integers, written from the sponge's definition."""
+    rate, mask = 136, (1 << 64) - 1
+    data = message + b"\x01" + b"\0" * (-(len(message) + 1) % rate)
+    data = data[:-1] + bytes([data[-1] | 128])
+    lanes = {(x, y): 0 for x in range(5) for y in range(5)}
+    turn = lambda v, n: ((v << n % 64) | (v >> (64 - n % 64))) & mask
+    for at in range(0, len(data), rate):
+        for i in range(rate // 8):
+            lanes[i % 5, i // 5] ^= int.from_bytes(data[at + 8 * i : at + 8 * i + 8], "little")
+        bit = 1
+        for _ in range(24):
+            c = [lanes[x, 0] ^ lanes[x, 1] ^ lanes[x, 2] ^ lanes[x, 3] ^ lanes[x, 4] for x in range(5)]
+            lanes = {(x, y): v ^ c[(x - 1) % 5] ^ turn(c[(x + 1) % 5], 1) for (x, y), v in lanes.items()}
+            x, y, held = 1, 0, lanes[1, 0]
+            for t in range(24):
+                x, y = y, (2 * x + 3 * y) % 5
+                held, lanes[x, y] = lanes[x, y], turn(held, (t + 1) * (t + 2) // 2)
+            lanes = {(x, y): lanes[x, y] ^ (~lanes[(x + 1) % 5, y] & mask & lanes[(x + 2) % 5, y]) for x, y in lanes}
+            for j in range(7):
+                lanes[0, 0] ^= (bit & 1) << (2**j - 1)
+                bit = (bit << 1) ^ (0x171 if bit & 128 else 0)
+    return b"".join(lanes[i, 0].to_bytes(8, "little") for i in range(4))
+
+
+def test_keccak_of_any_length():
+    import random
+
+    rng = random.Random(7)
+    messages = [rng.randbytes(n) for n in [*range(0, 140), 271, 272, 273, 1000]]
+    assert [bytes(d) for d in keccak.keccak256(messages)] == [plain_keccak(m) for m in messages]
+    assert keccak.keccak256([b""])[0].tobytes().hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    assert keccak.keccak256([]).shape == (0, 32) and keccak.checksummed([]) == []
+
+
+#: Addresses that the standard publishes with their checksums.
+PUBLISHED = ["0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", "0xfB6916095ca1df60bB79Ce92cE3Ea74c37c5d359", "0xdbF03B407c01E7cD3CBea99509d93f8DDDC8C6FB", "0xD1220A0cf47c7B9Be7A2E6BA89F429762e7b9aDb"]
+
+
+def test_checksummed_addresses(spark):
+    """Published forms, each in lower, upper and a wrong case, beside what isn't an address; a column of the same name is replaced."""
+    swapped = lambda a: a[:2] + a[2:].swapcase()
+    rows = [(f(a), a, form) for a in PUBLISHED for f, form in ((str, "checksummed"), (str.lower, "lower"), (lambda a: a[:2] + a[2:].upper(), "upper"), (swapped, "wrong"))]
+    rows += [("0x" + "1" * 40, "0x" + "1" * 40, "checksummed"), *[(x, None, "invalid") for x in (None, "", "0x", "0x" + "a" * 39, "0x" + "a" * 41, "0x" + "g" * 40, "0X" + "a" * 40, " 0x" + "a" * 40)]]
+    frame = spark.createDataFrame([(i, a, "x") for i, (a, *_) in enumerate(rows)], "i int, address string, form string").repartition(3)
+    got = {r.i: (r.checksum, r.form) for r in keccak.checksum_addresses(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == [(c, f) for _, c, f in rows]
+    assert keccak.checksum_addresses(frame.limit(0)).count() == 0
+    plan = keccak.checksum_addresses(frame)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
+
+
+def test_checksums_by_hand(spark, tiny):
+    """The registered query against the plain digest."""
+    import __spark_entry__ as e
+
+    rows = e.queries()["checksum_addresses"](spark, tiny).collect()
+    for r in rows:
+        digits = r.address[2:].lower()
+        if len(digits) != 40 or set(digits) - set("0123456789abcdef"):
+            assert (r.checksum, r.form) == (None, "invalid")
+            continue
+        digest = plain_keccak(digits.encode()).hex()
+        want = "0x" + "".join(c.upper() if int(h, 16) > 7 else c for c, h in zip(digits, digest, strict=False))
+        assert r.checksum == want
+    assert {r.form for r in rows} == {"lower", "upper", "wrong", "invalid"}
