@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..schema import DEFAULT, POINTS, Config, by_wallet, eth, in_order
+from ..schema import DEFAULT, ORDER, POINTS, Config, eth
+from . import segments
 
 DAY = 86400.0
+#: Seconds after a gap in which transactions are counted.
+AFTER = 48 * 3600
 
 
 def normalised(tx: DataFrame, entities: DataFrame) -> DataFrame:
@@ -44,50 +47,80 @@ FACTS = {
 }
 
 
-def aml_facts(tx: DataFrame, entities: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """One row a wallet with ``<fact>`` (null where undefined) and ``<fact>_evidence`` for each of the seven rules.
+def _sent() -> Column:
+    return (F.col("src") == F.col("wallet")) & (F.col("dst") != F.col("wallet")) & (F.col("stream") == 0)
 
-    All windows are by wallet and all facts are one aggregate, so the transactions are dealt once; a query for a single
-    rule reads and computes only what that rule needs.
-    """
-    out = (F.col("src") == F.col("wallet")) & (F.col("dst") != F.col("wallet")) & (F.col("stream") == 0)
+
+def _timed(tx: DataFrame, entities: DataFrame, c: Config, reach: int) -> DataFrame:
+    """Largest transfer, densest window, longest gap and recent transfers, by segments of a wallet's time (see ``segments``)."""
     known = entities.select(F.col("address").alias("dst"), F.lit(True).alias("known"))
-    seconds = lambda n: by_wallet().orderBy("ts").rangeBetween(0, n)
-    bucket = lambda at: F.floor((at - F.min("ts").over(by_wallet())) / int(c.bucket_days * DAY))
-    rows = tx.select("wallet", "stream", "ord", "ts", "dst", "value", "tx_hash", out.alias("out"), F.when(out, S.round_amount(eth("value"))).alias("amount")).join(known, "dst", "left").withColumns({
-        "gap": F.col("ts") - F.lag("ts").over(in_order()), "after": F.count("*").over(seconds(48 * 3600)), "n": F.count(F.when(F.col("out"), 1)).over(seconds(c.burst_seconds)),
-        "b": bucket(F.col("ts")), "last_b": bucket(F.max("ts").over(by_wallet())),
+    rows = tx.select("wallet", "stream", "ord", "ts", "dst", "value", "tx_hash", _sent().alias("out")).join(known, "dst", "left")
+    seconds = lambda n: segments.in_segment("ts").rangeBetween(0, n)
+    rows = segments.with_overlap(rows, reach).withColumns({
+        "gap": F.col("ts") - F.lag("ts").over(segments.in_segment(*ORDER)), "after": F.count("*").over(seconds(AFTER)), "n": F.count(F.when(F.col("out"), 1)).over(seconds(c.burst_seconds)),
     })
-    # a recipient's first row, and the rows and first row of a round amount: windows within the wallet's own rows
-    to, same = W.partitionBy("wallet", "out", "dst").orderBy("ts", "ord"), W.partitionBy("wallet", "amount")
-    rows = rows.withColumns({
-        "opens": ~F.col("b").eqNullSafe(F.lag("b").over(in_order())), "first_to": F.col("out") & (F.col("dst") != "") & (F.row_number().over(to) == 1),
-        "alike": F.when(F.col("amount").isNotNull(), F.struct(F.count("*").over(same).alias("n"), F.min(F.struct("ts", "ord")).over(same).alias("f"))),
-    })
-    sent = F.col("out")
+    sent = F.col("out") & F.col("own")
     recent = sent & (F.lit(c.as_of) - F.col("ts") <= c.new_hours * 3600) & (eth("value") >= c.new_eth) & F.col("known").isNull()
-    agg = rows.groupBy("wallet").agg(
+    gap = lambda gap, ts, after: F.struct(gap.alias("gap"), (-ts).alias("at"), after.alias("after"))
+    parts = rows.groupBy("wallet", "segment").agg(
         F.max(F.when(sent, F.struct("value", -F.col("ts"), -F.col("ord"), "tx_hash"))).alias("l"),
         F.max(F.when(sent, F.struct("n", -F.col("ts")))).alias("m"),
-        F.count_if("first_to").alias("n_to"),
-        F.max(F.when(F.col("gap").isNotNull(), F.struct("gap", -F.col("ts"), "after"))).alias("g"),
-        F.count("*").alias("n_tx"), F.count_if("opens").alias("k"), F.count_if(F.col("b") == F.col("last_b")).alias("last"),
-        F.count("amount").alias("n_round"), F.max(F.when(F.col("amount").isNotNull(), F.struct("alike.n", -F.col("alike.f.ts"), -F.col("alike.f.ord"), F.col("amount").alias("a")))).alias("top"),
-        F.count_if(recent).alias("n_new"),
-    )
-    positive = lambda n: F.when(n > 0, n.cast("double"))
-    ratio = F.col("last") / ((F.col("n_tx") - F.col("last")) / (F.col("k") - 1))
+        F.max(F.when(F.col("own") & F.col("gap").isNotNull(), gap(F.col("gap"), F.col("ts"), F.col("after")))).alias("g"),
+        F.min(F.when(F.col("own"), F.struct(*ORDER, "after"))).alias("first"), F.max(F.when(F.col("own"), F.col("ts"))).alias("last"), F.count_if(recent).alias("n_new"),
+    ).where("first IS NOT NULL")
+    edge = F.col("first.ts") - F.lag("last").over(segments.across())
+    parts = parts.withColumn("edge", F.when(edge.isNotNull(), gap(edge, F.col("first.ts"), F.col("first.after"))))
+    agg = parts.groupBy("wallet").agg(F.max("l").alias("l"), F.max("m").alias("m"), F.max(F.array_max(F.array("g", "edge"))).alias("g"), F.sum("n_new").alias("n_new"))
     return agg.select(
         "wallet", eth(F.col("l.value")).alias("large"), F.col("l.tx_hash").alias("large_evidence"),
         F.col("m.n").cast("double").alias("burst"), (-F.col("m.col2")).cast("string").alias("burst_evidence"),
-        positive(F.col("n_to")).alias("fanout"), F.lit("").alias("fanout_evidence"),
         (F.col("g.gap") / DAY).alias("dormant"), F.col("g.after").cast("string").alias("dormant_evidence"),
-        F.when((F.col("k") >= 2) & (F.col("n_tx") >= 4), ratio).alias("activity"), F.col("k").cast("string").alias("activity_evidence"),
-        positive(F.col("n_round")).alias("round"), F.col("top.a").cast("string").alias("round_evidence"),
-        positive(F.col("n_new")).alias("new"), F.lit("").alias("new_evidence"),
+        F.when(F.col("n_new") > 0, F.col("n_new").cast("double")).alias("new"), F.lit("").alias("new_evidence"),
     )
 
 
+def _fanout(tx: DataFrame) -> DataFrame:
+    recipients = tx.where(_sent() & (F.col("dst") != "")).select("wallet", "dst").distinct()
+    return recipients.groupBy("wallet").agg(F.count("*").cast("double").alias("fanout")).withColumn("fanout_evidence", F.lit(""))
+
+
+def _round_sums(tx: DataFrame) -> DataFrame:
+    rows = tx.where(_sent()).select("wallet", "ts", "ord", S.round_amount(eth("value")).alias("a")).where("a IS NOT NULL")
+    by = rows.groupBy("wallet", "a").agg(F.count("*").alias("n"), F.min(F.struct("ts", "ord")).alias("f"))
+    agg = by.groupBy("wallet").agg(F.sum("n").cast("double").alias("round"), F.max(F.struct("n", -F.col("f.ts"), -F.col("f.ord"), "a")).alias("top"))
+    return agg.select("wallet", "round", F.col("top.a").cast("string").alias("round_evidence"))
+
+
+def _activity(tx: DataFrame, c: Config) -> DataFrame:
+    """Buckets begin at a wallet's first row, so that is found first, and the rows are counted by bucket in a second pass."""
+    first = tx.groupBy("wallet").agg(F.min("ts").alias("first"))
+    bucket = F.floor((F.col("ts") - F.col("first")) / int(c.bucket_days * DAY)).alias("b")
+    by = tx.select("wallet", "ts").join(first, "wallet").groupBy("wallet", bucket).agg(F.count("*").alias("n"))
+    agg = by.groupBy("wallet").agg(F.count("*").alias("k"), F.sum("n").alias("n_tx"), F.max_by("n", "b").alias("last"))
+    ratio = F.col("last") / ((F.col("n_tx") - F.col("last")) / (F.col("k") - 1))
+    return agg.select("wallet", F.when((F.col("k") >= 2) & (F.col("n_tx") >= 4), ratio).alias("activity"), F.col("k").cast("string").alias("activity_evidence"))
+
+
+def aml_facts(tx: DataFrame, entities: DataFrame, c: Config = DEFAULT, facts: tuple[str, ...] = tuple(FACTS.values())) -> DataFrame:
+    """One row a wallet with ``<fact>`` (null where undefined) and ``<fact>_evidence`` for each of the wanted facts.
+
+    Nothing is dealt by wallet alone before it is aggregated: windows go by (wallet, segment of time), recipients and amounts
+    are counted by themselves first. A wallet with a third of all rows is spread like the others.
+    """
+    reach = max(AFTER * ("dormant" in facts), c.burst_seconds * ("burst" in facts)) + 1 if {"dormant", "burst"} & {*facts} else 0
+    parts = [
+        (("large", "burst", "dormant", "new"), lambda: _timed(tx, entities, c, reach)), (("fanout",), lambda: _fanout(tx)),
+        (("activity",), lambda: _activity(tx, c)), (("round",), lambda: _round_sums(tx)),
+    ]
+    made = [make() for names, make in parts if {*names} & {*facts}]
+    if len(made) > 1 and not {*parts[0][0]} & {*facts}:  # only the timed facts have all wallets
+        made.insert(0, tx.select("wallet").distinct())
+    out = made[0]
+    for part in made[1:]:
+        out = out.join(part, "wallet", "left")
+    return out.select("wallet", *[F.col(x) for f in facts for x in (f, f"{f}_evidence")])
+
+
 def severity_of(fact: str, c: Config = DEFAULT) -> Column:
     """Severity of a fact; null where the rule doesn't fire."""
     m = F.col(fact)
@@ -112,7 +145,7 @@ def reasoning(fact: str) -> Column:
 
 def _one(fact: str, tx: DataFrame, c: Config, entities: DataFrame | None = None) -> DataFrame:
     entities = tx.select(F.col("src").alias("address"), F.lit("").alias("type")).where("false") if entities is None else entities
-    rows = aml_facts(tx, entities, c).where(F.col(fact).isNotNull())
+    rows = aml_facts(tx, entities, c, (fact,)).where(F.col(fact).isNotNull())
     return rows.select("wallet", F.col(fact).alias("metric"), F.col(f"{fact}_evidence").alias("evidence"), severity_of(fact, c).alias("severity"))
 
 

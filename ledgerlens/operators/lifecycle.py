@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
 from ..scratch import materialise
-from ..schema import ADD_LIQUIDITY, DEFAULT, OWNERSHIP, REMOVE_LIQUIDITY, SIGNIFICANT, TOKEN_TRANSFER, WEI, Config, by_wallet, eth, in_order
+from ..schema import ADD_LIQUIDITY, DEFAULT, OWNERSHIP, ORDER, REMOVE_LIQUIDITY, SIGNIFICANT, TOKEN_TRANSFER, WEI, Config, by_wallet, eth, in_order
+from . import segments
 
 HOUR = 3600
 
@@ -126,8 +127,7 @@ def burstiness(rows: DataFrame, at: str = "ts") -> DataFrame:
 
 def gap_entropy(tx: DataFrame) -> DataFrame:
     """entropy in bits of the gaps between outgoing transactions, to the nearest minute, for three or more."""
-    gaps = outgoing(tx).select("wallet", (F.col("ts") - F.lag("ts").over(by_wallet().orderBy("ts"))).alias("g")).where("g > 0")
-    return entropy(gaps.select("wallet", F.bround(F.col("g") / 60.0).alias("k")), least=3)
+    return entropy(segments.gaps(outgoing(tx)).where("gap > 0").select("wallet", F.bround(F.col("gap") / 60.0).alias("k")), least=3)
 
 
 def entropy(rows: DataFrame, least: int = 1) -> DataFrame:
@@ -266,20 +266,25 @@ def exit_silence(tx: DataFrame, as_of: int) -> DataFrame:
     return agg.select("wallet", F.round(silent, 1).alias("exit1_silence_days"), F.round(F.when(life > 0, silent / life).otherwise(0.0), 3).alias("exit1_silence_ratio"))
 
 
-def dormancy_events(tx: DataFrame, mixers: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """EXIT-2: ``wallet, ts, ord, gap, rcs`` of outgoing transactions; ``gap`` in days, ``rcs`` scores this and the next two."""
-    rows = outgoing(tx).join(mixers.where("type = 'MIXER'").select(F.col("address").alias("dst"), F.lit(2).alias("_mix")), "dst", "left")
-    points = F.when(F.col("dst") == "", 2).otherwise(0) + F.coalesce("_mix", F.lit(0))
-    return rows.select("wallet", "ts", "ord", ((F.col("ts") - F.lag("ts").over(in_order())) / 86400.0).alias("gap"), F.sum(points).over(in_order().rowsBetween(0, 2)).alias("rcs"))
-
-
 def exit_dormancy(tx: DataFrame, mixers: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """EXIT-2: gaps over 30 days between outgoing transactions, what the next three transactions did, and when each gap ended.
 
-    A wallet's list of events can't be longer than its life in months.
+    Segments of a wallet's time are as long as the shortest gap that counts, so gaps end at the first row of a segment only;
+    of each segment its ends and its first three rows are kept. A wallet's list of events can't be longer than its life in
+    months.
     """
+    rows = outgoing(tx).join(mixers.where("type = 'MIXER'").select(F.col("address").alias("dst"), F.lit(2).alias("_mix")), "dst", "left")
+    points = F.when(F.col("dst") == "", 2).otherwise(0) + F.coalesce("_mix", F.lit(0))
+    rows = rows.select("wallet", *ORDER, points.alias("points"), segments.place(int(c.dormancy_days * 86400)).alias("segment"))
+    rows = rows.withColumn("k", F.row_number().over(segments.in_segment(*ORDER)))
+    heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "points")))), lambda x: x.points)
+    parts = rows.groupBy("wallet", "segment").agg(F.min("ts").alias("ts"), F.max("ts").alias("last"), heads.alias("heads"))
+    none = F.expr("cast(array() AS array<int>)")
+    later = [F.coalesce(F.lead("heads", k).over(segments.across()), none) for k in (1, 2)]
+    parts = parts.withColumns({"gap": (F.col("ts") - F.lag("last").over(segments.across())) / 86400.0, "next": F.slice(F.concat("heads", *later), 1, 3)})
+    parts = parts.withColumn("rcs", F.aggregate("next", F.lit(0).cast("long"), lambda a, x: a + x))
     event = F.col("gap") > c.dormancy_days
-    return dormancy_events(tx, mixers, c).groupBy("wallet").agg(
+    return parts.groupBy("wallet").agg(
         F.count_if(event).alias("exit2_dormancy_event_count"), F.max(F.when(event, F.round("gap", 1))).alias("exit2_max_gap_days"), F.max(F.when(event, F.col("rcs"))).alias("exit2_reactivation_context_score"),
         F.array_sort(F.collect_list(F.when(event, F.struct("ts", F.round("gap", 1).alias("gap_days"), "rcs")))).alias("exit2_events"),
     )

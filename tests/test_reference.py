@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import keccak, scalars as S
-from ledgerlens.operators import aml, casestore, cohort, graph, lifecycle, report, rules
+from ledgerlens.operators import aml, casestore, cohort, graph, lifecycle, report, rules, segments
 from ledgerlens.schema import Config
 from ledgerlens.sources import ingest
 from ledgerlens.streaming import rules as stream
@@ -296,6 +296,80 @@ def test_cohort(spark):
     assert {r.label: (r.n, r.n_right) for r in cohort.confusion(v, lab).collect()} == {"bad": (2, 1), "good": (1, 0)}
 
 
+def busy_wallets(n=1500):
+    """Rows of wallets with lives of years; one has a third of all, much of it within minutes."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        w = "hot" if i % 3 == 0 else f"w{i % 40}"
+        at = rng.choice([rng.randrange(0, 1500 * DAY), 30 * DAY * rng.randrange(1, 40) + rng.randrange(-200, 200), 700 * DAY + rng.randrange(0, 900)])
+        rows.append((w, at, *rng.choice([(w, f"d{rng.randrange(30)}"), (w, "mix"), (f"s{i % 7}", w), (w, w), (w, "")]), rng.choice([0.5, 1.0, 3.3, 12.0]), {"stream": int(rng.random() < 0.1)}))
+    return rows
+
+
+def facts_by_hand(rows, c):
+    """The timed facts and the dormancies of each wallet, from its rows in order."""
+    out = {}
+    for w in {r[0] for r in rows}:
+        mine = sorted((ts, x["stream"], n, src, dst, v) for n, (o, ts, src, dst, v, x) in enumerate(rows) if o == w)
+        sent = [r for r in mine if r[3] == w and r[4] != w and r[1] == 0]
+        times = [r[0] for r in mine]
+        burst = max(((sum(t <= u[0] <= t + c.burst_seconds for u in sent), -t) for t, *_ in sent), default=None)
+        gap = max(((b - a, -b) for a, b in zip(times, times[1:], strict=False)), default=None)
+        bucket = [(t - times[0]) // int(c.bucket_days * DAY) for t in times]
+        k, last = len(set(bucket)), bucket.count(bucket[-1])
+        ratio = last / ((len(times) - last) / (k - 1)) if k >= 2 and len(times) >= 4 else None
+        own = [r for r in mine if r[3] == w and r[1] == 0]
+        points = [2 * (r[4] == "") + 2 * (r[4] == "mix") for r in own]
+        events = [(own[i][0], round((own[i][0] - own[i - 1][0]) / DAY, 1), sum(points[i : i + 3])) for i in range(1, len(own)) if own[i][0] - own[i - 1][0] > 30 * DAY]
+        out[w] = {
+            "burst": burst and float(burst[0]), "burst_evidence": burst and str(-burst[1]), "dormant": gap and gap[0] / DAY, "dormant_evidence": gap and str(sum(-gap[1] <= t <= -gap[1] + 48 * 3600 for t in times)),
+            "activity": ratio, "fanout": float(len({r[4] for r in sent if r[4]})) or None, "large": max((r[5] for r in sent), default=None), "events": events, "own": bool(own),
+        }
+    return out
+
+
+def test_busy_wallets_in_segments(spark):
+    """Same facts as from each wallet's own rows in order, over many segments, with ties and windows across borders."""
+    rows, c = busy_wallets(), Config(as_of=1500 * DAY)
+    t = tx(spark, *rows).repartition(5)
+    want = facts_by_hand(rows, c)
+    got = {r.wallet: r.asDict() for r in aml.aml_facts(t, entities(spark), c).collect()}
+    assert set(got) == set(want)
+    for w, facts in want.items():
+        for f in ("burst", "burst_evidence", "dormant", "dormant_evidence", "activity", "fanout", "large"):
+            same = pytest.approx(facts[f]) if isinstance(facts[f], float) else facts[f]
+            assert got[w][f] == same, (w, f)
+    exits = {r.wallet: r for r in lifecycle.exit_dormancy(t, entities(spark, ("mix", "MIXER"))).collect()}
+    assert set(exits) == {w for w, x in want.items() if x["own"]}
+    for w, r in exits.items():
+        assert [(x.ts, x.gap_days, x.rcs) for x in r.exit2_events] == want[w]["events"] and r.exit2_dormancy_event_count == len(want[w]["events"])
+    gaps = sorted((r.wallet, r.gap) for r in segments.gaps(t).collect())
+    times = {w: sorted(r[1] for r in rows if r[0] == w) for w in want}
+    assert gaps == sorted((w, b - a) for w, ts in times.items() for a, b in zip(ts, ts[1:], strict=False))
+
+
+def test_no_task_holds_a_busy_wallet(spark):
+    """Windows over rows go by wallet and segment; those by wallet alone stand above an aggregate by both."""
+    import re
+
+    rows = busy_wallets(300)
+    t = tx(spark, *rows)
+    for df in (aml.aml_facts(t, entities(spark), Config()), lifecycle.exit_dormancy(t, entities(spark)), lifecycle.gap_entropy(t)):
+        lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+        windows = [(i, re.search(r"windowspecdefinition\((wallet#\d+)(, segment#\d+L?)?, ", line)) for i, line in enumerate(lines) if re.search(r"\bWindow \[", line)]
+        assert windows and all(m for _, m in windows)
+        for i, m in windows:
+            if not m[2]:
+                assert any(re.search(r"Aggregate\(keys?=\[wallet#\d+, segment#", x) for x in lines[i + 1 :])
+        # and each aggregate by wallet alone is preceded by its own part in the tasks that read the rows
+        assert all("partial" in " ".join(lines[i + 1 :]) for i, x in enumerate(lines) if re.search(r"Aggregate\(keys?=\[wallet#\d+\], functions=\[(?!partial)", x))
+    by = t.groupBy("wallet", segments.place()).count().agg(F.max("count").alias("m")).first().m
+    assert by < len(rows) / 4  # the busiest segment, of a wallet with a third of all rows
+
+
 def test_percentiles_of_any_shape(spark):
     """Against numpy, with one value that a third of all rows share, few and many rows, and classes that are null or alone."""
     import random
