@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..ranks import before_stretches, in_stretches
 from ..schema import DEFAULT, SOURCES, Config, eth
-from ..scratch import materialise
+from ..scratch import discard, materialise
 from .lifecycle import first_deployment, inbound
 
 
@@ -109,48 +110,110 @@ def shared_funder_flags(links: DataFrame) -> DataFrame:
 def shared_funders(links: DataFrame, mode: str = "closed_world", order: DataFrame | None = None) -> DataFrame:
     """FP4: ``wallet, n_shared``, the wallets that share an upstream funder with it.
 
-    ``closed_world`` is symmetric; ``sequential`` counts earlier wallets only, by ``order(wallet, seq)``. In the closed
-    world no pairs are made: the wallets of each funder are bitmaps, and a wallet's neighbours the union of its funders'
-    bitmaps, exact in an eighth of a byte a wallet. ``sequential`` pairs wallets and is for cohorts.
+    ``closed_world`` is symmetric; ``sequential`` counts earlier wallets only, by ``order(wallet, seq)``; wallets of equal
+    ``seq`` aren't earlier than each other. No pairs are made: the wallets of each funder are bitmaps, and a wallet's
+    neighbours the union of its funders' bitmaps, exact in an eighth of a byte a wallet. In the sequential mode wallets are
+    numbered in their order, so the earlier ones are the bits below a wallet's own.
     """
     a = links.select("wallet", "funder").distinct()
-    if mode == "sequential":
-        a = a.join(order, "wallet")
-        b = a.select(F.col("wallet").alias("other"), "funder", F.col("seq").alias("other_seq"))
-        n = a.join(b, "funder").where("other_seq < seq").groupBy("wallet").agg(F.countDistinct("other").alias("n_shared"))
-        return a.select("wallet").distinct().join(n, "wallet", "left").na.fill(0)
+    bit, bucket = F.call_function("bitmap_bit_position", "number"), F.call_function("bitmap_bucket_number", "number")
     # numbers are given once, in a stored table, so that they hold whatever is computed again
-    numbers = materialise(a.select("wallet").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
-    placed = a.join(numbers, "wallet").withColumns({"bucket": F.call_function("bitmap_bucket_number", "number"), "bit": F.call_function("bitmap_bit_position", "number")})
+    if mode == "sequential":
+        numbers = _numbered(a.select("wallet").distinct().join(order, "wallet"))
+    else:
+        numbers = materialise(a.select("wallet").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    placed = a.join(numbers, "wallet").withColumns({"bucket": bucket, "bit": bit})
     held = placed.groupBy("funder", "bucket").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
-    met = a.join(held, "funder").groupBy("wallet", "bucket").agg(F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
-    return met.groupBy("wallet").agg((F.sum(F.call_function("bitmap_count", F.col("bits"))) - 1).alias("n_shared"))
-
-
-def funder_jaccard(links: DataFrame) -> DataFrame:
+    if mode != "sequential":
+        met = a.join(held, "funder").groupBy("wallet", "bucket").agg(F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
+        return met.groupBy("wallet").agg((F.sum(F.call_function("bitmap_count", F.col("bits"))) - 1).alias("n_shared"))
+    below = numbers.select("wallet", F.call_function("bitmap_bucket_number", "least").alias("own"), F.call_function("bitmap_bit_position", "least").alias("at"))
+    near = a.join(below, "wallet").join(held, "funder").where("bucket <= own")
+    met = near.groupBy("wallet", "own", "at", "bucket").agg(F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
+    # in the wallet's own bucket: whole bytes below its bit, and the lower bits of the byte that holds it
+    whole = F.call_function("bitmap_count", F.expr("substring(bits, 1, cast(at div 8 AS int))"))
+    rest = F.bit_count(F.conv(F.hex(F.expr("substring(bits, cast(at div 8 + 1 AS int), 1)")), 16, 10).cast("long").bitwiseAND(F.expr("shiftleft(1L, cast(at % 8 AS int)) - 1")))
+    earlier = F.when(F.col("bucket") < F.col("own"), F.call_function("bitmap_count", F.col("bits"))).otherwise(F.when(F.col("at") >= 8, whole).otherwise(0) + rest)
+    n = met.groupBy("wallet").agg(F.sum(earlier).alias("n_shared"))
+    return a.select("wallet").distinct().join(n, "wallet", "left").na.fill(0, ["n_shared"])
+
+
+def _numbered(wallets: DataFrame) -> DataFrame:
+    """``wallet, number, least``, stored: places in order of ``seq``, and the first place of those with an equal one."""
+    stored = in_stretches(wallets.select("seq", "wallet"), ["seq", "wallet"], "order")
+    sums = before_stretches(stored, F.lit(1).cast("long")).select("stretch", "before")
+    within = F.row_number().over(W.partitionBy("stretch").orderBy(F.col("seq").asc_nulls_first(), "wallet")) - 1
+    numbered = materialise(stored.withColumn("within", within).join(sums, "stretch").select("wallet", "seq", (F.col("before") + F.col("within")).alias("number")), "numbers")
+    least = numbered.groupBy("seq").agg(F.min("number").alias("least"))
+    return materialise(numbered.join(least, "seq").select("wallet", "number", "least"), "numbers")
+
+
+def funder_jaccard(links: DataFrame, seen: list[int] | None = None) -> DataFrame:
     """``wallet, fp_max_funder_jaccard``: the greatest overlap of its funders with another wallet's.
 
-    Wallets with equal funder sets (by two hashes over the set) are one: they reach 1.0, and only unlike sets are compared,
-    by an inverted index over their funders.
+    Wallets with equal funder sets (by two hashes over the set) are one: they reach 1.0, and only unlike sets are compared.
+    A set's best so far begins with what it surely shares with the smallest sets that its funders name. To beat it, another
+    set must share so many funders that one of them is among the set's rarest: only those are looked up, rarest first, in
+    rounds that reach twice as far each, and every better set that is found leaves fewer to look up. Since the least that one
+    shared funder can give is the best so far from the beginning, the funder of a set that most others have, too, is never
+    looked up. ``seen`` gets the number of candidate pairs of each round.
     """
     a = links.select("wallet", "funder").distinct()
     h = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("funder")).cast("decimal(38,0)"))
-    marks = a.groupBy("wallet").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y"))
+    marks = materialise(a.groupBy("wallet").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y")), "marks")
     sets = materialise(marks.groupBy("n", "x", "y").agg(F.min("wallet").alias("set"), F.count("*").alias("m")), "sets")
-    held = a.join(sets.select(F.col("set").alias("wallet")), "wallet", "left_semi").withColumnRenamed("wallet", "set")
-    both = held.join(held.withColumnRenamed("set", "other"), "funder").where("set <> other").groupBy("set", "other").agg(F.count("*").alias("i"))
-    size = sets.select("set", "n")
-    sized = both.join(size, "set").join(size.select(F.col("set").alias("other"), F.col("n").alias("n2")), "other")
-    best = sized.groupBy("set").agg(F.max(F.col("i") / (F.col("n") + F.col("n2") - F.col("i"))).alias("best"))
+    held = a.join(sets.select(F.col("set").alias("wallet"), "n"), "wallet").withColumnRenamed("wallet", "set")
+    common = held.groupBy("funder").agg(F.count("*").alias("k"))
+    rarest = W.partitionBy("set").orderBy("k", "funder")
+    held = materialise(held.join(common, "funder").withColumn("pos", F.row_number().over(rarest)).drop("k"), "held")
+    best = materialise(_first_best(held), "best")
+    low = 1
+    while True:
+        # p of q, the best so far; least: the funders that a better set shares at least, if it is as small as one can be
+        need = lambda n, m: F.expr(f"(p * ({n} + {m})) div (p + q) + 1")
+        open_ = best.withColumn("reach", F.col("n") - need("n", "greatest(smallest, (p * n) div q)") + 1).where(F.col("reach") >= low).drop("n")
+        probes = held.join(open_, "set").where((F.col("pos") >= low) & (F.col("pos") < 2 * low) & (F.col("pos") <= F.col("reach")))
+        if probes.isEmpty():
+            break
+        other = held.select("funder", F.col("set").alias("other"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+        pairs = probes.join(other, "funder").where("set <> other").withColumn("need", need("n", "n2"))
+        pairs = materialise(pairs.where("pos <= n - need + 1 AND pos2 <= n2 - need + 1").select("set", "other", "n", "n2").distinct(), "pairs")
+        if seen is not None:
+            seen.append(pairs.count())
+        shared = pairs.join(held.select("set", "funder"), "set").join(held.select(F.col("set").alias("other"), "funder"), ["other", "funder"])
+        found = shared.groupBy("set", "other", "n", "n2").agg(F.count("*").alias("i"))
+        better = found.groupBy("set").agg(F.max(F.struct((F.col("i") / (F.col("n") + F.col("n2") - F.col("i"))).alias("j"), "i", (F.col("n") + F.col("n2") - F.col("i")).alias("u"))).alias("b"))
+        rises = F.col("b").isNotNull() & (F.col("b.i") * F.col("q") > F.col("p") * F.col("b.u"))
+        last, best = best, materialise(best.join(better, "set", "left").select("set", "n", "smallest", F.when(rises, F.col("b.i")).otherwise(F.col("p")).alias("p"), F.when(rises, F.col("b.u")).otherwise(F.col("q")).alias("q")), "best")
+        discard(last, pairs)
+        low *= 2
+    best = best.select("set", (F.col("p") / F.col("q")).alias("best"))
     of = sets.join(best, "set", "left").select("n", "x", "y", F.when(F.col("m") > 1, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("fp_max_funder_jaccard"))
     return marks.join(of, ["n", "x", "y"]).select("wallet", "fp_max_funder_jaccard")
 
 
+def _first_best(held: DataFrame) -> DataFrame:
+    """``set, n, smallest, p, q`` of sets that share a funder with another: ``p / q`` is a lower bound of the best overlap.
+
+    Each funder names its smallest set, or to that set the next; a set named by ``p`` of another's funders shares as many at
+    least. ``smallest`` is the size of the smallest set that any funder names, so none that shares one is smaller.
+    """
+    size = F.struct("n", "set")
+    first = held.groupBy("funder").agg(F.min(size).alias("f"))
+    named = held.join(first, "funder")
+    second = named.where(F.col("set") != F.col("f.set")).groupBy("funder").agg(F.min(size).alias("s"))
+    named = named.join(second, "funder", "left").withColumn("o", F.when(F.col("set") != F.col("f.set"), F.col("f")).otherwise(F.col("s"))).where("o IS NOT NULL")
+    by = named.groupBy("set", "n", F.col("o.set").alias("other"), F.col("o.n").alias("n2")).agg(F.count("*").alias("i"))
+    union = F.col("n") + F.col("n2") - F.col("i")
+    agg = by.groupBy("set", "n").agg(F.min("n2").alias("smallest"), F.max(F.struct((F.col("i") / union).alias("j"), F.col("i").alias("i"), union.alias("u"))).alias("b"))
+    return agg.select("set", "n", "smallest", F.col("b.i").alias("p"), F.col("b.u").alias("q"))
+
+
 def funding_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, noise: list[str], c: Config = DEFAULT) -> DataFrame:
-    """All funding features for every wallet."""
+    """All funding features that the rules read, for every wallet."""
     links = upstream_funders(tx, entities, noise, c=c)
     out = first_source(tx, entities, ages, c).join(seed_features(tx, entities, ages, c), "wallet", "left").join(min_hops(tx, entities), "wallet", "left")
-    out = out.join(shared_funder_flags(links), "wallet", "left").join(funder_jaccard(links), "wallet", "left")
+    out = out.join(shared_funder_flags(links), "wallet", "left")
     return out.na.fill(False, ["fp_shared_funder"]).na.fill(0, ["fp_seed_count"])
 
 

@@ -72,11 +72,11 @@ def _rule(name: str, spark: SparkSession, sf: str) -> DataFrame:
 
 def _funding(name: str, spark: SparkSession, sf: str) -> DataFrame:
     tx, (ent, ages) = E(spark, sf), context(spark)
-    links = graph.upstream_funders(tx, ent, demo.NOISE)
+    links = lambda: graph.upstream_funders(tx, ent, demo.NOISE)
     made = {
-        "first": lambda: graph.first_source(tx, ent, ages), "seed": lambda: graph.seed_features(tx, ent, ages), "hops": lambda: graph.min_hops(tx, ent), "upstream": lambda: links,
-        "shared": lambda: graph.shared_funders(links), "jaccard": lambda: graph.funder_jaccard(links),
-        "sequential": lambda: graph.shared_funders(links, "sequential", tx.select("wallet").distinct().withColumn("seq", F.substring("wallet", 2, 20).cast("long"))),
+        "first": lambda: graph.first_source(tx, ent, ages), "seed": lambda: graph.seed_features(tx, ent, ages), "hops": lambda: graph.min_hops(tx, ent), "upstream": links,
+        "shared": lambda: graph.shared_funders(links()), "jaccard": lambda: graph.funder_jaccard(links()),
+        "sequential": lambda: graph.shared_funders(links(), "sequential", tx.select("wallet").distinct().withColumn("seq", F.substring("wallet", 2, 20).cast("long"))),
     }
     return rounded(made[name]())
 

@@ -189,6 +189,48 @@ def test_shared_funder_modes(spark):
     assert {r.wallet: r.fp_max_funder_jaccard for r in graph.funder_jaccard(links).collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}
 
 
+def test_shared_funders_without_pairs(spark):
+    """Earlier wallets that share a funder, against all pairs, with equal places, two funders of all wallets and numbers over a bucket."""
+    import random
+
+    rng = random.Random(6)
+    funders = {f"w{i}": {"all"} | {f"f{rng.randrange(30)}" for _ in range(rng.randrange(3))} if i % 5 else {f"g{i}"} for i in range(150)}
+    seq = {w: rng.randrange(60) for w in funders}
+    links = spark.createDataFrame([(w, f) for w, fs in funders.items() for f in fs], "wallet string, funder string").repartition(4)
+    order = spark.createDataFrame(list(seq.items()), "wallet string, seq long")
+    got = {r.wallet: r.n_shared for r in graph.shared_funders(links, "sequential", order).collect()}
+    assert got == {w: sum(seq[v] < seq[w] and bool(funders[v] & funders[w]) for v in funders) for w in funders}
+    n = 70_000  # more than one bitmap holds
+    many = spark.range(n).select(F.concat(F.lit("w"), "id").alias("wallet"), F.lit("all").alias("funder"), F.col("id").alias("seq"))
+    odd = {r.wallet: r.n_shared for r in graph.shared_funders(many, "sequential", many.select("wallet", "seq")).where("wallet IN ('w0', 'w7', 'w8', 'w32767', 'w32768', 'w32777', 'w69999')").collect()}
+    assert odd == {f"w{i}": i for i in (0, 7, 8, 32767, 32768, 32777, 69999)}
+    plan = graph.shared_funders(links, "sequential", order)._jdf.queryExecution().optimizedPlan().toString()
+    assert "other" not in plan
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_funder_jaccard_against_all_pairs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    usual = [f"h{i}" for i in range(3)]
+    funders = {f"w{i}": {x for x in usual if rng.random() < 0.8} | {f"f{int(rng.random() ** 2 * 60)}" for _ in range(rng.randrange(0, 9))} for i in range(120)}
+    funders = {w: fs for w, fs in funders.items() if fs} | {"alone": {"x1", "x2"}, "same1": {"y", "h0"}, "same2": {"y", "h0"}}
+    links = spark.createDataFrame([(w, f) for w, fs in funders.items() for f in fs], "wallet string, funder string").repartition(4)
+    got = {r.wallet: r.fp_max_funder_jaccard for r in graph.funder_jaccard(links).collect()}
+    want = {w: max(len(a & b) / len(a | b) for v, b in funders.items() if v != w) for w, a in funders.items()}
+    assert set(got) == set(want) and all(abs(got[w] - want[w]) < 1e-12 for w in want)
+
+
+def test_a_funder_of_all_wallets_makes_few_candidates(spark):
+    """2,000 wallets with two funders in common and some of their own: candidates stay in proportion to the wallets."""
+    n, seen = 2000, []
+    links = spark.range(n).select(F.concat(F.lit("w"), "id").alias("wallet"), F.explode(F.array(F.lit("all"), F.lit("also"), F.concat(F.lit("own"), "id"), F.concat(F.lit("pair"), F.expr("id div 2")), F.concat(F.lit("ten"), F.expr("id div 10")))).alias("funder"))
+    got = graph.funder_jaccard(links, seen).groupBy("fp_max_funder_jaccard").count().collect()
+    assert [(round(r[0], 6), r[1]) for r in got] == [(round(4 / 6, 6), n)]
+    assert sum(seen) <= 12 * n  # all pairs by funder would be four million
+
+
 def test_trace_goes_on_through_subjects(spark):
     t = tx(spark, ("a", 1, "a", "b", 1.0), ("b", 2, "b", "c", 1.0), ("c", 3, "c", "a", 1.0), ("a", 4, "a", "cex", 5.0), ("a", 5, "a", "tiny", 0.01), ("c", 6, "c", "e", 1.0))
     got = {r.node: (r.depth, r.decision) for r in graph.trace(t, spark.createDataFrame([("a",)], "wallet string"), entities(spark, ("cex", "CEX"))).collect()}
