@@ -7,7 +7,8 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def timed(tx: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -85,18 +86,32 @@ def dormancies(rows: DataFrame, least_days: float = 30.0) -> DataFrame:
     return found.where(F.col("gap_days") > least_days)
 
 
-def _shared(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    seen = list(state.get[0]) if state.exists else []
-    out = []
-    for b in batches:
-        for w in b["wallet"]:
-            if w not in seen:
-                out += [(w, key[0], len(seen))] if seen else []
-                seen.append(w)
-    state.update((seen,))
-    yield pd.DataFrame(out, columns=["wallet", "funder", "n_earlier"])
-
-
-def shared_funders(links: DataFrame) -> DataFrame:
-    """Wallets whose funder has funded others before, in order of arrival."""
-    return links.groupBy("funder").applyInPandasWithState(_shared, "wallet string, funder string, n_earlier long", "wallets array<string>", "append", "NoTimeout")
+class _Counter(StatefulProcessor):
+    """How many wallets each funder has had; the state of a funder is that number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.n = handle.getValueState("n", T.StructType([T.StructField("n", T.LongType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self.n.get()[0] if self.n.exists() else 0
+        for b in rows:
+            yield pd.DataFrame({"wallet": b["wallet"].to_numpy(), "funder": key[0], "n_earlier": np.arange(before, before + len(b))})
+            before += len(b)
+        self.n.update((before,))
+
+    def close(self) -> None:
+        pass
+
+
+def shared_funders(links: DataFrame, forget: bool = False) -> DataFrame:
+    """``wallet, funder, n_earlier``: wallets whose funder has funded others before, in order of arrival.
+
+    Two states: each (funder, wallet) pair is a key of its own, dealt over all tasks, and is let through once; each funder
+    has a number. So a funder of very many wallets costs each of them one look-up, and its own state doesn't grow. With
+    ``forget`` a pair is known for the watermark of ``links`` only, which bounds the state. State is held in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    pair = ["funder", "wallet"]
+    once = links.dropDuplicatesWithinWatermark(pair) if forget else links.select(*pair).dropDuplicates(pair)
+    counted = once.select(*pair).groupBy("funder").transformWithStateInPandas(_Counter(), "wallet string, funder string, n_earlier long", "Append", "None")
+    return counted.where("n_earlier > 0")

@@ -470,8 +470,40 @@ def test_streaming(spark, tmp_path):
     assert len(run(stream.deduplicated(read().union(read())), "dedup", "append")) == 7
     assert sum(r.n for r in run(stream.activity(read()), "act", "update")) == 7
     assert len({(r.wallet, r.first_ts) for r in run(stream.sessions(read()), "sess", "append")}) == 2  # the last session stays open
-    links = read().select(F.col("dst").alias("wallet"), F.col("src").alias("funder"))
-    assert len(run(stream.shared_funders(links), "shared", "append")) == 5
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_streaming_shared_funders(spark, tmp_path, rocks):
+    """Batches with repeats; then one funder of 100,000 wallets, whose own state is one number."""
+    import time
+
+    src, got = f"file://{tmp_path}/in", []
+
+    def arrive(rows):
+        rows.coalesce(2).write.mode("append").parquet(src)
+        links = spark.readStream.schema("funder string, wallet string").parquet(src)
+        q = stream.shared_funders(links).writeStream.foreachBatch(lambda b, _: got.extend(map(tuple, b.collect()))).outputMode("append")
+        q = q.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return {o["operatorName"]: o["numRowsTotal"] for p in q.recentProgress[-1:] for o in p["stateOperators"]}
+
+    make = lambda *rows: spark.createDataFrame(rows, "funder string, wallet string")
+    arrive(make(("f", "a"), ("g", "a"), ("f", "a")))
+    assert got == []
+    arrive(make(("f", "b"), ("f", "a"), ("h", "b")))
+    arrive(make(("f", "c"), ("f", "b"), ("g", "c"), ("g", "b")))
+    assert got[0] == ("b", "f", 1) and ("c", "f", 2) in got and {r[2] for r in got if r[1] == "g"} == {1, 2} and len(got) == 4
+    began = time.perf_counter()
+    state = arrive(spark.range(100_000).select(F.lit("hot").alias("funder"), F.concat(F.lit("w"), "id").alias("wallet")))
+    assert time.perf_counter() - began < 90 and sorted(r[2] for r in got if r[1] == "hot") == list(range(1, 100_000))
+    assert state["dedupe"] == 100_000 + 7 and state["transformWithStateInPandasExec"] == 4
 
 
 def test_streaming_bursts_begin_anywhere(spark, tmp_path):
