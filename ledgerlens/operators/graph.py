@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.scalars import direction, recency_layer, value_layer
 from ..ranks import before_stretches, in_stretches
 from ..schema import DEFAULT, SOURCES, Config, eth
 from ..scratch import discard, materialise
@@ -275,13 +276,22 @@ def trace(tx: DataFrame, roots: DataFrame, entities: DataFrame, depth: int = 3,
     return union(levels)
 
 
-def trace_scores(tx: DataFrame, traced: DataFrame, flagged: DataFrame, as_of: int, weights: tuple[float, float, float, float] = (0.30, 0.20, 0.30, 0.20)) -> DataFrame:
-    """Candidates of each wallet with the layers of their priority and the sum; ``traced`` and ``flagged`` have column ``other``."""
-    from ..functions.scalars import recency_layer, value_layer
+#: Which transfers make candidates for a trace.
+STRATEGIES = {"FORWARD_ONLY": ["OUTGOING"], "BACKWARD_ONLY": ["INCOMING"], "FULL": ["OUTGOING", "INCOMING"]}
 
+
+def trace_scores(
+    tx: DataFrame, traced: DataFrame, flagged: DataFrame, as_of: int, weights: tuple[float, float, float, float] = (0.30, 0.20, 0.30, 0.20), strategy: str = "FORWARD_ONLY"
+) -> DataFrame:
+    """Candidates of each wallet with the layers of their priority and the sum; ``traced`` and ``flagged`` have column ``other``.
+
+    ``strategy`` says in which direction a trace goes on: to receivers, to senders, or (any other name) to both. Internal
+    transfers make no candidates.
+    """
     if abs(sum(weights) - 1) > 0.001:
         raise ValueError("weights must sum to 1")
-    sent = counterparties(tx.where("src = wallet"))
+    side = direction(F.col("src"), F.col("dst"), F.col("wallet"), F.col("stream") == 1)
+    sent = counterparties(tx.where(side.isin(STRATEGIES.get(strategy.upper(), STRATEGIES["FULL"]))))
     top = F.max("value").over(W.partitionBy("wallet"))
     rows = sent.withColumn("top", F.when(top > 0, top).otherwise(1.0))
     rows = rows.join(traced.withColumn("_t", F.lit(True)), "other", "left").join(flagged.withColumn("_f", F.lit(True)), "other", "left")

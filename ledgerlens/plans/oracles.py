@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions.keccak import RATE, rotations, round_constants
-from ..operators.rules import RULES, severity_sql
+from ..operators.rules import RULES, rules_of, severity_sql
+from ..schema import STRICTER
 from ..sources import demo_chain as demo
 
 _SEL = "CASE i % 31 WHEN 0 THEN '0xf2fde38b' WHEN 1 THEN '0xbaa2abde' WHEN 2 THEN '0x02751cec' WHEN 3 THEN '0xf305d719' WHEN 4 THEN '0xa9059cbb' ELSE '0x' || left(md5((i % 13)::VARCHAR), 8) END"
@@ -206,11 +207,14 @@ vd AS (SELECT wallet, CASE WHEN fp4 THEN greatest(raw, 80) WHEN nb AND raw < 36
   WHEN raw < 20 THEN 'CLEAN' WHEN raw < 36 THEN 'WEAK_PATTERN' WHEN raw < 50 THEN 'MODERATE_PATTERN' WHEN raw < 100 THEN 'STRONG_PATTERN' ELSE 'HIGH_CONFIDENCE_RUGPULL' END AS verdict,
   CASE WHEN fp4 THEN 'shared_funder' WHEN nb AND raw < 36 THEN 'ownership' WHEN na AND n_high = 0 AND NOT nb THEN 'single_deployment' END AS override, n_fired, n_high, coalesce(fired, '') AS fired, coalesce(breakdown, '') AS breakdown FROM vd1)"""
 
-CAND = """cp AS (SELECT wallet, dst AS other, value::DOUBLE / 1e18 AS value, ts, ord FROM tx WHERE src = wallet AND dst <> '' AND dst <> wallet),
+_SENDERS = "SELECT wallet, src AS other, value::DOUBLE / 1e18 AS value, ts, ord FROM tx WHERE stream = 0 AND dst = wallet AND src <> '' AND src <> wallet"
+_RECEIVERS = "SELECT wallet, dst AS other, value::DOUBLE / 1e18 AS value, ts, ord FROM tx WHERE src = wallet AND dst <> '' AND dst <> wallet"
+_CAND = """
 cq AS (SELECT *, CASE WHEN max(value) OVER (PARTITION BY wallet) > 0 THEN max(value) OVER (PARTITION BY wallet) ELSE 1.0 END AS top FROM cp),
 cs AS (SELECT cq.*, e.type, CASE WHEN value <= 1e-9 THEN 0.0 ELSE least(1.0, ln(1 + value) / ln(1 + top)) END AS value_score, pow(2.0, -greatest(0.0, (1706572800 - ts) / 86400.0) / 90.0) AS recency_score,
   CASE WHEN e.type = 'CEX' THEN 0.0 ELSE 1.0 END AS novelty_score, CASE WHEN e.type = 'MIXER' THEN 1.0 ELSE 0.0 END AS rule_score FROM cq LEFT JOIN ent e ON e.address = other),
 ct AS (SELECT *, 0.3 * value_score + 0.2 * recency_score + 0.3 * novelty_score + 0.2 * rule_score AS score FROM cs), cu AS (SELECT * FROM ct QUALIFY row_number() OVER (PARTITION BY wallet, other ORDER BY score DESC, ts, ord) = 1)"""
+CAND, CAND_BACK, CAND_BOTH = (f"cp AS ({rows})," + _CAND for rows in (_RECEIVERS, _SENDERS, f"{_SENDERS} UNION ALL {_RECEIVERS}"))
 
 MIRROR = "mx AS (SELECT * FROM tx UNION ALL SELECT * REPLACE (CASE WHEN src = wallet THEN dst WHEN dst = wallet THEN src END AS wallet) FROM tx WHERE CASE WHEN src = wallet THEN dst WHEN dst = wallet THEN src END <> '')"
 
@@ -324,6 +328,9 @@ ORACLES = {
     "rule_matrix": q(*FEATURES, final="SELECT * FROM res"),
     "verdict": q(*FEATURES, VERDICT, final="SELECT *, NOT (verdict = 'CLEAN' OR starts_with(verdict, 'INSUFFICIENT')) AS suspicious, printf('%s: %d of 100, %d rules fired, %d of them grave', verdict, score, n_fired, n_high) AS summary FROM vd"),
     "trace_rank": q(EVENTS, ENT, CAND, final="SELECT wallet, other, round(value, 6) AS value, round(value_score, 6) AS value_score, round(recency_score, 6) AS recency_score, novelty_score, rule_score, round(score, 6) AS score, row_number() OVER (PARTITION BY wallet ORDER BY round(score, 9) DESC, ts, ord) AS rank FROM cu QUALIFY rank <= 3"),
+    "trace_rank_backward": q(EVENTS, ENT, CAND_BACK, final="SELECT wallet, other, round(value, 6) AS value, round(value_score, 6) AS value_score, round(recency_score, 6) AS recency_score, novelty_score, rule_score, round(score, 6) AS score, row_number() OVER (PARTITION BY wallet ORDER BY round(score, 9) DESC, ts, ord) AS rank FROM cu QUALIFY rank <= 3"),
+    "trace_rank_both": q(EVENTS, ENT, CAND_BOTH, final="SELECT wallet, other, round(value, 6) AS value, round(value_score, 6) AS value_score, round(recency_score, 6) AS recency_score, novelty_score, rule_score, round(score, 6) AS score, row_number() OVER (PARTITION BY wallet ORDER BY round(score, 9) DESC, ts, ord) AS rank FROM cu QUALIFY rank <= 3"),
+    "rules_with_other_thresholds": q(*[x for x in FEATURES if not x.startswith("res AS")], "res AS (" + " UNION ALL ".join(f"SELECT wallet, '{n}' AS rule_id, {severity_sql(c)} AS severity FROM feat" for n, c in rules_of(STRICTER)) + ")", final="SELECT * FROM res"),
     "prune_decision": q(EVENTS, ENT, CAND, """cv AS (SELECT *, substr(other, 2)::INT AS k FROM cu), cw AS (SELECT *, CASE WHEN type = 'CEX' THEN 'already_traced' WHEN value < 0.05 THEN 'dust' WHEN 480 + k >= 500 THEN 'budget' WHEN type IN ('MIXER', 'BRIDGE') THEN 'entity' WHEN type = 'DEX' THEN 'dex' WHEN k * 3 > 50 THEN 'fanout' ELSE 'ok' END AS reason FROM cv),
       cx AS (SELECT *, CASE WHEN reason IN ('already_traced', 'dust', 'budget') THEN 'SKIP' WHEN reason = 'entity' THEN 'HALT' WHEN reason IN ('dex', 'fanout') THEN 'SAMPLE' ELSE 'EXPAND' END AS decision FROM cw), cy AS (SELECT wallet, other, k, row_number() OVER (PARTITION BY wallet ORDER BY value DESC, other) AS rank FROM cx WHERE decision = 'EXPAND')""",
       final="SELECT cx.wallet, cx.other, decision, reason, CASE WHEN decision = 'SAMPLE' THEN 10 END AS sample_size, rank FROM cx LEFT JOIN (SELECT * FROM cy WHERE 480 + k + rank <= 500) y ON y.wallet = cx.wallet AND y.other = cx.other"),

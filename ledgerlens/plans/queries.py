@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import keccak
 from ..operators import aml, casestore, cohort, graph, lifecycle, report, rules
-from ..schema import Config
+from ..schema import STRICTER, Config
 from ..scratch import materialise
 from ..sources import demo_chain as demo
 
@@ -107,16 +107,16 @@ def _verdict(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+def _candidates(spark: SparkSession, sf: str, strategy: str = "FORWARD_ONLY") -> DataFrame:
     tx, ent = E(spark, sf), demo.entities(spark)
     flagged = ent.where("type = 'MIXER'").select(F.col("address").alias("other"))
     traced = ent.where("type = 'CEX'").select(F.col("address").alias("other"))
-    return graph.trace_scores(tx, traced, flagged, DENSE.as_of)
+    return graph.trace_scores(tx, traced, flagged, DENSE.as_of, strategy=strategy)
 
 
-def _ranked(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
+def _ranked(spark: SparkSession, sf: str, strategy: str = "FORWARD_ONLY", k: int = 3) -> DataFrame:
     order: list[Column] = [F.round("score", 9).desc(), F.col("ts"), F.col("ord")]
-    return rounded(aml.top_by(_candidates(spark, sf), "wallet", order, k).drop("ts", "ord"))
+    return rounded(aml.top_by(_candidates(spark, sf, strategy), "wallet", order, k).drop("ts", "ord"))
 
 
 def _pruned(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,7 +267,9 @@ QUERIES = {
     "value_features": lambda s, d: rounded(lifecycle.value_features(E(s, d))),
     "exit1_silence": partial(_exit, "silence"), "exit2_dormancy": partial(_exit, "dormancy"), "exit4_migration": partial(_exit, "migration"), "retirement": _retirement,
     "rule_matrix": results, "verdict": _verdict,
-    "trace_rank": _ranked, "prune_decision": _pruned, "bfs_trace": _trace, "graph_nodes": partial(_graph, 0), "graph_edges": partial(_graph, 1),
+    "trace_rank": _ranked, "trace_rank_backward": partial(_ranked, strategy="BACKWARD_ONLY"), "trace_rank_both": partial(_ranked, strategy="FULL"),
+    "rules_with_other_thresholds": lambda s, d: rules.evaluate(features(s, d), rules.rules_of(STRICTER)),
+    "prune_decision": _pruned, "bfs_trace": _trace, "graph_nodes": partial(_graph, 0), "graph_edges": partial(_graph, 1),
     "feature_percentiles": _stats, "separation_quality": _separation,
     "rule_metrics": lambda s, d: rounded(cohort.rule_metrics(results(s, d), labels(s, d))),
     "verdict_distribution": lambda s, d: rounded(cohort.verdict_distribution(rules.verdicts(results(s, d)), labels(s, d))),

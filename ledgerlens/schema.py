@@ -38,12 +38,17 @@ ROUND_AMOUNTS = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0]
 # Categories of funding sources.
 SOURCES = ["CEX", "MIXER", "BRIDGE", "DEX", "FRESH_WALLET", "KNOWN_EOA", "UNKNOWN_EOA"]
 
+# Points by severity.
 POINTS = {"CRITICAL": 40, "HIGH": 25, "MEDIUM": 10, "LOW": 5}
 
 
+#: Other thresholds than in production, for a query that shows them at work.
+STRICTER = {"RUG-002": {"high_funding_cv": 0.3, "medium_funding_cv": 0.5}, "RUG-004": {"high_deployment_count": 14, "medium_deployment_count": 12}, "RUG-VS-4": {"medium_outbound_dust_count": 1}, "RUG-POST-7": {"high_retained_ratio": 0.5}}
+
+
 @dataclass(frozen=True)
 class Config:
-    """Thresholds; the defaults are the production values."""
+    """Thresholds. The defaults are those of production."""
 
     large_eth: float = 10.0
     burst_seconds: int = 300

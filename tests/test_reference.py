@@ -172,6 +172,23 @@ def test_verdicts(spark, fired, score, verdict):
     assert (none.score, none.verdict) == (0, "INSUFFICIENT_DATA")
 
 
+def test_thresholds_can_be_changed(spark):
+    f = spark.createDataFrame([("a", 0.5, 7)], "wallet string, f2_funding_cv double, vs4_outbound_dust_count int").withColumn("vs4_pre_cashout_dust_count", F.lit(0))
+    got = lambda **changed: {r.rule_id: r.severity for r in rules.evaluate(f, rules.rules_of(changed or None), partial=True).collect()}
+    assert got() == {"RUG-002": "HIGH", "RUG-VS-4": "MEDIUM"}
+    assert got(**{"RUG-002": {"high_funding_cv": 0.4}, "RUG-VS-4": {"medium_outbound_dust_count": 8}}) == {"RUG-002": "MEDIUM", "RUG-VS-4": None}
+    with pytest.raises(ValueError, match="RUG-002.nothing"):
+        rules.rules_of({"RUG-002": {"nothing": 1}})
+    assert rules.rules_of() == rules.RULES and len(rules.RULES) == 28
+
+
+def test_trace_strategies(spark):
+    t = tx(spark, ("a", 1, "a", "b", 1.0), ("a", 2, "c", "a", 2.0), ("a", 3, "d", "a", 3.0, {"stream": 1}), ("a", 4, "a", "a", 9.0), ("a", 5, "a", "", 0))
+    none = spark.createDataFrame([], "other string")
+    got = {s: {r.other for r in graph.trace_scores(t, none, none, 10, strategy=s).collect()} for s in ("FORWARD_ONLY", "backward_only", "FULL", "anything")}
+    assert got == {"FORWARD_ONLY": {"b"}, "backward_only": {"c"}, "FULL": {"b", "c"}, "anything": {"b", "c"}}
+
+
 def test_cycle_noise_and_hops(spark):
     t = tx(spark, ("c", 1, "a", "b", 1.0), ("c", 2, "b", "c", 1.0), ("c", 3, "c", "a", 1.0), ("c", 4, "noise", "c", 1.0), ("c", 5, "x", "a", 1.0), ("c", 6, "dust", "c", 10**14))
     up = {r.funder: r.depth for r in graph.upstream_funders(t, entities(spark), ["noise"]).collect()}
