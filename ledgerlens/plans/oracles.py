@@ -307,7 +307,24 @@ SELECT f.event_id, address, checksum, CASE WHEN checksum IS NULL THEN 'invalid'
 WHEN address[3:] = upper(address[3:]) THEN 'upper' ELSE 'wrong' END AS form FROM f LEFT JOIN c USING (event_id)"""
 
 
+_CRC = [0] * 256
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC[_i] = _c
+CRC32 = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({{0}})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, {_CRC}[(xor(a, b) & 255) + 1])))"""
+LANDED = (
+    "b AS (SELECT *, ts - 1704000000 AS block, (ts - 1704000000) // 100000 * 100000 AS lo FROM tx)",
+    "pg AS (SELECT *, (row_number() OVER (PARTITION BY wallet, lo ORDER BY block, ord) - 1) // 5 + 1 AS page FROM b)",
+    f"""pf AS MATERIALIZED (SELECT wallet, lo, page, count(*) AS n, ({CRC32.format("wallet || ':' || lo || ':' || page")}) % 10 AS fault FROM pg WHERE lo <= 1250000 AND lo > 250000 GROUP BY wallet, lo, page)""",
+)
+
 ORACLES = {
+    "explorer_scan": q(EVENTS, *LANDED, final="""SELECT wallet, place::INT AS place, block, tx_hash, value::DOUBLE AS value FROM (SELECT pg.*, row_number() OVER (PARTITION BY wallet ORDER BY block DESC, lo DESC, page DESC, ord DESC) AS place
+      FROM pg JOIN pf USING (wallet, lo, page) WHERE fault > 1 AND block BETWEEN 350000 AND 1250000) WHERE place BETWEEN 21 AND 40"""),
+    "explorer_errors": q(EVENTS, *LANDED, final="""SELECT wallet, 'txlist' AS action, lo, page::INT AS page, CASE fault WHEN 0 THEN 'refused: Max rate limit reached' ELSE 'unreadable' END AS problem FROM pf WHERE fault < 2
+      UNION ALL SELECT wallet, 'txlist', lo, page::INT + 1, 'unfinished' FROM (SELECT *, row_number() OVER (PARTITION BY wallet, lo ORDER BY page DESC) AS k FROM pf) WHERE k = 1 AND fault > 1 AND n = 5"""),
     "checksum_addresses": checksums(),
     "aml_risk_orders": RISK,
     "tx_classified": q(EVENTS, ENT, final=f"SELECT wallet, ord, {SIDE} AS direction, {KIND} AS tx_type, round(value::DOUBLE / 1e18, 9) AS amount, gas_used * gas_price AS gas_wei, a.type AS src_type, b.type AS dst_type FROM tx LEFT JOIN ent a ON a.address = src LEFT JOIN ent b ON b.address = dst"),

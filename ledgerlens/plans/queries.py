@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import keccak
 from ..operators import aml, casestore, cohort, graph, lifecycle, report, rules
 from ..schema import STRICTER, Config
-from ..scratch import materialise
-from ..sources import demo_chain as demo
+from ..scratch import fresh_path, materialise
+from ..sources import demo_chain as demo, explorer
 
 #: The dense demo chain has short bursts and weeks rather than months.
 DENSE = Config(burst_count=2, bucket_days=7.0, as_of=1_706_572_800)
@@ -193,6 +193,35 @@ def _checksums(spark: SparkSession, sf: str) -> DataFrame:
     return keccak.checksum_addresses(rows)
 
 
+def _landed(spark: SparkSession, sf: str) -> str:
+    """The dense chain as an explorer would answer for it: pages of five by wallet and range of blocks, some refused, some not JSON."""
+    tx = E(spark, sf).withColumn("block", F.col("ts") - 1_704_000_000).withColumn("lo", F.expr(f"block div {explorer.BLOCKS} * {explorer.BLOCKS}"))
+    place = F.row_number().over(W.partitionBy("wallet", "lo").orderBy("block", "ord")) - 1
+    text = lambda c, n: F.col(c).cast("string").alias(n)
+    row = F.struct(text("block", "blockNumber"), text("ts", "timeStamp"), text("tx_hash", "hash"), text("src", "from"), text("dst", "to"), text("value", "value"))
+    pages = tx.withColumn("at", place).groupBy("wallet", "lo", F.expr("cast(at div 5 AS int) + 1").alias("page")).agg(F.array_sort(F.collect_list(F.struct("at", row.alias("r")))).alias("x"))
+    fault = F.pmod(F.crc32(F.concat_ws(":", "wallet", "lo", "page").cast("binary")), F.lit(10))
+    good = F.to_json(F.struct(F.lit("1").alias("status"), F.lit("OK").alias("message"), F.transform("x", lambda x: x.r).alias("result")))
+    body = F.when(fault == 0, '{"status": "0", "message": "NOTOK", "result": "Max rate limit reached"}').when(fault == 1, "<html>").otherwise(good)
+    path = fresh_path(spark, "explorer")
+    explorer.land(pages.select("wallet", F.lit("txlist").alias("action"), "lo", "page", F.lit(5).alias("size"), body.alias("body")), path)
+    return path
+
+
+#: A range of blocks, seconds of the chain, of which the middle folders hold all.
+RANGE = (350_000, 1_250_000)
+
+
+def _explorer_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of twenty rows of each wallet within the range, newest first."""
+    rows = explorer.scan(spark, _landed(spark, sf), "txlist", *RANGE, page=2, offset=20, sort="desc")
+    return rows.select("wallet", "place", "block", F.col("raw.hash").alias("tx_hash"), F.col("raw.value").try_cast("decimal(38,0)").cast("double").alias("value"))
+
+
+def _explorer_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return explorer.errors(spark, _landed(spark, sf), "txlist", *RANGE)
+
+
 def _graph(part: int, spark: SparkSession, sf: str) -> DataFrame:
     tx = E(spark, sf)
     flagged = aml.large_transfer(tx).where("severity IS NOT NULL").select("wallet")
@@ -274,5 +303,5 @@ QUERIES = {
     "rule_metrics": lambda s, d: rounded(cohort.rule_metrics(results(s, d), labels(s, d))),
     "verdict_distribution": lambda s, d: rounded(cohort.verdict_distribution(rules.verdicts(results(s, d)), labels(s, d))),
     "severity_cube": lambda s, d: cohort.severity_cube(results(s, d), labels(s, d)),
-    "checksum_addresses": _checksums, "evidence_page": _evidence, "latest_status": _status, "internal_dedup": _internal,
+    "explorer_scan": _explorer_scan, "explorer_errors": _explorer_errors, "checksum_addresses": _checksums, "evidence_page": _evidence, "latest_status": _status, "internal_dedup": _internal,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import keccak, scalars as S
 from ledgerlens.operators import aml, casestore, cohort, graph, lifecycle, report, rules, segments
 from ledgerlens.schema import Config
-from ledgerlens.sources import ingest
+from ledgerlens.sources import explorer, ingest
 from ledgerlens.streaming import rules as stream
 
 TX = "wallet string, stream int, ord long, ts long, src string, dst string, value decimal(38,0), gas_price long, gas_used long, nonce long, is_error boolean, input string, contract string, tx_hash string"
@@ -103,6 +103,47 @@ def test_explorer_responses(spark, tmp_path, rows, want, fired):
     assert {r.rule_id: r.severity for r in aml.aml_rules(clean, entities(spark)).collect() if r.severity} == fired
 
 
+def test_explorer_scan(spark, tmp_path):
+    """Pages read on, ranges that choose folders, failures by fetch that cost no other rows."""
+    path, step = f"file://{tmp_path}/landed", explorer.BLOCKS
+    tx_row = lambda b, h: {"blockNumber": str(b), "hash": h, "from": "a", "to": "b", "value": "1"}
+    body = lambda *rows: json.dumps({"status": "1", "message": "OK", "result": [tx_row(*r) for r in rows]})
+    none = json.dumps({"status": "0", "message": "No transactions found", "result": []})
+    refused = json.dumps({"status": "0", "message": "NOTOK", "result": "Max rate limit reached"})
+    pages = [
+        ("w", "txlist", 0, 1, 2, body((10, "h1"), (20, "h2"))), ("w", "txlist", 0, 2, 2, body((20, "h3"))), ("w", "txlist", step, 1, 2, body((step, "h4"), (step + 5, "h5"))),
+        ("w", "txlist", 2 * step, 1, 2, none), ("w", "txlist", 5 * step, 1, 2, body((5 * step + 1, "far"))), ("v", "txlist", 0, 1, 2, refused), ("v", "txlist", step, 1, 2, body((step + 7, "h6"))),
+        ("u", "txlist", 0, 1, 2, "<html>"), ("u", "tokentx", 0, 1, 2, body((3, "t1"))), ("w", "txlist", 0, 2, 2, body((20, "h3"))),
+    ]
+    explorer.land(spark.createDataFrame(pages, "wallet string, action string, lo long, page int, size int, body string"), path)
+    got = lambda *a, **k: [(r.wallet, r.place, r.block, r.raw.hash) for r in explorer.scan(spark, path, *a, **k).orderBy("wallet", "place").collect()]
+    assert got() == [("v", 1, step + 7, "h6"), ("w", 1, 10, "h1"), ("w", 2, 20, "h2"), ("w", 3, 20, "h3"), ("w", 4, step, "h4"), ("w", 5, step + 5, "h5"), ("w", 6, 5 * step + 1, "far")]
+    assert got(low=20, high=step, page=2, offset=2, sort="desc") == [("w", 3, 20, "h2")]
+    assert got("tokentx") == [("u", 1, 3, "t1")] and got(wallets=spark.createDataFrame([("v",)], "wallet string")) == [("v", 1, step + 7, "h6")]
+    # only folders of the range are opened
+    plan = explorer.responses(spark, path, "txlist", 20, step)._jdf.queryExecution().executedPlan()
+    assert "PartitionFilters: [isnotnull(action" in plan.toString()
+    files = lambda low, high: explorer.scan(spark, path, "txlist", low, high)
+    read = {}
+    for low, high in ((0, explorer.LAST_BLOCK), (20, step)):
+        df = files(low, high)
+        df.collect()
+        scans = [p for p in _leaves(df._jdf.queryExecution().executedPlan()) if p.nodeName().startswith("Scan json")]
+        read[low, high] = sum(p.metrics().apply("numFiles").value() for p in scans)
+    assert read[20, step] < read[0, explorer.LAST_BLOCK] and read[20, step] > 0
+    errors = {(r.wallet, r.action, r.lo, r.page, r.problem) for r in explorer.errors(spark, path).collect()}
+    assert errors == {("v", "txlist", 0, 1, "refused: Max rate limit reached"), ("u", "txlist", 0, 1, "unreadable"), ("w", "txlist", step, 2, "unfinished")}
+    normal, tokens, problems = explorer.profile(spark, path, spark.createDataFrame([("u",), ("w",)], "wallet string"), 99_999, ingest.GENESIS, most=2)
+    assert {r.wallet for r in normal.collect()} == {"w"} and normal.count() == 2 and tokens.count() == 1 and problems.count() == 2
+
+
+def _leaves(plan):
+    plan = plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if plan.nodeName().endswith("QueryStage") else plan
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    inner = [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+    return [x for p in below + inner for x in _leaves(p)] if below or inner else [plan]
+
+
 def test_tied_funder_and_single_lag(spark):
     t = tx(spark, ("a", 100, "f1", "a", 1.0), ("a", 200, "f2", "a", 1.0), ("a", 300, "f2", "a", 1.0), ("a", 400, "f1", "a", 1.0), deploy("a", 4000))
     assert one(lifecycle.funding_lags(t)).asDict() == {"wallet": "a", "d_ord": 4, "funder": "f1", "lag_hours": 1.0}
