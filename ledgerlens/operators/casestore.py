@@ -1,4 +1,4 @@
-"""Case store: append-only tables, latest state by event, paging."""
+"""Case store: tables that are appended to or change by versions, latest state by event, paging."""
 
 from __future__ import annotations
 
@@ -42,15 +42,13 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def insert_new(spark: SparkSession, rows: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Insert what isn't there yet (idempotent); the rows that were added."""
-    rows = rows.dropDuplicates(key)
-    try:
-        rows = rows.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows.write.mode("append").parquet(path)
-    return rows
+    """Insert what isn't there yet into the versioned table at ``path`` (idempotent, safe beside other writers); the rows that were added."""
+    from .versioned import VersionedTable
+
+    table = VersionedTable(spark, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), key, path)
+    before = table.version()
+    table.insert_new(rows)
+    return table.read().join(table.read(before), key, "left_anti")
 
 
 def without(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:

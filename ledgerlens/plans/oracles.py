@@ -321,6 +321,13 @@ LANDED = (
 )
 
 ORACLES = {
+    "wallet_age_incremental": q(EVENTS, final="SELECT address, min(ts) AS first_ts FROM (SELECT unnest([src, dst]) AS address, ts FROM tx) WHERE address <> '' GROUP BY address"),
+    "case_store_upserts": """WITH r AS (SELECT user_id AS case_id, ntile(3) OVER (PARTITION BY user_id ORDER BY event_id) AS part, epoch_us(ts) // 1000000 AS tm, event_id AS seq,
+      CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'DONE' WHEN 'view' THEN 'RUNNING' END AS status FROM events),
+      p AS (SELECT case_id, part, arg_max(status, (tm, seq)) FILTER (status IS NOT NULL) AS status, min(tm) FILTER (status = 'RUNNING') AS started_at, count(*) AS n FROM r GROUP BY ALL),
+      c AS (SELECT case_id, max(status) FILTER (part = 1) AS s1, max(status) FILTER (part = 2) AS s2, max(status) FILTER (part = 3) AS s3, arg_min(started_at, part) FILTER (started_at IS NOT NULL) AS started_at, sum(n)::BIGINT AS n_events FROM p GROUP BY case_id),
+      d AS (SELECT *, CASE WHEN s1 IN ('DONE', 'FAILED') THEN s1 ELSE coalesce(s2, s1) END AS t FROM c)
+      SELECT case_id, CASE WHEN t IN ('DONE', 'FAILED') THEN t ELSE coalesce(s3, t) END AS status, started_at, n_events FROM d WHERE NOT coalesce(CASE WHEN t IN ('DONE', 'FAILED') THEN t ELSE coalesce(s3, t) END NOT IN ('DONE', 'FAILED'), false)""",
     "explorer_scan": q(EVENTS, *LANDED, final="""SELECT wallet, place::INT AS place, block, tx_hash, value::DOUBLE AS value FROM (SELECT pg.*, row_number() OVER (PARTITION BY wallet ORDER BY block DESC, lo DESC, page DESC, ord DESC) AS place
       FROM pg JOIN pf USING (wallet, lo, page) WHERE fault > 1 AND block BETWEEN 350000 AND 1250000) WHERE place BETWEEN 21 AND 40"""),
     "explorer_errors": q(EVENTS, *LANDED, final="""SELECT wallet, 'txlist' AS action, lo, page::INT AS page, CASE fault WHEN 0 THEN 'refused: Max rate limit reached' ELSE 'unreadable' END AS problem FROM pf WHERE fault < 2

@@ -19,11 +19,66 @@ BLOCKS_PER_DAY, GENESIS = 6500, 1_438_214_400
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """A cohort cache, one JSON object ``{address: {normal_txs, internal_txs}}``: a row ``wallet, stream, ord, raw`` for each transaction."""
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", CACHE)).alias("wallet", "w"))
+    return _cache_rows(spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", CACHE)).alias("wallet", "w")))
+
+
+def _cache_rows(whole: DataFrame) -> DataFrame:
     both = whole.select(F.lower("wallet").alias("wallet"), F.explode(F.array(F.struct(F.lit(0).alias("stream"), F.col("w.normal_txs").alias("t")), F.struct(F.lit(1).alias("stream"), F.col("w.internal_txs").alias("t")))).alias("s"))
     return both.select("wallet", F.col("s.stream").alias("stream"), F.posexplode("s.t").alias("ord", "raw"))
 
 
+#: What addresses begin with in a JSON text; records of the splittable reader end there.
+_MARK = '"0x'
+
+
+def read_large_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of :func:`read_cache` from files of any size, each read by as many tasks as it has splits.
+
+    A cache is one JSON object, but its text is read as records that end before each address or hash. A record that
+    begins with an address, a colon and a brace is a wallet's key (no key inside a wallet's entry is an address); the
+    records up to the next such one are its entry, which is put together and parsed by itself. Where an entry begins in
+    one split and goes on in the next, the split's last key is carried over. Nothing of the size of a file is in one place.
+    """
+    at = ["file", "block", "row"]
+    lines = spark.read.option("lineSep", _MARK).text(path).select(
+        F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value"),
+    )
+    begins = F.when(F.col("value").rlike(r"^[0-9a-fA-F]{40}\"\s*:\s*\{"), F.struct("block", "row"))
+    upto = W.partitionBy("file", "block").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    marked = lines.withColumn("begins", begins).withColumn("entry", F.last("begins", ignorenulls=True).over(upto))
+    # what a split begins with belongs to the last key of the splits before it; a file has few splits
+    ends = lines.groupBy("file", "block").agg(F.max(begins).alias("last"))
+    before = F.last("last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    carried = ends.withColumn("carry", before).select("file", "block", "carry")
+    rows = marked.join(carried, ["file", "block"]).select(*at, F.coalesce("entry", "carry").alias("entry"), "value").where("entry IS NOT NULL")
+    parts = rows.groupBy("file", "entry").agg(F.array_sort(F.collect_list(F.struct("block", "row", "value"))).alias("x"))
+    text = F.rtrim(F.regexp_replace(F.concat(F.lit("{" + _MARK), F.array_join(F.transform("x", lambda x: x.value), _MARK)), r"[\s,]+$", ""))
+    # the last entry of a file has the file's own closing brace, the others get one
+    last = F.max(F.struct("entry")).over(W.partitionBy("file")).getField("entry") == F.col("entry")
+    whole = parts.withColumn("text", F.when(last, text).otherwise(F.concat(text, F.lit("}"))))
+    return _cache_rows(whole.select(F.explode(F.from_json("text", CACHE)).alias("wallet", "w")))
+
+
+def cohort(cache: DataFrame, wallets: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A labelled cohort ``listed(wallet, label)`` with its cached rows, and who is left out: ``wallet, label, reason``.
+
+    ``wallets`` are the cache's keys. Addresses that the cache doesn't have are ``missing``, those without any transaction
+    ``empty``.
+    """
+    held = cache.select("wallet").distinct().withColumn("_rows", F.lit(True))
+    known = wallets.select("wallet").distinct().withColumn("_key", F.lit(True))
+    state = listed.join(known, "wallet", "left").join(held, "wallet", "left")
+    reason = F.when(F.col("_key").isNull(), "missing").when(F.col("_rows").isNull(), "empty")
+    skipped = state.withColumn("reason", reason).where("reason IS NOT NULL").select("wallet", "label", "reason")
+    return cache.join(listed.select("wallet", "label"), "wallet"), skipped
+
+
+def cached_wallets(spark: SparkSession, path: str) -> DataFrame:
+    """``wallet``: the keys of a cache, by the same splittable reading."""
+    found = spark.read.option("lineSep", _MARK).text(path).select(F.lower(F.regexp_extract("value", r"^([0-9a-fA-F]{40})\"\s*:\s*\{", 1)).alias("w")).where("w <> ''")
+    return found.select(F.concat(F.lit("0x"), "w").alias("wallet")).distinct()
+
+
 def read_response(spark: SparkSession, path: str, field: str, element: T.StructType) -> DataFrame:
     """Rows of ``field.result`` of an explorer response; an error message in its place gives no rows."""
     outer = T.StructType([T.StructField(field, T.StructType([T.StructField("status", T.StringType()), T.StructField("message", T.StringType()), T.StructField("result", T.StringType())]))])

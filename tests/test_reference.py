@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import keccak, scalars as S
-from ledgerlens.operators import aml, casestore, cohort, graph, lifecycle, report, rules, segments
+from ledgerlens.operators import aml, casestore, cohort, graph, lifecycle, report, rules, segments, versioned
 from ledgerlens.schema import Config
 from ledgerlens.sources import explorer, ingest
 from ledgerlens.streaming import rules as stream
@@ -379,17 +379,133 @@ def test_ingest(spark, tmp_path):
     assert one(spark.read.option("header", True).csv(f"file://{tmp_path}/m")).x == "0.333333"
 
 
+def test_large_cache_in_many_tasks(spark, tmp_path):
+    """One JSON object over many splits, rows as the whole-file reader gives them, and who is missing or empty."""
+    import random
+
+    rng = random.Random(3)
+    addr = lambda i: "0x" + f"{i:040x}"
+    tx_row = lambda i, w: {"from": w, "to": addr(rng.randrange(99)) if i % 5 else "", "value": str(i), "timeStamp": str(i), "hash": "0x" + f"{i:064x}", "input": "0x" + "ab" * rng.randrange(60), "contractAddress": addr(i) if i % 7 == 0 else ""}
+    cache = {addr(1000 + w): {"normal_txs": [tx_row(i, addr(1000 + w)) for i in range(rng.randrange(0, 60) if w % 9 else 0)], "internal_txs": [tx_row(i, addr(5)) for i in range(w % 3)] if w % 9 else None} for w in range(120)}
+    cache[addr(7).upper().replace("0X", "0x")] = {"normal_txs": [], "internal_txs": []}
+    cache[addr(2000)] = {"internal_txs": [tx_row(1, addr(3))], "normal_txs": [tx_row(2, addr(4))], "contract_address": addr(8)}
+    for indent in (None, 2):
+        path = tmp_path / f"cache{indent}.json"
+        path.write_text(json.dumps(cache, indent=indent) + "\n")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        try:
+            large = ingest.read_large_cache(spark, f"file://{path}")
+            assert spark.read.option("lineSep", '"0x').text(f"file://{path}").rdd.getNumPartitions() > 10
+            key = lambda r: (r.wallet, r.stream, r.ord, r.raw.hash, r.raw.input, r.raw.to)
+            got = sorted(map(key, large.collect()))
+            wallets = {r.wallet for r in ingest.cached_wallets(spark, f"file://{path}").collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == sorted(map(key, ingest.read_cache(spark, f"file://{path}").collect())) and len(got) > 2000
+        assert wallets == {w.lower() for w in cache}
+    listed = spark.createDataFrame([(addr(1001), "bad"), (addr(1009), "bad"), (addr(7), "good"), (addr(1), "good")], "wallet string, label string")
+    rows, skipped = ingest.cohort(ingest.read_cache(spark, f"file://{path}"), ingest.cached_wallets(spark, f"file://{path}"), listed)
+    assert {r.wallet for r in rows.collect()} == {addr(1001)}
+    assert {(r.wallet, r.reason) for r in skipped.collect()} == {(addr(1009), "empty"), (addr(7), "empty"), (addr(1), "missing")}
+
+
 def test_case_store(spark, tmp_path):
     path = f"file://{tmp_path}/links"
     rows = spark.createDataFrame([("f", "a", 1), ("f", "b", 2), ("f", "a", 3)], "funder string, wallet string, depth int")
     assert casestore.insert_new(spark, rows, path, ["funder", "wallet"]).count() == 2
-    casestore.insert_new(spark, rows, path, ["funder", "wallet"])
-    assert spark.read.parquet(path).count() == 2
+    assert casestore.insert_new(spark, rows, path, ["funder", "wallet"]).count() == 0
+    assert versioned.VersionedTable(spark, "funder string, wallet string, depth int", ["funder", "wallet"], path).read().count() == 2
     ev = spark.createDataFrame([(i, s, i) for i, s in enumerate(["LOW", "CRITICAL", "HIGH", "INFO", "CRITICAL"])], "evidence_id int, severity string, detected_at int")
     assert [r.evidence_id for r in casestore.evidence_page(ev, 1, 3).collect()] == [4, 1, 2] and casestore.n_pages(5, 3) == 2
     assert casestore.without(ev, ev.where("evidence_id = 1").select("evidence_id"), "evidence_id").count() == 4
 
 
+def content(table, version=None):
+    return sorted((tuple(r) for r in table.read(version).collect()), key=str)
+
+
+def test_versioned_table(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(rows, "k int, v string, n int")
+    t = versioned.VersionedTable(spark, "k int, v string, n int", ["k"], f"file://{tmp_path}/t", buckets=4)
+    assert content(t) == [] and t.insert_new(make((1, "b", 1), (1, "a", 2), (2, "x", 1), (None, "nil", 0)))
+    assert content(t) == [(1, "a", 2), (2, "x", 1), (None, "nil", 0)]
+    t.insert_new(make((1, "other", 9), (3, "new", 3)))
+    assert t.upsert(make((2, None, 5), (4, "four", 4), (None, "zero", None)), {"n": "old.n + new.n"}, batch="b1")
+    assert content(t) == [(1, "a", 2), (2, "x", 6), (3, "new", 3), (4, "four", 4), (None, "zero", None)]
+    assert not t.upsert(make((2, "again", 5)), batch="b1") and content(t, 2) == [(1, "a", 2), (2, "x", 1), (3, "new", 3), (None, "nil", 0)]
+    t.delete(make((1, "", 0), (7, "", 0)))
+    assert content(t) == [(2, "x", 6), (3, "new", 3), (4, "four", 4), (None, "zero", None)] and t.version() == 4
+    t.insert_new(make((1, "", 0)).limit(0))
+    assert content(t) == content(t, 4)
+    before = content(t)
+    assert t.vacuum() > 0 and content(t) == before
+    with pytest.raises(ValueError, match="unpack"):
+        versioned.cascade(versioned.VersionedTable(spark, "a int, b int", ["a", "b"], f"file://{tmp_path}/two"), make(), [])
+
+
+def test_two_writers_insert_one_row(spark, tmp_path):
+    """Both read the same version; the slower one finds its number taken, reads again, and leaves the other's row."""
+    import threading
+
+    make = lambda *rows: spark.createDataFrame(rows, "k int, v string")
+    path, both, tries = f"file://{tmp_path}/t", threading.Barrier(2, timeout=60), []
+
+    class Slow(versioned.VersionedTable):
+        def _publish(self, version, manifest):
+            if version == 1:
+                both.wait()  # each has read the empty table and written its rows
+            done = super()._publish(version, manifest)
+            tries.append((version, done))
+            return done
+
+    writers = [Slow(spark, "k int, v string", ["k"], path, buckets=2) for _ in range(2)]
+    threads = [threading.Thread(target=w.insert_new, args=(make((1, name), (2 + i, name)),)) for i, (w, name) in enumerate(zip(writers, "ab", strict=True))]
+    for th in threads:
+        th.start()
+    for th in threads:
+        th.join(120)
+    rows = content(writers[0])
+    assert sorted(tries) == [(1, False), (1, True), (2, True)]
+    assert [k for k, _ in rows] == [1, 2, 3] and rows[0][1] in "ab"
+
+
+def test_broken_off_write_leaves_nothing(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(rows, "k int, v string")
+    t = versioned.VersionedTable(spark, "k int, v string", ["k"], f"file://{tmp_path}/t")
+    t.insert_new(make((1, "a")), batch="one")
+
+    def stop(version, manifest):
+        raise KeyboardInterrupt
+
+    t._publish, publish = stop, t._publish
+    with pytest.raises(KeyboardInterrupt):
+        t.upsert(make((1, "z"), (2, "b")), batch="two")
+    t._publish = publish
+    assert content(t) == [(1, "a")] and t.manifest()["batches"] == ["one"]
+    assert t.upsert(make((1, "z"), (2, "b")), batch="two") and content(t) == [(1, "z"), (2, "b")]
+    assert t.vacuum() >= 1 and content(t) == [(1, "z"), (2, "b")]
+
+
+def test_cascading_delete(spark):
+    cases = versioned.VersionedTable(spark, "case_id int, name string", ["case_id"])
+    evidence = versioned.VersionedTable(spark, "evidence_id int, case_id int", ["evidence_id"])
+    cases.insert_new(spark.createDataFrame([(1, "a"), (2, "b")], "case_id int, name string"))
+    evidence.insert_new(spark.createDataFrame([(10, 1), (11, 2), (12, 1), (13, None)], "evidence_id int, case_id int"))
+    versioned.cascade(cases, spark.createDataFrame([(1,)], "case_id int"), [(evidence, "case_id")])
+    assert content(cases) == [(2, "b")] and content(evidence) == [(11, 2), (13, None)]
+
+
+def test_ages_by_batches(spark):
+    """Batches out of order, one repeated, against all rows at once."""
+    rows = tx(spark, ("a", 50, "x", "a", 1.0), ("a", 20, "a", "y", 1.0), ("b", 70, "y", "b", 1.0), ("b", 10, "b", "", 1.0), ("a", 5, "y", "a", 1.0))
+    ages_table = versioned.VersionedTable(spark, "address string, first_ts long", ["address"])
+    done = [versioned.update_ages(ages_table, rows.where(F.col("ord").isin(*p)), name) for name, p in (("p2", (2, 3)), ("p1", (0, 1)), ("p2", (2, 3)), ("p3", (4,)))]
+    assert done == [True, True, False, True]
+    assert content(ages_table) == sorted(((r.address, r.first_ts) for r in ingest.first_seen(rows).collect()), key=str)
+
+
 def test_cohort(spark):
     v = spark.createDataFrame([("a", 30), ("b", 10), ("c", 90)], "wallet string, score int").withColumn("verdict", F.lit("X"))
     lab = spark.createDataFrame([("a", "bad"), ("b", "bad"), ("c", "good")], "wallet string, label string")
