@@ -108,7 +108,11 @@ def recency_layer(ts: Column, as_of: int) -> Column:
     return F.pow(F.lit(2.0), -F.greatest(F.lit(0.0), (F.lit(as_of) - ts) / 86400.0) / 90.0)
 
 
-def sequence_similarity(a: Column, b: Column, code) -> Column:
-    """Levenshtein similarity of two token sequences; ``code`` maps an array of tokens to a string of one character each."""
-    longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(1.0 - F.levenshtein(code(a), code(b)) / longest)
+def truncated(text: Column, most: int, suffix: str = "...") -> Column:
+    """A text of at most ``most`` characters; what is cut off is marked by the suffix, if it fits."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, max(0, most - len(suffix))), F.lit(suffix[:most])))
+
+
+def masked(key: Column) -> Column:
+    """A key for logs: its first and last four characters, or none of one that has no more than these."""
+    return F.when(F.length(key) <= 8, "****").otherwise(F.concat(F.left(key, F.lit(4)), F.lit("****"), F.right(key, F.lit(4))))

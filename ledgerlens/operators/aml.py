@@ -121,6 +121,25 @@ def aml_facts(tx: DataFrame, entities: DataFrame, c: Config = DEFAULT, facts: tu
     return out.select("wallet", *[F.col(x) for f in facts for x in (f, f"{f}_evidence")])
 
 
+def recipient_sketches(tx: DataFrame, lg_k: int = 12) -> DataFrame:
+    """``wallet, day, sketch``: distinct recipients of each day as a mergeable sketch, to be stored and added to day by day."""
+    sent = tx.where(_sent() & (F.col("dst") != "")).select("wallet", F.expr("ts div 86400").alias("day"), "dst")
+    return sent.groupBy("wallet", "day").agg(F.hll_sketch_agg("dst", lg_k).alias("sketch"))
+
+
+def fanout_of_sketches(sketches: DataFrame, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
+    """``wallet, fanout``: estimated distinct recipients over any span of days, from the stored sketches alone.
+
+    The standard error is about 1.04 / sqrt(2 ** lg_k), 1.6 % at 12, and small numbers are nearly exact.
+    """
+    span = F.lit(True)
+    if first_day is not None:
+        span = span & (F.col("day") >= first_day)
+    if last_day is not None:
+        span = span & (F.col("day") <= last_day)
+    return sketches.where(span).groupBy("wallet").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("fanout"))
+
+
 def severity_of(fact: str, c: Config = DEFAULT) -> Column:
     """Severity of a fact; null where the rule doesn't fire."""
     m = F.col(fact)

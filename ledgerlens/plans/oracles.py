@@ -321,6 +321,7 @@ LANDED = (
 )
 
 ORACLES = {
+    "fanout_by_sketch": q(ORDERS, OUT, final="SELECT wallet, count(DISTINCT dst) AS fanout, true AS close FROM o WHERE dst <> '' AND ts // 86400 BETWEEN 10000 AND 10400 GROUP BY wallet"),
     "wallet_age_incremental": q(EVENTS, final="SELECT address, min(ts) AS first_ts FROM (SELECT unnest([src, dst]) AS address, ts FROM tx) WHERE address <> '' GROUP BY address"),
     "case_store_upserts": """WITH r AS (SELECT user_id AS case_id, ntile(3) OVER (PARTITION BY user_id ORDER BY event_id) AS part, epoch_us(ts) // 1000000 AS tm, event_id AS seq,
       CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'DONE' WHEN 'view' THEN 'RUNNING' END AS status FROM events),

@@ -70,6 +70,17 @@ def _rule(name: str, spark: SparkSession, sf: str) -> DataFrame:
     return rounded(made[name]())
 
 
+def _fanout_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct recipients over a span of days: exact, and whether the stored sketches come within 3 % (or one)."""
+    tx = O(spark, sf)
+    sketches = materialise(aml.recipient_sketches(tx), "sketches")
+    low, high = 10_000, 10_400
+    exact = aml.high_fanout(tx.where(F.expr("ts div 86400").between(low, high))).select("wallet", F.col("metric").cast("long").alias("fanout"))
+    estimate = aml.fanout_of_sketches(sketches, low, high).select("wallet", F.col("fanout").alias("estimate"))
+    off = F.abs(F.col("estimate") - F.col("fanout"))
+    return exact.join(estimate, "wallet", "left").select("wallet", "fanout", F.coalesce(off <= F.greatest(F.lit(1.0), 0.03 * F.col("fanout")), F.lit(False)).alias("close"))
+
+
 def _funding(name: str, spark: SparkSession, sf: str) -> DataFrame:
     tx, (ent, ages) = E(spark, sf), context(spark)
     links = lambda: graph.upstream_funders(tx, ent, demo.NOISE)
@@ -335,5 +346,5 @@ QUERIES = {
     "rule_metrics": lambda s, d: rounded(cohort.rule_metrics(results(s, d), labels(s, d))),
     "verdict_distribution": lambda s, d: rounded(cohort.verdict_distribution(rules.verdicts(results(s, d)), labels(s, d))),
     "severity_cube": lambda s, d: cohort.severity_cube(results(s, d), labels(s, d)),
-    "case_store_upserts": _case_store, "wallet_age_incremental": _ages, "explorer_scan": _explorer_scan, "explorer_errors": _explorer_errors, "checksum_addresses": _checksums, "evidence_page": _evidence, "latest_status": _status, "internal_dedup": _internal,
+    "fanout_by_sketch": _fanout_sketch, "case_store_upserts": _case_store, "wallet_age_incremental": _ages, "explorer_scan": _explorer_scan, "explorer_errors": _explorer_errors, "checksum_addresses": _checksums, "evidence_page": _evidence, "latest_status": _status, "internal_dedup": _internal,
 }

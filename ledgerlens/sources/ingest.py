@@ -52,10 +52,9 @@ def read_large_cache(spark: SparkSession, path: str) -> DataFrame:
     carried = ends.withColumn("carry", before).select("file", "block", "carry")
     rows = marked.join(carried, ["file", "block"]).select(*at, F.coalesce("entry", "carry").alias("entry"), "value").where("entry IS NOT NULL")
     parts = rows.groupBy("file", "entry").agg(F.array_sort(F.collect_list(F.struct("block", "row", "value"))).alias("x"))
-    text = F.rtrim(F.regexp_replace(F.concat(F.lit("{" + _MARK), F.array_join(F.transform("x", lambda x: x.value), _MARK)), r"[\s,]+$", ""))
-    # the last entry of a file has the file's own closing brace, the others get one
-    last = F.max(F.struct("entry")).over(W.partitionBy("file")).getField("entry") == F.col("entry")
-    whole = parts.withColumn("text", F.when(last, text).otherwise(F.concat(text, F.lit("}"))))
+    text = F.regexp_replace(F.concat(F.lit("{" + _MARK), F.array_join(F.transform("x", lambda x: x.value), _MARK)), r"\s+$", "")
+    # an entry that another follows ends with a comma in place of the brace; the last has the file's own closing brace
+    whole = parts.select(text.alias("t")).select(F.when(F.col("t").endswith(","), F.concat(F.expr("left(t, length(t) - 1)"), F.lit("}"))).otherwise(F.col("t")).alias("text"))
     return _cache_rows(whole.select(F.explode(F.from_json("text", CACHE)).alias("wallet", "w")))
 
 
@@ -149,11 +148,23 @@ def merge_internal(creator: DataFrame, contract: DataFrame) -> DataFrame:
 
 
 def split_contracts(addresses: DataFrame, code: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Externally owned accounts and contracts, by bytecode ``code(address, bytecode)``."""
+    """Externally owned accounts and contracts, by bytecode ``code(address, bytecode)``, which may hold rows of several chains: code on any counts."""
     deployed = code.where("length(bytecode) > 2").select("address").distinct()
     return addresses.join(deployed, "address", "left_anti"), addresses.join(deployed, "address", "left_semi")
 
 
+def contract_info(addresses: DataFrame, code: DataFrame) -> DataFrame:
+    """``address, is_contract, chains, source_verified`` by ``code(address, chain, bytecode, abi)``; ``chains`` are those with code, in order.
+
+    A source is verified where some chain has an interface for it; an explorer's message in its place is none.
+    """
+    deployed = F.length("bytecode") > 2
+    known = code.groupBy("address").agg(F.sort_array(F.collect_set(F.when(deployed, F.col("chain")))).alias("chains"), F.bool_or(F.coalesce(deployed & F.ltrim("abi").startswith("["), F.lit(False))).alias("source_verified"))
+    none = F.expr("cast(array() AS array<string>)")
+    out = addresses.join(known, "address", "left")
+    return out.select("address", (F.size(F.coalesce("chains", none)) > 0).alias("is_contract"), F.coalesce("chains", none).alias("chains"), F.coalesce("source_verified", F.lit(False)).alias("source_verified"))
+
+
 def write_matrix(features: DataFrame, path: str) -> None:
     """The feature matrix as CSV with a header: doubles to six places, undefined values empty."""
     from ..operators.cohort import matrix

@@ -355,6 +355,26 @@ def test_requests_and_counts(spark):
     assert [r.renderer for r in spark.createDataFrame([(499,), (500,), (5000,)], "n int").select(graph.renderer(F.col("n")).alias("renderer")).collect()] == ["svg", "canvas", "webgl"]
 
 
+def test_sketches_of_recipients(spark):
+    """Within 3 % for wallets of 1,000 recipients or more, over spans of days, merged from the days' sketches."""
+    from decimal import Decimal
+
+    rows = [(w, 0, i, d * DAY + i, w, f"r{(i * 7 + d * 500) % 4000}", Decimal(1), 0, 0, i, False, "0x", "", f"h{w}{d}{i}") for w, n in (("a", 1500), ("b", 900), ("c", 3)) for d in range(4) for i in range(n)]
+    sketches = aml.recipient_sketches(spark.createDataFrame(rows, TX))
+    assert sketches.count() == 12
+    for low, high in ((0, 3), (1, 2), (3, 3)):
+        got = {r.wallet: r.fanout for r in aml.fanout_of_sketches(sketches, low, high).collect()}
+        for w in "abc":
+            exact = len({r[5] for r in rows if r[0] == w and low <= r[3] // DAY <= high})
+            assert abs(got[w] - exact) <= max(1, 0.03 * exact), (w, low, high)
+
+
+def test_truncate_and_mask(spark):
+    df = spark.createDataFrame([("abcdefghij",), ("abc",), (None,)], "x string")
+    got = [tuple(r) for r in df.select(S.truncated(F.col("x"), 6), S.truncated(F.col("x"), 2), S.masked(F.col("x"))).collect()]
+    assert got == [("abc...", "..", "abcd****ghij"), ("abc", "..", "****"), (None, None, None)]
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("0xABCDEF0123", "12", 0.4999999999, 2.00001)], "data string, n string, v double, r double")
     r = one(df.select(
@@ -379,6 +399,15 @@ def test_ingest(spark, tmp_path):
     assert one(spark.read.option("header", True).csv(f"file://{tmp_path}/m")).x == "0.333333"
 
 
+def test_contracts_of_several_chains(spark):
+    code = spark.createDataFrame([("a", "one", "0x6001", "[{}]"), ("a", "two", "0x", None), ("b", "one", "0x", None), ("c", "two", "0x6002", "Contract source code not verified"), ("d", "two", None, None)], "address string, chain string, bytecode string, abi string")
+    who = spark.createDataFrame([(x,) for x in "abcde"], "address string")
+    got = {r.address: (r.is_contract, r.chains, r.source_verified) for r in ingest.contract_info(who, code).collect()}
+    assert got == {"a": (True, ["one"], True), "b": (False, [], False), "c": (True, ["two"], False), "d": (False, [], False), "e": (False, [], False)}
+    plain, contracts = ingest.split_contracts(who, code)
+    assert {r.address for r in plain.collect()} == {"b", "d", "e"} and {r.address for r in contracts.collect()} == {"a", "c"}
+
+
 def test_large_cache_in_many_tasks(spark, tmp_path):
     """One JSON object over many splits, rows as the whole-file reader gives them, and who is missing or empty."""
     import random
