@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .storage import empty, fresh_path
+from .storage import discard, empty, fresh_path, materialise
 from .text import spans, whole
 
 
@@ -89,17 +89,44 @@ class BlobLedger:
         return blobs.join(seen, "digest", "left").select("digest", "path", todo.alias("todo")).where("todo <> 0")
 
     def scan(self, docs: DataFrame, rules: list[Rule] = RULES) -> None:
-        """Scan what is new among ``docs(doc_id, text)`` and commit it as one append."""
-        keyed = docs.select(F.col("doc_id").alias("path"), whole("text").alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-        todo = self.unseen(keyed.withColumn("digest", F.sha2("text", 256)), rules, F.col("path"))
-        todo = todo.select(F.unhex("digest").alias("_blob"), F.col("path").alias("_path"), "todo")
-        new = keyed.join(todo, (F.col("digest") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")))
-        due = [F.col("todo").bitwiseAND(1 << i) != 0 for i in range(len(rules))]
+        """Scan what is new among ``docs(doc_id, text)`` and commit it as one append.
+
+        Which blobs are due for which rule versions is found without their texts. A version that the ledger has nowhere is due
+        for every blob, so its pattern is tried where the texts are read, and only texts in which it stands somewhere move to
+        be scanned, one for each blob. For versions that know some blobs the texts of the others move as they are.
+        """
+        keyed = docs.select(F.col("doc_id").alias("path"), whole("text").alias("text"))
+        slim = keyed.select("path", F.sha2("text", 256).alias("digest"))
+        todo = materialise(self.unseen(slim, rules, F.col("path")), "todo")
+        known = {r.v for r in self.read().select(F.explode("versions").alias("v")).distinct().collect()}  # as many as there ever were
+        groups = [[(i, r) for i, r in enumerate(rules) if (r.version in known) == old] for old in (False, True)]
+        bits = [sum(1 << i for i, _ in g) for g in groups]
         none = F.expr(f"cast(array() AS {_FOUND})")
-        hits = new.select("digest", "todo", *[F.when(d, r.found(F.col("text"))).otherwise(none).alias(r.name) for d, r in zip(due, rules, strict=True)])
-        versions = F.array_compact(F.array(*[F.when(d, F.lit(r.version)) for d, r in zip(due, rules, strict=True)]))
-        rows = hits.select(F.lower(F.hex("digest")).alias("digest"), versions.alias("versions"), F.concat(*[r.name for r in rules]).alias("found"))
-        rows.dropDuplicates(["digest"]).write.mode("append").parquet(self.path)  # rows repeated in full come twice
+        due = lambda i: F.col("todo").bitwiseAND(1 << i) != 0
+
+        def hits(texts: DataFrame, group: list[tuple[int, Rule]], mask: int) -> DataFrame:
+            want = todo.where(F.col("todo").bitwiseAND(mask) != 0).select(F.unhex("digest").alias("_blob"), F.col("path").alias("_path"), "todo")
+            here = texts.withColumn("digest", F.unhex(F.sha2("text", 256)))
+            rows = here.join(want, (F.col("digest") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")))
+            found = F.concat(*[F.when(due(i), r.found(F.col("text"))).otherwise(none) for i, r in group])
+            # rows repeated in full come twice
+            return rows.select(F.lower(F.hex("digest")).alias("digest"), found.alias("found")).where(F.size("found") > 0).dropDuplicates(["digest"])
+
+        parts = []
+        if groups[0]:
+            stands = F.lit(False)
+            for _, r in groups[0]:
+                stands = stands | F.col("text").rlike(r.pattern)
+            parts.append(hits(keyed.where(stands), groups[0], bits[0]))
+        if groups[1] and not todo.where(F.col("todo").bitwiseAND(bits[1]) != 0).isEmpty():
+            parts.append(hits(keyed, groups[1], bits[1]))
+        versions = F.array_compact(F.array(*[F.when(due(i), F.lit(r.version)) for i, r in enumerate(rules)]))
+        rows, found = todo.select("digest", versions.alias("versions")), none
+        for n, part in enumerate(parts):
+            rows = rows.join(part.withColumnRenamed("found", f"found{n}"), "digest", "left")
+            found = F.concat(found, F.coalesce(f"found{n}", none))
+        rows.select("digest", "versions", found.alias("found")).write.mode("append").parquet(self.path)
+        discard(todo)
 
     def findings(self, rules: list[Rule] = RULES) -> DataFrame:
         """``(digest, found)`` of the current rule versions, a row for each blob with any; repeats are dropped."""
