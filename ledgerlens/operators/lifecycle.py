@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..scratch import materialise
-from ..schema import ADD_LIQUIDITY, DEFAULT, OWNERSHIP, ORDER, REMOVE_LIQUIDITY, SIGNIFICANT, TOKEN_TRANSFER, WEI, Config, by_wallet, eth, in_order
+from ..schema import ADD_LIQUIDITY, DEFAULT, OWNERSHIP, ORDER, REMOVE_LIQUIDITY, SIGNIFICANT, TOKEN_TRANSFER, WEI, Config, eth
 from . import segments
 
 HOUR = 3600
@@ -120,8 +120,8 @@ def funding_sources(tx: DataFrame) -> DataFrame:
 
 def burstiness(rows: DataFrame, at: str = "ts") -> DataFrame:
     """``wallet, burst``: (s - m) / (s + m) of the gaps, for three events or more."""
-    gaps = rows.select("wallet", (F.col(at) - F.lag(at).over(by_wallet().orderBy(at))).alias("g"))
-    folded = gaps.groupBy("wallet").agg(F.count("g").alias("n"), F.avg("g").alias("m"), F.stddev_samp("g").alias("s"))
+    gaps = segments.gaps(rows.select("wallet", F.col(at).alias("ts")))
+    folded = gaps.groupBy("wallet").agg(F.count("gap").alias("n"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s"))
     return folded.select("wallet", F.when((F.col("n") >= 2) & (F.col("m") != 0), (F.col("s") - F.col("m")) / (F.col("s") + F.col("m"))).alias("burst"))
 
 
@@ -156,13 +156,13 @@ def pre_features(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return out.withColumn("new_a_single_deploy", F.col("f4_deployment_count") == 1)
 
 
-def _with_first(tx: DataFrame) -> DataFrame:
-    return tx.join(first_deployment(tx), "wallet")
-
-
 def cashout_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, c: Config = DEFAULT, include_gas: bool = True) -> DataFrame:
-    """Features CP1 to CP7 of wallets with a deployment; sums are exact in wei and divided last."""
-    rows = _with_first(tx).join(entities.select(F.col("address").alias("dst"), F.col("type").alias("dst_type")), "dst", "left").join(ages.select(F.col("address").alias("dst"), F.col("first_ts").alias("dst_first")), "dst", "left")
+    """Features CP1 to CP7 of wallets with a deployment; sums are exact in wei and divided last.
+
+    What a row must know of others, the first deployment and the first draw of liquidity, are two minima of its wallet.
+    """
+    first = first_deployment(tx)
+    kinds = entities.select(F.col("address").alias("dst"), F.col("type").alias("dst_type"))
     v, ts = F.col("value"), F.col("ts")
     sent = F.col("src") == F.col("wallet")
     victim = (F.col("dst") == F.col("k0")) & ~sent & (v > 0)
@@ -174,21 +174,24 @@ def cashout_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, c: Con
     amount = F.when(out, eth("value"))
     sel = S.stripped_selector(F.col("input"), c.selector_mode)
     took = sent & (ts >= F.col("d0")) & sel.isin(*REMOVE_LIQUIDITY, TOKEN_TRANSFER)
-    unknown = out & F.col("dst_type").isNull()
-    young = unknown & ((F.col("d0") - F.col("dst_first")) / 86400.0 < 7)
-    # whether a row is the first to its destination among those that go out: what kind of destination it is depends on that alone
-    once = F.row_number().over(W.partitionBy("wallet", F.coalesce(out, F.lit(False)), "dst").orderBy("ts", "stream", "ord")) == 1
-    rows = rows.withColumns({"_drawn_at": F.min(F.when(took, ts)).over(in_order()), "_once": once})
+    at = F.struct(*ORDER)
+    draws = segments.with_wallet(tx.where(sent & sel.isin(*REMOVE_LIQUIDITY, TOKEN_TRANSFER)), first).where(took).groupBy("wallet").agg(F.min(at).alias("_took"))
+    # kind and age belong to the destination, so they are looked up once for each that a wallet sends to
+    dests = segments.with_wallet(tx.where(sent & (v > 0)), first).where(out).groupBy("wallet", "dst").agg(F.first("d0").alias("d0"))
+    dests = dests.join(kinds, "dst", "left").join(ages.select(F.col("address").alias("dst"), F.col("first_ts").alias("dst_first")), "dst", "left")
+    unknown = F.col("dst_type").isNull()
+    dests = dests.groupBy("wallet").agg(F.count("*").alias("_dests"), F.count_if(unknown).alias("_unknown"), F.count_if(unknown & ((F.col("d0") - F.col("dst_first")) / 86400.0 < 7)).alias("_young"))
+    rows = segments.with_wallet(tx, first.join(draws, "wallet", "left")).join(kinds, "dst", "left")
+    rows = rows.withColumn("_drawn_at", F.when(at >= F.col("_took"), F.col("_took.ts")))
     swap = sent & (F.col("dst_type") == "DEX") & F.col("_drawn_at").isNotNull() & (ts - F.col("_drawn_at")).between(0, 86399)
     total = lambda cond: F.coalesce(F.sum(F.when(cond, v)), F.lit(0)).cast("decimal(38,0)")
     agg = rows.groupBy("wallet").agg(
         F.min(F.when(victim, ts)).alias("_v1"), F.min(F.when(drawn, ts)).alias("_w1"), F.max(F.when(drawn, ts)).alias("_w2"), F.count_if(drawn).alias("cp2_withdrawal_count"),
         total(victim).alias("_victim"), total(drawn).alias("_drawn"), F.count(amount).alias("cp3_outflow_count"), F.avg(amount).alias("_m"), F.stddev_samp(amount).alias("_s"),
         F.avg(F.when(out, S.is_round_half(eth("value")).cast("int"))).alias("_round"),
-        F.count_if(F.col("_once") & out).alias("_dests"), F.count_if(F.col("_once") & unknown).alias("cp4_suspicious_destination_count"), F.count_if(F.col("_once") & young).alias("_young"),
         total(out).alias("_out"), total(out & F.col("dst_type").isin("CEX", "MIXER")).alias("_cex"), F.coalesce(F.bool_or(out & (F.col("dst_type") == "MIXER")), F.lit(False)).alias("cp5_mixer_contact"),
         F.min(F.when(swap, F.struct("ts", "stream", "ord", (ts - F.col("_drawn_at")).alias("late")))).alias("_swap"), F.sum(moved).alias("_left"),
-    )
+    ).join(dests, "wallet", "left")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b).cast("double"))
     drains = (F.col("_victim") > 0) & (F.col("cp2_withdrawal_count") > 0)
     four = F.col("cp3_outflow_count") >= 4
@@ -196,7 +199,7 @@ def cashout_features(tx: DataFrame, entities: DataFrame, ages: DataFrame, c: Con
         "wallet", F.when(F.col("_w1") >= F.col("_v1"), F.col("_w1") - F.col("_v1")).cast("double").alias("cp1_withdrawal_latency_sec"), "cp2_withdrawal_count",
         F.when(drains, ratio("_drawn", "_victim")).alias("cp2_drain_ratio"), F.when(drains & (F.col("cp2_withdrawal_count") >= 2), (F.col("_w2") - F.col("_w1")) / 3600.0).alias("cp2_withdrawal_span_hours"),
         F.when(four & (F.col("_m") > 0), F.col("_s") / F.col("_m")).alias("cp3_outflow_cv"), F.when(four, F.col("_round")).alias("cp3_round_number_ratio"), "cp3_outflow_count",
-        "cp4_suspicious_destination_count", F.when(F.col("_dests") > 0, F.col("_young") / F.col("_dests")).alias("cp4_fresh_wallet_ratio"), ratio("_cex", "_out").alias("cp5_concentration_ratio"), "cp5_mixer_contact",
+        F.coalesce("_unknown", F.lit(0)).alias("cp4_suspicious_destination_count"), F.when(F.col("_dests") > 0, F.col("_young") / F.col("_dests")).alias("cp4_fresh_wallet_ratio"), ratio("_cex", "_out").alias("cp5_concentration_ratio"), "cp5_mixer_contact",
         F.col("_swap").isNotNull().alias("cp6_swap_detected"), F.col("_swap.late").cast("double").alias("cp6_swap_latency_sec"),
         F.when(F.col("_victim") > 0, F.greatest(F.lit(0).cast("decimal(38,0)"), F.col("_left")).cast("double") / F.col("_victim").cast("double")).alias("cp7_retained_ratio"),
         F.when(F.col("_victim") > 0, F.col("_victim")).alias("cp_victim_inflow_wei"),
@@ -207,14 +210,18 @@ def seed_jaccard(tx: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """``wallet, vs5``: mean overlap of the rounded seed amounts before consecutive deployments."""
     deploys = deployments(tx).select("wallet", "d_ord", "d_ts")
     near = before_each(deploys, inbound(tx, own=False).select("wallet", "ts", F.round(eth("value"), 2).alias("a")), c.funding_hours)
-    sets = deploys.join(near.groupBy("wallet", "d_ord").agg(F.collect_set("a").alias("s")), ["wallet", "d_ord"], "left").withColumn("s", F.coalesce("s", F.expr("cast(array() AS array<double>)")))
-    pairs = sets.withColumn("p", F.lag("s").over(by_wallet().orderBy("d_ts", "d_ord"))).where("p IS NOT NULL AND size(array_union(s, p)) > 0")
+    sets = deploys.join(near.groupBy("wallet", "d_ord").agg(F.collect_set("a").alias("s")), ["wallet", "d_ord"], "left")
+    sets = materialise(sets.select("wallet", F.col("d_ts").alias("ts"), F.col("d_ord").alias("ord"), F.coalesce("s", F.expr("cast(array() AS array<double>)")).alias("s")), "seeds")
+    pairs = segments.previous(sets, ["s"], "ts", "ord").withColumn("p", F.col("before.s")).where("p IS NOT NULL AND size(array_union(s, p)) > 0")
     return pairs.groupBy("wallet").agg(F.avg(S.jaccard(F.col("s"), F.col("p"))).alias("vs5"))
 
 
 def value_features(tx: DataFrame, tokens: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
-    """Features VS1 to VS6 for every wallet. ``tokens(wallet, ord, ts, src, dst, amount)`` is optional."""
-    rows = tx.join(first_deployment(tx), "wallet", "left")
+    """Features VS1 to VS6 for every wallet. ``tokens(wallet, ord, ts, src, dst, amount)`` is optional.
+
+    A wallet's counts of equal amounts are folded to their distinct counts, at most the square root of twice its rows.
+    """
+    first = first_deployment(tx)
     v, ts, sent, got = F.col("value"), F.col("ts"), F.col("src") == F.col("wallet"), F.col("dst") == F.col("wallet")
     fresh = got & ~sent & (v > 0)
     seed = fresh & (F.col("d0").isNull() | (ts < F.col("d0")))
@@ -222,7 +229,8 @@ def value_features(tx: DataFrame, tokens: DataFrame | None = None, c: Config = D
     gwei = F.col("gas_price") / 1e9
     dust = (v > 0) & (v < 10**14)
     drawn = F.coalesce((F.col("src") == F.col("k0")) & got & (v > 0), F.lit(False))
-    rows = rows.withColumn("_cash", F.min(F.when(drawn, ts)).over(by_wallet()))
+    cash = segments.with_wallet(tx.where(got & (v > 0)), first).where(drawn).groupBy("wallet").agg(F.min("ts").alias("_cash"))
+    rows = segments.with_wallet(tx, first.join(cash, "wallet", "left"), "left")
     sel = S.stripped_selector(F.col("input"), c.selector_mode)
     added, removed = sent & sel.isin(ADD_LIQUIDITY) & (v > 0), got & sel.isin(REMOVE_LIQUIDITY) & (v > 0)
     deploy = (F.col("stream") == 0) & sent & (F.col("dst") == "") & (F.col("contract") != "")
@@ -235,8 +243,9 @@ def value_features(tx: DataFrame, tokens: DataFrame | None = None, c: Config = D
         F.countDistinct(F.when(dust & sent, F.col("dst"))).alias("vs4_unique_dust_destinations"), F.count_if(dust & got).alias("vs4_inbound_dust_count"), F.count_if(deploy).alias("vs5_deployment_count_for_vs5"),
         total(deploy).alias("_d"), total(staked).alias("_f"), total(drawn).alias("_c"), total(added).alias("_a"), total(removed).alias("_b"), F.min(F.when(added, ts)).alias("_lp"),
     )
-    counts = tx.where(fresh).groupBy("wallet", "value").agg(F.count("*").alias("n"))
-    modes = counts.groupBy("wallet").agg(F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 2).alias("top")).select("wallet", F.get("top", F.lit(0)).alias("_t1"), F.coalesce(F.get("top", F.lit(1)), F.lit(0)).alias("_t2"))
+    counts = tx.where(fresh).groupBy("wallet", "value").agg(F.count("*").alias("n")).groupBy("wallet", "n").agg(F.count("*").alias("k"))
+    top, n = F.sort_array(F.collect_list(F.struct("n", "k")), asc=False), lambda i: F.get("top", F.lit(i)).getField("n")
+    modes = counts.groupBy("wallet").agg(top.alias("top")).select("wallet", n(0).alias("_t1"), F.when(F.col("top")[0].k > 1, n(0)).otherwise(F.coalesce(n(1), F.lit(0))).alias("_t2"))
     out = agg.join(modes, "wallet", "left").join(seed_jaccard(tx, c), "wallet", "left")
     if tokens is not None:
         mint = tokens.where("src = '0x0000000000000000000000000000000000000000' AND amount > 0")

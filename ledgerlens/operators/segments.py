@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 DAY = 86400
 #: Seconds of a segment.
 WIDTH = 30 * DAY
+#: Parts that a wallet's rows are dealt to where they meet what is known of the wallet.
+PARTS = 16
 
 
 def place(width: int = WIDTH) -> Column:
@@ -47,3 +49,26 @@ def gaps(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     inside = placed.select("wallet", (F.col("ts") - F.lag("ts").over(in_segment("ts"))).alias("gap")).where("gap IS NOT NULL")
     ends = placed.groupBy("wallet", "segment").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     return inside.unionByName(ends.select("wallet", (F.col("first") - F.lag("last").over(across())).alias("gap")).where("gap IS NOT NULL"))
+
+
+def previous(rows: DataFrame, columns: list[str], *order: str, width: int = WIDTH) -> DataFrame:
+    """``rows`` with ``before``: the ``columns`` of the wallet's row before in ``order``, which begins with ``ts``; null for its first.
+
+    The last row of each segment is carried to the first of the wallet's next one. ``rows`` are read twice.
+    """
+    placed, here = rows.withColumn("segment", place(width)), F.struct(*columns)
+    last = placed.groupBy("wallet", "segment").agg(F.max_by(here, F.struct(*order)).alias("_last"))
+    carried = last.select("wallet", "segment", F.lag("_last").over(across()).alias("_carried"))
+    inside = placed.withColumn("_before", F.lag(here).over(in_segment(*order)))
+    return inside.join(carried, ["wallet", "segment"]).withColumn("before", F.coalesce("_before", "_carried")).drop("segment", "_before", "_carried")
+
+
+def with_wallet(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``known``, which has one row a wallet.
+
+    A wallet's rows are dealt to some parts and its row in ``known`` is copied to each, so a busy wallet's rows don't meet in
+    one task. An aggregate by wallet that follows is done in parts first, as the rows don't lie by wallet alone.
+    """
+    each = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("ts", "ord"), F.lit(PARTS)).cast("int"))
+    return dealt.join(each, ["wallet", "_part"], how).drop("_part")

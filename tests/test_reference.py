@@ -615,6 +615,53 @@ def test_no_task_holds_a_busy_wallet(spark):
     assert by < len(rows) / 4  # the busiest segment, of a wallet with a third of all rows
 
 
+def test_busy_wallets_in_parts(spark):
+    """Features that were taken from a wallet's rows in order, against its rows in order; no window holds a wallet's rows."""
+    import random
+    import re
+
+    rng = random.Random(12)
+    rows = [r for w in ("hot", "w1", "w2") for r in (deploy(w, 300 * DAY, f"k{w}"), deploy(w, 300 * DAY, f"x{w}"), deploy(w, 420 * DAY), deploy(w, 424 * DAY))]
+    for i in range(1500):
+        w = "hot" if i % 3 else f"w{i % 5}"
+        at, k = rng.choice([rng.randrange(0, 500 * DAY), 300 * DAY, 310 * DAY + rng.randrange(3 * DAY), 420 * DAY - rng.randrange(3 * DAY)]), f"k{w}"
+        extra = {"stream": int(rng.random() < 0.2), "input": rng.choice(["0x", "0xbaa2abde" + "0" * 64, "0x02751cec" + "0" * 64])}
+        rows.append((w, at, *rng.choice([(w, f"d{rng.randrange(60)}"), (w, "dex"), (w, k), (f"s{i % 9}", w), (k, w)]), rng.choice([0.00001, 0.5, 1.0, 3.3, 12.0]), extra))
+    t, ents, firsts = tx(spark, *rows).repartition(5), entities(spark, ("dex", "DEX"), *[(f"d{i}", "CEX") for i in range(0, 60, 4)]), ages(spark, *[(f"d{i}", (280 + i) * DAY) for i in range(0, 60, 3)])
+    cash, value = lifecycle.cashout_features(t, ents, firsts), lifecycle.value_features(t)
+    got, vals = {r.wallet: r for r in cash.collect()}, {r.wallet: r for r in value.collect()}
+    kinds, seen = {"dex"} | {f"d{i}" for i in range(0, 60, 4)}, {f"d{i}": (280 + i) * DAY for i in range(0, 60, 3)}
+    assert set(got) == {"hot", "w1", "w2"} and set(vals) == {r[0] for r in rows}
+    jaccard = {r.wallet: r.vs5 for r in lifecycle.seed_jaccard(t).collect()}
+    for w in vals:
+        full = [(r[1], (r[5] if len(r) > 5 else {}).get("stream", 0), n, r[2], r[3], r[4], (r[5] if len(r) > 5 else {}).get("input", "0x")) for n, r in enumerate(rows) if r[0] == w]
+        mine, k = sorted(full), f"k{w}"
+        amounts = sorted(([r[5] for r in mine if r[4] == w and r[3] != w].count(v) for v in (0.00001, 0.5, 1.0, 3.3, 12.0)), reverse=True)
+        assert vals[w].vs1_mode_freq_ratio == pytest.approx(amounts[0] / sum(amounts)) and vals[w].vs1_top2_coverage == pytest.approx(sum(amounts[:2]) / sum(amounts))
+        if w not in got:
+            assert vals[w].vs4_pre_cashout_dust_count == 0
+            continue
+        drawn = min(r[0] for r in mine if r[3] == k and r[4] == w)
+        assert vals[w].vs4_pre_cashout_dust_count == sum(r[3] == w and r[5] == 0.00001 and drawn - DAY <= r[0] <= drawn for r in mine)
+        took = next(r for r in mine if r[3] == w and r[0] >= 300 * DAY and r[6][2:10] in ("baa2abde", "02751cec"))
+        swaps = [r[0] - took[0] for r in mine if r[3] == w and r[4] == "dex" and r[:3] >= took[:3] and r[0] - took[0] < DAY]
+        assert (got[w].cp6_swap_detected, got[w].cp6_swap_latency_sec) == (bool(swaps), swaps[0] if swaps else None)
+        dests = {r[4] for r in mine if r[3] == w and r[4] not in ("", k) and r[0] >= 300 * DAY and r[5] > 0}
+        unknown = dests - kinds
+        assert got[w].cp4_suspicious_destination_count == len(unknown)
+        assert got[w].cp4_fresh_wallet_ratio == pytest.approx(sum((300 * DAY - seen[d]) < 7 * DAY for d in unknown if d in seen) / len(dests))
+        sets = [{round(r[5], 2) for r in mine if r[4] == w and r[3] != w and d - 72 * 3600 <= r[0] < d} for d in (300 * DAY, 300 * DAY, 420 * DAY, 424 * DAY)]
+        pairs = [len(a & b) / len(a | b) for a, b in zip(sets, sets[1:], strict=False) if a | b]
+        assert jaccard[w] == pytest.approx(sum(pairs) / len(pairs))
+    for df in (cash, value):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert not re.search(r"windowspecdefinition\(wallet#\d+, (?!segment#)", plan)
+        assert re.search(r"Join.*\[wallet#\d+, _part#\d+\]", plan)
+    dealt = segments.with_wallet(t, t.where("wallet = 'hot'").select("wallet").distinct())
+    parts = [len(p) for p in dealt.select("wallet", F.pmod(F.xxhash64("ts", "ord"), F.lit(segments.PARTS)).alias("p")).groupBy("p").agg(F.collect_list("wallet").alias("x")).rdd.map(lambda r: r.x).collect()]
+    assert sum(parts) == sum(r[0] == "hot" for r in rows) and max(parts) < sum(parts) / 8
+
+
 def test_percentiles_of_any_shape(spark):
     """Against numpy, with one value that a third of all rows share, few and many rows, and classes that are null or alone."""
     import random
