@@ -73,6 +73,46 @@ def counts(rows: DataFrame, by: list[str], where: Column | str | None = None) ->
     return (rows if where is None else rows.where(where)).groupBy(*by).agg(F.count("*").alias("n"))
 
 
+class ReportStore:
+    """Reports in a versioned table, one for each investigation: the first that comes stays until it is deleted.
+
+    A graph is attached when it has been laid out, which may be long after its report was written, by another job.
+    """
+
+    SCHEMA = "investigation_id string, report_id string, risk_level string, risk_score int, generated_at long, summary string, graph string"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
+        from .versioned import VersionedTable
+
+        self.table = VersionedTable(spark, self.SCHEMA, ["investigation_id"], path, buckets)
+
+    def add(self, reports: DataFrame, batch: str | None = None) -> bool:
+        """Add reports of investigations that have none; of several new ones of an investigation the earliest, then the least id."""
+        return self.table.insert_new(reports, batch, ["generated_at", "report_id"])
+
+    def attach_graphs(self, graphs: DataFrame, batch: str | None = None) -> bool:
+        """``graphs(investigation_id, graph)`` put in place of the graphs of these reports; those without a report are left out."""
+        return self.table.update(graphs.select("investigation_id", "graph"), batch=batch)
+
+    def delete(self, report_ids: DataFrame) -> bool:
+        """Delete reports by ``report_id``."""
+        return self.table.delete(self.table.read().join(report_ids.select("report_id"), "report_id", "left_semi"))
+
+    def of(self, investigations: DataFrame) -> DataFrame:
+        """``investigations`` with their reports, nulls where there is none yet, and ``has_report``."""
+        there = self.table.read()
+        return investigations.join(there, "investigation_id", "left").withColumn("has_report", F.col("report_id").isNotNull())
+
+    def recent(self, number: int = 1, size: int = 20, risk_level: str | None = None) -> DataFrame:
+        """A page of reports, the newest first, of one risk level or of all."""
+        rows = self.table.read()
+        return newest_first(rows if risk_level is None else rows.where(F.col("risk_level") == risk_level), "generated_at", "report_id", number, size)
+
+    def counts(self) -> DataFrame:
+        """Reports by risk level."""
+        return counts(self.table.read(), ["risk_level"])
+
+
 def parsed_json(c: Column, schema: str) -> Column:
     """A JSON blob as a struct; null where it can't be read."""
     return F.from_json(c, schema, {"mode": "PERMISSIVE"})

@@ -80,7 +80,8 @@ def sequence_similarity(tx: DataFrame, c: Config = DEFAULT, seqs: DataFrame | No
 
     Selectors of a wallet are numbered and written as one character each, so that the built-in Levenshtein distance
     applies to token sequences; surrogates are stepped over, and a wallet with more selectors than there are characters
-    ends the query. Equal sequences are compared once, with their multiplicities.
+    ends the query. Equal sequences are compared once, with their multiplicities; a mean over pairs takes all pairs of the
+    distinct ones, which are dealt over several parts of a wallet.
     """
     seqs = setup_sequences(tx, c) if seqs is None else seqs
     known = seqs.select("wallet", F.explode("seq").alias("x")).distinct().groupBy("wallet").agg(F.array_sort(F.collect_list("x")).alias("known"))
@@ -88,9 +89,11 @@ def sequence_similarity(tx: DataFrame, c: Config = DEFAULT, seqs: DataFrame | No
     point = lambda s: F.when(place(s) < 0xD800, place(s)).when(place(s) < 0x10F800, place(s) + 0x800).otherwise(F.raise_error(F.lit("too many selectors in one wallet")))
     one = lambda s: F.decode(F.unhex(F.lpad(F.hex(point(s)), 8, "0")), "UTF-32")
     coded = seqs.join(known, "wallet").select("wallet", F.concat_ws("", F.transform("seq", one)).alias("code")).groupBy("wallet", "code").agg(F.count("*").alias("m"))
-    a, b = coded.select("wallet", F.col("code").alias("a"), F.col("m").alias("ma")), coded.select("wallet", F.col("code").alias("b"), F.col("m").alias("mb"))
+    parts = F.lit(segments.PARTS)
+    a = coded.select("wallet", F.pmod(F.xxhash64("code"), parts).cast("int").alias("part"), F.col("code").alias("a"), F.col("m").alias("ma"))
+    b = coded.select("wallet", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("code").alias("b"), F.col("m").alias("mb"))
     like = 1.0 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    unlike = a.join(b, "wallet").where("a < b").groupBy("wallet").agg(F.sum(F.col("ma") * F.col("mb") * like).alias("x"))
+    unlike = a.join(b, ["wallet", "part"]).where("a < b").groupBy("wallet").agg(F.sum(F.col("ma") * F.col("mb") * like).alias("x"))
     sizes = coded.groupBy("wallet").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same")).where("n > 1")
     return sizes.join(unlike, "wallet", "left").select("wallet", ((F.coalesce("x", F.lit(0.0)) + F.col("same")) / (F.col("n") * (F.col("n") - 1) / 2)).alias("f7"))
 

@@ -125,8 +125,13 @@ class VersionedTable:
         new = self._first(rows, order)
         return self._change(new, lambda old: old.unionByName(new.alias("n").join(old.alias("o"), self._same("n", "o"), "left_anti")), batch)
 
-    def upsert(self, rows: DataFrame, transitions: dict[str, str] | None = None, batch: str | None = None, order: list[str] = []) -> bool:  # noqa: B006
-        """Insert rows or change those of their key.
+    def update(self, rows: DataFrame, transitions: dict[str, str] | None = None, batch: str | None = None, order: list[str] = []) -> bool:  # noqa: B006
+        """Like :meth:`upsert`, but only rows whose key is there; ``rows`` may lack other columns, which stay."""
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name not in rows.columns]
+        return self.upsert(rows.select("*", *rest), transitions, batch, order, insert=False)
+
+    def upsert(self, rows: DataFrame, transitions: dict[str, str] | None = None, batch: str | None = None, order: list[str] = [], insert: bool = True) -> bool:  # noqa: B006
+        """Insert rows (not without ``insert``) or change those of their key.
 
         ``transitions`` gives SQL over ``old`` and ``new`` for a column of a row that is there; other columns take the new
         value where it isn't null.
@@ -136,7 +141,7 @@ class VersionedTable:
 
         def merge(old: DataFrame) -> DataFrame:
             both = new.withColumn("_new", F.lit(1)).alias("n").join(old.withColumn("_there", F.lit(1)).alias("o"), self._same("n", "o"), "full")
-            held = both.select(F.struct("n.*").alias("new"), F.struct("o.*").alias("old"), there.alias("there"), F.col("n._new").isNotNull().alias("comes"))
+            held = both.select(F.struct("n.*").alias("new"), F.struct("o.*").alias("old"), there.alias("there"), F.col("n._new").isNotNull().alias("comes")).where(F.lit(insert) | F.col("there"))
             value = lambda c: F.when(~F.col("there"), F.col(f"new.{c}")).when(~F.col("comes"), F.col(f"old.{c}")).otherwise(F.expr(transitions[c]) if c in transitions else F.coalesce(f"new.{c}", f"old.{c}"))
             return held.select(*[(value(f.name) if f.name not in self.key else F.when(F.col("comes"), F.col(f"new.{f.name}")).otherwise(F.col(f"old.{f.name}"))).alias(f.name) for f in self.schema])
 

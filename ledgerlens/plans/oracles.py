@@ -320,7 +320,27 @@ LANDED = (
     f"""pf AS MATERIALIZED (SELECT wallet, lo, page, count(*) AS n, ({CRC32.format("wallet || ':' || lo || ':' || page")}) % 10 AS fault FROM pg WHERE lo <= 1250000 AND lo > 250000 GROUP BY wallet, lo, page)""",
 )
 
+THRESHOLDS = """tm AS (SELECT feature, feature = 'vs6_extraction_multiplier' AS up, n, p25, p50, p75 FROM st WHERE label = 'bad'),
+tw AS (SELECT feature, count(*) AS n_negative, count(*) FILTER (CASE WHEN up THEN x >= p50 ELSE x <= p50 END) AS n_wrong FROM lg JOIN tm USING (feature) WHERE label <> 'bad' GROUP BY feature),
+th AS (SELECT tm.feature, CASE WHEN up THEN 'above' ELSE 'below' END AS direction, tm.n AS n_positive, coalesce(n_negative, 0) AS n_negative, tm.p50 AS high, CASE WHEN up THEN tm.p25 ELSE tm.p75 END AS medium,
+  CASE WHEN up THEN g.p75 ELSE g.p25 END AS clean, coalesce(n_wrong, 0) AS n_wrong, CASE WHEN n_negative IS NULL THEN 'UNKNOWN' WHEN n_wrong < 0.2 * n_negative THEN 'GOOD' WHEN n_wrong < 0.4 * n_negative THEN 'FAIR' ELSE 'WEAK' END AS quality
+  FROM tm LEFT JOIN tw USING (feature) LEFT JOIN st g ON g.feature = tm.feature AND g.label <> 'bad')"""
+_SIDE = "CASE WHEN direction = 'above' THEN 'MIN' ELSE 'MAX' END"
+_LINE = "upper(feature) || '_{}_' || " + _SIDE + " || ' = ' || coalesce(({}::DECIMAL(38, 4))::VARCHAR, 'None')"
+
 ORACLES = {
+    "threshold_derivation": q(*BASE, VALUE, LAB, LONG, THRESHOLDS, final=rep("high medium clean", "th")),
+    "threshold_settings": q(*BASE, VALUE, LAB, LONG, THRESHOLDS, final="SELECT feature, 0::INT AS place, '# ' || feature || ': ' || quality || ', ' || n_wrong || ' of ' || n_negative || ' others on the suspicious side' AS line FROM th"
+      + "".join(f" UNION ALL SELECT feature, {i}::INT, {_LINE.format(c.upper(), c)} FROM th" for i, c in enumerate(("high", "medium", "clean"), 1))),
+    "rule_report": q(*FEATURES, """rp AS (SELECT rule_id, count(*) FILTER (severity IS NOT NULL) AS f, count(*) AS n FROM res JOIN lab USING (wallet) WHERE label = 'bad' GROUP BY rule_id),
+      rq AS (SELECT *, (2000 * f + n) // (2 * n) AS t FROM rp), rr AS (SELECT *, (t // 10) || '.' || (t % 10) || '%' AS rate FROM rq)""",
+      final="""SELECT rule_id, 0::INT AS part, '' AS wallet, rule_id || '  fired on ' || f || ' of ' || n || ' (' || rate || ')' AS line FROM rr UNION ALL SELECT rule_id, 2::INT, '', rpad(rule_id, 12, ' ') || lpad(rate, 8, ' ') FROM rr
+      UNION ALL SELECT rule_id, 1::INT, wallet, '  ' || wallet || '  [' || severity || ']' FROM res JOIN lab USING (wallet) WHERE label = 'bad' AND severity IS NOT NULL"""),
+    "report_store": q(EVENTS, ENT, OUT, LARGE, burst(2), FAN, DORMANT, activity(7), ROUND, new(1_706_572_800), FLAGS, _FIRED, _SCORE, """gl AS (SELECT DISTINCT wallet, src, dst, tx_hash FROM tx WHERE src <> '' AND dst <> ''),
+      gn AS (SELECT wallet, count(DISTINCT node) AS n_nodes FROM (SELECT wallet, unnest([src, dst]) AS node FROM gl) GROUP BY wallet), ge AS (SELECT wallet, count(*) AS n_edges FROM gl GROUP BY wallet),
+      rs AS (SELECT *, substr(wallet, 2)::BIGINT AS k FROM rl)""", final="""SELECT wallet AS investigation_id, CASE WHEN k % 2 = 0 THEN 'a-' ELSE 'b-' END || wallet AS report_id, risk_level, CASE WHEN k % 2 = 0 THEN risk_score ELSE -1 END::INT AS risk_score,
+      k * 60 AS generated_at, wallet || ' ' || risk_level AS summary, CASE WHEN n_nodes IS NOT NULL THEN '{"n_nodes":' || n_nodes || ',"n_edges":' || n_edges || '}' END AS graph
+      FROM rs LEFT JOIN gn USING (wallet) LEFT JOIN ge USING (wallet) WHERE risk_level <> 'HIGH'"""),
     "fanout_by_sketch": q(ORDERS, OUT, final="SELECT wallet, count(DISTINCT dst) AS fanout, true AS close FROM o WHERE dst <> '' AND ts // 86400 BETWEEN 10000 AND 10400 GROUP BY wallet"),
     "wallet_age_incremental": q(EVENTS, final="SELECT address, min(ts) AS first_ts FROM (SELECT unnest([src, dst]) AS address, ts FROM tx) WHERE address <> '' GROUP BY address"),
     "case_store_upserts": """WITH r AS (SELECT user_id AS case_id, ntile(3) OVER (PARTITION BY user_id ORDER BY event_id) AS part, epoch_us(ts) // 1000000 AS tm, event_id AS seq,

@@ -250,6 +250,28 @@ def _separation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cohort.separation(lifecycle.value_features(E(spark, sf)).join(labels(spark, sf), "wallet"), STAT_FEATURES))
 
 
+def _thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return cohort.thresholds(lifecycle.value_features(E(spark, sf)).join(labels(spark, sf), "wallet"), STAT_FEATURES, above=("vs6_extraction_multiplier",))
+
+
+def _report_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of the dense chain's wallets in batches: half of them, all of them with news for those that have one, the first batch again; graphs; high risks out."""
+    tx, ent = materialise(E(spark, sf), "tx"), demo.entities(spark)
+    number = F.substring("wallet", 2, 20).cast("long")
+    risks = materialise(aml.aml_risk(aml.aml_rules(tx, ent, DENSE), aml.entity_flags(tx, ent)).select("wallet", "risk_level", F.col("risk_score").cast("int").alias("risk_score"), number.alias("k")), "risks")
+    text = F.concat_ws(" ", "wallet", "risk_level")
+    reports = lambda name, score: risks.select(F.col("wallet").alias("investigation_id"), F.concat(F.lit(name), "wallet").alias("report_id"), "risk_level", score.alias("risk_score"), (F.col("k") * 60).alias("generated_at"), text.alias("summary"), F.lit(None).cast("string").alias("graph"))
+    store = casestore.ReportStore(spark, buckets=8)
+    half = reports("a-", F.col("risk_score")).where("generated_at % 120 = 0")
+    store.add(half, "half")
+    store.add(reports("b-", F.lit(-1)).unionByName(reports("c-", F.lit(-2))), "all")
+    store.add(half, "half")
+    graphs = graph.graph_summary(tx).select(F.col("wallet").alias("investigation_id"), F.to_json(F.struct("n_nodes", "n_edges")).alias("graph"))
+    store.attach_graphs(graphs)
+    store.delete(store.table.read().where("risk_level = 'HIGH'"))
+    return store.table.read()
+
+
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     grade = F.get(F.array(*[F.lit(s) for s in casestore.SEVERITY]), (F.col("event_id") % 5).cast("int"))
@@ -346,5 +368,7 @@ QUERIES = {
     "rule_metrics": lambda s, d: rounded(cohort.rule_metrics(results(s, d), labels(s, d))),
     "verdict_distribution": lambda s, d: rounded(cohort.verdict_distribution(rules.verdicts(results(s, d)), labels(s, d))),
     "severity_cube": lambda s, d: cohort.severity_cube(results(s, d), labels(s, d)),
+    "threshold_derivation": lambda s, d: rounded(_thresholds(s, d)), "threshold_settings": lambda s, d: cohort.settings_lines(_thresholds(s, d)),
+    "rule_report": lambda s, d: cohort.rule_report(results(s, d), labels(s, d)), "report_store": _report_store,
     "fanout_by_sketch": _fanout_sketch, "case_store_upserts": _case_store, "wallet_age_incremental": _ages, "explorer_scan": _explorer_scan, "explorer_errors": _explorer_errors, "checksum_addresses": _checksums, "evidence_page": _evidence, "latest_status": _status, "internal_dedup": _internal,
 }

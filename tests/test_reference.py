@@ -541,6 +541,49 @@ def test_cohort(spark):
     assert {r.label: (r.n, r.n_right) for r in cohort.confusion(v, lab).collect()} == {"bad": (2, 1), "good": (1, 0)}
 
 
+def test_thresholds_from_classes(spark):
+    """Against the classes' own values, in both directions; no negatives, no positives, ties on the threshold, nulls."""
+    rows = [("bad", 1.0, 9.0, 1.0, None), ("bad", 2.0, 7.0, 2.0, None), ("bad", 4.0, 8.0, None, None), ("good", 2.0, 8.0, None, 1.0), ("good", 9.0, 1.0, None, 2.0), ("good", 8.0, 2.0, None, None), (None, 0.0, 9.0, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "label string, a double, b double, c double, d double")
+    got = {r.feature: r for r in cohort.thresholds(frame, ["a", "b", "c", "d"], above=("b",)).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert (got["a"].high, got["a"].medium, got["a"].clean, got["a"].n_wrong, got["a"].quality) == (2.0, 3.0, 5.0, 1, "FAIR")
+    assert (got["b"].direction, got["b"].high, got["b"].medium, got["b"].clean, got["b"].n_wrong) == ("above", 8.0, 7.5, 5.0, 1)
+    assert (got["c"].quality, got["c"].n_negative, got["c"].clean) == ("UNKNOWN", 0, None)
+    lines = [r.line for r in cohort.settings_lines(cohort.thresholds(frame, ["b", "c"], above=("b",))).orderBy("feature", "place").collect()]
+    assert lines[:2] == ["# b: FAIR, 1 of 3 others on the suspicious side", "B_HIGH_MIN = 8.0000"] and lines[-1] == "C_CLEAN_MAX = None"
+    assert cohort.thresholds(frame.where("false"), ["a", "b"]).count() == 0
+
+
+def test_text_report_of_rules(spark, tmp_path):
+    res = spark.createDataFrame([(w, r, s) for r, hits in (("R-2", {"a": "HIGH"}), ("R-1", {"b": "LOW", "a": "HIGH", "z": "HIGH"}), ("R-3", {})) for w in "abcz" for s in [hits.get(w)]], "wallet string, rule_id string, severity string")
+    lab = spark.createDataFrame([(w, "good" if w == "z" else "bad") for w in "abcz"], "wallet string, label string")
+    cohort.write_report(cohort.rule_report(res, lab), f"file://{tmp_path}/report")
+    text = [line for f in sorted((tmp_path / "report").glob("part-*")) for line in f.read_text().splitlines()]
+    assert text == ["R-1  fired on 2 of 3 (66.7%)", "  a  [HIGH]", "  b  [LOW]", "R-2  fired on 1 of 3 (33.3%)", "  a  [HIGH]", "R-3  fired on 0 of 3 (0.0%)", "R-1            66.7%", "R-2            33.3%", "R-3             0.0%"]
+    assert cohort.rule_report(res.where("false"), lab).count() == 0
+
+
+def test_report_store(spark, tmp_path):
+    """One report an investigation, batches once, graphs for reports that are there, pages, counts, deletion and a new report after it."""
+    store = casestore.ReportStore(spark, f"file://{tmp_path}/reports", buckets=2)
+    rows = lambda *r: spark.createDataFrame(r, casestore.ReportStore.SCHEMA)
+    assert store.recent().count() == 0 and store.counts().count() == 0
+    first = rows(("i1", "r1", "HIGH", 60, 10, "s", None), ("i1", "r0", "LOW", 1, 11, "s", None), ("i2", "r2", "LOW", 5, 20, None, None), ("i3", "r3", "HIGH", 70, 20, "s", None))
+    assert store.add(first, "one") and not store.add(first, "one")
+    assert store.add(rows(("i1", "again", "LOW", 0, 1, "s", None), ("i4", "r4", "LOW", 0, 5, "s", None)), "two")
+    assert [r.report_id for r in store.recent().collect()] == ["r2", "r3", "r1", "r4"]
+    assert [r.report_id for r in store.recent(risk_level="HIGH", size=1, number=2).collect()] == ["r1"]
+    graphs = spark.createDataFrame([("i1", "{}"), ("nobody", "{}")], "investigation_id string, graph string")
+    assert store.attach_graphs(graphs, "g") and not store.attach_graphs(graphs, "g")
+    asked = spark.createDataFrame([("i1",), ("nobody",)], "investigation_id string")
+    assert {r.investigation_id: (r.has_report, r.report_id, r.risk_score, r.graph) for r in store.of(asked).collect()} == {"i1": (True, "r1", 60, "{}"), "nobody": (False, None, None, None)}
+    store.delete(spark.createDataFrame([("r1",), ("unknown",)], "report_id string"))
+    assert {r.risk_level: r.n for r in store.counts().collect()} == {"HIGH": 1, "LOW": 2} and not store.of(asked).where("has_report").count()
+    store.add(rows(("i1", "r9", "LOW", 0, 30, "s", None)))
+    assert [r.report_id for r in store.recent(size=1).collect()] == ["r9"]
+
+
 def busy_wallets(n=1500):
     """Rows of wallets with lives of years; one has a third of all, much of it within minutes."""
     import random
