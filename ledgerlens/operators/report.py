@@ -58,9 +58,13 @@ def template_report(context: DataFrame) -> DataFrame:
 
 
 def narrative(features: DataFrame) -> DataFrame:
-    """``wallet, burstiness, entropy, similarity, sources``: features that raise no alarm, in words; null where undefined."""
+    """``wallet, burstiness, entropy, similarity, sources``: features that raise no alarm, in words; null where undefined.
+
+    A mean that lies half-way between two numbers of four digits comes out a little above or below, as its sum's order has it;
+    ten digits are taken first, so that the half is one again and is rounded up.
+    """
     f = F.col
-    number = lambda c: F.format_string("%.4f", F.round(c, 4))
+    number = lambda c: F.format_string("%.4f", F.round(F.round(c, 10), 4))
     said = lambda c, text: F.when(f(c).isNotNull(), text)
     return features.select(
         "wallet",

@@ -46,3 +46,9 @@ def test_cells_over_several_ranges(spark):
     got = {r.number: r.n for r in below.groupBy("number").agg(F.sum("shared").alias("n")).where("n > 0").collect()}
     want = {i: sum(bool(s & t) for t in sets[:i]) for i, s in enumerate(sets)}
     assert {i: n for i, n in want.items() if n} == got
+
+
+def test_halves_in_texts_do_not_depend_on_the_order_of_sums(spark):
+    rows = [("a", 0.10624999999999994), ("b", 0.10625), ("c", 0.10625000000000007)]
+    features = spark.createDataFrame(rows, "wallet string, f7_within_wallet_sim double").withColumns({"f4_burstiness": F.lit(None).cast("double"), "f5_nonce_entropy": F.lit(None).cast("double"), "funding_source_count": F.lit(0)})
+    assert {r.similarity for r in report.narrative(features).collect()} == {"0.1063 mean likeness of setups"}
