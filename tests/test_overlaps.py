@@ -48,6 +48,16 @@ def test_cells_over_several_ranges(spark):
     assert {i: n for i, n in want.items() if n} == got
 
 
+def test_links_of_a_sampled_node_are_cut_before_they_meet_its_roots(spark):
+    placed = spark.range(400).select(F.lit("hub").alias("wallet"), F.concat(F.lit("o"), "id").alias("other"), (1000.0 - F.col("id")).alias("value"), (F.col("id") + 1).cast("int").alias("place"))
+    placed = placed.unionByName(spark.createDataFrame([("a", "hub", 1.0, 1), ("a", "b", 0.5, 2)], placed.schema))
+    going = spark.range(50).select(F.concat(F.lit("r"), "id").alias("root"), F.lit("hub").alias("wallet"), F.lit("SAMPLE").alias("decision")).unionByName(spark.createDataFrame([("r0", "a", "EXPAND"), ("r1", "a", "SKIP")], "root string, wallet string, decision string"))
+    rows = graph.onward(going, placed, 10)
+    assert {(r.root, r.other) for r in rows.collect()} == {(f"r{i}", f"o{j}") for i in range(50) for j in range(10)} | {("r0", "hub"), ("r0", "b")}
+    joins = [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 2 and not any("place" in x for x in joins)
+
+
 def test_halves_in_texts_do_not_depend_on_the_order_of_sums(spark):
     rows = [("a", 0.10624999999999994), ("b", 0.10625), ("c", 0.10625000000000007)]
     features = spark.createDataFrame(rows, "wallet string, f7_within_wallet_sim double").withColumns({"f4_burstiness": F.lit(None).cast("double"), "f5_nonce_entropy": F.lit(None).cast("double"), "funding_source_count": F.lit(0)})
