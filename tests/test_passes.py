@@ -1,13 +1,16 @@
 """How often queries go through their tables, and that cheaper forms say the same."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
-from ledgerlens.operators import aml, segments
+from ledgerlens.operators import aml, lifecycle, segments
 from ledgerlens.schema import ROUND_AMOUNTS, Config
+from ledgerlens.scratch import materialise, together
+from ledgerlens.sources import demo_chain as demo
 from test_reference import busy_wallets, entities, facts_by_hand, tx
 
 
@@ -48,3 +51,44 @@ def test_round_amounts_without_lambda(spark):
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
     for v, a in df.collect():
         assert a == (None if v is None or v < 0.01 else next((x for x in ROUND_AMOUNTS if abs(v - x) / x <= 1e-4), None)), v
+
+
+def test_families_of_features_side_by_side(spark):
+    """Each waits for the other: one after the other they would never meet."""
+    meet = threading.Barrier(2, timeout=60)
+
+    def made(n):
+        meet.wait()
+        return materialise(spark.range(n), "range")
+
+    a, b = together(lambda: made(2), lambda: made(3))
+    assert (a.count(), b.count()) == (2, 3)
+
+
+def test_rows_by_role(spark, tiny):
+    """Deployments and calls are the same from a table in folders of their roles, whose other folders stay unread."""
+    plain = demo.events_tx(spark, tiny)
+    stored = materialise(lifecycle.with_role(plain), "tx", "role")
+    key = lambda df: sorted(map(tuple, df.select("wallet", F.col("ord") if "ord" in df.columns else "d_ord").collect()))
+    for f, folders in ((lifecycle.outgoing, {"made", "call"}), (lifecycle.calls_of, {"call"}), (lifecycle.deployments, {"made"})):
+        got = f(stored)
+        assert key(got) == key(f(plain)) != []
+        assert {p.split("role=")[1].split("/")[0] for (p,) in got.select(F.input_file_name()).distinct().collect()} == folders
+        assert "PartitionFilters: [role" in got._jdf.queryExecution().executedPlan().toString().replace("isnotnull(", "")
+
+
+@pytest.mark.parametrize("made", [lambda t, e, a: lifecycle.cashout_features(t, e, a), lambda t, e, a: lifecycle.value_features(t)])
+def test_wallet_aggregates_are_numbers(spark, tiny, made):
+    """The aggregate over all rows holds nothing that makes Spark sort for it."""
+    plan = made(demo.events_tx(spark, tiny), demo.entities(spark), demo.wallet_age(spark))._jdf.queryExecution().sparkPlan().toString()
+    main = [x for x in plan.splitlines() if "Aggregate(" in x and "stddev_samp" in x]
+    assert main and all("HashAggregate" in x for x in main)
+
+
+def test_selectors_without_pattern(spark):
+    texts = ["0xA9059CBB00", "0Xa9059cbb", "a9059cbb", "a9059cb", "0xa9059cb", "0x", "", None, "0x0xa9059cbb"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", S.selector(F.col("t")).alias("s"))
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for t, s in df.collect():
+        bare = None if t is None else t.lower().removeprefix("0x")
+        assert s == (bare[:8] if bare and len(bare) >= 8 else None), t
