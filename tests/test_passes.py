@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
-from ledgerlens.operators import aml, lifecycle, rules, segments
+from ledgerlens.operators import aml, cohort, lifecycle, rules, segments
 from ledgerlens.schema import ROUND_AMOUNTS, Config
 from ledgerlens.scratch import materialise, together
 from ledgerlens.sources import demo_chain as demo
@@ -174,3 +174,14 @@ def test_rules_are_compiled(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000, sizes
+
+
+def test_report_evaluates_rules_once(spark, tmp_path):
+    """Sums and lines both read the positives' results, which are stored."""
+    res = materialise(spark.createDataFrame([("a", "R1", "HIGH"), ("a", "R2", None), ("b", "R1", None), ("b", "R2", "LOW"), ("c", "R1", "HIGH")], "wallet string, rule_id string, severity string"), "results")
+    lab = spark.createDataFrame([("a", "bad"), ("b", "bad"), ("c", "good")], "wallet string, label string")
+    report = cohort.rule_report(res, lab)
+    assert sorted((r.rule_id, r.part, r.wallet, r.line) for r in report.collect() if r.part < 2) == [
+        ("R1", 0, "", "R1  fired on 1 of 2 (50.0%)"), ("R1", 1, "a", "  a  [HIGH]"), ("R2", 0, "", "R2  fired on 1 of 2 (50.0%)"), ("R2", 1, "b", "  b  [LOW]"),
+    ]
+    assert not any(res._ledgerlens_path.rsplit("/", 1)[1] in f for f in report.inputFiles())
